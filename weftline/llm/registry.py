@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftline.llm import mixing
+from weftline.llm import mixing, simhash
 
-QUERIES = {"op2_mix_sources": mixing.op2_mix_sources}
+QUERIES = {"op1_simhash": simhash.op1_simhash, "op2_mix_sources": mixing.op2_mix_sources}
 ORACLES = {"op2_mix_sources": mixing.OP2_SQL}
