@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from weftline.llm import mixing, simhash
+from weftline.llm import mixing, quality, simhash, toxicity
 
-QUERIES = {"op1_simhash": simhash.op1_simhash, "op2_mix_sources": mixing.op2_mix_sources}
+QUERIES = {
+    "op1_simhash": simhash.op1_simhash,
+    "op2_mix_sources": mixing.op2_mix_sources,
+    "op7_toxicity": toxicity.op7_toxicity,
+    "op9_quality_rules": quality.op9_quality_rules,
+}
 ORACLES = {"op2_mix_sources": mixing.OP2_SQL}
