@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from weftline.llm import mixing, quality, simhash, toxicity
+from weftline.llm import mixing, quality, simhash, substrings, toxicity
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_mix_sources": mixing.op2_mix_sources,
     "op7_toxicity": toxicity.op7_toxicity,
     "op9_quality_rules": quality.op9_quality_rules,
+    "op10_substring_dedup": substrings.op10_substring_dedup,
 }
 ORACLES = {"op2_mix_sources": mixing.OP2_SQL}
