@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from weftline.llm import lines, mixing, quality, simhash, substrings, toxicity
+from weftline.llm import decontaminate, lines, mixing, quality, simhash, substrings, toxicity
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_mix_sources": mixing.op2_mix_sources,
     "op4_line_dedup": lines.op4_line_dedup,
     "op7_toxicity": toxicity.op7_toxicity,
+    "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_substring_dedup": substrings.op10_substring_dedup,
 }
