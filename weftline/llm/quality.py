@@ -174,3 +174,21 @@ def quality_rules(
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_rules(docs, quality_model(docs, table(spark, sf_dir, "labels")))
+
+
+def keep_good(docs: DataFrame, model: dict[str, np.ndarray], *, threshold: float = 0.5, min_words: int = 50, max_repeat_percent: int = 50, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the base rules and the classifier keep, with all their columns."""
+    small_batches(docs.sparkSession)
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x in texts(b.column(place)):
+                words = x.split()
+                n = len(words)
+                failed = n < min_words or 100 * repeated_words(words) > max_repeat_percent * n
+                keep.append(not failed and probability(model, x, words) >= threshold)
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

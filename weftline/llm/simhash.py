@@ -35,6 +35,8 @@ SEED = 42
 #: Fingerprints in a tile, and in the parts of a tile that are compared at once.
 TILE = 32768
 PART = 512
+#: Keys up to this number (24 bytes each) are broadcast, so that texts are not shuffled.
+FEW_KEYS = 1_000_000
 #: Shingles hashed before their bits are counted, whatever the text's length.
 CHUNK = 1 << 17
 BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -62,16 +64,17 @@ def fingerprint(text: bytes, words: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
-    """``(doc_id, fp)``, the fingerprint's bits as a signed long."""
+    """``(doc_id, text_hash, fp)``, the fingerprint's bits as a signed long."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = np.array([fingerprint(x, words) for x in texts(b.column(1))], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(found.view(np.int64))], ["doc_id", "text_hash", "fp"])
 
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(run, "doc_id long, fp long")
+    text = F.col(text_col).cast("string")
+    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
+    return picked.mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def quarters(fp: np.ndarray) -> np.ndarray:
@@ -181,7 +184,7 @@ def links(nodes: DataFrame, radius: int = 4) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, *, radius: int = 4, words: int = 4, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """``(doc_id, fp, component_id)`` for every row of ``docs``."""
+    """``(doc_id, text_hash, fp, component_id, root)`` for every row of ``docs``; ``root`` is the component's least fingerprint."""
     marked = materialise(fingerprints(docs, id_col, text_col, words))
     nodes = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     roots = components(links(nodes, radius))
@@ -189,8 +192,31 @@ def near_duplicates(
         "fp", "first_id", F.coalesce("root", "fp").alias("root")
     )
     least = grouped.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = grouped.join(least, "root").select(F.col("fp").alias("node_fp"), "component_id")
-    return marked.join(named, F.col("fp") == F.col("node_fp")).select("doc_id", "fp", "component_id")
+    named = grouped.join(least, "root").select(F.col("fp").alias("node_fp"), "component_id", "root")
+    return marked.join(named, F.col("fp") == F.col("node_fp")).select("doc_id", "text_hash", "fp", "component_id", "root")
+
+
+def keep_one(docs: DataFrame, *, radius: int = 4, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The row with the smallest doc_id of each component (null ids last, then by text hash), with all its columns.
+
+    Rows that repeat both id and text are one document; any one of them stays.
+    """
+    found = materialise(near_duplicates(docs, radius=radius, words=words, id_col=id_col, text_col=text_col))
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
+    counted = found.groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    best = materialise(
+        counted.groupBy("root").agg(F.min_by(F.struct("doc_id", "text_hash", "n"), first).alias("b"))
+        .select(F.col("b.doc_id").alias("__id"), F.col("b.text_hash").alias("__t"), F.col("b.n").alias("__n"))
+    )
+    n, repeats = best.agg(F.count("*"), F.count_if(F.col("__n") > 1)).first()
+    small = F.broadcast if n <= FEW_KEYS else (lambda df: df)
+    own = F.xxhash64(F.col(text_col).cast("string"))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (own == F.col("__t"))
+    single = docs.join(small(best.where("__n = 1")), same, "left_semi")
+    if not repeats:
+        return single
+    several = docs.join(small(best.where("__n > 1")), same)
+    return single.unionByName(several.dropDuplicates(["__id", "__t"]).select(*[F.col(f"`{c}`") for c in docs.columns]))
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
