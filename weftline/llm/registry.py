@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from weftline.llm import decontaminate, lines, mixing, quality, simhash, substrings, toxicity
+from weftline.llm import chat, decontaminate, lines, mixing, quality, simhash, substrings, toxicity, weak
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_mix_sources": mixing.op2_mix_sources,
+    "op3_weak_quality": weak.op3_weak_quality,
     "op4_line_dedup": lines.op4_line_dedup,
+    "op6_perspectives": chat.op6_perspectives,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_substring_dedup": substrings.op10_substring_dedup,
 }
-ORACLES = {"op2_mix_sources": mixing.OP2_SQL, "op4_line_dedup": lines.OP4_SQL}
+ORACLES = {"op2_mix_sources": mixing.OP2_SQL, "op4_line_dedup": lines.OP4_SQL, "op6_perspectives": chat.OP6_SQL}
