@@ -1,6 +1,9 @@
-"""All queries of the core operators, by name."""
+"""All queries of the core operators, by name, and their SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from weftline.plans import batching, cleaning, corpora, language, scoring
+
+MODULES = (cleaning, corpora, language, scoring, batching)
+QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
+ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
