@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from weftline.llm import chat, decontaminate, lines, mixing, quality, simhash, substrings, toxicity, weak
+from weftline.llm import chat, decontaminate, licenses, lines, mixing, quality, simhash, substrings, toxicity, weak
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_mix_sources": mixing.op2_mix_sources,
     "op3_weak_quality": weak.op3_weak_quality,
     "op4_line_dedup": lines.op4_line_dedup,
+    "op5_license_scan": licenses.op5_license_scan,
     "op6_perspectives": chat.op6_perspectives,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_decontaminate": decontaminate.op8_decontaminate,
