@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from weftline.functions.textops import WS, squeeze
 
@@ -88,7 +89,7 @@ def item_size(src: Column, tgt: Column | None = None) -> Column:
     return F.size(src) if tgt is None else F.greatest(F.size(src), F.coalesce(F.size(tgt), F.lit(0)))
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
     """Length of the longest common subsequence, a bit for each token of ``a``.
 

@@ -11,6 +11,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from weftline.config import DEFAULT, Config
 
@@ -23,7 +24,7 @@ DANDA, BENGALI_FOUR, PASEQ = "\u0964", "\u09f7", "\u05c0"
 ASSAMESE = r"[\x{09F0}\x{09F1}]"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(text: pd.Series) -> pd.Series:
     """Unicode canonical composition, which Spark has no function for."""
     return text.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
