@@ -77,26 +77,42 @@ def anchors(h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     return at, x[at]
 
 
-def _by_doc(doc: np.ndarray, part: np.ndarray, h: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    order = np.argsort(doc, kind="stable")
-    doc, h = doc[order], h[order]
-    starts = np.flatnonzero(np.concatenate((np.ones(min(1, len(doc)), bool), doc[1:] != doc[:-1])))
-    for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(doc)], strict=True) if len(doc) else ():
-        yield int(doc[s]), h[s:e].tobytes()
+def _packed(key: np.ndarray, doc: np.ndarray, h: np.ndarray) -> Iterator[tuple[int, bytes, bytes]]:
+    """``(key, docs, hashes)`` for each key, its documents in order."""
+    order = np.lexsort((doc, key))
+    key, doc, h = key[order], doc[order], h[order]
+    cuts = _starts(key).tolist()
+    for s, e in zip(cuts, [*cuts[1:], len(key)], strict=True) if cuts else ():
+        yield int(key[s]), doc[s:e].tobytes(), h[s:e].tobytes()
 
 
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())],
-        ["part", "doc", "docs", "hashes"],
-    )
+def _starts(*sorted_keys: np.ndarray) -> np.ndarray:
+    """Where a new combination of keys begins."""
+    n = len(sorted_keys[0])
+    new = np.zeros(n, bool)
+    new[:1] = True
+    for k in sorted_keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new)
+
+
+def _bucket(doc: np.ndarray, parts: int) -> np.ndarray:
+    return ((doc.view(np.uint64) * np.uint64(BASES[1]) >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
+
+
+def _shared(group: np.ndarray, doc: np.ndarray, spare_least: bool) -> np.ndarray:
+    """Which entries to answer: groups begin at ``group``."""
+    sizes = np.diff(np.append(group, len(doc)))
+    least = np.repeat(np.minimum.reduceat(doc, group), sizes)
+    return doc != least if spare_least else np.repeat(np.maximum.reduceat(doc, group), sizes) != least
 
 
 def shared(rows: DataFrame, hashes: Callable[..., tuple[np.ndarray, np.ndarray]], parts: int, spare_least: bool) -> DataFrame:
     """``(k, hashes)``: of each document the hashes that another has too, or a smaller one if ``spare_least``.
 
-    ``rows`` has ``k, text`` and more that ``hashes`` takes; it returns hashes and part numbers' source bits.
+    ``rows`` has ``k, text`` and more that ``hashes`` takes; it returns hashes
+    and the bits that choose their parts. Entries travel packed, a row for
+    each batch and part, and so do answers, by buckets of documents.
     """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,50 +123,47 @@ def shared(rows: DataFrame, hashes: Callable[..., tuple[np.ndarray, np.ndarray]]
                 docs.append(np.full(len(h), k, np.int64))
                 hs.append(h)
                 ps.append((p % np.uint64(parts)).astype(np.int64))
-            if not docs:
+            if not sum(map(len, hs)):
                 continue
             doc, h, p = np.concatenate(docs), np.concatenate(hs), np.concatenate(ps)
             order = np.lexsort((doc, h, p))
             doc, h, p = doc[order], h[order], p[order]
-            new_h = np.concatenate((np.ones(min(1, len(h)), bool), (h[1:] != h[:-1]) | (p[1:] != p[:-1])))
-            group = np.cumsum(new_h) - 1
-            least = doc[new_h][group] if len(h) else doc
-            most = np.maximum.reduceat(doc, np.flatnonzero(new_h))[group] if len(h) else doc
-            # Answered here: what documents of this batch share.
-            here = (doc != least) if spare_least else (most != least)
-            out = [(int(k) % parts, k, b"", x) for k, x in _by_doc(doc[here], p[here], h[here])]
-            doc, h, p = doc[new_h], h[new_h], p[new_h]
-            cuts = np.flatnonzero(np.concatenate((np.ones(min(1, len(p)), bool), p[1:] != p[:-1]))).tolist()
-            for s, e in zip(cuts, [*cuts[1:], len(p)], strict=True) if cuts else ():
-                out.append((int(p[s]), None, doc[s:e].tobytes(), h[s:e].tobytes()))
-            if out:
-                yield _rows(out)
+            group = _starts(p, h)
+            # Answered here: what documents of this batch share. The rest of the
+            # corpus needs to hear of its least document only.
+            here = _shared(group, doc, spare_least)
+            out = [(*x, True) for x in _packed(_bucket(doc[here], parts), doc[here], h[here])]
+            out += [(*x, False) for x in _packed(p[group], doc[group], h[group])]
+            cols = list(zip(*out, strict=True))
+            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["part", "docs", "hashes", "done"])
 
     def answer(part: pa.Table) -> pa.Table:
-        out = []
-        docs, hs = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
-        for k, d, h in zip(part["doc"].to_pylist(), part["docs"].to_pylist(), part["hashes"].to_pylist(), strict=True):
-            if k is not None:
-                out.append((k, h))
+        out, docs, hs = [], [], []
+        for k, d, h, done in zip(*(part[c].to_pylist() for c in ("part", "docs", "hashes", "done")), strict=True):
+            if done:
+                out.append((k, d, h))
             else:
                 docs.append(np.frombuffer(d, np.int64))
                 hs.append(np.frombuffer(h, np.uint64))
-        doc, h = np.concatenate(docs), np.concatenate(hs)
-        if len(h):
+        if docs:
+            doc, h = np.concatenate(docs), np.concatenate(hs)
             order = np.argsort(h, kind="stable")
             doc, h = doc[order], h[order]
-            starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-            sizes = np.diff(np.append(starts, len(h)))
-            least = np.repeat(np.minimum.reduceat(doc, starts), sizes)
-            most = np.repeat(np.maximum.reduceat(doc, starts), sizes)
-            hit = (doc != least) if spare_least else (most != least)
-            out += _by_doc(doc[hit], doc[hit], h[hit])
-        ks, xs = zip(*out, strict=True) if out else ((), ())
-        return pa.table({"k": pa.array(ks, pa.int64()), "hashes": pa.array(xs, pa.binary())})
+            hit = _shared(_starts(h), doc, spare_least)
+            out += _packed(_bucket(doc[hit], parts), doc[hit], h[hit])
+        cols = list(zip(*out, strict=True)) or [(), (), ()]
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(("bucket", "docs", "hashes"), cols, (pa.int64(), pa.binary(), pa.binary()), strict=True)})
 
-    dealt = rows.mapInArrow(deal, "part long, doc long, docs binary, hashes binary")
-    answered = dealt.groupBy("part").applyInArrow(answer, "k long, hashes binary")
-    return answered.groupBy("k").agg(F.collect_list("hashes").alias("hashes"))
+    def gather(bucket: pa.Table) -> pa.Table:
+        doc = np.frombuffer(b"".join(bucket["docs"].to_pylist()), np.int64)
+        h = np.frombuffer(b"".join(bucket["hashes"].to_pylist()), np.uint64)
+        ks, _, hs = zip(*_packed(doc, doc, h), strict=True)
+        return pa.table({"k": pa.array(ks, pa.int64()), "hashes": pa.array(hs, pa.binary())})
+
+    dealt = rows.mapInArrow(deal, "part long, docs binary, hashes binary, done boolean")
+    answered = dealt.groupBy("part").applyInArrow(answer, "bucket long, docs binary, hashes binary")
+    return answered.groupBy("bucket").applyInArrow(gather, "k long, hashes binary")
 
 
 def _named(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame | None]:
@@ -161,10 +174,6 @@ def _named(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame | None
     return docs.join(few, "k", "left_semi"), docs.join(few, "k", "left_anti")
 
 
-def _list(h: list[bytes] | None) -> np.ndarray:
-    return np.frombuffer(b"".join(h), np.uint64) if h else np.empty(0, np.uint64)
-
-
 def remove_repeats(
     docs: DataFrame, *, window: int = 50, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False
 ) -> DataFrame:
@@ -186,14 +195,14 @@ def remove_repeats(
         at, x = anchors(h, width)
         return x, rolling(h, width, BASES[1])[at]
 
-    def window_hashes(text: bytes, known: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def window_hashes(text: bytes, known: bytes) -> tuple[np.ndarray, np.ndarray]:
         words = text.split()
         if len(words) < window:
             return np.empty(0, np.uint64), np.empty(0, np.uint64)
         h = word_hashes(words)
         at, x = anchors(h, width)
         hit = np.zeros(len(h) + 1, np.int64)
-        hit[at[np.isin(x, _list(known))] + 1] = 1
+        hit[at[np.isin(x, np.frombuffer(known, np.uint64))] + 1] = 1
         sums = np.cumsum(hit)
         near = np.flatnonzero(sums[PERIOD : len(h) - window + 1 + PERIOD] > sums[: len(h) - window + 1])
         return rolling(h, window, BASES[0])[near], rolling(h, window, BASES[1])[near]
@@ -206,7 +215,7 @@ def remove_repeats(
                 words = text.split()
                 n = len(words)
                 if gone and n >= window:
-                    starts = np.isin(rolling(word_hashes(words), window, BASES[0]), _list(gone))
+                    starts = np.isin(rolling(word_hashes(words), window, BASES[0]), np.frombuffer(gone, np.uint64))
                     edges = np.zeros(n + 1, np.int64)
                     edges[: len(starts)] += starts
                     edges[window : window + len(starts)] -= starts
