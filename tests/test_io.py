@@ -65,6 +65,12 @@ def test_sinks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "h")).first()["section"] == "s"
 
 
+def test_copy_existing(spark, tmp_path):
+    (tmp_path / "a").write_text("x")
+    assert sinks.copy_existing(spark, [str(tmp_path / "a"), str(tmp_path / "b")], str(tmp_path / "to")) == [str(tmp_path / "a")]
+    assert (tmp_path / "to" / "a").read_text() == "x"
+
+
 def test_pieces(spark):
     path = "/opt/tokenizers/piece_bpe_32k.model"
     pytest.importorskip("sentencepiece")

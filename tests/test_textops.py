@@ -106,3 +106,8 @@ def test_lcs_matches_dynamic_program(spark):
 
 def test_config_is_a_value():
     assert Config().min_script_ratio == 0.5 and Config(fold_bengali_danda=True).fold_bengali_danda
+
+
+def test_causal_mask(spark):
+    got = spark.createDataFrame([([7, 8],)], "ids array<int>").select(A.causal_mask(F.col("ids"))).first()[0]
+    assert got == [[True, False], [True, True]]

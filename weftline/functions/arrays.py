@@ -64,6 +64,11 @@ def padding_mask(ids: Column) -> Column:
     return F.transform(ids, lambda x: x != PAD)
 
 
+def causal_mask(ids: Column) -> Column:
+    """For each position which others it may see: itself and those before."""
+    return F.transform(ids, lambda _, i: F.transform(ids, lambda __, j: j <= i))
+
+
 def strip_special(ids: Column) -> Column:
     """Up to the first end mark, without begin marks and padding."""
     at = F.array_position(ids, F.lit(EOS))

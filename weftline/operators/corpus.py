@@ -64,3 +64,11 @@ def combined(rows: DataFrame, blocks: list[str], lang: str, text: str, ordinal:
 def alternating_lines(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """Source and target as lines of their own: ``(*keys, pos, line)``."""
     return pairs.select(*keys, F.posexplode(F.array("src", "tgt")).alias("pos", "line")).withColumn("line", T.one_line(F.col("line")))
+
+
+def text_diagnostics(applied: DataFrame) -> DataFrame:
+    """``(rows, memory_hits, missing, empty)`` of what ``apply_memory`` returned."""
+    return applied.agg(
+        F.count("*").alias("rows"), F.count_if(F.col("origin") == "memory").alias("memory_hits"),
+        F.count_if(F.col("origin") == "missing").alias("missing"), F.count_if(F.col("text") == "").alias("empty"),
+    )

@@ -29,10 +29,14 @@ def gram_counts(samples: DataFrame, text: str, label: str, config: Config = DEFA
     )
 
 
-def bounded_samples(samples: DataFrame, key: str, label: str, limit: int, seed: int) -> DataFrame:
-    """At most ``limit`` of each class, in seeded order."""
+def bounded_samples(samples: DataFrame, key: str, label: str, text: str, limit: int, seed: int) -> DataFrame:
+    """At most ``limit`` of each class in seeded order, and of these the ones that are not empty."""
     w = W.partitionBy(label).orderBy(seeded_key(F.col(key), seed))
-    return samples.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= limit).drop("__r")
+    return samples.withColumn("__r", F.row_number().over(w)).where((F.col("__r") <= limit) & (F.col(text) != "")).drop("__r")
+
+
+def accuracy(rows: DataFrame, truth: str, predicted: str) -> DataFrame:
+    return rows.agg(F.count("*").alias("n"), F.count_if(F.col(truth) == F.col(predicted)).alias("correct"))
 
 
 def fit(samples: DataFrame, text: str, label: str, classes: list[str], config: Config = DEFAULT) -> Model:

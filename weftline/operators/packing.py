@@ -53,6 +53,12 @@ def token_batches(rows: DataFrame, size: Column, ordinal: str, max_tokens: int)
     return ranked.withColumn("batch", batch.cast("long")).drop("__size", "__rank", "__before", "__batch", "__room", "__cap")
 
 
+def short_items(rows: DataFrame, size: Column, most: int, lang: str | None = None) -> DataFrame:
+    """Rows no longer than ``most``, of one language if it is given."""
+    fits = rows.where(size <= most)
+    return fits if lang is None else fits.where(F.col("lang") == lang)
+
+
 def jittered(size: Column, key: Column, seed: int, epoch: int, noise: int) -> Column:
     """Size plus seeded noise from 0 to ``noise``, another for every epoch."""
     return size + F.pmod(F.xxhash64(key, F.lit(seed), F.lit(epoch)), F.lit(noise + 1))

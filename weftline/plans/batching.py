@@ -49,6 +49,10 @@ def pad_batch(spark, sf_dir):
     return done.select("batch", "width", F.size("padded").cast("long").alias("n"), (F.size(F.flatten("padded"))).cast("long").alias("cells"), total.alias("total"))
 
 
+def short_items(spark, sf_dir):
+    return packing.short_items(_encoded(spark, sf_dir), F.size("ids"), 24).select("ordinal", F.size("ids").cast("long").alias("size"))
+
+
 def unknown_rate(spark, sf_dir):
     return R.unknown_rate(_encoded(spark, sf_dir), "ids", unk=36).select("unknown", "tokens", F.round("rate", 6).alias("rate"))
 
@@ -97,7 +101,7 @@ def repeat_blocks(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        encode_frame, decoder_shift, length_batches, token_batches, pad_batch, unknown_rate, roundtrip_rate, lr_schedule, token_loss,
+        encode_frame, decoder_shift, length_batches, token_batches, pad_batch, short_items, unknown_rate, roundtrip_rate, lr_schedule, token_loss,
         early_stop, checkpoint_average, latest_checkpoints, best_hypothesis, repeat_blocks,
     )
 }
@@ -119,6 +123,7 @@ ORACLES = {
         FROM p JOIN s ON s.k = p.k + 1) SELECT ordinal, batch FROM p JOIN s ON p.k = s.k""",
     "pad_batch": f"""WITH {ENC}, {SORTED}, b AS (SELECT (k - 1) // 32 AS batch, max(size)::BIGINT AS width, count(*) AS n, sum(list_sum(ids))::BIGINT AS total FROM s GROUP BY 1)
         SELECT batch, width, n, n * width AS cells, total FROM b""",
+    "short_items": f"WITH {ENC} SELECT ordinal, len(ids)::BIGINT AS size FROM e WHERE len(ids) <= 24",
     "unknown_rate": f"""WITH {ENC}, u AS (SELECT sum(len(list_filter(ids, lambda x: x = 36)))::BIGINT AS unknown, sum(len(ids))::BIGINT AS tokens FROM e)
         SELECT unknown, tokens, round(unknown::DOUBLE / tokens, 6) AS rate FROM u""",
     "roundtrip_rate": f"SELECT count(*) AS n, count(*) FILTER (text = {P.sql_squeeze('text')}) AS matches FROM conversations",

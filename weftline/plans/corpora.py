@@ -53,6 +53,10 @@ def tm_apply(spark, sf_dir):
     return corpus.apply_memory(held.select("id", "src"), _memory(spark, sf_dir), hyps, ["src"], "id")
 
 
+def tm_diagnostics(spark, sf_dir):
+    return corpus.text_diagnostics(tm_apply(spark, sf_dir))
+
+
 def id_reconcile(spark, sf_dir):
     return corpus.reconcile(P.table(spark, sf_dir, "documents"), P.table(spark, sf_dir, "labels"), "doc_id")
 
@@ -123,7 +127,7 @@ def vocabulary_coverage(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        dedup_exact, deleak, tm_build, tm_coverage, tm_apply, id_reconcile, tag_combined, spm_lines, set_operations, languages_sorted,
+        dedup_exact, deleak, tm_build, tm_coverage, tm_apply, tm_diagnostics, id_reconcile, tag_combined, spm_lines, set_operations, languages_sorted,
         sample_seeded, holdout_split, head_and_stride, first_per_language, shifted_references, leaderboard, vocabulary_coverage,
     )
 }
@@ -133,6 +137,10 @@ WORDS = f"""{P.PAIRS}, words AS (SELECT conv_id, turn, split, regexp_extract(src
 MEMORY = f"""{WORDS}, counted AS (SELECT src, tgt, count(*) AS n, min(conv_id * 1000 + turn) AS first FROM words WHERE split = 'train' GROUP BY ALL),
   memory AS (SELECT src, tgt, n FROM counted QUALIFY row_number() OVER (PARTITION BY src ORDER BY n DESC, first) = 1)"""
 
+APPLIED = """applied AS (SELECT conv_id || '-' || turn AS id, w.src, trim(coalesce(m.tgt, CASE WHEN length(w.tgt) % 2 = 0 THEN upper(w.tgt) END, '')) AS text,
+        CASE WHEN m.tgt IS NOT NULL THEN 'memory' WHEN length(w.tgt) % 2 = 0 THEN 'hypothesis' ELSE 'missing' END AS origin
+        FROM words w LEFT JOIN memory m ON w.src = m.src WHERE split <> 'train')"""
+
 ORACLES = {
     "dedup_exact": f"WITH {DOCS} SELECT lang, min(doc_id) AS doc_id FROM d WHERE split = 'train' GROUP BY lang, text",
     "deleak": f"""WITH {DOCS} SELECT doc_id, lang FROM d WHERE split = 'train' AND NOT EXISTS (
@@ -141,9 +149,9 @@ ORACLES = {
         SELECT lang, src, tgt, n FROM c QUALIFY row_number() OVER (PARTITION BY lang, src ORDER BY n DESC, f) = 1""",
     "tm_coverage": f"""WITH {MEMORY} SELECT split, count(*) AS records, count(m.src) AS hits, round(100.0::DOUBLE * count(m.src) / count(*), 2) AS pct
         FROM words w LEFT JOIN memory m ON w.src = m.src WHERE split <> 'train' GROUP BY split""",
-    "tm_apply": f"""WITH {MEMORY} SELECT conv_id || '-' || turn AS id, w.src, trim(coalesce(m.tgt, CASE WHEN length(w.tgt) % 2 = 0 THEN upper(w.tgt) END, '')) AS text,
-        CASE WHEN m.tgt IS NOT NULL THEN 'memory' WHEN length(w.tgt) % 2 = 0 THEN 'hypothesis' ELSE 'missing' END AS origin
-        FROM words w LEFT JOIN memory m ON w.src = m.src WHERE split <> 'train'""",
+    "tm_apply": f"WITH {MEMORY}, {APPLIED} SELECT * FROM applied",
+    "tm_diagnostics": f"""WITH {MEMORY}, {APPLIED} SELECT count(*) AS rows, count(*) FILTER (origin = 'memory') AS memory_hits,
+        count(*) FILTER (origin = 'missing') AS missing, count(*) FILTER (text = '') AS empty FROM applied""",
     "id_reconcile": """SELECT 'missing' AS side, doc_id AS id FROM (SELECT doc_id FROM documents EXCEPT ALL SELECT doc_id FROM labels)
         UNION ALL SELECT 'extra', doc_id FROM (SELECT doc_id FROM labels EXCEPT ALL SELECT doc_id FROM documents)""",
     "tag_combined": """SELECT list_position(['en', 'fr', 'de'], lang)::BIGINT - 1 AS block, doc_id, md5('<2' || lang || '> ' || text) AS tagged_md5

@@ -41,7 +41,16 @@ def lid_confusion(spark, sf_dir):
     return langid.confusion(_predicted(spark, sf_dir), "lang", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (ngram_counts, lid_model, lid_classes, lid_predict, lid_confusion)}
+def lid_accuracy(spark, sf_dir):
+    return langid.accuracy(_predicted(spark, sf_dir), "lang", "predicted")
+
+
+def lid_samples(spark, sf_dir):
+    docs = P.table(spark, sf_dir, "documents")
+    return langid.bounded_samples(docs, "doc_id", "lang", "text", 50, 13).select("lang", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (ngram_counts, lid_model, lid_classes, lid_predict, lid_confusion, lid_accuracy, lid_samples)}
 
 
 def _grams(where: str) -> str:
@@ -69,5 +78,7 @@ ORACLES = {
     "lid_model": f"WITH {MODEL} SELECT cls, gram, round(log_prob, 6) AS log_prob FROM m",
     "lid_classes": f"WITH {MODEL} SELECT cls, round(log_prior, 6) AS log_prior, round(log_unseen, 6) AS log_unseen FROM c",
     "lid_predict": f"WITH {PREDICTED} SELECT doc_id, lang, predicted, round(score, 4) AS score FROM b",
+    "lid_accuracy": f"WITH {PREDICTED} SELECT count(*) AS n, count(*) FILTER (lang = predicted) AS correct FROM b",
+    "lid_samples": """SELECT lang, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY md5('13:' || doc_id)) AS r FROM documents) WHERE r <= 50 AND text <> ''""",
     "lid_confusion": f"WITH {PREDICTED} SELECT lang AS truth, predicted, count(*) AS n FROM b GROUP BY ALL",
 }

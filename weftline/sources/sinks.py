@@ -57,3 +57,18 @@ def write_scores(scores: DataFrame, path: str) -> None:
     total = scores.select(*rounded).withColumn("total", F.round(sum((F.col(c) for c in names[1:]), F.col(names[0])), 3))
     lines = F.array(*[F.format_string("%s: %f", F.lit(c), F.col(c)) for c in [*names, "total"]])
     total.select(F.explode(lines)).coalesce(1).write.mode("overwrite").text(path)
+
+
+def copy_existing(spark, paths: list[str], target: str) -> list[str]:
+    """Copies the files that exist to ``target`` through the cluster's file systems; returns which."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder, done = jvm.org.apache.hadoop.fs.Path(target), []
+    to = folder.getFileSystem(conf)
+    to.mkdirs(folder)
+    for p in paths:
+        src = jvm.org.apache.hadoop.fs.Path(p)
+        fs = src.getFileSystem(conf)
+        if fs.exists(src):
+            jvm.org.apache.hadoop.fs.FileUtil.copy(fs, src, to, jvm.org.apache.hadoop.fs.Path(folder, src.getName()), False, conf)
+            done.append(p)
+    return done
