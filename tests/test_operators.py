@@ -225,3 +225,11 @@ def test_training(spark):
 def test_word_vectors(spark):
     rows = spark.createDataFrame([(["a", "b", "c"] * 5,)], "w array<string>")
     assert training.word_vectors(rows, "w", size=4, epochs=1).getVectors().count() == 3
+
+
+def test_written_tables_can_be_cleared(spark):
+    df = ordering.written(spark.range(3))
+    assert df.count() == 3
+    ordering.clear_written(spark)
+    with pytest.raises(Exception):
+        df.collect()

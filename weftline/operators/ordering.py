@@ -19,13 +19,27 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/weftline/{spark.sparkContext.applicationId}"
+
+
 def written(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the shared folder, where its lineage ends."""
-    path = f"{shared_dir(df.sparkSession)}/weftline/{uuid.uuid4().hex}"
+    """``df`` as a table in the shared folder, where its lineage ends.
+
+    The files outlive any executor, so later stages recover without running
+    what came before.
+    """
+    path = f"{_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear_written(spark: SparkSession) -> None:
+    """Deletes this application's tables; results that were not saved elsewhere need them no more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
     """Adds dense ranks from 0 in ``order``, which should be total.
 
