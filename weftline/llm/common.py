@@ -2,65 +2,21 @@
 
 from __future__ import annotations
 
-import contextlib
-import tempfile
-import uuid
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.operators.ordering import written as materialise
+
+__all__ = ["WORD", "count_words", "draw_key", "materialise", "table"]
+
 #: A word is a run of anything but space, tab, line feed, vertical tab, form feed and return.
 WORD = r"[^\x20\x09-\x0D]+"
-GAP = r"[\x20\x09-\x0D]+"
-#: The separators as bytes, which are also those of ``bytes.split()``.
-GAP_BYTES = b"\x20\x09\x0a\x0b\x0c\x0d"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    sc = spark.sparkContext
-    have = sc.getCheckpointDir()
-    if not have:
-        sc.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='weftline-')}")
-        have = sc.getCheckpointDir()
-    return have.rstrip("/")
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: its lineage ends there.
-
-    The files outlive any executor, so later stages recover without running
-    what came before.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/weftline/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-@contextlib.contextmanager
-def settings(spark: SparkSession, **values: str) -> Iterator[None]:
-    """Session settings (dots written as ``__``) while an eager step runs."""
-    before = {}
-    for k, v in values.items():
-        key = k.replace("__", ".")
-        before[key] = spark.conf.get(key, None)
-        spark.conf.set(key, v)
-    try:
-        yield
-    finally:
-        for key, v in before.items():
-            spark.conf.unset(key) if v is None else spark.conf.set(key, v)
-
-
 def count_words(text: Column) -> Column:
     """Number of words of a text as a long; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -102,3 +102,25 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFra
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _sql() -> str:
+    """Seeds as strings; hits verified by lists."""
+    split = r"list_filter(regexp_split_to_array(lower({0}), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+    key = lambda t, m, n: f"'{n} ' || " + " || ' ' || ".join(f"{t}[p + {k}]" for k, c in enumerate(m) if c == "1")
+    seeded = lambda table, id_: " UNION ALL ".join(
+        f"SELECT {id_}, {len(m)} AS span, p, {key('t', m, n)} AS seed FROM (SELECT {id_}, t, unnest(range(1, len(t) - {len(m)} + 2)) AS p FROM {table})"
+        for n, m in enumerate(MASKS)
+    )
+    return f"""
+WITH d AS (SELECT doc_id, {split.format('text')} AS t FROM documents), b AS (SELECT item_id, {split.format('text')} AS t FROM benchmark),
+ds AS ({seeded('d', 'doc_id')}), bs AS ({seeded('b', 'item_id')}),
+h AS (SELECT DISTINCT doc_id, item_id, bs.span, ds.p, bs.p AS q FROM ds JOIN bs ON ds.seed = bs.seed),
+x AS (SELECT h.doc_id, h.item_id, d.t AS dt, b.t AS bt, p, q, span, least({STRETCH}, len(b.t)) AS win FROM h JOIN d ON h.doc_id = d.doc_id JOIN b ON h.item_id = b.item_id),
+y AS (SELECT *, range(greatest(q - win + span, 1), least(q, len(bt) - win + 1) + 1) AS starts FROM x)
+SELECT DISTINCT doc_id, item_id FROM y WHERE len(list_filter(starts, lambda s: s + p - q >= 1 AND s + p - q + win - 1 <= len(dt)
+  AND list_sum(list_transform(range(0, win), lambda k: CASE WHEN bt[s + k] = dt[s + k + p - q] THEN 1 ELSE 0 END)) >= ceil(win * {SHARE}))) > 0
+"""
+
+
+OP8_SQL = _sql()

@@ -16,4 +16,10 @@ QUERIES = {
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_substring_dedup": substrings.op10_substring_dedup,
 }
-ORACLES = {"op2_mix_sources": mixing.OP2_SQL, "op4_line_dedup": lines.OP4_SQL, "op6_perspectives": chat.OP6_SQL}
+ORACLES = {
+    "op2_mix_sources": mixing.OP2_SQL,
+    "op4_line_dedup": lines.OP4_SQL,
+    "op6_perspectives": chat.OP6_SQL,
+    "op8_decontaminate": decontaminate.OP8_SQL,
+    "op10_substring_dedup": substrings.OP10_SQL,
+}

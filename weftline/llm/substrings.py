@@ -243,3 +243,17 @@ def remove_repeats(
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+#: Windows compared as strings.
+OP10_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM documents),
+u AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+v AS (SELECT doc_id, word, i, count(*) OVER f AS n, string_agg(word, ' ') OVER f AS run FROM u
+      WINDOW f AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)),
+m AS (SELECT doc_id, word, i, n = 50 AND doc_id > min(doc_id) OVER (PARTITION BY CASE WHEN n = 50 THEN sha256(run) ELSE doc_id || ' ' || i END) AS again FROM v),
+c AS (SELECT doc_id, word, i, max(again::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM m),
+k AS (SELECT doc_id, sum(gone)::BIGINT AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (gone = 0) AS kept FROM c GROUP BY doc_id)
+SELECT d.doc_id, coalesce(len(w), 0)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON d.doc_id = k.doc_id
+"""
