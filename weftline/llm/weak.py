@@ -14,7 +14,9 @@ posterior is the prior's; repeated rows come back as often; null ids stay null.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -40,37 +42,42 @@ def votes(text: bytes) -> tuple[int, ...]:
     """1 good, -1 bad, 0 abstains.
 
     Length, symbols, capitals, repetition, repeated lines, plain words, sentence
-    ends and frequent words, in this order; the second to the fifth only ever
-    find faults, and abstain on a text without.
+    ends, frequent words, a word twice in a row and one word's share, in this
+    order; the second to the fifth and the last two only ever find faults, and
+    abstain on a text without.
     """
     words = text.split()
     n = len(words)
     if not n:
-        return (-1, 0, 0, 0, 0, 0, 0, 0)
+        return (-1,) + (0,) * (LABELLERS - 1)
     _, chars, symbols, dup_lines, repeated = quality.rule_counts(text)
     upper = len(text) - len(text.translate(None, CAPITALS))
     ends = sum(w[-1:] in (b".", b"!", b"?") for w in words)
     frequent = sum(w.lower() in FREQUENT for w in words)
+    stutter = sum(map(eq, words, words[1:]))
+    most = max(Counter(words).values())
 
     def judge(x: float, good_to: float, bad_from: float) -> int:
         return 1 if x <= good_to else -1 if x >= bad_from else 0
 
     plain = sum(w.strip(MARKS).isalpha() if w.isascii() else w.strip(MARKS).decode().isalpha() for w in words)
     return (
-        judge(-n, -50, -5),
+        judge(-n, -50, -1),
         min(0, judge(symbols / n, 0.02, 0.15)),
         min(0, judge(upper / max(1, chars), 0.15, 0.4)),
         min(0, judge(repeated / n, 0.1, 0.5)),
         min(0, judge(dup_lines / (text.count(b"\n") + 1), 0.05, 0.3)),
         judge(-plain / n, -0.95, -0.8),
-        0 if n < 5 else judge(abs(ends / n - 0.1), 0.09, 0.4),
-        0 if n < 5 else judge(-frequent / n, -0.1, -0.02),
+        int(ends > 0) if n < 20 else judge(abs(ends / n - 0.1), 0.09, 0.4),
+        int(frequent > 0) if n < 20 else judge(-frequent / n, -0.1, -0.02),
+        min(0, judge(stutter / n, 0.01, 0.05)),
+        min(0, judge(most / n, 0.15, 0.3)) if n >= 20 else 0,
     )
 
 
 MARKS = b".,;:!?\"'()-"
 CAPITALS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-LABELLERS = 8
+LABELLERS = 10
 
 
 def pattern(v: tuple[int, ...]) -> int:
