@@ -20,29 +20,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weftline.llm.common import WORD, count_words, draw_key, materialise, table
+from weftline.llm.common import count_words, draw_key, materialise, table
+from weftline.operators.ordering import global_rank
 
 #: Draw keys fall in this many buckets by their first three hexadecimal digits.
 BUCKET_DIGITS = 3
-
-
-def ranked(sources: DataFrame) -> DataFrame:
-    """Adds ``rank``, from 0, by code point with null last; range-partitioned, not one sort."""
-    parts = materialise(
-        sources.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("part", F.spark_partition_id())
-    )
-    # One row a partition: its bound is the number of shuffle partitions.
-    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    offsets = (
-        parts.groupBy("part").agg(F.count("*").alias("n"))
-        .select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    )
-    within = W.partitionBy("part").orderBy(F.col("source").asc_nulls_last())
-    return (
-        parts.join(F.broadcast(offsets), "part")
-        .withColumn("rank", F.col("offset") + F.row_number().over(within) - 1)
-        .drop("part", "offset")
-    )
+#: Plans of up to this number of sources (under 100 bytes each) are broadcast, so a hot source stays where its rows are.
+FEW_SOURCES = 200_000
 
 
 def water_fill(sources: DataFrame, budget: float, max_epochs: int) -> DataFrame:
@@ -75,7 +59,7 @@ def plan(sized: DataFrame, weights: Sequence[float], budget_share: float, max_ep
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     cycle = F.array(*[F.lit(w) for w in weights])
     weighted = materialise(
-        ranked(sources).withColumn("weight", F.element_at(cycle, (F.col("rank") % len(weights) + 1).cast("int"))).drop("rank")
+        global_rank(sources, [F.col("source").asc_nulls_last()]).withColumn("weight", F.element_at(cycle, (F.col("rank") % len(weights) + 1).cast("int"))).drop("rank")
     )
     total = weighted.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
     filled = materialise(water_fill(weighted, budget_share * total, max_epochs)).select(
@@ -136,7 +120,7 @@ def mix_sources(
         *([] if carry is None else [F.struct(*[F.col(c) for c in keep]).alias("row")]),
     )
     sized = materialise(thin)
-    sources = plan(sized.drop("row"), weights, budget_share, max_epochs)
+    sources = materialise(plan(sized.drop("row"), weights, budget_share, max_epochs))
     if carry is None:
         rows = docs.select(
             F.struct(*[F.col(c) for c in keep]).alias("row"), F.col(source_col).alias("source"),
@@ -145,7 +129,9 @@ def mix_sources(
     else:
         rows = sized
     copies = (F.col("whole") + F.when(F.col("draw") <= F.col("cut"), 1).otherwise(0)).cast("long")
+    few = sources.count() <= FEW_SOURCES
     sources = sources.withColumnRenamed("source", "s")
+    sources = F.broadcast(sources) if few else sources
     return rows.join(sources, F.col("source").eqNullSafe(F.col("s"))).select(
         "row.*",
         F.col("size").alias("mix_size"), F.col("source_size").cast("long").alias("mix_source_size"),
