@@ -36,7 +36,7 @@ SEED = 42
 TILE = 32768
 PART = 512
 #: Keys up to this number (24 bytes each) are broadcast, so that texts are not shuffled.
-FEW_KEYS = 1_000_000
+FEW_KEYS = 400_000
 #: Shingles hashed before their bits are counted, whatever the text's length.
 CHUNK = 1 << 17
 BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -188,11 +188,15 @@ def near_duplicates(
     marked = materialise(fingerprints(docs, id_col, text_col, words))
     nodes = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     roots = components(links(nodes, radius))
-    grouped = nodes.join(roots, F.col("fp") == F.col("node"), "left").select(
-        "fp", "first_id", F.coalesce("root", "fp").alias("root")
+    # Most fingerprints are alone; only those with links have a root to look up.
+    grouped = nodes.join(roots, F.col("fp") == F.col("node")).select("fp", "first_id", "root")
+    least = materialise(grouped.groupBy(F.col("root").alias("r")).agg(F.min("first_id").alias("component_id")))
+    small = F.broadcast if least.count() <= FEW_KEYS else (lambda df: df)
+    linked = grouped.join(small(least), F.col("root") == F.col("r")).select(F.col("fp").alias("node_fp"), "component_id", "root")
+    alone = nodes.join(roots, F.col("fp") == F.col("node"), "left_anti").select(
+        F.col("fp").alias("node_fp"), F.col("first_id").alias("component_id"), F.col("fp").alias("root")
     )
-    least = grouped.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = grouped.join(least, "root").select(F.col("fp").alias("node_fp"), "component_id", "root")
+    named = materialise(linked.unionByName(alone))
     return marked.join(named, F.col("fp") == F.col("node_fp")).select("doc_id", "text_hash", "fp", "component_id", "root")
 
 
@@ -212,10 +216,10 @@ def keep_one(docs: DataFrame, *, radius: int = 4, words: int = 4, id_col: str =
     small = F.broadcast if n <= FEW_KEYS else (lambda df: df)
     own = F.xxhash64(F.col(text_col).cast("string"))
     same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (own == F.col("__t"))
-    single = docs.join(small(best.where("__n = 1")), same, "left_semi")
+    single = docs.join(small(best.where("__n = 1").select("__id", "__t")), same, "left_semi")
     if not repeats:
         return single
-    several = docs.join(small(best.where("__n > 1")), same)
+    several = docs.join(small(best.where("__n > 1").select("__id", "__t")), same)
     return single.unionByName(several.dropDuplicates(["__id", "__t"]).select(*[F.col(f"`{c}`") for c in docs.columns]))
 
 
