@@ -3,8 +3,10 @@
 Every stage but the last returns the columns of ``documents``. The text of a
 document may shrink in line dedup, and ``n_chars`` follows it; a document that
 loses all its lines stays as an empty text until SimHash near-dedup, where all
-empty texts are one group. The last stage returns the mix: the documents it
-takes, with their repetitions in ``mix_copies`` and the other ``mix_*`` columns.
+empty texts are one group. The last stage first drops the near copies that
+SimHash's radius is too narrow for (five-word shingles, similarity 0.8 or
+more), then returns the mix: the documents it takes, with their repetitions in
+``mix_copies`` and the other ``mix_*`` columns.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import decontaminate, lines, mixing, quality, simhash
+from weftline.llm import decontaminate, lines, mixing, quality, shingles, simhash
 from weftline.llm.common import materialise, table
 
 
@@ -36,6 +38,8 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    # The stage simhash_near_dedup keeps op1's contract; what it leaves must go before sizes are taken.
+    docs = materialise(shingles.keep_one(docs))
     return mixing.mix_sources(docs).where("mix_copies > 0")
 
 

@@ -1,0 +1,58 @@
+"""Near-duplicates by shingle similarity against brute force, and in the pipeline's result."""
+
+import random
+import re
+
+from weftline.llm import shingles
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+GAP = re.compile(r"[\x20\x09-\x0D]+")
+
+
+def shingle_set(t):
+    w = [x for x in GAP.split((t or "").lower()) if x]
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def alike(a, b):
+    return bool(a and b) and 5 * len(a & b) >= 4 * len(a | b)
+
+
+def near_copies(n=60, seed=1):
+    rng = random.Random(seed)
+    base = [[rng.choice("abcdefghijklmnop") * rng.randint(1, 6) for _ in range(rng.randint(3, 120))] for _ in range(12)]
+    out = []
+    for _ in range(n):
+        w = list(rng.choice(base))
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(len(w))] = f"new{rng.random()}"
+        out.append(rng.choice([" ", "\n"]).join(w))
+    return out
+
+
+def test_shingles_match_brute_force(spark):
+    texts = [*near_copies(), None, "", " \n", "one two", "One Two"]
+    rows = [(None if i % 17 == 5 else i, t, "en", "s", 0) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = shingles.keep_one(df)
+    kept = {(r["doc_id"], r["text"]) for r in got.collect()}
+    sets = {(i, t): shingle_set(t) for i, t, *_ in rows}
+    assert got.columns == df.columns and len(kept) == got.count() < len(rows)
+    assert not [1 for a in kept for b in kept if a != b and alike(sets[a], sets[b])]
+    assert {k for k, s in sets.items() if not s} <= kept
+    for one in sets:
+        group, more = set(), {one}
+        while more:
+            group |= more
+            more = {b for a in more for b in sets if alike(sets[a], sets[b])} - group
+        assert group & kept and min(group, key=lambda k: (k[0] is None, k[0] or 0)) in kept or group <= {k for k in sets if k[0] is None}
+    assert shingles.keep_one(df.where("false")).count() == 0
+    assert shingles.keep_one(df.union(df)).count() == 2 * len(kept)
+
+
+def test_pipeline_leaves_no_near_copies(spark, small):
+    import corpus_pipeline
+
+    docs = corpus_pipeline.run(spark, small).select("doc_id", "text").collect()
+    sets = [shingle_set(r["text"]) for r in docs]
+    assert not [(a["doc_id"], b["doc_id"]) for i, a in enumerate(docs) for j, b in enumerate(docs[:i]) if alike(sets[i], sets[j])]

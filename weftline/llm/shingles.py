@@ -1,0 +1,120 @@
+"""Near-duplicates by exact Jaccard similarity of word shingles, in DataFrame operations only.
+
+Two sets of similarity 4/5 or more share one of the first fifth (and one) of
+their members, whatever order all members are put in. So each text sends only
+those, and texts that share one are candidates, which are then compared in
+full. Shingles that are frequent in a sample come last in the order: that
+changes what is sent, never what is found.
+
+Candidates are found in two rounds. The first compares each text with one
+text per shared shingle, so a group of m near copies costs a multiple of m
+rows; the second compares all pairs of what that leaves. Of linked texts the
+one with the smallest doc_id stays. No two texts that stay reach the
+similarity, and each text that goes is linked to one that stays by a chain.
+
+Defined cases: words are those of ``simhash`` (ASCII lower case); texts of
+fewer than ``words`` words are one shingle; null and wordless texts have none
+and stay; null doc_ids come last; rows that repeat both doc_id and text are
+one document and stay together; an empty table gives an empty result.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from weftline.llm.common import WORD, materialise
+from weftline.llm.components import components
+
+WORDS = 5
+#: Documents in the sample that orders the shingles, its least count of a frequent one, and 64-bit words of the table of these.
+SAMPLE = 4000
+FREQUENT = 3
+TABLE = 4096
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _node(id_col: str, text_col: str) -> Column:
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+
+
+def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with the value computed once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _hashes(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """``(node, hs)``: hashes of a text's distinct shingles."""
+    parts = F.regexp_extract_all(F.translate(F.col(text_col).cast("string"), UPPER, LOWER), F.lit(WORD), F.lit(0))
+
+    def hashed(w: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(w) - words, F.lit(0)))
+        return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.slice(w, i + 1, words))))
+
+    some = docs.where(F.col(text_col).cast("string").rlike(WORD))
+    return some.select(_node(id_col, text_col).alias("node"), _once(parts, hashed).alias("hs"))
+
+
+def _ordered(hashes: DataFrame, n: int) -> DataFrame:
+    """``(node, vs)``: each text's shingles in one order for all texts, frequent ones last."""
+    spark = hashes.sparkSession
+    share = max(1, n // SAMPLE)
+    sample = hashes.where(F.pmod("node", F.lit(share)) == 0).select(F.explode("hs").alias("h"))
+    at = F.shiftrightunsigned("h", 6).bitwiseAND(F.lit(TABLE - 1)).cast("int")
+    common = sample.groupBy("h").count().where(F.col("count") >= FREQUENT).orderBy(F.desc("count"), "h").limit(TABLE * 8)
+    bits = [0] * TABLE
+    # At most 32,768 small rows.
+    for i, b in common.select(at, F.col("h").bitwiseAND(F.lit(63))).collect():
+        bits[i] |= 1 << b
+    signed = [x - (1 << 64) if x >> 63 else x for x in bits]
+    held = spark.createDataFrame([(signed,)], "bits array<long>")
+
+    def value(h: Column) -> Column:
+        word = F.get("bits", F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(TABLE - 1)).cast("int"))
+        frequent = F.getbit(word, h.bitwiseAND(F.lit(63)).cast("int")).cast("long")
+        return F.shiftleft(frequent, 62).bitwiseOR(F.shiftrightunsigned(h, 2))
+
+    return hashes.crossJoin(F.broadcast(held)).select("node", F.sort_array(F.transform("hs", value)).alias("vs"))
+
+
+def _alike(pairs: DataFrame, ordered: DataFrame) -> DataFrame:
+    """Those of the pairs ``(a, b)`` whose sets have similarity 4/5 or more."""
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    sets = materialise(ordered.join(nodes, "node", "left_semi").dropDuplicates(["node"]))
+    left, right = (sets.select(F.col("node").alias(k), F.col("vs").alias(f"vs_{k}")) for k in "ab")
+    both = 9 * F.size(F.array_intersect("vs_a", "vs_b")) >= 4 * (F.size("vs_a") + F.size("vs_b"))
+    return materialise(pairs.join(left, "a").join(right, "b").where(both).select("a", "b"))
+
+
+def _gone(links: DataFrame, order: DataFrame) -> DataFrame:
+    """``node`` of all but the first of each group of linked texts."""
+    named = components(links).join(order, "node")
+    best = named.groupBy("root").agg(F.min_by("node", F.struct(F.col("id").isNull(), "id", "node")).alias("best"))
+    return materialise(named.join(best, "root").where("node <> best").select("node"))
+
+
+def keep_one(docs: DataFrame, *, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the later ones of texts whose shingles have Jaccard similarity 4/5 or more."""
+    ordered = materialise(_ordered(_hashes(docs, words, id_col, text_col), docs.count()))
+    order = docs.select(_node(id_col, text_col).alias("node"), F.col(id_col).cast("long").alias("id")).distinct()
+
+    def first(vs: Column) -> Column:
+        n = F.size(vs)
+        members = F.slice(vs, F.lit(1), n - F.floor((4 * n + 4) / 5).cast("int") + 1)
+        return F.transform(members, lambda v, p: F.struct(n.alias("n"), p.alias("p"), v.alias("v")))
+
+    sent = ordered.select("node", F.explode(_once(F.col("vs"), first)).alias("x")).select("node", "x.n", "x.p", "x.v")
+    shared = sent.groupBy("v").agg(F.min("node").alias("rep"), F.max("node").alias("last")).where("rep <> last").select("v", "rep")
+    rows = materialise(sent.join(shared, "v").dropDuplicates(["node", "v"]))
+    gone = _gone(_alike(materialise(rows.where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b")).distinct()), ordered), order)
+    left = materialise(rows.join(gone, "node", "left_anti"))
+    x, y = (left.select("v", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "p")]) for k in "ab")
+    # What can still be shared from this member on must be enough.
+    rest = F.least(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b"))
+    near = (F.col("node_a") < F.col("node_b")) & (9 * F.least("n_a", "n_b") >= 4 * (F.col("n_a") + F.col("n_b")))
+    pairs = x.join(y, "v").where(near).groupBy("node_a", "node_b").agg(F.max(9 * rest >= 4 * (F.col("n_a") + F.col("n_b"))).alias("may"))
+    pairs = materialise(pairs.where("may").select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
+    gone = gone.union(_gone(_alike(pairs, ordered), order))
+    return docs.join(gone.withColumnRenamed("node", "__gone"), _node(id_col, text_col) == F.col("__gone"), "left_anti")
