@@ -1,0 +1,43 @@
+"""Repeated runs of one or two long lines against brute force."""
+
+import random
+
+from weftline.llm import lines
+
+SCHEMA = "doc_id long, text string"
+
+
+def brute_pass(texts, run, least):
+    seen, out = set(), []
+    for t in texts:
+        every = (t or "").split("\n")
+        at = [i for i, x in enumerate(every) if x.split()]
+        dead = set()
+        for p in range(len(at) - run + 1):
+            key = tuple(every[i] for i in at[p : p + run])
+            if sum(len(x.split()) for x in key) < least:
+                continue
+            if key in seen:
+                dead |= set(range(at[p], at[p + run - 1] + 1))
+            seen.add(key)
+        out.append(None if t is None else "\n".join(x for i, x in enumerate(every) if i not in dead))
+    return out
+
+
+def test_long_lines_match_brute_force(spark):
+    rng = random.Random(2)
+    pool = [" ".join(f"w{k}x{i}" for i in range(n)) for k, n in enumerate((1, 10, 24, 25, 26, 49, 50, 51, 90))] + [""]
+    texts = [None, "", *("\n".join(rng.choice(pool) for _ in range(rng.randint(1, 5))) for _ in range(50))]
+    want = brute_pass(brute_pass(brute_pass(texts, 3, 0), 2, 50), 1, 50)
+    df = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    got = {r["doc_id"]: r for r in lines.dedup_passages(df).collect()}
+    assert [got[i]["text"] for i in range(len(texts))] == want
+    count = lambda t: sum(bool(x.split()) for x in (t or "").split("\n"))
+    assert [got[i]["lines_removed"] for i in range(len(texts))] == [count(a) - count(b) for a, b in zip(texts, want, strict=True)]
+    assert lines.dedup_passages(df.where("false")).count() == 0
+
+
+def test_one_long_line_goes(spark):
+    line = " ".join(f"w{i}" for i in range(60))
+    out = lines.dedup_passages(spark.createDataFrame([(1, line), (2, "own\n" + line)], SCHEMA)).collect()
+    assert {r["doc_id"]: r["text"] for r in out} == {1: line, 2: "own"}

@@ -13,6 +13,10 @@ Lines are what ``\\n`` parts. Lines without a word do not count, and stay
 unless they lie inside a deleted run. "Before" means a smaller doc_id, or an
 earlier line of the same document.
 
+``dedup_passages`` then also cuts repeated runs of two lines and of one line
+that hold ``PASSAGE`` words or more, each pass on the texts of the one before.
+It is ``op4_long_lines``; ``op4_line_dedup`` and its SQL stay at three lines.
+
 Defined cases: a null text has no lines and stays null; texts of fewer than
 ``run`` lines with a word keep all; a null doc_id counts as larger than any
 other; rows that repeat a doc_id with other text come in the order of the
@@ -25,9 +29,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import materialise, table
+from weftline.llm.common import count_words, materialise, table
 
 RUN = 3
+#: Words from which a repeated run of one or two lines goes too.
+PASSAGE = 50
 LAST = (1 << 63) - 1
 #: Keys up to this number (16 bytes each) are broadcast, so that texts without a deletion are not shuffled.
 FEW_KEYS = 1_000_000
@@ -47,18 +53,22 @@ def _numbered(text: Column) -> Column:
     return F.filter(every, lambda s: s["line"].rlike(A_WORD))
 
 
-def repeated_runs(docs: DataFrame, run: int = RUN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(__k, __t, n, ats, starts)``: per text with deletions, its lines' places and the starts of deleted windows."""
+def repeated_runs(docs: DataFrame, run: int = RUN, id_col: str = "doc_id", text_col: str = "text", least: int = 0) -> DataFrame:
+    """``(__k, __t, n, ats, starts)``: per text with deletions, its lines' places and the starts of deleted windows, which hold ``least`` words."""
     lines = materialise(
         docs.select(*_key(docs, id_col, text_col), _numbered(F.col(text_col).cast("string")).alias("s")).select(
             "__k", "__t", F.col("s.at").alias("ats"),
             # Two hashes of a line: one selects, both identify.
             F.transform("s", lambda s: F.xxhash64(s["line"])).alias("h"),
             F.transform("s", lambda s: F.xxhash64(s["line"], F.lit(1))).alias("h2"),
+            *([F.transform("s", lambda s: count_words(s["line"])).alias("n")] if least else []),
         ).where(F.size("h") >= run).dropDuplicates(["__k", "__t"])
     )
     spots = F.transform("h", lambda x, i: F.struct(x.alias("h"), i.alias("i")))
     starts = F.sequence(F.lit(0), F.size("h") - F.lit(run))
+    if least:
+        held = lambda p: F.aggregate(F.slice("n", p + 1, F.lit(run)), F.lit(0).cast("long"), lambda s, x: s + x)
+        starts = F.filter(starts, lambda p: held(p) >= least)
     windows = (
         lines.withColumn("spots", spots)
         .select("__k", "__t", F.explode(F.transform(starts, lambda p: F.struct(
@@ -96,9 +106,9 @@ def _gone(run: int) -> Column:
     return F.aggregate(F.zip_with("starts", nexts, lambda a, b: F.least(b - a, F.lit(run))), F.lit(0), lambda s, x: s + x)
 
 
-def dedup_lines(docs: DataFrame, *, run: int = RUN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, *, run: int = RUN, id_col: str = "doc_id", text_col: str = "text", least: int = 0) -> DataFrame:
     """``docs`` with later repeated runs cut from the text, and ``lines_removed`` (replaced if it was there)."""
-    hits = materialise(repeated_runs(docs, run, id_col, text_col).withColumnRenamed("__k", "__hk").withColumnRenamed("__t", "__ht"))
+    hits = materialise(repeated_runs(docs, run, id_col, text_col, least).withColumnRenamed("__k", "__hk").withColumnRenamed("__t", "__ht"))
     names = [c for c in docs.columns if c != "lines_removed"]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"), *_key(docs, id_col, text_col))
     same = (F.col("__k") == F.col("__hk")) & (F.col("__t") == F.col("__ht"))
@@ -117,13 +127,30 @@ def dedup_lines(docs: DataFrame, *, run: int = RUN, id_col: str = "doc_id", text
     return out(some, cut, gone).unionByName(out(rows.join(few, same, "left_anti"), text, F.lit(0)))
 
 
-def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return dedup_lines(docs).select(
+def dedup_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``dedup_lines``, then the same for runs of two lines and of one with ``PASSAGE`` words or more."""
+    out = materialise(dedup_lines(docs, id_col=id_col, text_col=text_col).withColumnRenamed("lines_removed", "__gone"))
+    for run in (2, 1):
+        cut = dedup_lines(out, run=run, id_col=id_col, text_col=text_col, least=PASSAGE)
+        out = materialise(cut.withColumn("__gone", F.col("__gone") + F.col("lines_removed")).drop("lines_removed"))
+    return out.withColumnRenamed("__gone", "lines_removed")
+
+
+def _told(cut: DataFrame) -> DataFrame:
+    return cut.select(
         "doc_id", "lines_removed", F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256")
     )
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _told(dedup_lines(docs))
+
+
+def op4_long_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _told(dedup_passages(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 #: Windows of three lines by content, without fingerprints: what is left must be the same.
 OP4_SQL = r"""
 WITH l AS (
