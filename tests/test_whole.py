@@ -1,0 +1,10 @@
+"""Queries over whole tables and sequences, where an older query with its SQL takes a part."""
+
+from weftline.plans import batching, registry
+
+
+def test_repeat_blocks_whole_uses_every_id(spark, small):
+    ids = {r["ordinal"]: r["ids"][:-1] for r in batching._encoded(spark, small).collect()}
+    want = {k: " ".join(map(str, sorted({x[i + 2] for i in range(len(x) - 2) if x[i : i + 2] == x[-2:]}))) for k, x in ids.items()}
+    assert {r["ordinal"]: r["banned"] for r in registry.QUERIES["repeat_blocks_whole"](spark, small).collect()} == want
+    assert any(len(x) > 48 and want[k] for k, x in ids.items())

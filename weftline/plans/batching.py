@@ -98,11 +98,17 @@ def repeat_blocks(spark, sf_dir):
     return short.select("ordinal", _text(F.array_sort(A.banned_next(F.col("ids"), 3))).alias("banned"))
 
 
+def repeat_blocks_whole(spark, sf_dir):
+    """``repeat_blocks`` over all a decoder is fed, so without the end mark, after which nothing follows; that query and its SQL stop at 48 ids."""
+    fed = _encoded(spark, sf_dir).select("ordinal", A.decoder_input(F.col("ids")).alias("ids"))
+    return fed.select("ordinal", _text(F.array_sort(A.banned_next(F.col("ids"), 3))).alias("banned"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         encode_frame, decoder_shift, length_batches, token_batches, pad_batch, short_items, unknown_rate, roundtrip_rate, lr_schedule, token_loss,
-        early_stop, checkpoint_average, latest_checkpoints, best_hypothesis, repeat_blocks,
+        early_stop, checkpoint_average, latest_checkpoints, best_hypothesis, repeat_blocks, repeat_blocks_whole,
     )
 }
 
@@ -143,4 +149,7 @@ ORACLES = {
     "repeat_blocks": f"""WITH {ENC}, h AS (SELECT ordinal, ids[1:48] AS ids FROM e)
         SELECT ordinal, coalesce(array_to_string(list_sort(list_distinct(list_transform(list_filter(range(1, len(ids) - 1), lambda i: ids[i] = ids[len(ids) - 1] AND ids[i + 1] = ids[len(ids)]),
           lambda i: ids[i + 2]))), ' '), '') AS banned FROM h""",
+    "repeat_blocks_whole": f"""WITH {ENC}, h AS (SELECT ordinal, ids[1:len(ids) - 1] AS ids FROM e)
+        SELECT ordinal, coalesce(array_to_string(list_sort(list_distinct(list_transform(list_filter(range(1, len(ids) - 1), lambda i: ids[i] = ids[len(ids) - 1] AND ids[i + 1] = ids[len(ids)]),
+          lambda i: ids[i + 2]))), ' '), '') AS banned FROM h""",
 }
