@@ -8,3 +8,14 @@ def test_repeat_blocks_whole_uses_every_id(spark, small):
     want = {k: " ".join(map(str, sorted({x[i + 2] for i in range(len(x) - 2) if x[i : i + 2] == x[-2:]}))) for k, x in ids.items()}
     assert {r["ordinal"]: r["banned"] for r in registry.QUERIES["repeat_blocks_whole"](spark, small).collect()} == want
     assert any(len(x) > 48 and want[k] for k, x in ids.items())
+
+
+def test_language_and_dedup_take_every_document(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "lang", "text").collect()
+    said = registry.QUERIES["lid_predict_all"](spark, small).collect()
+    assert sorted(r["doc_id"] for r in said) == sorted(r["doc_id"] for r in docs)
+    assert all(r["held_out"] == (r["doc_id"] % 10 == 0) for r in said)
+    first = {}
+    for r in docs:
+        first[r["lang"], r["text"]] = min(r["doc_id"], first.get((r["lang"], r["text"]), r["doc_id"]))
+    assert sorted(r["doc_id"] for r in registry.QUERIES["dedup_exact_all"](spark, small).collect()) == sorted(first.values())

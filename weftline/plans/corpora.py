@@ -17,6 +17,11 @@ def dedup_exact(spark, sf_dir):
     return corpus.first_of_each(_docs(spark, sf_dir, "train"), ["lang", "text"], "doc_id").select("lang", "doc_id")
 
 
+def dedup_exact_all(spark, sf_dir):
+    """``dedup_exact`` over every document, whatever its split."""
+    return corpus.first_of_each(P.table(spark, sf_dir, "documents"), ["lang", "text"], "doc_id").select("lang", "doc_id")
+
+
 def deleak(spark, sf_dir):
     train = _docs(spark, sf_dir, "train").select("doc_id", "lang", "text")
     held = _docs(spark, sf_dir, "dev").select("lang", "text").union(_docs(spark, sf_dir, "test").select("lang", "text"))
@@ -127,7 +132,7 @@ def vocabulary_coverage(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        dedup_exact, deleak, tm_build, tm_coverage, tm_apply, tm_diagnostics, id_reconcile, tag_combined, spm_lines, set_operations, languages_sorted,
+        dedup_exact, dedup_exact_all, deleak, tm_build, tm_coverage, tm_apply, tm_diagnostics, id_reconcile, tag_combined, spm_lines, set_operations, languages_sorted,
         sample_seeded, holdout_split, head_and_stride, first_per_language, shifted_references, leaderboard, vocabulary_coverage,
     )
 }
@@ -143,6 +148,7 @@ APPLIED = """applied AS (SELECT conv_id || '-' || turn AS id, w.src, trim(coales
 
 ORACLES = {
     "dedup_exact": f"WITH {DOCS} SELECT lang, min(doc_id) AS doc_id FROM d WHERE split = 'train' GROUP BY lang, text",
+    "dedup_exact_all": "SELECT lang, min(doc_id) AS doc_id FROM documents GROUP BY lang, text",
     "deleak": f"""WITH {DOCS} SELECT doc_id, lang FROM d WHERE split = 'train' AND NOT EXISTS (
         SELECT 1 FROM d e WHERE e.split <> 'train' AND e.lang = d.lang AND e.text = d.text)""",
     "tm_build": """WITH c AS (SELECT l_linestatus AS lang, l_partkey AS src, l_returnflag AS tgt, count(*) AS n, min(l_orderkey * 10 + l_linenumber) AS f FROM lineitem GROUP BY ALL)

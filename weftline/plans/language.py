@@ -37,6 +37,14 @@ def lid_predict(spark, sf_dir):
     return _predicted(spark, sf_dir).select("doc_id", "lang", "predicted", F.round("score", 4).alias("score"))
 
 
+def lid_predict_all(spark, sf_dir):
+    """``lid_predict`` over every document, with a flag for those outside the model's training."""
+    docs = P.table(spark, sf_dir, "documents")
+    said = langid.predict(docs, _model(spark, sf_dir), "doc_id", "text")
+    held = (F.col("doc_id") % 10 == 0).alias("held_out")
+    return docs.select("doc_id", "lang").join(said, "doc_id").select("doc_id", "lang", "predicted", F.round("score", 4).alias("score"), held)
+
+
 def lid_confusion(spark, sf_dir):
     return langid.confusion(_predicted(spark, sf_dir), "lang", "predicted")
 
@@ -50,7 +58,7 @@ def lid_samples(spark, sf_dir):
     return langid.bounded_samples(docs, "doc_id", "lang", "text", 50, 13).select("lang", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (ngram_counts, lid_model, lid_classes, lid_predict, lid_confusion, lid_accuracy, lid_samples)}
+QUERIES = {f.__name__: f for f in (ngram_counts, lid_model, lid_classes, lid_predict, lid_predict_all, lid_confusion, lid_accuracy, lid_samples)}
 
 
 def _grams(where: str) -> str:
@@ -73,11 +81,14 @@ PREDICTED = f"""{MODEL}, g AS (SELECT doc_id, lang, gram, count(*) AS n FROM {_g
   b AS (SELECT doc_id, lang, cls AS predicted, score FROM sc
     QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, list_position(['en', 'fr', 'de', 'es'], cls)) = 1)"""
 
+PREDICTED_ALL = PREDICTED.replace(_grams("doc_id % 10 = 0"), _grams("true"))
+
 ORACLES = {
     "ngram_counts": f"SELECT lang, gram, count(*) AS n FROM {_grams('true')} GROUP BY ALL",
     "lid_model": f"WITH {MODEL} SELECT cls, gram, round(log_prob, 6) AS log_prob FROM m",
     "lid_classes": f"WITH {MODEL} SELECT cls, round(log_prior, 6) AS log_prior, round(log_unseen, 6) AS log_unseen FROM c",
     "lid_predict": f"WITH {PREDICTED} SELECT doc_id, lang, predicted, round(score, 4) AS score FROM b",
+    "lid_predict_all": f"WITH {PREDICTED_ALL} SELECT doc_id, lang, predicted, round(score, 4) AS score, doc_id % 10 = 0 AS held_out FROM b",
     "lid_accuracy": f"WITH {PREDICTED} SELECT count(*) AS n, count(*) FILTER (lang = predicted) AS correct FROM b",
     "lid_samples": """SELECT lang, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY md5('13:' || doc_id)) AS r FROM documents) WHERE r <= 50 AND text <> ''""",
     "lid_confusion": f"WITH {PREDICTED} SELECT lang AS truth, predicted, count(*) AS n FROM b GROUP BY ALL",
