@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
+    """The folder that driver and executors share; a temporary one only where none is set and all run on this machine."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='weftline-')}")
         path = spark.sparkContext.getCheckpointDir()
     return path.rstrip("/")
@@ -31,13 +33,25 @@ def written(df: DataFrame) -> DataFrame:
     """
     path = f"{_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    return table
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes what ``written`` wrote, once nothing is to be computed from these tables any more."""
+    for t in tables:
+        _delete(t.sparkSession, t.written_to)
 
 
 def clear_written(spark: SparkSession) -> None:
     """Deletes this application's tables; results that were not saved elsewhere need them no more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_folder(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, _folder(spark))
 
 
 def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
