@@ -89,20 +89,28 @@ def test_simhash_matches_brute_force(spark, small, rows):
 
 def test_simhash_edges(spark):
     df = docs_of(spark, ODD + ["nobody"], [None, 5, 4, 3, 3, None, 8, 9, 12, 11, None]).withColumns({"fp": F.lit("x"), "root": F.lit(1)})
-    got = [(r["doc_id"], r["fp"], r["component_id"]) for r in simhash.near_duplicates(df).collect()]
+    got = [(r["doc_id"], r["node"], r["component_id"]) for r in simhash.near_duplicates(df).collect()]
     ids = [None, 5, 4, 3, 3, None, 8, 9, 12, 11, None]
     fps = [fingerprint(t) for t in ODD + ["nobody"]]
     want = brute_components(ids, fps)
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
     assert sorted(map(str, got)) == sorted(map(str, zip(ids, signed, want, strict=True)))
     assert simhash.near_duplicates(df.where("false")).count() == 0
-    kept = simhash.keep_one(df)
+    kept = simhash.keep_one(df, simhash.Radius())
     # Two rows with id 3 are in different groups, as are two with no id.
     assert kept.columns == df.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["11", "3", "3", "4", "8", "9", "None", "None"]
-    twice = simhash.keep_one(df.union(df))
+    twice = simhash.keep_one(df.union(df), simhash.Radius())
     assert twice.count() == 8
 
 
+def classes(pairs):
+    root = {}
+    find = lambda x: x if root.get(x, x) == x else find(root[x])
+    for x, y in pairs:
+        root[max(find(x), find(y))] = min(find(x), find(y))
+    return {frozenset(k for k in root | {x: 0 for p in pairs for x in p} if find(k) == r) for r in {find(x) for p in pairs for x in p}}
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.integers(0, 10**6), st.integers(1, 1500), st.integers(0, 1500))
 def test_forest_joins_what_links_join(seed, n, m):
@@ -111,19 +119,83 @@ def test_forest_joins_what_links_join(seed, n, m):
     make = lambda k: np.unique(base[rng.integers(0, 40, k)] ^ (np.uint64(1) << rng.integers(0, 64, k, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, k, dtype=np.uint64)))
     order = lambda x: x[np.lexsort((x, *simhash.quarters(x).T[::-1]))]
     a, b = order(make(n)), order(make(m))
-    u, v = simhash.forest(a, b, 4, False)
-    assert all(np.bitwise_count(np.array([x ^ y], np.uint64)) >= 0 for x, y in zip(u, v, strict=True))
+    tile = lambda x: simhash.Tile(x.view(np.int64), np.zeros(len(x), np.int32), x.reshape(-1, 1))
+    u, v, d = simhash.forest(tile(a), tile(b), simhash.Radius(), False)
+    assert (d == -1).all()
+    brute = [(int(x), int(y)) for x in a for y in b[np.bitwise_count(b ^ x) <= 4] if x != y]
+    got = [(int(x), int(y)) for x, y in zip(u.view(np.uint64), v.view(np.uint64), strict=True) if x != y]
+    assert classes(got) == classes(brute)
 
-    def classes(pairs):
-        root = {}
-        find = lambda x: x if root.get(x, x) == x else find(root[x])
-        for x, y in pairs:
-            root[max(find(x), find(y))] = min(find(x), find(y))
-        return {x: find(x) for p in pairs for x in p}
 
-    brute = [(int(x), int(y)) for x in a for y in b[np.bitwise_count(b ^ x) <= 4] if x != y]
-    same = lambda c: {frozenset(k for k in c if c[k] == r) for r in c.values()}
-    assert same(classes([(int(x), int(y)) for x, y in zip(u, v, strict=True) if x != y])) == same(classes(brute))
+def test_lightest_is_a_minimum_spanning_forest():
+    rng = np.random.default_rng(2)
+    for _ in range(50):
+        n, m = rng.integers(1, 30), rng.integers(0, 80)
+        u, v, d = rng.integers(0, n, m), rng.integers(0, n, m), rng.integers(0, 9, m).astype(np.int32)
+        got = simhash._lightest(np.arange(n), u, v, d)
+        root, cost = list(range(n)), 0
+        find = lambda x: x if root[x] == x else find(root[x])  # noqa: B023, E731
+        for w, x, y in sorted(zip(d.tolist(), u.tolist(), v.tolist(), strict=True)):
+            if find(x) != find(y):
+                root[find(x)] = find(y)
+                cost += w
+        assert got[2].sum() == cost and len(got[0]) == n - len({find(x) for x in range(n)})
+
+
+def shingle_set(t):
+    w = words("".join(c.lower() if c.isascii() else c for c in t or ""))
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def alike(a, b):
+    return a == b or 5 * len(a & b) >= 4 * len(a | b)
+
+
+def near_copies(n=80, seed=1):
+    rng = random.Random(seed)
+    base = [[rng.choice("abcdefghijklmnop") * rng.randint(1, 6) for _ in range(rng.randint(12, 150))] for _ in range(15)]
+    out = []
+    for _ in range(n):
+        w = list(rng.choice(base))
+        for _ in range(rng.randint(0, 5)):
+            w[rng.randrange(len(w))] = f"new{rng.random()}"
+        out.append(rng.choice([" ", "\n"]).join(w))
+    return out
+
+
+@pytest.mark.parametrize("tile", [simhash.TILE, 16])
+def test_similar_matches_brute_force(spark, monkeypatch, tile):
+    monkeypatch.setattr(simhash, "TILE", tile)
+    monkeypatch.setattr(simhash, "PART", min(tile, simhash.PART))
+    texts = [*near_copies(), None, "", " \n", "one two", "One Two"]
+    ids = [None if i % 17 == 5 else i for i in range(len(texts))]
+    df = docs_of(spark, texts, ids)
+    sets = [shingle_set(t) for t in texts]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if alike(sets[i], sets[j])]
+    root = list(range(len(texts)))
+    find = lambda x: x if root[x] == x else find(root[x])
+    for x, y in pairs:
+        root[find(x)] = find(y)
+    groups = {}
+    for i in range(len(texts)):
+        groups.setdefault(find(i), []).append(i)
+    want = {min(g, key=lambda i: (ids[i] is None, i)) for g in groups.values() if any(ids[i] is not None for i in g)}
+    kept = simhash.keep_one(df)
+    got = {r["doc_id"] for r in kept.collect()}
+    assert kept.columns == df.columns and got - {None} == want and kept.count() == len(groups) < len(texts)
+    assert simhash.keep_one(df.union(df)).count() == len(groups)
+    assert simhash.keep_one(df.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("rule", [simhash.Radius(), simhash.Similar()])
+def test_links_do_not_depend_on_tiles(spark, table, rows, monkeypatch, rule):
+    before = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(table, rule).collect()}
+    monkeypatch.setattr(simhash, "TILE", 16)
+    monkeypatch.setattr(simhash, "PART", 4)
+    monkeypatch.setattr(simhash, "FEW_KEYS", -1)
+    assert before == {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(table, rule).collect()}
+    kept = {r["doc_id"] for r in simhash.keep_one(table, rule).collect()}
+    assert kept == set(before.values())
 
 
 def test_components_of_a_chain_and_a_star(spark):
@@ -258,31 +330,51 @@ def test_em_recovers_accuracies():
 # -- lines, substrings, benchmark
 
 
-def brute_lines(rows, run=3):
+def brute_lines(rows, run=3, passage=50):
     seen, out = set(), []
     for _, t in rows:
         all_lines = (t or "").split("\n")
         at = [i for i, x in enumerate(all_lines) if words(x)]
         dead = set()
-        for p in range(len(at) - run + 1):
-            key = tuple(all_lines[i] for i in at[p : p + run])
-            if key in seen:
-                dead |= set(range(at[p], at[p + run - 1] + 1))
-            seen.add(key)
+        for p in range(len(at)):
+            for n in range(1, run + 1):
+                key = tuple(all_lines[i] for i in at[p : p + n])
+                if len(key) < n or (n < run and sum(len(words(x)) for x in key) < passage):
+                    continue
+                if key in seen:
+                    dead |= set(range(at[p], at[p + n - 1] + 1))
+                seen.add(key)
         out.append(None if t is None else "\n".join(x for i, x in enumerate(all_lines) if i not in dead))
     return out
 
 
-def test_lines_match_brute_force_on_dense_repeats(spark):
+def lines_with_words(t):
+    return sum(bool(words(x)) for x in (t or "").split("\n"))
+
+
+@pytest.mark.parametrize("few", [lines.FEW_KEYS, -1])
+def test_lines_match_brute_force_on_dense_repeats(spark, monkeypatch, few):
+    monkeypatch.setattr(lines, "FEW_KEYS", few)
+    monkeypatch.setattr(lines, "HOT", 50)
     rng = random.Random(5)
+    long = [" ".join(f"w{k}x{i}" for i in range(n)) for k, n in enumerate((1, 10, 24, 25, 26, 49, 50, 51, 90))]
     texts = [None, "", "\n\n", *("\n".join(rng.choice(["a", "b", "c", "", " "]) for _ in range(rng.randint(0, 25))) for _ in range(60))]
-    df = docs_of(spark, texts).withColumns({"lines_removed": F.lit("x"), "at": F.lit(1), "starts": F.lit("y")})
-    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(df).collect()}
-    assert [got[i] for i in range(len(texts))] == brute_lines(list(enumerate(texts)))
+    texts += ["\n".join(rng.choice([*long, "", "z"]) for _ in range(rng.randint(1, 6))) for _ in range(60)]
+    df = docs_of(spark, texts).withColumns({"lines_removed": F.lit("x"), "at": F.lit(1), "cuts": F.lit("y"), "a.b": F.lit(2)})
+    want = brute_lines(list(enumerate(texts)))
+    got = {r["doc_id"]: (r["text"], r["lines_removed"]) for r in lines.dedup_lines(df).collect()}
+    assert [got[i][0] for i in range(len(texts))] == want
+    assert [got[i][1] for i in range(len(texts))] == [lines_with_words(a) - lines_with_words(b) for a, b in zip(texts, want, strict=True)]
     assert lines.dedup_lines(df.where("false")).count() == 0
-    odd = docs_of(spark, ["a\nb\nc", "a\nb\nc", "a\nb\nc", "x\na\nb\nc"], [None, 4, 4, 2])
+    odd = docs_of(spark, ["a\nb\nc", "a\nb\nc", "a\nb\nc", "x\na\nb\nc", "a\nb\nc"], [None, 4, 4, 2, (1 << 63) - 1])
     out = sorted((str(r["doc_id"]), r["text"]) for r in lines.dedup_lines(odd).collect())
-    assert out == [("2", "x\na\nb\nc"), ("4", ""), ("4", ""), ("None", "")]
+    assert out == [("2", "x\na\nb\nc"), ("4", ""), ("4", ""), (str((1 << 63) - 1), ""), ("None", "")]
+
+
+def test_one_long_line_goes(spark):
+    line = " ".join(f"w{i}" for i in range(60))
+    out = lines.dedup_lines(docs_of(spark, [line, "own\n" + line])).collect()
+    assert {r["doc_id"]: r["text"] for r in out} == {0: line, 1: "own"}
 
 
 def brute_substrings(rows, window=50):
@@ -336,70 +428,119 @@ def test_cover_meets_every_shift():
             assert any((i + s) % substrings.PERIOD in d and (j + s) % substrings.PERIOD in d for s in range(substrings.PERIOD))
 
 
-def test_seeds_hit_any_two_substitutions():
-    spots = [[i for i, c in enumerate(m) if c == "1"] for m in decontaminate.MASKS]
+def test_masks_hit_every_allowed_placement():
     from itertools import combinations
 
-    for bad in combinations(range(13), 2):
-        assert any(not set(bad) & {s + x for x in m} for m in spots for s in range(13 - max(m)))
+    for size in range(1, decontaminate.STRETCH + 1):
+        spots = [[i for i, c in enumerate(m) if c == "1"] for m in decontaminate.masks_of(size)]
+        wrong = size - math.ceil(size * decontaminate.SHARE - 1e-9)
+        for bad in combinations(range(size), wrong):
+            assert any(not set(bad) & {s + x for x in m} for m in spots for s in range(size - max(m))), (size, bad)
 
 
 TOKEN = re.compile(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
 def brute_overlap(doc, item, stretch=16):
+    """By definition, whatever the seeds."""
     a, b = ([w for w in TOKEN.split((t or "").lower()) if w] for t in (item, doc))
     win = min(stretch, len(a))
     need = math.ceil(win * decontaminate.SHARE - 1e-9)
-    for diag in range(-len(a), len(b)):
+    for diag in range(-len(a), len(b)) if win else ():
         eq = [0 <= diag + i < len(b) and a[i] == b[diag + i] for i in range(len(a))]
         for s in range(len(a) - win + 1):
-            if not (0 <= diag + s and diag + s + win <= len(b)) or sum(eq[s : s + win]) < need:
-                continue
-            w = eq[s : s + win]
-            if any(all(w[x + k] for k, c in enumerate(m) if c == "1") for m in decontaminate.MASKS for x in range(win - len(m) + 1)):
+            if 0 <= diag + s and diag + s + win <= len(b) and sum(eq[s : s + win]) >= need:
                 return True
     return False
 
 
-def test_decontamination_matches_brute_force(spark):
+@pytest.mark.parametrize("few", [decontaminate.FEW_SEEDS, -1])
+def test_decontamination_matches_brute_force(spark, monkeypatch, few):
+    monkeypatch.setattr(decontaminate, "FEW_SEEDS", few)
     rng = random.Random(4)
-    items = [(k, " ".join(f"t{k}x{i}" for i in range(n))) for k, n in enumerate((4, 8, 12, 16, 30, 45))] + [(9, None), (9, ""), (None, "q " * 30)]
-    texts = [None, "", "q " * 40]
-    for _ in range(60):
+    items = [(k, " ".join(f"t{k}x{i}" for i in range(n))) for k, n in enumerate((1, 2, 4, 5, 7, 8, 10, 11, 12, 15, 16, 30, 45))] + [(19, None), (19, ""), (None, "q " * 30)]
+    texts = [None, "", "q " * 40, "t0x0"]
+    for _ in range(160):
         w = [f"z{rng.random()}" for _ in range(rng.randint(0, 30))]
-        _, item = rng.choice(items[:6])
+        _, item = rng.choice(items[:13])
         part = item.split()
-        cut = rng.randint(0, len(part) // 2)
+        cut = rng.randint(0, len(part) // 2) if rng.random() < 0.3 else 0
         part = [x.upper() if rng.random() < 0.3 else x for x in part[cut:]]
-        for _ in range(rng.randint(0, 5)):
+        for _ in range(rng.randint(0, max(1, len(part) // 4))):
             part[rng.randrange(len(part))] = "sub"
         at = rng.randint(0, len(w))
         texts.append(rng.choice([" ", ", "]).join(w[:at] + part + w[at:]))
     bench = spark.createDataFrame(items * 2, "item_id long, text string")
-    df = docs_of(spark, texts).withColumns({"h": F.lit(1), "item": F.lit("x"), "pos": F.lit(2)})
+    df = docs_of(spark, texts).withColumns({"h": F.lit(1), "item": F.lit("x"), "pos": F.lit(2), "bad": F.lit(3), "a.b": F.lit(4)})
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.overlaps(df, bench).collect()}
     want = {(i, k) for i, t in enumerate(texts) for k, x in items if brute_overlap(t, x)}
-    assert got == want and len(want) > 10 and (2, None) in want
+    assert got == want and len(want) > 60 and (2, None) in want and (3, 0) in want
     clean = decontaminate.clean_documents(df, bench)
     assert clean.columns == df.columns and {r["doc_id"] for r in clean.collect()} == set(range(len(texts))) - {i for i, _ in want}
     assert decontaminate.overlaps(df.where("false"), bench).count() == 0 == decontaminate.overlaps(df, bench.where("false")).count()
 
 
+@pytest.mark.parametrize("few", [decontaminate.FEW_SEEDS, -1])
+def test_decontamination_of_long_texts(spark, monkeypatch, few):
+    monkeypatch.setattr(decontaminate, "FEW_SEEDS", few)
+    item = " ".join(f"d{i}" for i in range(19980, 20000))
+    df = docs_of(spark, [" ".join(f"d{i}" for i in range(20000)), "q " * 20000])
+    bench = spark.createDataFrame([(1, item), (2, "q " * 30)], "item_id long, text string")
+    assert {tuple(r) for r in decontaminate.overlaps(df, bench).collect()} == {(0, 1), (1, 2)}
+
+
 # -- licences and chats
 
 
+def lic_words(t):
+    import regex
+
+    return [w for w in regex.split(r"[^\p{L}\p{N}.]+|\.(?!\p{N})", t.lower()) if w]
+
+
+def lic_grams(t):
+    w = lic_words(t)
+    return set(w) | {f"{a} {b}" for a, b in zip(w, w[1:], strict=False)}
+
+
+def brute_license(model, weights, text):
+    """Family, probability and template share of a line, or None."""
+    if not set(lic_words(text)) & set(model.telling):
+        return None
+    z = np.array(model.intercepts)
+    for g in lic_grams(text):
+        z = z + weights.get(g, 0)
+    z = z / model.temperature
+    p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+    family = model.classes[int(p.argmax())]
+    pairs = lambda x: {g for g in lic_grams(x) if " " in g}
+    shares = [len(pairs(x) & lic_grams(text)) / len(pairs(x)) for x in licenses.PHRASES.get(family, ()) if pairs(x)]
+    if family == "unknown" or p.max() < 0.5 or max(shares, default=0) < 0.6:
+        return None
+    return family, round(float(p.max()), 5), round(max(shares), 5)
+
+
 def test_licenses(spark, table):
     model = licenses.train(table)
     texts = ["Released under the MIT License.", "Licensed under CC BY-NC 4.0.\nplain line\nAll rights reserved.", None, "", "free shipping to the public", "BSD 3-Clause License", "The mozilla browser"]
-    df = docs_of(spark, texts, [0, 1, 2, 3, 4, None, 6]).withColumns({"row": F.lit(1), "gram": F.lit("x"), "family": F.lit("y")})
+    texts += ["The public domain of mathematics is wide", "This library is free software day at school", "Not released under the MIT License, ask us first", "We never licensed it under the GPL"]
+    df = docs_of(spark, texts, [0, 1, 2, 3, 4, None, 6, 7, 8, 9, 10]).withColumns({"row": F.lit(1), "gram": F.lit("x"), "family": F.lit("y"), "a.b": F.lit(1)})
     got = {(r["doc_id"], r["line"], r["family"]) for r in licenses.scan(df, model).collect()}
     assert got == {(0, 0, "mit"), (1, 0, "cc-by-nc"), (1, 2, "proprietary"), (None, 0, "bsd")}
     assert licenses.scan(df.union(df), model).count() == 8 and licenses.scan(df.where("false"), model).count() == 0
-    found = licenses.scan(table, model)
+    weights = {r["gram"]: np.array(r["weights"]) for r in model.weights.collect()}
+    # A line without a telling word has the intercepts alone, which say unknown.
+    assert model.classes[int(np.argmax(model.intercepts))] == "unknown"
+    found = {(r["doc_id"], r["line"]): (r["family"], round(r["probability"], 5), round(r["template_share"], 5)) for r in licenses.scan(table, model).collect()}
+    want = {}
+    for r in table.collect():
+        for k, x in enumerate(r["text"].split("\n")):
+            one = brute_license(model, weights, x)
+            if one:
+                want[r["doc_id"], k] = one
+    assert found.keys() == want.keys() and all(found[k][0] == want[k][0] and abs(found[k][1] - want[k][1]) < 2e-5 and abs(found[k][2] - want[k][2]) < 2e-5 for k in want)
     told = re.compile("licen[cs]e|rights reserved", re.I)
-    want = {(r["doc_id"], k) for r in table.collect() for k, x in enumerate(r["text"].split("\n")) if told.search(x)}
-    assert {(r["doc_id"], r["line"]) for r in found.collect()} == want
+    assert set(found) == {(r["doc_id"], k) for r in table.collect() for k, x in enumerate(r["text"].split("\n")) if told.search(x)}
 
 
 def test_perspectives_round_trip(spark):
@@ -447,7 +588,14 @@ def test_pipeline_stages_match_brute_force(spark, small, table):
             assert all(r["n_chars"] == len(r["text"]) for r in out.collect())
         elif name == "simhash_near_dedup":
             ids = [i for i, *_ in before]
-            assert set(after) == set(brute_components(ids, [fingerprint(t) for _, t, _ in before]))
+            sets = [shingle_set(t) for _, t, _ in before]
+            root = list(range(len(ids)))
+            find = lambda x: x if root[x] == x else find(root[x])  # noqa: B023, E731
+            for x in range(len(ids)):
+                for y in range(x):
+                    if min(len(sets[x]), len(sets[y])) * 5 >= 4 * max(len(sets[x]), len(sets[y])) and alike(sets[x], sets[y]):
+                        root[max(find(x), find(y))] = min(find(x), find(y))
+            assert set(after) == {ids[find(x)] for x in range(len(ids))}
         elif name == "benchmark_decontamination":
             items = [r["text"] for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
             tokens = [set(TOKEN.split(x.lower())) for x in items]

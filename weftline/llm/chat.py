@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weftline.llm.common import materialise, table
+from weftline.llm.common import col, materialise, table
 
 BLOCK = 2048
 END = "<|end|>"
@@ -85,8 +85,8 @@ def perspectives(
 ) -> DataFrame:
     """``(conv_id, perspective, block, n_turns, text, mask)``; mask is ``array<struct<n, trained>>``."""
     turns = conversations.select(
-        F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"),
-        F.coalesce(F.col(role_col).cast("string"), F.lit("unknown")).alias("role"), F.col(text_col).cast("string").alias("text"),
+        col(conv_col).alias("conv_id"), col(turn_col).alias("turn"),
+        F.coalesce(col(role_col).cast("string"), F.lit("unknown")).alias("role"), col(text_col).cast("string").alias("text"),
     )
     speakers = turns.where(~F.col("role").isin(*context)).select(F.col("conv_id").alias("c"), F.col("role").alias("perspective")).distinct()
     grouped = _blocks(turns, block).groupBy("conv_id", "block").agg(

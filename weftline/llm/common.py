@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.operators.ordering import forget
 from weftline.operators.ordering import written as materialise
 
-__all__ = ["WORD", "count_words", "draw_key", "materialise", "table"]
+__all__ = ["WORD", "col", "count_words", "draw_key", "forget", "least_draws", "materialise", "nested", "table", "unnested"]
 
 #: A word is a run of anything but space, tab, line feed, vertical tab, form feed and return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -17,6 +20,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def col(name: str) -> Column:
+    """The column of that very name, which may hold points."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def nested(docs: DataFrame, names: Sequence[str] | None = None) -> Column:
+    """The row as one struct, so that no name an operator uses can clash with its columns."""
+    return F.struct(*[col(c) for c in (docs.columns if names is None else names)]).alias("row")
+
+
+def unnested(docs: DataFrame, row: str = "row") -> list[Column]:
+    return [F.col(row).getField(c).alias(c) for c in docs.columns]
+
+
 def count_words(text: Column) -> Column:
     """Number of words of a text as a long; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -25,3 +42,20 @@ def count_words(text: Column) -> Column:
 def draw_key(seed: int, key: Column) -> Column:
     """A seeded pseudo-random string for each key, the same in every run and engine."""
     return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("null"))))
+
+
+def least_draws(rows: DataFrame, limit: int, draw: str = "draw") -> DataFrame:
+    """The ``limit`` rows with the least draw keys (of equal ones any), without sorting all rows.
+
+    Keys are evenly spread, so a cut a little above the wanted share leaves few
+    rows to sort; a cut that leaves too few is raised.
+    """
+    total = rows.count()
+    share = 4 * limit / total if total else 1.0
+    while share < 1.0:
+        near = materialise(rows.where(F.col(draw) < f"{int(share * (1 << 64)):016x}"))
+        if near.count() >= limit:
+            return near.orderBy(draw).limit(limit)
+        forget(near)
+        share *= 4
+    return rows.orderBy(draw).limit(limit)

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import materialise
+from weftline.llm.common import forget, materialise
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
-    """Links each node's larger (``large``) or smaller neighbours to the least one.
+    """Links each node's larger (``large``) or smaller neighbours to the least one; written.
 
     The minimum is aggregated before the shuffle and written, so the join is a
     plain equi-join of two tables that adaptive execution may split, and one
@@ -28,19 +28,24 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
         out = linked.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
             least.select(F.col("node").alias("a"), F.col("m").alias("b"))
         )
-    return out.where("a <> b").distinct()
+    done = materialise(out.where("a <> b").distinct())
+    forget(least)
+    return done
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """``(node, root)`` for every node of ``edges`` (``a``, ``b``); root is the least node reachable.
 
-    Edges stay distributed; each round's table is written to the shared folder,
-    and only a count and a checksum come to the driver. No edges give no rows.
+    Edges stay distributed; each round's table is written to the shared folder
+    and its predecessor deleted, and only a count and a checksum come to the
+    driver. No edges give no rows.
     """
     now = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     seen = None
     for _ in range(rounds):
-        now = materialise(_stars(_stars(now, True), False))
+        wide = _stars(now, True)
+        then, now = now, _stars(wide, False)
+        forget(then, wide)
         state = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
         if state == seen:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(

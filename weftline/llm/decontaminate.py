@@ -2,20 +2,29 @@
 
 A mask names the token positions of a short span that count; the others are
 ignored, so a substituted word there does not spoil the seed. Seeds of all
-benchmark items are joined with those at every position of every document, and
-around each hit the aligned tokens are compared: an overlap is a stretch of
-``stretch`` tokens (the whole item if it is shorter) that holds the seed and
-has at least four fifths of its tokens equal. The masks together hit any 13
-tokens with two substitutions or fewer, wherever these are.
+benchmark items are joined with those at every position of every document. A
+hit aligns an item with a document, and the aligned tokens are compared: there
+is an overlap if a stretch of ``STRETCH`` tokens (the whole item if it is
+shorter) has at least four fifths of its tokens equal.
 
-The seeds are broadcast while there are few of them (their number is checked),
-so documents are not shuffled; beyond that they are joined by a shuffle.
+Masks come by the size of the item. Those of a size together hit every way to
+place the substitutions that the rule allows in such a stretch, so no overlap
+is missed (a test enumerates the ways). An item of up to four tokens may have
+no substitution and is its own seed.
+
+Only hits are joined further, as document, item and alignment: a seed carries
+no tokens, and the tokens of a document are fetched once for all its hits. The
+seeds are broadcast while there are few of them (their number is checked), so
+documents are not shuffled; beyond that both sides are joined by seed.
 
 Tokens are lower-cased runs of anything but ASCII controls, blanks and
 punctuation. Defined cases: null and empty texts have no tokens and match
-nothing, as do items with fewer tokens than the shortest mask; null ids are
-kept as null; repeated rows of either side give one result row; no overlap
-gives an empty result; several items in one document give a row each.
+nothing; a document shorter than the stretch cannot hold it and matches
+nothing; a very long text costs a row for each mask and position, of 30 bytes;
+null ids are kept as null; repeated rows of either side give one result row; no
+overlap, and an empty table on either side, give an empty result; several
+items in one document give a row each. ``clean_documents`` keeps all columns,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -23,11 +32,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import materialise, table
+from weftline.llm.common import col, materialise, nested, table, unnested
 
-MASKS = ("1110111", "110101011", "1100110011")
 STRETCH = 16
 SHARE = 0.8
+#: Masks for items from as many tokens on.
+MASKS: dict[int, tuple[str, ...]] = {
+    16: ("1111011", "1110111", "111000001011"), 10: ("111011", "11111", "11001011"), 7: ("11011",), 5: ("111", "1101"),
+    4: ("1111",), 3: ("111",), 2: ("11",), 1: ("1",),
+}
 #: Seeds up to this number (about 30 bytes each) are broadcast.
 FEW_SEEDS = 2_000_000
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -38,37 +51,30 @@ def token_hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def seeds(hashed: DataFrame, keep: list[str]) -> DataFrame:
-    """``pos, mask, seed`` at every position of the array ``h``, with the columns ``keep``."""
+def masks_of(size: int) -> tuple[str, ...]:
+    """The masks for an item of ``size`` tokens."""
+    return MASKS[max(k for k in MASKS if k <= size)]
+
+
+def seeds(hashed: DataFrame, masks: list[str], keep: list[str]) -> DataFrame:
+    """``pos, mask, seed`` for every position of the array ``h`` and mask, with the columns ``keep``; the array is left behind."""
     at = lambda k: F.get("h", F.col("pos") + F.lit(k))
-    size = F.size("h")
     found = [
-        F.when(
-            F.col("pos") + F.lit(len(m)) <= size,
-            F.xxhash64(F.lit(n), *[at(k) for k, c in enumerate(m) if c == "1"]),
-        )
-        for n, m in enumerate(MASKS)
+        F.when(F.col("pos") + F.lit(len(m)) <= F.size("h"), F.xxhash64(F.lit(n), *[at(k) for k, c in enumerate(m) if c == "1"]))
+        for n, m in enumerate(masks)
     ]
-    return (
-        hashed.select(*keep, "h", F.posexplode_outer("h").alias("pos", "token"))
-        .select(*keep, "h", "pos", F.posexplode(F.array(*found)).alias("mask", "seed"))
-        .where("seed IS NOT NULL")
-    )
+    each = hashed.select(*keep, "h", F.posexplode("h").alias("pos", "token"))
+    return each.select(*keep, "pos", F.posexplode(F.array(*found)).alias("mask", "seed")).where("seed IS NOT NULL")
 
 
-def _overlaps(stretch: int) -> Column:
-    """Whether a stretch around the hit has enough equal tokens; columns ``h, pos, ih, ipos, mask``."""
-    span = F.element_at(F.array(*[F.lit(len(m)) for m in MASKS]), F.col("mask") + 1)
-    win = F.least(F.lit(stretch), F.size("ih"))
-    back = F.least(F.col("pos"), F.col("ipos"), F.greatest(win - span, F.lit(0)))
-    length = back + F.least(F.size("h") - F.col("pos"), F.size("ih") - F.col("ipos"), win)
-    here = F.slice(F.col("h"), F.col("pos") - back + 1, length)
-    there = F.slice(F.col("ih"), F.col("ipos") - back + 1, length)
-    equal = F.zip_with(here, there, lambda a, b: (a == b).cast("int"))
-    starts = F.sequence(F.lit(0), F.greatest(length - win, F.lit(0)))
-    need = F.ceil(win * F.lit(SHARE))
-    enough = F.exists(starts, lambda s: F.aggregate(F.slice(equal, s + 1, win), F.lit(0), lambda t, x: t + x) >= need)
-    return (length >= win) & enough
+def _overlap(pairs: DataFrame, stretch: int) -> DataFrame:
+    """Those of ``pairs`` whose aligned tokens ``here`` and ``there`` hold a stretch with enough equal ones; ``size`` is the item's."""
+    win = F.least(F.lit(stretch), F.col("size"))
+    equal = F.zip_with("here", "there", lambda a, b: (a == b).cast("int"))
+    starts = F.sequence(F.lit(0), F.size("equal") - win)
+    enough = F.exists(starts, lambda s: F.aggregate(F.slice("equal", s + 1, win), F.lit(0), lambda t, x: t + x) >= F.ceil(win * F.lit(SHARE)))
+    held = pairs.withColumn("equal", equal).where((F.size("equal") >= win))
+    return held.where((F.aggregate("equal", F.lit(0), lambda t, x: t + x) >= F.ceil(win * F.lit(SHARE))) & enough)
 
 
 def overlaps(
@@ -76,51 +82,70 @@ def overlaps(
     id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
 ) -> DataFrame:
     """``(doc_id, item_id)``: every document and item that overlap, once."""
+    if not 1 <= stretch <= max(MASKS):
+        raise ValueError(f"the masks are made for stretches of up to {max(MASKS)} tokens")
+    told = F.col("h").isNotNull() & (F.size("h") > 0)
     items = materialise(
-        benchmark.select(F.col(item_col).alias("item_id"), token_hashes(F.col(item_text_col).cast("string")).alias("h")).distinct()
+        benchmark.select(col(item_col).alias("item_id"), token_hashes(col(item_text_col).cast("string")).alias("h")).where(told).distinct()
         .withColumn("item", F.monotonically_increasing_id())
     )
+    # At most as many sizes as a stretch has tokens.
+    size = F.least(F.size("h"), F.lit(stretch))
+    sizes = [r[0] for r in items.select(size).distinct().collect()]
+    masks = sorted({m for n in sizes for m in masks_of(n)})
+    if not masks:
+        return docs.select(col(id_col).alias("doc_id")).join(items.select("item_id"), F.lit(False))
+    wanted = F.create_map(*[x for n in sizes for x in (F.lit(n), F.array(*[F.lit(masks.index(m)) for m in masks_of(n)]))])
     known = materialise(
-        seeds(items, ["item"]).select("item", F.col("pos").alias("ipos"), F.col("seed").alias("iseed"))
+        seeds(items.withColumns({"n": F.size("h"), "own": wanted[size]}), masks, ["item", "n", "own"]).where(F.array_contains("own", F.col("mask")))
+        .select("item", "n", F.col("pos").alias("ipos"), F.col("seed").alias("iseed"))
     )
-    few = known.count() <= FEW_SEEDS
-    small = F.broadcast if few else (lambda df: df)
-    hashed = docs.select(F.col(id_col).alias("doc_id"), token_hashes(F.col(text_col).cast("string")).alias("h"))
-    hits = seeds(hashed, ["doc_id"]).join(small(known), F.col("seed") == F.col("iseed"))
-    told = hits.join(small(items.select(F.col("item").alias("it"), "item_id", F.col("h").alias("ih"))), F.col("item") == F.col("it"))
-    return told.where(_overlaps(stretch)).select("doc_id", "item_id").distinct()
+    small = F.broadcast if known.count() <= FEW_SEEDS else (lambda df: df)
+    text = col(text_col).cast("string")
+    key = [col(id_col).alias("doc_id"), F.xxhash64(text).alias("t")]
+    hashed = docs.select(*key, token_hashes(text).alias("h"))
+    hits = seeds(hashed, masks, ["doc_id", "t"]).join(small(known), F.col("seed") == F.col("iseed"))
+    # An alignment begins at the same place of the document whichever seed found it.
+    aligned = materialise(hits.select("doc_id", "t", "item", "n", (F.col("pos") - F.col("ipos")).alias("at")).distinct())
+    of_doc = aligned.groupBy("doc_id", "t").agg(F.collect_list(F.struct("item", "n", "at")).alias("hits")).select(F.col("doc_id").alias("d"), F.col("t").alias("dt"), "hits")
+    of_doc = materialise(of_doc)
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("t") == F.col("dt"))
+    few = F.broadcast(of_doc.select("d", "dt")) if of_doc.count() <= FEW_SEEDS else of_doc.select("d", "dt")
+    rows = docs.select(*key, text.alias("text")).join(few, same, "left_semi").dropDuplicates(["doc_id", "t"])
+    found = rows.join(of_doc, same).select("doc_id", token_hashes(F.col("text")).alias("h"), "hits")
+    # What of the document lies beside the item, from the item's token ``skip`` on.
+    first, skip = (lambda x: F.greatest(x["at"], F.lit(0))), (lambda x: F.greatest(-x["at"], F.lit(0)))
+    beside = F.transform("hits", lambda x: F.struct(
+        x["item"].alias("item"), x["n"].alias("size"), skip(x).alias("skip"), F.slice("h", first(x) + 1, x["n"] - skip(x)).alias("here")
+    ))
+    each = found.select("doc_id", F.explode(beside).alias("x")).select("doc_id", "x.*")
+    pairs = each.join(small(items.select(F.col("item").alias("it"), "item_id", F.col("h").alias("ih"))), F.col("item") == F.col("it"))
+    pairs = pairs.withColumn("there", F.slice("ih", F.col("skip") + 1, F.size("here")))
+    return _overlap(pairs, stretch).select("doc_id", "item_id").distinct()
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs`` without those that overlap a benchmark item; rows with a null id are judged together."""
     id_col = options.get("id_col", "doc_id")
-    bad = materialise(overlaps(docs, benchmark, **options).select(F.col("doc_id").alias("__bad")).distinct())
+    bad = materialise(overlaps(docs, benchmark, **options).select(F.col("doc_id").alias("bad")).distinct())
     if bad.count() <= FEW_SEEDS:
         bad = F.broadcast(bad)
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("__bad")), "left_anti")
+    rows = docs.select(nested(docs), col(id_col).alias("own_id"))
+    return rows.join(bad, F.col("own_id").eqNullSafe(F.col("bad")), "left_anti").select(*unnested(docs))
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-def _sql() -> str:
-    """Seeds as strings; hits verified by lists."""
-    split = r"list_filter(regexp_split_to_array(lower({0}), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')"
-    key = lambda t, m, n: f"'{n} ' || " + " || ' ' || ".join(f"{t}[p + {k}]" for k, c in enumerate(m) if c == "1")
-    seeded = lambda table, id_: " UNION ALL ".join(
-        f"SELECT {id_}, {len(m)} AS span, p, {key('t', m, n)} AS seed FROM (SELECT {id_}, t, unnest(range(1, len(t) - {len(m)} + 2)) AS p FROM {table})"
-        for n, m in enumerate(MASKS)
-    )
-    return f"""
-WITH d AS (SELECT doc_id, {split.format('text')} AS t FROM documents), b AS (SELECT item_id, {split.format('text')} AS t FROM benchmark),
-ds AS ({seeded('d', 'doc_id')}), bs AS ({seeded('b', 'item_id')}),
-h AS (SELECT DISTINCT doc_id, item_id, bs.span, ds.p, bs.p AS q FROM ds JOIN bs ON ds.seed = bs.seed),
-x AS (SELECT h.doc_id, h.item_id, d.t AS dt, b.t AS bt, p, q, span, least({STRETCH}, len(b.t)) AS win FROM h JOIN d ON h.doc_id = d.doc_id JOIN b ON h.item_id = b.item_id),
-y AS (SELECT *, range(greatest(q - win + span, 1), least(q, len(bt) - win + 1) + 1) AS starts FROM x)
-SELECT DISTINCT doc_id, item_id FROM y WHERE len(list_filter(starts, lambda s: s + p - q >= 1 AND s + p - q + win - 1 <= len(dt)
-  AND list_sum(list_transform(range(0, win), lambda k: CASE WHEN bt[s + k] = dt[s + k + p - q] THEN 1 ELSE 0 END)) >= ceil(win * {SHARE}))) > 0
+#: Without seeds: every alignment with as many equal tokens as a stretch needs is looked at.
+OP8_SQL = rf"""
+WITH d AS (SELECT DISTINCT doc_id, list_filter(regexp_split_to_array(lower(text), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS t FROM documents),
+b AS (SELECT DISTINCT item_id, list_filter(regexp_split_to_array(lower(text), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS t FROM benchmark),
+du AS (SELECT doc_id, generate_subscripts(t, 1) AS p, unnest(t) AS w FROM d), bu AS (SELECT item_id, generate_subscripts(t, 1) AS q, unnest(t) AS w FROM b),
+e AS (SELECT item_id, least({STRETCH}, len(t)) AS win, ceil(least({STRETCH}, len(t)) * {SHARE}) AS need FROM b),
+h AS (SELECT doc_id, item_id, p - q AS diag, list(q ORDER BY q) AS qs FROM du JOIN bu ON du.w = bu.w GROUP BY ALL),
+x AS (SELECT h.*, win, need, len(b.t) AS n, len(d.t) AS m FROM h JOIN e ON h.item_id = e.item_id JOIN b ON h.item_id = b.item_id JOIN d ON h.doc_id = d.doc_id WHERE len(qs) >= need)
+SELECT DISTINCT doc_id, item_id FROM x WHERE len(list_filter(range(greatest(1, 1 - diag), least(n, m - diag) - win + 2),
+  lambda s: len(list_filter(qs, lambda q: q BETWEEN s AND s + win - 1)) >= need)) > 0
 """
-
-
-OP8_SQL = _sql()

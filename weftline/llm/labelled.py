@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import draw_key
-from weftline.llm.textbytes import small_batches, texts
+from weftline.llm.common import col, draw_key, least_draws
+from weftline.llm.textbytes import texts
 
 Example = tuple[np.ndarray, np.ndarray, float]
 
@@ -22,11 +22,12 @@ def sampled(docs: DataFrame, labels: DataFrame, label: Column, limit: int, seed:
     The ids are bounded by ``limit``, so they are broadcast and texts are not shuffled.
     """
     chosen = (
-        labels.select(F.col(id_col).cast("long").alias("k"), label.cast("double").alias("label")).dropna()
+        labels.select(col(id_col).cast("long").alias("k"), label.cast("double").alias("label")).dropna()
         .groupBy("k").agg(F.avg("label").alias("label"))
-        .withColumn("draw", draw_key(seed, F.col("k"))).orderBy("draw").limit(limit)
+        .withColumn("draw", draw_key(seed, F.col("k")))
     )
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    chosen = least_draws(chosen, limit)
+    rows = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text"))
     return rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("k")).select("doc_id", "draw", "label", "text")
 
 
@@ -36,9 +37,6 @@ def train(sample: DataFrame, features: Callable[[bytes], tuple[np.ndarray, np.nd
     Examples come in the order of their draw keys whatever the partitions, and
     rows that repeat an id count once, so a rerun gives the same model.
     """
-    spark = sample.sparkSession
-    small_batches(spark)
-
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [features(x) for x in texts(b.column(3))]

@@ -1,34 +1,41 @@
 """License scans: a trained paragraph classifier in DataFrame operations.
 
 A multinomial logistic regression over sparse word 1- and 2-grams learns the
-families from sentences about each of them and an unknown class from lines of
-the corpus. Its probabilities are calibrated by a temperature fitted on
-sentences held back, and a family is reported only if it is likelier than
-``threshold`` and a template comparison confirms it: the line must hold at
-least half of the word pairs of some key phrase of that family.
+families from sentences about each of them, and an unknown class from lines of
+the corpus (half of them with licence words), denials ("not released under ...")
+and fragments of the sentences. Its probabilities are calibrated by a
+temperature fitted on sentences held back, and a family is reported only if it
+is likelier than ``threshold`` and a template comparison confirms it: the line
+must hold at least ``share`` of the word pairs of some key phrase of the family.
 
 Only n-grams with a telling word (one that is in the sentences and not among
-the commonest words) are features, so a line without any has no feature and
-is unknown: such lines are left out before their n-grams are made.
-
-A paragraph is a line. Defined cases: null and empty texts have none; rows
-that repeat come back as often; null ids stay null; nothing found, and an
-empty table, give an empty result.
+the commonest words) or a negation are features. A line without a telling word
+is unknown, as a test confirms of the model, and is left out before its
+n-grams are made.
+
+A paragraph is a line; a phrase wrapped over two lines is judged by halves.
+Defined cases: null and empty texts have none; a very long line is one
+paragraph with as many n-grams as it has; of equally likely families the first
+in the order of ``PHRASES`` is reported; rows that repeat come back as often;
+null ids stay null; nothing found, and an empty table, give an empty result;
+further columns of the input, whatever their names, are left behind.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import draw_key, materialise, table
+from weftline.llm.common import col, draw_key, least_draws, materialise, table
 
 #: Lines of the corpus from which the unknown class is learnt at most, by least draw key.
 UNKNOWN_LINES = 2000
 SEED = 5
 UNKNOWN = "unknown"
+NEGATIONS = ("not", "never", "no", "longer")
 
 #: Key phrases of licence families. The first of each are also its templates.
 PHRASES: dict[str, tuple[str, ...]] = {
@@ -114,37 +121,59 @@ class Model:
 
 def paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(doc_id, line, text)`` of every line that is not blank."""
-    each = docs.select(F.col(id_col).alias("doc_id"), F.posexplode_outer(F.split(F.col(text_col).cast("string"), "\n", -1)).alias("line", "text"))
+    each = docs.select(col(id_col).alias("doc_id"), F.posexplode_outer(F.split(col(text_col).cast("string"), "\n", -1)).alias("line", "text"))
     return each.where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
 
 
+def _openings(text: str) -> list[str]:
+    return [f"{o}{text}" for o in ("", "this project is ", "the code and documentation are ", "unless noted, it is ", "note: ")]
+
+
+def _denials(text: str) -> list[str]:
+    """Sentences about a licence that do not grant it."""
+    return [f"not {text}, ask us first", f"this is not {text}", f"it was never {text}", f"no longer {text}"]
+
+
+def _fragments(text: str) -> list[str]:
+    """Sentences on something else that hold two neighbouring words of a longer phrase."""
+    parts = [w for w in text.lower().replace(",", " ").replace(":", " ").replace(";", " ").split() if w]
+    pairs = list(zip(parts, parts[1:], strict=False)) if len(parts) > 4 else []
+    return [f"we spoke of {a} {b} at school every day" for a, b in pairs]
+
+
+def _speaks(telling: list[str]) -> Callable[[Column], Column]:
+    """Whether an array of words has a telling one."""
+    return lambda w: F.exists(w, lambda x: x.isin(telling))
+
+
 def train(docs: DataFrame, *, limit: int = UNKNOWN_LINES, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Learns from ``PHRASES``, alone and after neutral openings, and ``limit`` lines of ``docs`` that have no telling word or few."""
+    """Learns from ``PHRASES``, from denials and fragments of them, and from ``limit`` lines of ``docs``.
+
+    Half of the lines are any, half have a telling word, and none names a
+    licence outright: what speaks of one is left to the phrases.
+    """
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import CountVectorizer
 
     spark = docs.sparkSession
     families = list(PHRASES)
-    openings = ("", "this project is ", "the code and documentation are ", "unless noted, it is ", "note: ")
-    own = [(f, f"{o}{p}", k) for f in families for o in openings for k, p in enumerate(PHRASES[f])]
+    own = [(f, t, k) for f in families for k, p in enumerate(PHRASES[f]) for t in _openings(p)]
+    others = [(UNKNOWN, t, k) for f in families for p in PHRASES[f] for k, t in enumerate(_denials(p) + _fragments(p))]
     sentences = spark.createDataFrame(own, "family string, text string, k int").withColumn("w", words(F.col("text")))
-    telling = sorted({r[0] for r in sentences.select(F.explode("w")).distinct().collect()} - COMMON - set(" ".join(openings).replace(",", " ").replace(":", " ").split()))
+    plain = {w for o in _openings("") for w in o.replace(",", " ").replace(":", " ").split()}
+    telling = sorted({r[0] for r in sentences.select(F.explode("w")).distinct().collect()} - COMMON - plain)
     telling = [t for t in telling if len(t) > 1]
-    # Lines with licence phrases are left to the families: what speaks of none is unknown.
-    speaks = F.lower("text").rlike(r"licen[cs]e|copyright|public domain|rights reserved")
-    lines = paragraphs(docs, id_col, text_col).where(~speaks).select("text").withColumn("d", draw_key(SEED, F.xxhash64("text")))
-    others = lines.orderBy("d").limit(limit).select(F.lit(UNKNOWN).alias("family"), "text", F.pmod(F.xxhash64("text"), F.lit(9)).cast("int").alias("k"))
-    hard = spark.createDataFrame(
-        [(UNKNOWN, t, k) for k, t in enumerate((
-            "free of charge shipping on every order", "the general public may visit the source", "version 2 of the program", "the software is in binary form",
-            "public work on the foundation of the library", "a person with commercial terms and conditions", "attribution of the source", "apache helicopters at the mit campus",
-        ))], "family string, text string, k int",
-    )
-    every = others.unionByName(hard).withColumn("w", words(F.col("text"))).unionByName(sentences)
-    tell = F.array(*[F.lit(t) for t in telling])
-    has = lambda g: F.arrays_overlap(F.split(g, " "), tell)
-    featured = materialise(every.select("family", "k", F.filter(grams("w"), has).alias("g")))
-    vectors = CountVectorizer(inputCol="g", outputCol="x", binary=True, minDF=1).fit(sentences.select(F.filter(grams("w"), has).alias("g")))
+    has = _speaks([*telling, *NEGATIONS])
+    names = F.lower("text").rlike(r"licen[cs]e|copyright|public domain|rights reserved")
+    lines = paragraphs(docs, id_col, text_col).where(~names).select("text").withColumn("draw", draw_key(SEED, F.xxhash64("text")))
+    near = lines.where(_speaks(telling)(words(F.col("text"))))
+    drawn = least_draws(lines, limit // 2).unionByName(least_draws(near, limit - limit // 2)).distinct()
+    unknown = drawn.select(F.lit(UNKNOWN).alias("family"), "text", F.pmod(F.xxhash64("text"), F.lit(9)).cast("int").alias("k"))
+    made = spark.createDataFrame(others, "family string, text string, k int")
+    every = unknown.unionByName(made).withColumn("w", words(F.col("text"))).unionByName(sentences)
+    spoken = F.filter(grams("w"), lambda g: has(F.split(g, " ")))
+    featured = materialise(every.select("family", "k", spoken.alias("g")))
+    vectors = CountVectorizer(inputCol="g", outputCol="x", binary=True, minDF=1).fit(featured.where(F.col("family") != UNKNOWN).unionByName(made.withColumn("w", words(F.col("text"))).select("family", "k", spoken.alias("g"))))
     classes = [*families, UNKNOWN]
     place = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("family")).cast("double") - 1
     rows = vectors.transform(featured).select("x", "k", place.alias("y")).cache()
@@ -169,12 +198,11 @@ def train(docs: DataFrame, *, limit: int = UNKNOWN_LINES, id_col: str = "doc_id"
     return Model(classes, weights, telling, [float(x) for x in fitted.interceptVector], temperature)
 
 
-def scan(docs: DataFrame, model: Model, *, threshold: float = 0.5, share: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, model: Model, *, threshold: float = 0.5, share: float = 0.6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, line, family, probability, template_share, text)`` of every line with a confirmed licence."""
     spark = docs.sparkSession
-    tell = F.array(*[F.lit(t) for t in model.telling])
     told = materialise(
-        paragraphs(docs, id_col, text_col).withColumn("w", words(F.col("text"))).where(F.arrays_overlap("w", tell))
+        paragraphs(docs, id_col, text_col).withColumn("w", words(F.col("text"))).where(_speaks(model.telling)(F.col("w")))
         .select(F.monotonically_increasing_id().alias("row"), "doc_id", "line", "text", "w")
     )
     each = told.select("row", F.explode(grams("w")).alias("gram"))

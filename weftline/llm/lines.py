@@ -1,24 +1,31 @@
 """Line dedup by winnowing over line hashes, in DataFrame operations only.
 
-Every window of ``run`` lines selects its least line hash (the leftmost of
-equal ones) as fingerprint, so a run of that many lines that occurs twice is
-certain to select the same line in both places. Only fingerprints whose hash
-occurs at two positions or more are followed: each extends left and right to
-the windows that selected it, and windows are joined to the first occurrence
-of their content. Overlapping windows that match make up the longest matching
-run, and all lines of a run that occurred before are deleted. A passage in m
-documents costs m rows this way, never m squared pairs.
+A run that repeats goes if it has ``RUN`` lines or ``PASSAGE`` words. Every
+window, that is every shortest stretch of lines that is long enough by either
+measure, selects its least line hash (the leftmost of equal ones) as its
+fingerprint, so a run long enough to go is certain to select the same line in
+both places. Then:
+
+1. only the selected positions are sent out, by fingerprint; those whose
+   fingerprint stands at one position are done with;
+2. a position whose fingerprint repeats is joined with the first position that
+   reads the same, extended from the fingerprint to the left and to the right
+   as far as the windows go that selected it. Its neighbours select
+   fingerprints no farther apart than a window, so these carry a longer match
+   on, in both directions, to where it ends;
+3. all lines of a match that stands earlier are deleted.
+
+A passage in m documents costs m rows this way, never m squared pairs. A
+fingerprint or match that very many positions share is told to every task
+(``HOT`` such keys at most) instead of gathering its positions in one.
 
 Lines are what ``\\n`` parts. Lines without a word do not count, and stay
 unless they lie inside a deleted run. "Before" means a smaller doc_id, or an
 earlier line of the same document.
 
-``dedup_passages`` then also cuts repeated runs of two lines and of one line
-that hold ``PASSAGE`` words or more, each pass on the texts of the one before.
-It is ``op4_long_lines``; ``op4_line_dedup`` and its SQL stay at three lines.
-
-Defined cases: a null text has no lines and stays null; texts of fewer than
-``run`` lines with a word keep all; a null doc_id counts as larger than any
+Defined cases: a null text has no lines and stays null; an empty one stays
+empty; a very long text is a long array of its lines' hashes (about 60 bytes a
+line), its words being read once; a null doc_id counts as larger than any
 other; rows that repeat a doc_id with other text come in the order of the
 texts' hashes, and rows that repeat both are treated alike; an empty table
 gives an empty result; other columns pass, whatever their names.
@@ -29,22 +36,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import count_words, materialise, table
+from weftline.llm.common import col, count_words, materialise, table
 
 RUN = 3
-#: Words from which a repeated run of one or two lines goes too.
+#: Words from which a repeated run of fewer lines goes too.
 PASSAGE = 50
-LAST = (1 << 63) - 1
-#: Keys up to this number (16 bytes each) are broadcast, so that texts without a deletion are not shuffled.
-FEW_KEYS = 1_000_000
+#: Keys up to this number (16 to 40 bytes each) are broadcast, so that texts and windows are not shuffled.
+FEW_KEYS = 200_000
+#: Keys with more than this part of all positions are broadcast, so at most as many.
+HOT = 10_000
 A_WORD = r"[^\x20\x09-\x0D]"
 
 
 def _key(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
-    return [
-        F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("__k"),
-        F.xxhash64(F.col(text_col).cast("string")).alias("__t"),
-    ]
+    """Order of documents: by id, null last, then by the hash of the text."""
+    id_ = col(id_col).cast("long")
+    return [F.struct(id_.isNull().alias("none"), F.coalesce(id_, F.lit(0)).alias("id")).alias("k"), F.xxhash64(col(text_col).cast("string")).alias("t")]
 
 
 def _numbered(text: Column) -> Column:
@@ -53,112 +60,140 @@ def _numbered(text: Column) -> Column:
     return F.filter(every, lambda s: s["line"].rlike(A_WORD))
 
 
-def repeated_runs(docs: DataFrame, run: int = RUN, id_col: str = "doc_id", text_col: str = "text", least: int = 0) -> DataFrame:
-    """``(__k, __t, n, ats, starts)``: per text with deletions, its lines' places and the starts of deleted windows, which hold ``least`` words."""
-    lines = materialise(
-        docs.select(*_key(docs, id_col, text_col), _numbered(F.col(text_col).cast("string")).alias("s")).select(
-            "__k", "__t", F.col("s.at").alias("ats"),
-            # Two hashes of a line: one selects, both identify.
-            F.transform("s", lambda s: F.xxhash64(s["line"])).alias("h"),
-            F.transform("s", lambda s: F.xxhash64(s["line"], F.lit(1))).alias("h2"),
-            *([F.transform("s", lambda s: count_words(s["line"])).alias("n")] if least else []),
-        ).where(F.size("h") >= run).dropDuplicates(["__k", "__t"])
-    )
+def _windows(run: int, passage: int) -> tuple[Column, Column]:
+    """The column ``spots``, and from it and the arrays ``h``, ``h2`` and ``n`` the windows.
+
+    Each has the position it selects and a hash of what stands left of that, and right of it.
+
+    A window of which every line is long enough alone is left to those lines.
+    """
+    size = F.size("h")
     spots = F.transform("h", lambda x, i: F.struct(x.alias("h"), i.alias("i")))
-    starts = F.sequence(F.lit(0), F.size("h") - F.lit(run))
-    if least:
-        held = lambda p: F.aggregate(F.slice("n", p + 1, F.lit(run)), F.lit(0).cast("long"), lambda s, x: s + x)
-        starts = F.filter(starts, lambda p: held(p) >= least)
-    windows = (
-        lines.withColumn("spots", spots)
-        .select("__k", "__t", F.explode(F.transform(starts, lambda p: F.struct(
-            p.alias("p"), F.array_min(F.slice("spots", p + 1, F.lit(run))).alias("least"),
-            F.xxhash64(F.slice("h", p + 1, F.lit(run)), F.slice("h2", p + 1, F.lit(run))).alias("w"),
-        ))).alias("x"))
-        .select("__k", "__t", "x.p", F.col("x.least.h").alias("fp"), F.col("x.least.i").alias("at"), "x.w")
+
+    def window(p: Column, length: int) -> Column:
+        held = [F.get("n", p + k) for k in range(length)]
+        words = held[0]
+        enough = held[0] < passage
+        for x in held[1:]:
+            words, enough = words + x, enough | (x < passage)
+        if length == 1:
+            enough = F.lit(True)
+        fits = (p + length <= size) & enough & (F.lit(length >= run) | (words >= passage))
+        least = F.array_min(F.slice("spots", p + 1, F.lit(length)))
+        i = least["i"]
+        around = F.struct(
+            p.alias("p"), F.lit(length).alias("n"), least["h"].alias("fp"), i.alias("at"),
+            F.xxhash64(F.slice("h", p + 1, i - p), F.slice("h2", p + 1, i - p)).alias("left"),
+            F.xxhash64(F.slice("h", i + 1, p + length - i), F.slice("h2", i + 1, p + length - i)).alias("right"),
+        )
+        return F.when(fits, around)
+
+    every = F.transform(F.sequence(F.lit(0), size - 1), lambda p: F.array_compact(F.array(*[window(p, k) for k in range(1, run + 1)])))
+    return spots, F.flatten(every)
+
+
+def _met(rows: DataFrame, known: DataFrame, on: list[str]) -> DataFrame:
+    """``rows`` joined with ``known``, one row for each key with its number ``m`` of rows, and no task that gathers a hot key."""
+    n, total = known.agg(F.count("*"), F.sum("m")).first()
+    if n <= FEW_KEYS:
+        return rows.join(F.broadcast(known.drop("m")), on)
+    # Fewer than HOT keys can have more than this many rows each.
+    cut = (total or 0) // HOT
+    hot, rest = F.broadcast(known.where(F.col("m") > cut).drop("m")), known.where(F.col("m") <= cut).drop("m")
+    return rows.join(hot, on).unionByName(rows.join(hot, on, "left_anti").join(rest, on))
+
+
+def repeated_runs(docs: DataFrame, run: int = RUN, passage: int = PASSAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(k, t, cuts)``: of each text with deletions the stretches ``from, to`` of places to delete, in order, one for each line with a word."""
+    lines = docs.select(*_key(docs, id_col, text_col), _numbered(col(text_col).cast("string")).alias("s")).where(F.size("s") > 0)
+    hashed = lines.dropDuplicates(["k", "t"]).select(
+        "k", "t", F.col("s.at").alias("ats"),
+        # Two hashes of a line: one selects, both identify.
+        F.transform("s", lambda s: F.xxhash64(s["line"])).alias("h"),
+        F.transform("s", lambda s: F.xxhash64(s["line"], F.lit(1))).alias("h2"),
+        F.transform("s", lambda s: count_words(s["line"])).alias("n"),
     )
-    # Fingerprints at two positions or more; counted before the shuffle.
-    spot = F.struct("__k", "__t", "at")
-    twice = windows.groupBy("fp").agg(F.min(spot).alias("a"), F.max(spot).alias("b")).where("a <> b").select("fp")
-    followed = windows.join(twice, "fp", "left_semi")
-    here = F.struct("__k", "__t", "p")
+    spots, windows = _windows(run, passage)
+    texts = materialise(hashed.withColumn("spots", spots).select("k", "t", "ats", windows.alias("windows")).where(F.size("windows") > 0))
+
+    chosen = F.array_distinct(F.transform("windows", lambda w: F.struct(w["fp"].alias("fp"), w["at"].alias("at"))))
+    positions = texts.select("k", "t", F.explode(chosen).alias("x")).select("k", "t", "x.*")
+    spot = F.struct("k", "t", "at")
+    # Counted before the shuffle.
+    twice = positions.groupBy("fp").agg(F.min(spot).alias("a"), F.max(spot).alias("b"), F.count("*").alias("m")).where("a <> b")
+    twice = materialise(twice.select("fp", "m"))
+    each = texts.select("k", "t", F.explode("windows").alias("w")).select("k", "t", "w.p", "w.n", "w.fp", "w.left", "w.right")
+    followed = materialise(_met(each, twice, ["fp"]))
+
+    here = F.struct("k", "t", "p")
+    match = ["fp", "left", "right"]
     firsts = materialise(
-        followed.groupBy("fp", "w").agg(F.min(here).alias("first"), F.max(here).alias("last")).where("first <> last").drop("last")
+        followed.groupBy(*match).agg(F.min(here).alias("first"), F.max(here).alias("last"), F.count("*").alias("m")).where("first <> last").drop("last")
     )
-    later = windows.join(firsts, ["fp", "w"]).where(here > F.col("first"))
-    starts = later.groupBy("__k", "__t").agg(F.array_sort(F.collect_set("p")).alias("starts"))
-    return lines.select("__k", "__t", "ats").join(starts, ["__k", "__t"])
-
-
-def _kept_text(text: Column, run: int) -> Column:
-    """The text without the lines under ``starts``: slices between deleted stretches, joined again."""
+    later = _met(followed, firsts, match).where(here > F.col("first"))
+    # A line of a match, and whether what stands between it and the next one goes as well.
+    gone = F.explode(F.sequence(F.col("p"), F.col("p") + F.col("n") - 1)).alias("i")
+    marks = later.select("k", "t", "p", "n", gone).select("k", "t", F.struct("i", (F.col("i") < F.col("p") + F.col("n") - 1).alias("on")).alias("x"))
+    marked = marks.groupBy("k", "t").agg(F.sort_array(F.collect_set("x")).alias("x"))
+    last_of = F.filter("x", lambda x, j: F.coalesce(F.get("x", j + 1)["i"] != x["i"], F.lit(True)))
+    cut = F.transform("x", lambda x: F.struct(
+        F.get("ats", x["i"]).alias("from"), F.when(x["on"], F.get("ats", x["i"] + 1) - 1).otherwise(F.get("ats", x["i"])).alias("to")
+    ))
+    told = marked.select("k", "t", last_of.alias("x"))
+    return texts.select("k", "t", "ats").join(told, ["k", "t"]).select("k", "t", cut.alias("cuts"))
+
+
+def _kept_text(text: Column) -> Column:
+    """The text without the lines under ``cuts``: slices between deleted stretches, joined again."""
     lines = F.split(text, "\n", -1)
     n = F.size(lines)
-    after = F.concat(F.array(F.lit(0)), F.transform("starts", lambda p: F.get("ats", p + F.lit(run - 1)) + 1))
-    before = F.concat(F.transform("starts", lambda p: F.get("ats", p)), F.array(n))
+    after = F.concat(F.array(F.lit(0)), F.transform("cuts", lambda c: c["to"] + 1))
+    before = F.concat(F.transform("cuts", lambda c: c["from"]), F.array(n))
     spans = F.filter(F.zip_with(after, before, lambda a, b: F.struct(a.alias("a"), (b - a).alias("n"))), lambda s: s["n"] > 0)
     return F.array_join(F.flatten(F.transform(spans, lambda s: F.slice(lines, s["a"] + 1, s["n"]))), "\n")
 
 
-def _gone(run: int) -> Column:
-    """Number of lines with a word under the sorted ``starts``."""
-    nexts = F.concat(F.slice("starts", F.lit(2), F.size("starts")), F.array(F.lit(1 << 30)))
-    return F.aggregate(F.zip_with("starts", nexts, lambda a, b: F.least(b - a, F.lit(run))), F.lit(0), lambda s, x: s + x)
-
-
-def dedup_lines(docs: DataFrame, *, run: int = RUN, id_col: str = "doc_id", text_col: str = "text", least: int = 0) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, run: int = RUN, passage: int = PASSAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with later repeated runs cut from the text, and ``lines_removed`` (replaced if it was there)."""
-    hits = materialise(repeated_runs(docs, run, id_col, text_col, least).withColumnRenamed("__k", "__hk").withColumnRenamed("__t", "__ht"))
+    hits = repeated_runs(docs, run, passage, id_col, text_col).select(F.col("k").alias("hk"), F.col("t").alias("ht"), "cuts")
+    hits = materialise(hits)
     names = [c for c in docs.columns if c != "lines_removed"]
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"), *_key(docs, id_col, text_col))
-    same = (F.col("__k") == F.col("__hk")) & (F.col("__t") == F.col("__ht"))
-    text = F.col("__row").getField(text_col).cast("string")
+    rows = docs.select(F.struct(*[col(c) for c in names]).alias("row"), *_key(docs, id_col, text_col))
+    same = (F.col("k") == F.col("hk")) & (F.col("t") == F.col("ht"))
+    text = F.col("row").getField(text_col).cast("string")
 
     def out(df: DataFrame, new: Column, gone: Column) -> DataFrame:
-        cols = [new.alias(c) if c == text_col else F.col("__row").getField(c).alias(c) for c in names]
+        cols = [new.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in names]
         return df.select(*cols, gone.cast("long").alias("lines_removed"))
 
-    cut = F.when(F.col("starts").isNull(), text).otherwise(_kept_text(text, run))
-    gone = F.when(F.col("starts").isNull(), 0).otherwise(_gone(run))
+    cut = F.when(F.col("cuts").isNull(), text).otherwise(_kept_text(text))
+    gone = F.when(F.col("cuts").isNull(), 0).otherwise(F.size("cuts"))
     if hits.count() > FEW_KEYS:
         return out(rows.join(hits, same, "left"), cut, gone)
-    few = F.broadcast(hits.select("__hk", "__ht"))
+    few = F.broadcast(hits.select("hk", "ht"))
     some = rows.join(few, same, "left_semi").join(hits, same)
     return out(some, cut, gone).unionByName(out(rows.join(few, same, "left_anti"), text, F.lit(0)))
 
 
-def dedup_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``dedup_lines``, then the same for runs of two lines and of one with ``PASSAGE`` words or more."""
-    out = materialise(dedup_lines(docs, id_col=id_col, text_col=text_col).withColumnRenamed("lines_removed", "__gone"))
-    for run in (2, 1):
-        cut = dedup_lines(out, run=run, id_col=id_col, text_col=text_col, least=PASSAGE)
-        out = materialise(cut.withColumn("__gone", F.col("__gone") + F.col("lines_removed")).drop("lines_removed"))
-    return out.withColumnRenamed("__gone", "lines_removed")
-
-
-def _told(cut: DataFrame) -> DataFrame:
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return cut.select(
         "doc_id", "lines_removed", F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256")
     )
 
 
-def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return _told(dedup_lines(docs))
-
-
-def op4_long_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _told(dedup_passages(table(spark, sf_dir, "documents").select("doc_id", "text")))
-
-
-#: Windows of three lines by content, without fingerprints: what is left must be the same.
+#: Runs of three lines, and of one or two with 50 words, by content and without fingerprints: what is left must be the same.
 OP4_SQL = r"""
 WITH l AS (
   SELECT doc_id, text, generate_subscripts(string_split(text, chr(10)), 1) AS at_, unnest(string_split(text, chr(10))) AS line FROM documents),
-n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY at_) AS i FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
-w AS (SELECT doc_id, i, at_, lead(at_, 2) OVER d AS end_, line AS l1, lead(line) OVER d AS l2, lead(line, 2) OVER d AS l3
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY at_) AS i, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words
+      FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+x AS (SELECT doc_id, i, at_, words, line AS l1, lead(line) OVER d AS l2, lead(line, 2) OVER d AS l3, lead(at_) OVER d AS at2, lead(at_, 2) OVER d AS at3, lead(words) OVER d AS words2
       FROM n WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
-f AS (SELECT doc_id, i, at_, end_, row_number() OVER (PARTITION BY l1, l2, l3 ORDER BY doc_id, i) > 1 AS again FROM w WHERE l3 IS NOT NULL),
+w AS (SELECT doc_id, i, at_, at_ AS end_, l1, NULL AS l2, NULL AS l3 FROM x WHERE words >= 50
+      UNION ALL SELECT doc_id, i, at_, at2, l1, l2, NULL FROM x WHERE words + words2 >= 50
+      UNION ALL SELECT doc_id, i, at_, at3, l1, l2, l3 FROM x WHERE l3 IS NOT NULL),
+f AS (SELECT doc_id, i, at_, end_, row_number() OVER (PARTITION BY l1, l2, l3 ORDER BY doc_id, i) > 1 AS again FROM w),
 g AS (SELECT DISTINCT l.doc_id, l.at_ FROM f JOIN l ON f.doc_id = l.doc_id AND l.at_ BETWEEN f.at_ AND f.end_ WHERE again),
 k AS (SELECT l.doc_id, string_agg(line, chr(10) ORDER BY l.at_) FILTER (g.at_ IS NULL) AS kept,
         count(*) FILTER (g.at_ IS NOT NULL AND regexp_matches(line, '[^\x20\x09-\x0D]')) AS gone

@@ -20,13 +20,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weftline.llm.common import count_words, draw_key, materialise, table
+from weftline.llm.common import col, count_words, draw_key, materialise, nested, table
 from weftline.operators.ordering import global_rank
 
-#: Draw keys fall in this many buckets by their first three hexadecimal digits.
-BUCKET_DIGITS = 3
+#: Hexadecimal digits by which a bucket of draw keys is cut into smaller ones, and rows from which it is.
+DIGITS = 2
+FEW_ROWS = 1000
 #: Plans of up to this number of sources (under 100 bytes each) are broadcast, so a hot source stays where its rows are.
 FEW_SOURCES = 200_000
+ADDED = ("mix_size", "mix_source_size", "mix_target", "mix_copies", "mix_taken")
 
 
 def water_fill(sources: DataFrame, budget: float, max_epochs: int) -> DataFrame:
@@ -54,6 +56,13 @@ def water_fill(sources: DataFrame, budget: float, max_epochs: int) -> DataFrame:
     return sources.withColumn("target", target)
 
 
+def _inside(sized: DataFrame, edge: DataFrame) -> DataFrame:
+    """Documents with words whose draw keys begin with a ``prefix`` of their source, with that row of ``edge``."""
+    here = F.col("source").eqNullSafe(F.col("s")) & F.col("draw").startswith(F.col("prefix"))
+    few = F.broadcast(edge) if edge.count() <= FEW_SOURCES else edge
+    return sized.where("size > 0").join(few, here)
+
+
 def plan(sized: DataFrame, weights: Sequence[float], budget_share: float, max_epochs: int) -> DataFrame:
     """One row a source: ``source, source_size, target, whole, cut``; ``sized`` has ``source, size, draw``."""
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -67,27 +76,25 @@ def plan(sized: DataFrame, weights: Sequence[float], budget_share: float, max_ep
         F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long").alias("whole"),
     ).withColumn("extra", F.col("target") - F.col("whole") * F.col("source_size"))
 
-    bucket = F.substring("draw", 1, BUCKET_DIGITS)
-    buckets = sized.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("n"))
-    up_to = W.partitionBy("source").orderBy("bucket")
-    edge = (
-        buckets.withColumn("upto", F.sum("n").over(up_to))
-        .join(filled.select(F.col("source").alias("s"), "extra"), F.col("source").eqNullSafe(F.col("s")))
-        .where((F.col("upto") >= F.col("extra")) & (F.col("upto") - F.col("n") <= F.col("extra")))
-        .select("s", "bucket", (F.col("upto") - F.col("n")).alias("base"), "extra")
-    )
-    # Only the buckets in which a source's extra words end are sorted, one source's 4,096th part each.
-    steps = (
-        sized.where("size > 0").withColumn("b", bucket)
-        .join(edge, F.col("source").eqNullSafe(F.col("s")) & (F.col("b") == F.col("bucket")))
-        .groupBy("s", "bucket", "base", "extra", "draw").agg(F.sum("size").alias("n"))
-    )
-    running = F.col("base") + F.sum("n").over(W.partitionBy("s", "bucket").orderBy("draw"))
+    edge = filled.select(F.col("source").alias("s"), "extra", F.lit("").alias("prefix"), F.lit(0).cast("long").alias("base"), F.lit(None).cast("long").alias("rows"))
+    while True:
+        # The bucket in which a source's extra words end, and then the buckets inside that one.
+        buckets = _inside(sized, edge).groupBy("s", "extra", "base", F.substr("draw", F.lit(1), F.length("prefix") + DIGITS).alias("prefix"))
+        buckets = buckets.agg(F.sum("size").alias("n"), F.count("*").alias("rows"))
+        up_to = W.partitionBy("s", "base").orderBy("prefix")
+        upto = F.col("base") + F.sum("n").over(up_to)
+        found = buckets.withColumn("upto", upto).where((F.col("upto") >= F.col("extra")) & (F.col("upto") - F.col("n") <= F.col("extra")))
+        edge = materialise(found.select("s", "extra", "prefix", (F.col("upto") - F.col("n")).alias("base"), "rows"))
+        deep, most = edge.agg(F.max(F.length("prefix")), F.max("rows")).first()
+        if not most or most <= FEW_ROWS or deep >= 32:
+            break
+    steps = _inside(sized, edge).groupBy("s", "prefix", "base", "extra", "draw").agg(F.sum("size").alias("n"))
+    running = F.col("base") + F.sum("n").over(W.partitionBy("s", "prefix").orderBy("draw"))
     cuts = (
         steps.withColumn("off", F.abs(running - F.col("extra")))
         .select("s", F.struct("off", "draw").alias("at"))
         # Or nothing of the bucket: the cut is then at its lower end.
-        .unionByName(edge.select("s", F.struct(F.abs(F.col("base") - F.col("extra")).alias("off"), F.col("bucket").alias("draw")).alias("at")))
+        .unionByName(edge.select("s", F.struct(F.abs(F.col("base") - F.col("extra")).alias("off"), F.col("prefix").alias("draw")).alias("at")))
         .groupBy("s").agg(F.min("at").alias("at"))
     )
     return filled.join(cuts, F.col("source").eqNullSafe(F.col("s")), "left").select(
@@ -114,26 +121,21 @@ def mix_sources(
     times its own. ``carry`` names the columns to keep (all if None): without
     the text among them, the text is read once only.
     """
-    keep = [c for c in (docs.columns if carry is None else carry) if not c.startswith("mix_")]
-    thin = docs.select(
-        F.col(source_col).alias("source"), count_words(F.col(text_col)).alias("size"), draw_key(seed, F.col(id_col)).alias("draw"),
-        *([] if carry is None else [F.struct(*[F.col(c) for c in keep]).alias("row")]),
+    keep = [c for c in (docs.columns if carry is None else carry) if c not in ADDED]
+    rows = docs.select(
+        nested(docs, keep), col(source_col).alias("source"),
+        count_words(col(text_col).cast("string")).alias("size"), draw_key(seed, col(id_col)).alias("draw"),
     )
-    sized = materialise(thin)
-    sources = materialise(plan(sized.drop("row"), weights, budget_share, max_epochs))
-    if carry is None:
-        rows = docs.select(
-            F.struct(*[F.col(c) for c in keep]).alias("row"), F.col(source_col).alias("source"),
-            count_words(F.col(text_col)).alias("size"), draw_key(seed, F.col(id_col)).alias("draw"),
-        )
-    else:
-        rows = sized
+    if carry is not None:
+        rows = materialise(rows)
+    sized = materialise(rows.drop("row"))
+    sources = materialise(plan(sized, weights, budget_share, max_epochs))
     copies = (F.col("whole") + F.when(F.col("draw") <= F.col("cut"), 1).otherwise(0)).cast("long")
     few = sources.count() <= FEW_SOURCES
     sources = sources.withColumnRenamed("source", "s")
     sources = F.broadcast(sources) if few else sources
     return rows.join(sources, F.col("source").eqNullSafe(F.col("s"))).select(
-        "row.*",
+        *[F.col("row").getField(c).alias(c) for c in keep],
         F.col("size").alias("mix_size"), F.col("source_size").cast("long").alias("mix_source_size"),
         F.col("target").alias("mix_target"), copies.alias("mix_copies"), (copies * F.col("size")).alias("mix_taken"),
     )

@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import labelled
-from weftline.llm.common import table
-from weftline.llm.textbytes import small_batches, texts
+from weftline.llm.common import col, table
+from weftline.llm.textbytes import texts
 
 #: Labelled rows that are learnt from at most, by least draw key.
 SAMPLE = 8000
@@ -153,7 +153,6 @@ def quality_rules(
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """``doc_id``, the counts, ``quality`` (probability), ``base_failed`` and ``kept`` for every row of ``docs``."""
-    small_batches(docs.sparkSession)
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "quality", "base_failed", "kept"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,7 +166,7 @@ def quality_rules(
             cols = [b.column(0), *(pa.array(counts[:, k]) for k in range(5)), pa.array(p), pa.array(failed), pa.array(~failed & (p >= threshold))]
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    picked = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text"))
     return picked.mapInArrow(run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, quality double, base_failed boolean, kept boolean")
 
 
@@ -178,7 +177,6 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_good(docs: DataFrame, model: dict[str, np.ndarray], *, threshold: float = 0.5, min_words: int = 50, max_repeat_percent: int = 50, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that the base rules and the classifier keep, with all their columns."""
-    small_batches(docs.sparkSession)
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,7 +9,6 @@ QUERIES = {
     "op2_mix_sources": mixing.op2_mix_sources,
     "op3_weak_quality": weak.op3_weak_quality,
     "op4_line_dedup": lines.op4_line_dedup,
-    "op4_long_lines": lines.op4_long_lines,
     "op5_license_scan": licenses.op5_license_scan,
     "op6_perspectives": chat.op6_perspectives,
     "op7_toxicity": toxicity.op7_toxicity,

@@ -1,25 +1,46 @@
 """SimHash near-duplicate detection by tiled exact comparison.
 
-A text's fingerprint is the majority of the bits of its shingles' hashes.
-Distinct fingerprints are sorted by the population counts of their four
-16-bit quarters and cut into tiles. Two fingerprints within the radius have
-quarter counts that differ by no more than the radius in all, so a pair of
-tiles whose count ranges lie farther apart is skipped; every other pair is
-compared in full with exclusive-or and bit counts. The finer the tiles, that
-is the more documents, the larger the share of pairs that is skipped.
+A text's fingerprint is the majority of the bits of its shingles' hashes. There
+are two kinds of it, and both are compared the same way:
+
+- ``Radius``: 64 bits over all shingles, repeats counted; texts link at
+  ``radius`` or fewer differing bits;
+- ``Similar``: 1,024 bits over the set of shingles; texts link at a Jaccard
+  similarity of ``share`` or more. Pairs whose bits differ so little that they
+  surely reach it (4.5 standard errors) are links. Pairs that may reach it
+  (within 3 standard errors, and the sets' sizes allow it) are candidates,
+  whose sets are then compared exactly.
+
+Distinct fingerprints are sorted by a population count and cut into tiles. For
+``Radius`` it is that of the four 16-bit quarters: two fingerprints within the
+radius have counts that differ by no more than the radius in all. For
+``Similar`` it is that of the set. A pair of tiles whose ranges of counts lie
+farther apart is skipped, and of other pairs only the parts of 512
+fingerprints are sent and compared that have a near one on the other side;
+these are compared in full with exclusive-or and bit counts.
 
 A pair of tiles returns a spanning forest of its links, never all of them, so
-a group of m near copies costs m edges. Exact copies share a fingerprint and
-are one node.
-
-Defined cases: null, empty and wordless texts have fingerprint zero; a null
-doc_id is kept and is no component's smallest unless all its ids are null;
-repeated rows come back as often; an empty table gives an empty result.
+a group of m near copies costs m edges for each pair of tiles. Between the
+groups that sure links make, candidates come as a minimum spanning forest:
+where two groups have candidates, the closest is compared exactly. Exact
+copies share a fingerprint and are one node.
+
+The work grows with the square of the number of distinct fingerprints, less
+what is skipped; memory is that of two tiles a task.
+
+Defined cases: null, empty and wordless texts have fingerprint zero and an
+empty set, and are one group; texts of fewer words than a shingle are one
+shingle; a very long text is hashed in chunks; a null doc_id is kept and is no
+component's smallest unless all its ids are null; repeated rows come back as
+often from ``near_duplicates``, and once from ``keep_one``; an empty table
+gives an empty result; other columns pass ``keep_one``, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from math import acos, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -27,20 +48,23 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import materialise, table
+from weftline.llm.common import col, forget, materialise, nested, table, unnested
 from weftline.llm.components import components
-from weftline.llm.textbytes import small_batches, texts
+from weftline.llm.textbytes import texts
 
 SEED = 42
 #: Fingerprints in a tile, and in the parts of a tile that are compared at once.
 TILE = 32768
 PART = 512
+#: Candidates held before only the lightest are kept.
+PENDING = 1_000_000
 #: Keys up to this number (24 bytes each) are broadcast, so that texts are not shuffled.
 FEW_KEYS = 400_000
 #: Shingles hashed before their bits are counted, whatever the text's length.
 CHUNK = 1 << 17
 BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 LANES = (np.arange(8) * 256).astype(np.int64)
+MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
 def fingerprint(text: bytes, words: int = 4) -> int:
@@ -63,18 +87,35 @@ def fingerprint(text: bytes, words: int = 4) -> int:
     return int(np.packbits(2 * ones > len(starts), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
-    """``(doc_id, text_hash, fp)``, the fingerprint's bits as a signed long."""
-    small_batches(docs.sparkSession)
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * MIX[0]
+    x = (x ^ (x >> np.uint64(27))) * MIX[1]
+    return x ^ (x >> np.uint64(31))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = np.array([fingerprint(x, words) for x in texts(b.column(1))], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(found.view(np.int64))], ["doc_id", "text_hash", "fp"])
 
-    text = F.col(text_col).cast("string")
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
-    return picked.mapInArrow(run, "doc_id long, text_hash long, fp long")
+def shingle_set(text: bytes, words: int = 5) -> np.ndarray:
+    """Sorted 64-bit hashes of a text's distinct shingles (ASCII lower case)."""
+    parts = text.lower().split()
+    n = len(parts)
+    if not n:
+        return np.empty(0, np.uint64)
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, parts), np.uint64, n)
+    k = min(words, n)
+    x = h[: n - k + 1]
+    for j in range(1, k):
+        x = _mixed(x) * np.uint64(0x9E3779B97F4A7C15) + h[j : n - k + 1 + j]
+    return np.unique(_mixed(x))
+
+
+def wide_fingerprint(shingles: np.ndarray, lanes: int) -> np.ndarray:
+    """SimHash of ``lanes`` times 64 bits of a set of hashes."""
+    steps = np.arange(1, lanes + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    ones = np.zeros(64 * lanes, np.int64)
+    for at in range(0, len(shingles), 255):
+        hashes = _mixed(shingles[at : at + 255, None] + steps)
+        bits = np.unpackbits(hashes.view(np.uint8), axis=1, bitorder="little")
+        ones += np.add.reduce(bits, axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(shingles), bitorder="little").view(np.uint64)
 
 
 def quarters(fp: np.ndarray) -> np.ndarray:
@@ -83,11 +124,99 @@ def quarters(fp: np.ndarray) -> np.ndarray:
 
 
 def gap(lo_a: np.ndarray, hi_a: np.ndarray, lo_b: np.ndarray, hi_b: np.ndarray) -> np.ndarray:
-    """Least sum of quarter count differences between each range of a and each of b."""
+    """Least sum of count differences between each range of a and each of b."""
     apart = np.maximum(lo_b[None] - hi_a[:, None], lo_a[:, None] - hi_b[None])
     return np.maximum(apart, 0).sum(axis=2)
 
 
+@dataclass(frozen=True)
+class Radius:
+    """Texts link if their 64-bit fingerprints differ in ``radius`` bits or fewer."""
+
+    radius: int = 4
+    words: int = 4
+    lanes = 1
+
+    def mark(self, text: bytes) -> tuple[int, int, bytes]:
+        """Node, size of the set and fingerprint; the latter two are not used, the node being the fingerprint."""
+        return fingerprint(text, self.words), 0, b""
+
+    def counts(self, fps: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        return quarters(np.ascontiguousarray(fps[:, 0]))
+
+    def near(self, lo_a, hi_a, lo_b, hi_b) -> np.ndarray:
+        return gap(lo_a, hi_a, lo_b, hi_b) <= self.radius
+
+    def pairs(self, a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.nonzero(np.bitwise_count(a[:, None, 0] ^ b[None, :, 0]) <= self.radius)
+
+    def apart(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distance of pairs, -1 for links that are sure, and which pairs count at all."""
+        return np.full(len(a), -1, np.int32), np.ones(len(a), bool)
+
+
+@dataclass(frozen=True)
+class Similar:
+    """Texts link if their sets of shingles have the Jaccard similarity ``share`` or more, as SimHash tells it."""
+
+    share: float = 0.8
+    words: int = 5
+    lanes: int = 16
+
+    def mark(self, text: bytes) -> tuple[int, int, bytes]:
+        s = shingle_set(text, self.words)
+        return xxhash.xxh3_64_intdigest(s.tobytes()) if len(s) else 0, len(s), wide_fingerprint(s, self.lanes).tobytes()
+
+    def bits(self, n: int, errors: float) -> int:
+        """Differing bits of ``n`` that two sets of the similarity have at most, that many standard errors allowed."""
+        p = acos(2 * self.share / (1 + self.share)) / pi
+        return int(n * p + errors * sqrt(n * p * (1 - p)))
+
+    def counts(self, fps: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        return sizes.reshape(-1, 1)
+
+    def near(self, lo_a, hi_a, lo_b, hi_b) -> np.ndarray:
+        lo_a, hi_a, lo_b, hi_b = (x[:, 0].astype(float) for x in (lo_a, hi_a, lo_b, hi_b))
+        return (hi_b[None] >= self.share * lo_a[:, None] - 1e-9) & (hi_a[:, None] >= self.share * lo_b[None] - 1e-9)
+
+    def pairs(self, a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs that the first 64 bits and the sizes leave."""
+        u, v = np.nonzero(np.bitwise_count(a[:, None, 0] ^ b[None, :, 0]) <= self.bits(64, 4.5))
+        x, y = size_a[u], size_b[v]
+        fit = np.minimum(x, y) >= self.share * np.maximum(x, y) - 1e-9
+        return u[fit], v[fit]
+
+    def apart(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = 64 * self.lanes
+        d = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int32)
+        return np.where(d <= self.bits(n, -4.5), np.int32(-1), d), d <= self.bits(n, 3.0)
+
+    def reaches(self, a: bytes, b: bytes) -> bool:
+        """Whether two sets, as sorted hashes, have the similarity."""
+        x, y = (np.frombuffer(v, np.uint64) for v in (a, b))
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        return both >= self.share * (len(x) + len(y) - both) - 1e-9
+
+
+Rule = Radius | Similar
+
+
+def marked(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, text_hash, node, size, fp)``; texts of one node are copies as far as ``rule`` can tell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            node, size, fp = zip(*map(rule.mark, texts(b.column(1))), strict=True) if b.num_rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(2), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(size, pa.int32()), pa.array(fp, pa.binary())],
+                ["doc_id", "text_hash", "node", "size", "fp"],
+            )
+
+    text = col(text_col).cast("string")
+    picked = docs.select(col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
+    return picked.mapInArrow(run, "doc_id long, text_hash long, node long, size int, fp binary")
+
+
 def _roots(parent: np.ndarray, at: np.ndarray) -> np.ndarray:
     r = parent[at]
     while True:
@@ -105,124 +234,235 @@ def _join(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
         np.minimum.at(parent, np.maximum(x, y), np.minimum(x, y))
 
 
-def forest(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning forest of the links between two sorted tiles, or within one if ``same``."""
-    both = a if same else np.concatenate((a, b))
-    shift = 0 if same else len(a)
-    parent = np.arange(len(both))
-    cuts_a, cuts_b = np.arange(0, len(a), PART), np.arange(0, len(b), PART)
-    qa, qb = quarters(a), quarters(b)
-    ranges = [f.reduceat(q, c, axis=0) for q, c in ((qa, cuts_a), (qb, cuts_b)) for f in (np.minimum, np.maximum)]
-    near = gap(*ranges) <= radius
+@dataclass
+class Tile:
+    """Fingerprints in the order of their counts; parts begin at ``cuts``."""
+
+    nodes: np.ndarray
+    sizes: np.ndarray
+    fps: np.ndarray
+
+    def __post_init__(self):
+        self.cuts = np.arange(0, len(self.nodes), PART)
+
+    def ranges(self, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+        """Least and greatest counts of each part."""
+        q = rule.counts(self.fps, self.sizes)
+        return np.minimum.reduceat(q, self.cuts, axis=0), np.maximum.reduceat(q, self.cuts, axis=0)
+
+    def taken(self, keep: np.ndarray) -> Tile:
+        return Tile(self.nodes[keep], self.sizes[keep], self.fps[keep])
+
+    def pack(self) -> tuple[bytes, bytes, bytes]:
+        return self.nodes.tobytes(), self.sizes.tobytes(), self.fps.tobytes()
+
+    @classmethod
+    def unpack(cls, nodes: bytes, sizes: bytes, fps: bytes) -> Tile:
+        n = len(nodes) // 8
+        return cls(np.frombuffer(nodes, np.int64), np.frombuffer(sizes, np.int32), np.frombuffer(fps, np.uint64).reshape(n, -1))
+
+
+def _lightest(parent: np.ndarray, u: np.ndarray, v: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A minimum spanning forest of the pairs between what ``parent`` joins, by Boruvka's rounds."""
+    order = np.lexsort((v, u, d))
+    u, v, d = u[order], v[order], d[order]
+    parent = parent.copy()
+    taken = np.zeros(len(u), bool)
+    at = np.arange(len(u))
+    while True:
+        x, y = _roots(parent, u[at]), _roots(parent, v[at])
+        at, x, y = at[x != y], x[x != y], y[x != y]
+        if not len(at):
+            return u[taken], v[taken], d[taken]
+        best = np.full(len(parent), len(u))
+        np.minimum.at(best, x, at)
+        np.minimum.at(best, y, at)
+        chosen = np.unique(best[best < len(u)])
+        taken[chosen] = True
+        _join(parent, u[chosen], v[chosen])
+
+
+def forest(a: Tile, b: Tile, rule: Rule, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spanning forest of the links between two sorted tiles, or within one if ``same``: nodes at both ends, and distance (-1: sure)."""
+    nodes = a.nodes if same else np.concatenate((a.nodes, b.nodes))
+    shift = 0 if same else len(a.nodes)
+    parent = np.arange(len(nodes))
+    maybe = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)]
+    near = rule.near(*a.ranges(rule), *b.ranges(rule)) if len(a.nodes) and len(b.nodes) else np.zeros((0, 0), bool)
     for i, j in zip(*np.nonzero(np.triu(near) if same else near), strict=True):
-        x, y = a[cuts_a[i] : cuts_a[i] + PART], b[cuts_b[j] : cuts_b[j] + PART]
-        hits = np.bitwise_count(x[:, None] ^ y[None]) <= radius
+        x, y = (slice(t.cuts[k], t.cuts[k] + PART) for t, k in ((a, i), (b, j)))
+        u, v = rule.pairs(a.fps[x], b.fps[y], a.sizes[x], b.sizes[y])
+        u, v = u + a.cuts[i], v + b.cuts[j]
         if same and i == j:
-            np.fill_diagonal(hits, False)
-        if hits.any():
-            u, v = np.nonzero(hits)
-            _join(parent, u + cuts_a[i], v + cuts_b[j] + shift)
-    root = _roots(parent, np.arange(len(both)))
-    linked = np.flatnonzero(root != np.arange(len(both)))
-    return both[linked], both[root[linked]]
-
-
-def links(nodes: DataFrame, radius: int = 4) -> DataFrame:
-    """Edges ``(a, b)`` that join exactly the distinct fingerprints ``fp`` within ``radius``, transitively."""
-    spark = nodes.sparkSession
+            u, v = u[u < v], v[u < v]
+        # Of pairs that are linked already nothing more is asked.
+        new = _roots(parent, u) != _roots(parent, v + shift)
+        u, v = u[new], v[new]
+        if not len(u):
+            continue
+        d, counts = rule.apart(a.fps[u], b.fps[v])
+        sure = d < 0
+        _join(parent, u[sure], v[sure] + shift)
+        counts &= ~sure
+        maybe = [np.concatenate(z) for z in zip(maybe, (u[counts], v[counts] + shift, d[counts]), strict=True)]
+        if len(maybe[0]) > PENDING:
+            maybe = list(_lightest(parent, *maybe))
+    u, v, d = _lightest(parent, *maybe)
+    root = _roots(parent, np.arange(len(nodes)))
+    linked = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[np.concatenate((linked, u))], nodes[np.concatenate((root[linked], v))], np.concatenate((np.full(len(linked), -1, np.int32), d))
+
+
+def tiles_of(nodes: DataFrame, rule: Rule) -> DataFrame:
+    """``(tile, lo, hi, nodes, sizes, fps)``: the distinct fingerprints by their counts, ``TILE`` in a row."""
     n = nodes.count()
-    order = [F.bit_count(F.shiftrightunsigned("fp", 16 * k).bitwiseAND(F.lit(0xFFFF))) for k in range(4)]
-    ranged = nodes.select("fp").repartitionByRange(max(1, -(-n // TILE)), *order, "fp")
+    if isinstance(rule, Radius):
+        order = [F.bit_count(F.shiftrightunsigned("node", 16 * k).bitwiseAND(F.lit(0xFFFF))) for k in range(4)]
+    else:
+        order = [F.col("size")]
+    ranged = nodes.select("node", "size", "fp").repartitionByRange(max(1, -(-n // TILE)), *order, "node")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        got = [b.column(0).to_numpy(zero_copy_only=False) for b in batches]
-        fp = np.concatenate(got).astype(np.int64).view(np.uint64) if got else np.empty(0, np.uint64)
-        q = quarters(fp)
-        fp = fp[np.lexsort((fp, q[:, 3], q[:, 2], q[:, 1], q[:, 0]))]
-        for k, at in enumerate(range(0, len(fp), TILE)):
-            tile = fp[at : at + TILE]
-            q = quarters(tile)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([(TaskContext.get().partitionId() << 20) + k], pa.int64()),
-                    pa.array([q.min(axis=0).tolist()], pa.list_(pa.int32())),
-                    pa.array([q.max(axis=0).tolist()], pa.list_(pa.int32())),
-                    pa.array([tile.tobytes()], pa.binary()),
-                ],
-                ["tile", "lo", "hi", "fps"],
-            )
-
-    tiles = materialise(ranged.mapInArrow(cut, "tile long, lo array<int>, hi array<int>, fps binary"))
+        got = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False), b"".join(b.column(2).to_pylist())) for b in batches]
+        if not sum(len(x[0]) for x in got):
+            return
+        names, sizes = np.concatenate([x[0] for x in got]).astype(np.int64), np.concatenate([x[1] for x in got]).astype(np.int32)
+        fps = names.tobytes() if isinstance(rule, Radius) else b"".join(x[2] for x in got)
+        every = Tile.unpack(names.tobytes(), sizes.tobytes(), fps)
+        q = rule.counts(every.fps, every.sizes)
+        every = every.taken(np.lexsort((every.nodes, *q.T[::-1])))
+        for k, at in enumerate(range(0, len(every.nodes), TILE)):
+            tile = every.taken(np.arange(at, min(at + TILE, len(every.nodes))))
+            lo, hi = tile.ranges(rule)
+            cols = [(TaskContext.get().partitionId() << 20) + k, lo.min(axis=0).tolist(), hi.max(axis=0).tolist(), *tile.pack()]
+            kinds = (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cols, kinds, strict=True)], ["tile", "lo", "hi", "nodes", "sizes", "fps"])
+
+    return ranged.mapInArrow(cut, "tile long, lo array<int>, hi array<int>, nodes binary, sizes binary, fps binary")
+
+
+def links(nodes: DataFrame, rule: Rule) -> DataFrame:
+    """Edges ``(a, b, d)`` that join the ``node, size, fp`` that ``rule`` links, transitively; where ``d`` is not -1 the link may be."""
+    tiles = materialise(tiles_of(nodes, rule))
     # Names and count ranges of the tiles: one small row for each 32,768 fingerprints.
     known = tiles.select("tile", "lo", "hi").orderBy("tile").collect()
     names = np.array([r[0] for r in known], np.int64)
-    lo, hi = (np.array([r[k] for r in known], np.int16).reshape(-1, 4) for k in (1, 2))
+    lo, hi = (np.array([r[k] for r in known], np.int32).reshape(len(known), 4 if isinstance(rule, Radius) else 1) for k in (1, 2))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for tile, fps in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                at = int(np.searchsorted(names, tile))
-                others = np.flatnonzero(gap(lo[at : at + 1], hi[at : at + 1], lo, hi)[0] <= radius)
-                for o in others:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([min(at, o)], pa.int64()), pa.array([max(at, o)], pa.int64()), pa.array([at], pa.int64()), pa.array([fps], pa.binary())],
-                        ["i", "j", "at", "fps"],
-                    )
+            for name, *packed in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                at, tile = int(np.searchsorted(names, name)), Tile.unpack(*packed)
+                others = np.flatnonzero(rule.near(lo[at : at + 1], hi[at : at + 1], lo, hi)[0])
+                ranges = tile.ranges(rule)
+                # The parts that may have a partner in each of the other tiles.
+                near = rule.near(*ranges, lo[others], hi[others])
+                for k, o in enumerate(others):
+                    some = tile.taken(np.repeat(near[:, k], PART)[: len(tile.nodes)])
+                    cols = [min(at, o), max(at, o), at, *some.pack()]
+                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cols, kinds, strict=True)], ["i", "j", "at", "nodes", "sizes", "fps"])
 
     def compare(pair: pa.Table) -> pa.Table:
-        got = {k: np.frombuffer(v, np.uint64) for k, v in zip(pair["at"].to_pylist(), pair["fps"].to_pylist(), strict=True)}
+        got = {k: Tile.unpack(*x) for k, *x in zip(*(pair[c].to_pylist() for c in ("at", "nodes", "sizes", "fps")), strict=True)}
         i, j = min(got), max(got)
-        a, b = forest(got[i], got[j], radius, i == j)
-        return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
+        a, b, d = forest(got[i], got[j], rule, i == j)
+        return pa.table({"a": a, "b": b, "d": d})
 
-    dealt = tiles.select("tile", "fps").mapInArrow(deal, "i long, j long, at long, fps binary")
-    return dealt.groupBy("i", "j").applyInArrow(compare, "a long, b long")
+    dealt = tiles.select("tile", "nodes", "sizes", "fps").mapInArrow(deal, "i long, j long, at long, nodes binary, sizes binary, fps binary")
+    return dealt.groupBy("i", "j").applyInArrow(compare, "a long, b long, d int")
 
 
-def near_duplicates(
-    docs: DataFrame, *, radius: int = 4, words: int = 4, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """``(doc_id, text_hash, fp, component_id, root)`` for every row of ``docs``; ``root`` is the component's least fingerprint."""
-    marked = materialise(fingerprints(docs, id_col, text_col, words))
-    nodes = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = components(links(nodes, radius))
+def _confirmed(docs: DataFrame, found: DataFrame, edges: DataFrame, rule: Similar, id_col: str, text_col: str) -> DataFrame:
+    """Those of ``edges`` (``a, b``) whose sets reach the similarity."""
+    wanted = edges.select(F.col("a").alias("n")).union(edges.select(F.col("b").alias("n"))).distinct()
+    # Any row of a node will do: its set is the same.
+    one = found.join(wanted, F.col("node") == F.col("n"), "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("x"))
+    one = materialise(one.select("node", F.col("x.doc_id").alias("id"), F.col("x.text_hash").alias("t")))
+    small = F.broadcast if one.count() <= FEW_KEYS else (lambda df: df)
+    text = col(text_col).cast("string")
+    rows = docs.select(col(id_col).cast("long").alias("own_id"), text.alias("text"), F.xxhash64(text).alias("own_t"))
+    same = F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_t") == F.col("t"))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [shingle_set(x, rule.words).tobytes() for x in texts(b.column(1))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.binary())], ["node", "s"])
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = [rule.reaches(x, y) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    of_node = materialise(rows.join(small(one), same).select("node", "text").mapInArrow(sets, "node long, s binary").dropDuplicates(["node"]))
+    both = edges.select("a", "b").join(of_node.select(F.col("node").alias("a"), F.col("s").alias("x")), "a")
+    both = both.join(of_node.select(F.col("node").alias("b"), F.col("s").alias("y")), "b").select("a", "b", "x", "y")
+    return both.mapInArrow(check, "a long, b long")
+
+
+def _roots_of(docs: DataFrame, found: DataFrame, edges: DataFrame, rule: Rule, id_col: str, text_col: str) -> DataFrame:
+    """``(node, root)`` of the nodes with links."""
+    sure = components(edges.where("d < 0").select("a", "b"))
+    if isinstance(rule, Radius):
+        return sure
+    sure = materialise(sure)
+    a, b = (sure.select(F.col("node").alias(k), F.col("root").alias(f"r{k}")) for k in "ab")
+    asked = edges.where("d >= 0").join(a, "a", "left").join(b, "b", "left")
+    asked = materialise(asked.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b").distinct())
+    if asked.isEmpty():
+        return sure
+    more = _confirmed(docs, found, asked, rule, id_col, text_col)
+    return components(sure.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+
+
+def near_duplicates(docs: DataFrame, rule: Rule = Radius(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, text_hash, node, component_id, root)`` for every row of ``docs``; ``root`` is the component's least node.
+
+    With ``Radius`` the node is the fingerprint's bits as a signed long.
+    """
+    found = materialise(marked(docs, rule, id_col, text_col))
+    nodes = found.groupBy("node").agg(F.min("doc_id").alias("first_id"))
+    if isinstance(rule, Radius):
+        nodes = materialise(nodes.withColumns({"size": F.lit(0), "fp": F.lit(b"")}))
+    else:
+        nodes = materialise(nodes.join(found.select(F.col("node").alias("n"), "size", "fp").dropDuplicates(["n"]), F.col("node") == F.col("n")).drop("n"))
+    roots = _roots_of(docs, found, materialise(links(nodes, rule)), rule, id_col, text_col)
     # Most fingerprints are alone; only those with links have a root to look up.
-    grouped = nodes.join(roots, F.col("fp") == F.col("node")).select("fp", "first_id", "root")
+    grouped = nodes.join(roots.withColumnRenamed("node", "n"), F.col("node") == F.col("n")).select("node", "first_id", "root")
     least = materialise(grouped.groupBy(F.col("root").alias("r")).agg(F.min("first_id").alias("component_id")))
     small = F.broadcast if least.count() <= FEW_KEYS else (lambda df: df)
-    linked = grouped.join(small(least), F.col("root") == F.col("r")).select(F.col("fp").alias("node_fp"), "component_id", "root")
-    alone = nodes.join(roots, F.col("fp") == F.col("node"), "left_anti").select(
-        F.col("fp").alias("node_fp"), F.col("first_id").alias("component_id"), F.col("fp").alias("root")
+    linked = grouped.join(small(least), F.col("root") == F.col("r")).select(F.col("node").alias("n"), "component_id", "root")
+    alone = nodes.join(roots.select(F.col("node").alias("n")), F.col("node") == F.col("n"), "left_anti").select(
+        F.col("node").alias("n"), F.col("first_id").alias("component_id"), F.col("node").alias("root")
     )
     named = materialise(linked.unionByName(alone))
-    return marked.join(named, F.col("fp") == F.col("node_fp")).select("doc_id", "text_hash", "fp", "component_id", "root")
+    forget(nodes, least)
+    return found.join(named, F.col("node") == F.col("n")).select("doc_id", "text_hash", "node", "component_id", "root")
 
 
-def keep_one(docs: DataFrame, *, radius: int = 4, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, rule: Rule = Similar(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The row with the smallest doc_id of each component (null ids last, then by text hash), with all its columns.
 
     Rows that repeat both id and text are one document; any one of them stays.
     """
-    found = materialise(near_duplicates(docs, radius=radius, words=words, id_col=id_col, text_col=text_col))
+    found = near_duplicates(docs, rule, id_col=id_col, text_col=text_col)
     first = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
     counted = found.groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("n"))
-    best = materialise(
-        counted.groupBy("root").agg(F.min_by(F.struct("doc_id", "text_hash", "n"), first).alias("b"))
-        .select(F.col("b.doc_id").alias("__id"), F.col("b.text_hash").alias("__t"), F.col("b.n").alias("__n"))
-    )
-    n, repeats = best.agg(F.count("*"), F.count_if(F.col("__n") > 1)).first()
+    best = counted.groupBy("root").agg(F.min_by(F.struct("doc_id", "text_hash", "n"), first).alias("b"))
+    best = materialise(best.select(F.col("b.doc_id").alias("id"), F.col("b.text_hash").alias("t"), F.col("b.n").alias("n")))
+    n, repeats = best.agg(F.count("*"), F.count_if(F.col("n") > 1)).first()
     small = F.broadcast if n <= FEW_KEYS else (lambda df: df)
-    own = F.xxhash64(F.col(text_col).cast("string"))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (own == F.col("__t"))
-    single = docs.join(small(best.where("__n = 1").select("__id", "__t")), same, "left_semi")
+    rows = docs.select(nested(docs), col(id_col).cast("long").alias("own_id"), F.xxhash64(col(text_col).cast("string")).alias("own_t"))
+    same = F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_t") == F.col("t"))
+    single = rows.join(small(best.where("n = 1").select("id", "t")), same, "left_semi").select(*unnested(docs))
     if not repeats:
         return single
-    several = docs.join(small(best.where("__n > 1").select("__id", "__t")), same)
-    return single.unionByName(several.dropDuplicates(["__id", "__t"]).select(*[F.col(f"`{c}`") for c in docs.columns]))
+    several = rows.join(small(best.where("n > 1").select("id", "t")), same).dropDuplicates(["id", "t"])
+    return single.unionByName(several.select(*unnested(docs)))
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return found.select("doc_id", F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), "component_id")

@@ -37,8 +37,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import materialise, table
-from weftline.llm.textbytes import small_batches, texts
+from weftline.llm.common import col, materialise, table
+from weftline.llm.textbytes import texts
 
 #: A perfect difference set modulo 31.
 PERIOD = 31
@@ -179,11 +179,10 @@ def remove_repeats(
 ) -> DataFrame:
     """``(doc_id, n_words, n_removed, kept_sha256)`` for every row of ``docs``; with the kept words as ``text`` on request."""
     spark = docs.sparkSession
-    small_batches(spark)
     width = window - PERIOD + 1
     if width < 1:
         raise ValueError(f"the window must have at least {PERIOD} words")
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("k"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.coalesce(col(id_col).cast("long"), F.lit(LAST)).alias("k"), col(text_col).cast("string").alias("text"))
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // PART_CHARS))
 

@@ -1,20 +1,15 @@
-"""Texts in Arrow batches as byte strings, for the operators that work in numpy."""
+"""Texts in Arrow batches as byte strings, for the operators that work in numpy.
+
+A batch holds at most ``spark.sql.execution.arrow.maxRecordsPerBatch`` rows and
+begins a new one at ``spark.sql.execution.arrow.maxBytesPerBatch`` (64 MB unless
+set), so a run of very long texts still fits a worker. Nothing is set here.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import SparkSession
-
-#: Rows in an Arrow batch of texts, so that a run of very long texts still fits a worker.
-BATCH_ROWS = 1000
-
-
-def small_batches(spark: SparkSession) -> None:
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
 
 
 def texts(column: pa.Array) -> Iterator[bytes]:

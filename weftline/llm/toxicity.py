@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import labelled
-from weftline.llm.common import table
-from weftline.llm.textbytes import small_batches, texts
+from weftline.llm.common import col, table
+from weftline.llm.textbytes import texts
 
 #: Labelled rows that are learnt from at most, by least draw key.
 SAMPLE = 20000
@@ -85,7 +85,6 @@ def toxicity_model(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> d
 
 def toxicity(docs: DataFrame, model: dict[str, np.ndarray], *, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, score, predicted)`` for every row of ``docs``."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = np.zeros(1 << BITS, np.float32)
@@ -99,7 +98,7 @@ def toxicity(docs: DataFrame, model: dict[str, np.ndarray], *, threshold: float
             p = 1 / (1 + np.exp(-np.clip(s, -35, 35)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    picked = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text"))
     return picked.mapInArrow(run, "doc_id long, score double, predicted int")
 
 

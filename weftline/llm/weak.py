@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import labelled, quality
-from weftline.llm.common import materialise, table
-from weftline.llm.textbytes import small_batches, texts
+from weftline.llm.common import col, materialise, table
+from weftline.llm.textbytes import texts
 
 SAMPLE = 8000
 SEED = 3
@@ -109,14 +109,13 @@ def posteriors(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> n
 def weak_labels(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, pattern, posterior)`` for every row of ``docs``."""
     spark = docs.sparkSession
-    small_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = pa.array([pattern(votes(x)) for x in texts(b.column(1))], pa.int32())
             yield pa.RecordBatch.from_arrays([b.column(0), got], ["doc_id", "pattern"])
 
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    picked = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text"))
     voted = materialise(picked.mapInArrow(run, "doc_id long, pattern int"))
     counted = sorted(tuple(r) for r in voted.groupBy("pattern").count().collect())
     p = posteriors(np.array([r[0] for r in counted], np.int64), np.array([r[1] for r in counted], np.int64))
@@ -136,7 +135,7 @@ def weak_quality(docs: DataFrame, *, limit: int = SAMPLE, threshold: float = 0.5
             p = np.array([quality.probability(model, x) for x in texts(b.column(1))], float)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p, pa.float64()), pa.array(p >= threshold, pa.bool_())], ["doc_id", "score", "kept"])
 
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    picked = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text"))
     return picked.mapInArrow(run, "doc_id long, score double, kept boolean")
 
 
