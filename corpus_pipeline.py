@@ -3,11 +3,10 @@
 Every stage but the last returns the columns of ``documents``. The text of a
 document may shrink in line dedup, and ``n_chars`` follows it; a document that
 loses all its lines stays as an empty text until SimHash near-dedup, where all
-empty texts are one group. The last stage first cuts repeated runs of one or two
-lines with 50 words or more, drops texts that this empties and the near copies
-that SimHash's radius is too narrow for (five-word shingles, similarity 0.8 or
-more), then returns the mix: the documents it takes, with their repetitions in
-``mix_copies`` and the other ``mix_*`` columns.
+empty texts are one group. Near-dedup takes shingles of five words and a
+similarity of 0.8 or more. The last stage returns the mix: the documents it
+takes, with their repetitions in ``mix_copies`` and the other ``mix_*``
+columns; a consumer repeats a row as often as that says.
 """
 
 from __future__ import annotations
@@ -15,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import decontaminate, lines, mixing, quality, shingles, simhash
+from weftline.llm import decontaminate, lines, mixing, quality, simhash
 from weftline.llm.common import materialise, table
 
 
@@ -24,17 +23,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs, model)
 
 
-def _sized(cut: DataFrame, columns: list[str]) -> DataFrame:
-    n_chars = F.when(F.col("lines_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")
-    return cut.withColumn("n_chars", n_chars).select(*columns)
-
-
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _sized(lines.dedup_lines(docs), docs.columns)
+    cut = lines.dedup_lines(docs)
+    n_chars = F.when(F.col("lines_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")
+    return cut.withColumn("n_chars", n_chars).select(*docs.columns)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs)
+    return simhash.keep_one(docs, simhash.Similar(share=0.8, words=5))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,9 +38,6 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # The stages line_dedup and simhash_near_dedup keep the contracts of op4 and op1; what they leave must go before sizes are taken.
-    cut = lines.dedup_passages(docs).where((F.col("lines_removed") == 0) | F.col("text").rlike(lines.A_WORD))
-    docs = materialise(shingles.keep_one(materialise(_sized(cut, docs.columns))))
     return mixing.mix_sources(docs).where("mix_copies > 0")
 
 
