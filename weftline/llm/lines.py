@@ -45,7 +45,6 @@ PASSAGE = 50
 FEW_KEYS = 200_000
 #: Keys with more than this part of all positions are broadcast, so at most as many.
 HOT = 10_000
-A_WORD = r"[^\x20\x09-\x0D]"
 
 
 def _key(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
@@ -54,10 +53,12 @@ def _key(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
     return [F.struct(id_.isNull().alias("none"), F.coalesce(id_, F.lit(0)).alias("id")).alias("k"), F.xxhash64(col(text_col).cast("string")).alias("t")]
 
 
-def _numbered(text: Column) -> Column:
-    """The lines that hold a word, each with its place among all lines, from 0."""
-    every = F.transform(F.split(text, "\n", -1), lambda x, i: F.struct(i.alias("at"), x.alias("line")))
-    return F.filter(every, lambda s: s["line"].rlike(A_WORD))
+def _hashed(text: Column) -> Column:
+    """Of each line that holds a word: its place among all lines, two hashes (one selects, both identify), and its number of words."""
+    every = F.transform(F.split(text, "\n", -1), lambda x, i: F.struct(
+        i.alias("at"), F.xxhash64(x).alias("h"), F.xxhash64(x, F.lit(1)).alias("h2"), count_words(x).alias("n")
+    ))
+    return F.filter(every, lambda s: s["n"] > 0)
 
 
 def _windows(run: int, passage: int) -> tuple[Column, Column]:
@@ -72,24 +73,25 @@ def _windows(run: int, passage: int) -> tuple[Column, Column]:
 
     def window(p: Column, length: int) -> Column:
         held = [F.get("n", p + k) for k in range(length)]
-        words = held[0]
-        enough = held[0] < passage
-        for x in held[1:]:
-            words, enough = words + x, enough | (x < passage)
-        if length == 1:
-            enough = F.lit(True)
-        fits = (p + length <= size) & enough & (F.lit(length >= run) | (words >= passage))
-        least = F.array_min(F.slice("spots", p + 1, F.lit(length)))
-        i = least["i"]
-        around = F.struct(
-            p.alias("p"), F.lit(length).alias("n"), least["h"].alias("fp"), i.alias("at"),
-            F.xxhash64(F.slice("h", p + 1, i - p), F.slice("h2", p + 1, i - p)).alias("left"),
-            F.xxhash64(F.slice("h", i + 1, p + length - i), F.slice("h2", i + 1, p + length - i)).alias("right"),
+        fits = p + length <= size
+        if length < run:
+            fits &= sum(held[1:], held[0]) >= passage
+        if length > 1:
+            fits &= ~(F.least(*held) >= passage)
+        return F.when(fits, F.struct(F.lit(length).alias("n"), F.array_min(F.slice("spots", p + 1, F.lit(length))).alias("x")))
+
+    def around(p: Column, w: Column) -> Column:
+        i = w["x"]["i"]
+        return F.struct(
+            p.alias("p"), w["n"].alias("n"), w["x"]["h"].alias("fp"), i.alias("at"),
+            F.xxhash64(F.slice("h2", p + 1, i - p)).alias("left"), F.xxhash64(F.slice("h2", i + 1, p + w["n"] - i)).alias("right"),
         )
-        return F.when(fits, around)
 
-    every = F.transform(F.sequence(F.lit(0), size - 1), lambda p: F.array_compact(F.array(*[window(p, k) for k in range(1, run + 1)])))
-    return spots, F.flatten(every)
+    def starting(p: Column) -> Column:
+        fit = F.array_compact(F.array(*[window(p, k) for k in range(1, run + 1)]))
+        return F.transform(fit, lambda w: around(p, w))
+
+    return spots, F.flatten(F.transform(F.sequence(F.lit(0), size - 1), starting))
 
 
 def _met(rows: DataFrame, known: DataFrame, on: list[str]) -> DataFrame:
@@ -105,16 +107,10 @@ def _met(rows: DataFrame, known: DataFrame, on: list[str]) -> DataFrame:
 
 def repeated_runs(docs: DataFrame, run: int = RUN, passage: int = PASSAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(k, t, cuts)``: of each text with deletions the stretches ``from, to`` of places to delete, in order, one for each line with a word."""
-    lines = docs.select(*_key(docs, id_col, text_col), _numbered(col(text_col).cast("string")).alias("s")).where(F.size("s") > 0)
-    hashed = lines.dropDuplicates(["k", "t"]).select(
-        "k", "t", F.col("s.at").alias("ats"),
-        # Two hashes of a line: one selects, both identify.
-        F.transform("s", lambda s: F.xxhash64(s["line"])).alias("h"),
-        F.transform("s", lambda s: F.xxhash64(s["line"], F.lit(1))).alias("h2"),
-        F.transform("s", lambda s: count_words(s["line"])).alias("n"),
-    )
+    lines = docs.select(*_key(docs, id_col, text_col), _hashed(col(text_col).cast("string")).alias("s")).dropDuplicates(["k", "t"])
+    split = lines.where(F.size("s") > 0).select("k", "t", *[F.col(f"s.{a}").alias(b) for a, b in (("at", "ats"), ("h", "h"), ("h2", "h2"), ("n", "n"))])
     spots, windows = _windows(run, passage)
-    texts = materialise(hashed.withColumn("spots", spots).select("k", "t", "ats", windows.alias("windows")).where(F.size("windows") > 0))
+    texts = materialise(split.withColumn("spots", spots).select("k", "t", "ats", windows.alias("windows")))
 
     chosen = F.array_distinct(F.transform("windows", lambda w: F.struct(w["fp"].alias("fp"), w["at"].alias("at"))))
     positions = texts.select("k", "t", F.explode(chosen).alias("x")).select("k", "t", "x.*")
