@@ -49,12 +49,15 @@ def filtered(pairs: DataFrame, config: Config = DEFAULT, lid=None) -> DataFrame:
         return pairs.withColumn("reason", drop_reason(config))
     from weftline.operators import langid
 
-    cheap = pairs.withColumn("reason", drop_reason(config)).withColumn("__row", F.xxhash64(*[c for c in pairs.columns if c != "flags"]))
+    # 128 bits of what the language check reads: rows that agree in them get one answer.
+    key = F.concat(F.hex(F.xxhash64("tgt")), F.lit("."), F.hex(F.xxhash64(F.lit(1), "tgt")))
+    cheap = pairs.withColumn("reason", drop_reason(config)).withColumn("__row", key)
     ask = cheap.where((F.col("reason").isNull() | (F.col("reason") == "length_ratio")) & (F.length("tgt") >= config.min_length_for_lid))
-    said = langid.predict(ask.select("__row", "tgt").distinct(), lid, "__row", "tgt", config).select("__row", "predicted")
+    said = langid.predict(ask.select("__row", "tgt").dropDuplicates(["__row"]), lid, "__row", "tgt", config).select("__row", "predicted")
     joined = cheap.join(said, "__row", "left")
-    mismatch = F.col("predicted").isNotNull() & (F.col("predicted") != F.col("lang"))
-    return joined.withColumn("reason", F.when(mismatch, F.lit("lid_language_mismatch")).otherwise(F.col("reason"))).drop("__row", "predicted")
+    asked = F.col("reason").isNull() | (F.col("reason") == "length_ratio")
+    mismatch = asked & (F.length("tgt") >= config.min_length_for_lid) & (F.col("predicted") != F.col("lang"))
+    return joined.withColumn("reason", F.when(F.coalesce(mismatch, F.lit(False)), F.lit("lid_language_mismatch")).otherwise(F.col("reason"))).drop("__row", "predicted")
 
 
 def report(rows: DataFrame, by: str) -> DataFrame:

@@ -1,17 +1,29 @@
-"""Language identification: multinomial naive Bayes over character n-grams, as a relational plan."""
+"""Language identification: multinomial naive Bayes over character n-grams.
+
+N-grams are counted, and texts scored, in Arrow batches where the texts are: a
+batch sends one row for each class and gram that it holds, and texts are never
+shuffled. Grams are those of code points, order by order, of the trimmed text
+between blanks. A null text has no grams; an empty one has those of two blanks.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline.config import DEFAULT, Config
-from weftline.functions.arrays import char_ngrams
 from weftline.operators.ordering import seeded_key, written
 
+#: Code points, and cells of a table that stands for a search.
+POINTS = 0x110000
+CELLS = 1 << 22
+
 
 @dataclass(frozen=True)
 class Model:
@@ -21,22 +33,110 @@ class Model:
     grams: DataFrame
 
 
+def _points(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all padded texts in a row, and the number of each."""
+    padded = ["" if t is None else f" {t.strip()} " for t in texts]
+    flat = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return flat, np.fromiter(map(len, padded), np.int64, len(padded))
+
+
+def _starts(n_points: int, lengths: np.ndarray, n: int) -> np.ndarray:
+    """Which positions begin an ``n``-gram that stays inside its text."""
+    ok = np.ones(n_points, bool)
+    ends = np.cumsum(lengths)[lengths > 0]
+    for k in range(1, n):
+        ok[ends - k] = False
+    return ok
+
+
+def _keys(flat: np.ndarray, n: int, base: int) -> np.ndarray:
+    """A number for the ``n``-gram at each position but the last ``n - 1``."""
+    key = flat[: max(0, len(flat) - n + 1)].astype(np.int64)
+    for k in range(1, n):
+        key = key * base + flat[k : len(flat) - n + 1 + k]
+    return key
+
+
+def _counted(texts: list[str | None], orders: tuple[int, ...]) -> Iterator[tuple[str, int]]:
+    flat, lengths = _points(texts)
+    known, flat = np.unique(flat, return_inverse=True) if len(flat) else (flat, flat)
+    base = max(1, len(known))
+    for n in orders:
+        if base**n >= 1 << 62:
+            raise ValueError(f"{n}-grams over {base} different characters are too many to number")
+        key = _keys(flat, n, base)
+        key = key[_starts(len(flat), lengths, n)[: len(key)]]
+        if base**n <= CELLS:
+            counts = np.bincount(key, minlength=1)
+            ids = np.flatnonzero(counts)
+            counts = counts[ids]
+        else:
+            ids, counts = np.unique(key, return_counts=True)
+        parts = np.stack([known[ids // base**k % base] for k in reversed(range(n))], axis=1) if len(ids) else np.empty((0, n), np.uint32)
+        grams = parts.astype(np.uint32).tobytes().decode("utf-32-le", "surrogatepass")
+        yield from ((grams[i * n : i * n + n], int(c)) for i, c in enumerate(counts))
+
+
 def gram_counts(samples: DataFrame, text: str, label: str, config: Config = DEFAULT) -> DataFrame:
-    """``(cls, gram, n)``; counts are summed before the shuffle."""
-    return (
-        samples.select(F.col(label).alias("cls"), F.explode(char_ngrams(F.col(text), config.lid_orders)).alias("gram"))
-        .groupBy("cls", "gram").agg(F.count("*").alias("n"))
-    )
+    """``(cls, gram, n)``; each batch sends its own counts, which add up."""
+    kind = samples.select(label).schema[0].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            of: dict = {}
+            for c, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                of.setdefault(c, []).append(t)
+            for c, texts in of.items():
+                rows = list(_counted(texts, config.lid_orders))
+                if rows:
+                    grams, counts = zip(*rows, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([c] * len(rows), b.column(0).type), pa.array(grams), pa.array(counts, pa.int64())], ["cls", "gram", "m"])
+
+    picked = samples.select(F.col(label).alias("cls"), F.col(text).alias("text"))
+    return picked.mapInArrow(run, f"cls {kind}, gram string, m long").groupBy("cls", "gram").agg(F.sum("m").alias("n"))
 
 
 def bounded_samples(samples: DataFrame, key: str, label: str, text: str, limit: int, seed: int) -> DataFrame:
-    """At most ``limit`` of each class in seeded order, and of these the ones that are not empty."""
-    w = W.partitionBy(label).orderBy(seeded_key(F.col(key), seed))
-    return samples.withColumn("__r", F.row_number().over(w)).where((F.col("__r") <= limit) & (F.col(text) != "")).drop("__r")
+    """At most ``limit`` of each class in seeded order, and of these the ones that are not empty.
+
+    A cut on the draw key first leaves each class a few times ``limit`` rows to
+    order; keys are evenly spread, and a cut that leaves too few is given up.
+    """
+    drawn = samples.withColumn("__d", seeded_key(F.col(key), seed))
+    counts = samples.groupBy(F.col(label).alias("__c")).agg(F.count("*").alias("__n"))
+    share = F.lit(4.0 * limit) / F.col("__n")
+    # The first 8 hexadecimal digits as a number; a row for each class.
+    cuts = counts.withColumn("__cut", F.when(share >= 1, F.lit(1 << 32)).otherwise(F.ceil(share * (1 << 32)) + 1))
+    number = F.conv(F.substring("__d", 1, 8), 16, 10).cast("long")
+    same = F.col(label).eqNullSafe(F.col("__c"))
+    near = drawn.join(F.broadcast(cuts), same).where(number < F.col("__cut"))
+    short = near.groupBy("__c").agg(F.count("*").alias("k"), F.first("__n").alias("n")).where(F.col("k") < F.least(F.lit(limit), F.col("n")))
+    some = counts.join(near.select("__c").distinct().withColumnRenamed("__c", "__g"), F.col("__c").eqNullSafe(F.col("__g")), "left_anti")
+    rows = near.drop("__c", "__n", "__cut") if short.isEmpty() and some.isEmpty() else drawn
+    w = W.partitionBy(label).orderBy("__d")
+    return rows.withColumn("__r", F.row_number().over(w)).where((F.col("__r") <= limit) & (F.col(text) != "")).drop("__r", "__d")
+
+
+def accuracy(rows: DataFrame, truth: str, predicted: str, *by: str) -> DataFrame:
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(F.col(truth) == F.col(predicted)).alias("correct"))
 
 
-def accuracy(rows: DataFrame, truth: str, predicted: str) -> DataFrame:
-    return rows.agg(F.count("*").alias("n"), F.count_if(F.col(truth) == F.col(predicted)).alias("correct"))
+def _commonest(counts: DataFrame, limit: int) -> DataFrame:
+    """Of each class the ``limit`` grams with the greatest ``n`` (of equals the smaller gram), without sorting a class."""
+    out = counts.where("false")
+    # A row for each class.
+    for r in counts.groupBy("cls").agg(F.count("*").alias("k")).collect():
+        own = counts.where(F.col("cls") == r["cls"])
+        if r["k"] <= limit:
+            out = out.unionByName(own)
+            continue
+        # How many grams are counted how often: few rows, of which one sum runs down to the limit.
+        sizes = own.groupBy("n").agg(F.count("*").alias("k"))
+        upto = F.sum("k").over(W.orderBy(F.desc("n")))
+        n, upto, k = sizes.withColumn("upto", upto).where(F.col("upto") >= limit).orderBy(F.desc("n")).select("n", "upto", "k").first()
+        ties = own.where(F.col("n") == n).orderBy("gram").limit(limit - (upto - k))
+        out = out.unionByName(own.where(F.col("n") > n)).unionByName(ties)
+    return out
 
 
 def fit(samples: DataFrame, text: str, label: str, classes: list[str], config: Config = DEFAULT) -> Model:
@@ -45,12 +145,9 @@ def fit(samples: DataFrame, text: str, label: str, classes: list[str], config: C
     A class's total counts what it kept; the vocabulary is that of all classes.
     """
     alpha = F.lit(config.lid_alpha)
-    docs = samples.where(F.col(label).isin(*classes)).groupBy(F.col(label).alias("cls")).agg(F.count("*").alias("docs"))
-    order = W.partitionBy("cls").orderBy(F.desc("n"), F.asc("gram"))
-    kept = written(
-        gram_counts(samples.where(F.col(label).isin(*classes)), text, label, config)
-        .withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= config.lid_max_features).drop("__r")
-    )
+    own = samples.where(F.col(label).isin(*classes))
+    docs = own.groupBy(F.col(label).alias("cls")).agg(F.count("*").alias("docs"))
+    kept = written(_commonest(written(gram_counts(own, text, label, config)), config.lid_max_features))
     v = kept.agg(F.count_distinct("gram").alias("v"))
     total = docs.agg(F.sum("docs").alias("total"))
     names = samples.sparkSession.createDataFrame(list(enumerate(classes)), "place int, cls string")
@@ -70,32 +167,95 @@ def fit(samples: DataFrame, text: str, label: str, classes: list[str], config: C
     return Model(stats.drop("denom"), grams)
 
 
-def scores(rows: DataFrame, model: Model, key: str, text: str, config: Config = DEFAULT) -> DataFrame:
-    """``(key, cls, place, score)``. The model is turned to a row for each gram, so each gram is looked up once."""
+class Scorer:
+    """A model as arrays: for each order the numbers of its grams, sorted, and a row of log probabilities for each."""
+
+    def __init__(self, grams: list[tuple[int, str, float]], priors: list[float], unseen: list[float], orders: tuple[int, ...]):
+        self.priors, self.orders = np.array(priors), orders
+        letters = sorted({ord(x) for _, g, _ in grams for x in g})
+        # Number 0 is any character that no gram has.
+        self.number = np.zeros(POINTS, np.int32)
+        self.number[letters] = np.arange(1, len(letters) + 1)
+        self.base = len(letters) + 1
+        self.keys, self.rows, self.cells = {}, {}, {}
+        for n in orders:
+            if self.base**n >= 1 << 62:
+                raise ValueError(f"{n}-grams over {self.base} different characters are too many to number")
+            of: dict[str, np.ndarray] = {}
+            for c, g, p in grams:
+                if len(g) == n:
+                    of.setdefault(g, np.array(unseen))[c] = p
+            flat = self.number[np.frombuffer("".join(of).encode("utf-32-le", "surrogatepass"), np.uint32)]
+            key = _keys(flat, n, self.base)[::n] if of else np.empty(0, np.int64)
+            order = np.argsort(key)
+            self.keys[n] = key[order]
+            self.rows[n] = np.vstack([np.array(unseen)[None], *([np.array(list(of.values()))[order]] if of else [])])
+            if self.base**n <= CELLS:
+                self.cells[n] = np.zeros(self.base**n, np.int32)
+                self.cells[n][self.keys[n]] = np.arange(1, len(self.keys[n]) + 1)
+
+    def _found(self, n: int, key: np.ndarray) -> np.ndarray:
+        """The row of each key, 0 for grams that no class has."""
+        if n in self.cells:
+            return self.cells[n][key]
+        if not len(self.keys[n]):
+            return np.zeros(len(key), np.int64)
+        at = np.minimum(np.searchsorted(self.keys[n], key), len(self.keys[n]) - 1)
+        return np.where(self.keys[n][at] == key, at + 1, 0)
+
+    def __call__(self, texts: list[str | None]) -> np.ndarray:
+        """A row of scores for each text."""
+        flat, lengths = _points(texts)
+        flat = self.number[flat]
+        bounds = np.concatenate(([0], np.cumsum(lengths)))
+        out = np.tile(self.priors, (len(texts), 1))
+        for n in self.orders:
+            key = _keys(flat, n, self.base)
+            found = self._found(n, key)
+            ok = _starts(len(flat), lengths, n)[: len(key)]
+            for c in range(len(self.priors)):
+                value = np.concatenate((np.where(ok, self.rows[n][found, c], 0.0), np.zeros(len(flat) - len(key) + 1)))
+                sums = np.add.reduceat(value, bounds[:-1])
+                out[:, c] += np.where(lengths > 0, sums, 0.0)
+        return out
+
+
+def _scored(rows: DataFrame, model: Model, key: str, text: str, config: Config) -> tuple[DataFrame, list[Column]]:
+    """``(key, score)`` with an array of scores, and a struct ``cls, place, score`` for each class; rows are scored where they are."""
     names = [tuple(r) for r in model.classes.select("cls", "place", "log_prior", "log_unseen").orderBy("place").collect()]
+    at = {c: k for k, (c, *_) in enumerate(names)}
     # At most the feature limit of each class: a bounded table.
-    wide = model.grams.groupBy("gram").agg(*[F.max(F.when(F.col("cls") == c, F.col("log_prob"))).alias(f"c{p}") for c, p, *_ in names])
-    grams = (
-        rows.select(F.col(key).alias("__key"), F.col(text).alias("__text")).repartition("__key")
-        .select("__key", F.explode_outer(char_ngrams(F.col("__text"), config.lid_orders)).alias("gram"))
-        .groupBy("__key", "gram").agg(F.count("*").alias("n"))
-    )
-    joined = grams.join(F.broadcast(wide), "gram", "left")
-    out = joined.groupBy("__key").agg(*[
-        (F.lit(prior) + F.sum(F.col("n") * F.coalesce(F.col(f"c{p}"), F.lit(unseen)))).alias(f"c{p}") for _, p, prior, unseen in names
-    ])
-    each = F.explode(F.array(*[F.struct(F.lit(c).alias("cls"), F.lit(p).alias("place"), F.col(f"c{p}").alias("score")) for c, p, *_ in names])).alias("x")
-    return out.select(F.col("__key").alias(key), each).select(key, "x.*")
+    grams = [(at[c], g, p) for c, g, p in model.grams.select("cls", "gram", "log_prob").collect()]
+    packed = rows.sparkSession.sparkContext.broadcast((grams, [x[2] for x in names], [x[3] for x in names], tuple(config.lid_orders)))
+    kind = rows.select(key).schema[0].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = None
+        for b in batches:
+            scorer = scorer or Scorer(*packed.value)
+            got = scorer(b.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(got), pa.list_(pa.float64()))], ["key", "score"])
+
+    out = rows.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, score array<double>")
+    each = [(F.lit(c).alias("cls"), F.lit(p).alias("place"), F.get("score", F.lit(k)).alias("score")) for k, (c, p, *_) in enumerate(names)]
+    return out, each
+
+
+def scores(rows: DataFrame, model: Model, key: str, text: str, config: Config = DEFAULT) -> DataFrame:
+    """``(key, cls, place, score)`` for each row and class."""
+    out, each = _scored(rows, model, key, text, config)
+    return out.select(F.col("key").alias(key), F.explode(F.array(*[F.struct(*x) for x in each])).alias("x")).select(key, "x.*")
 
 
 def predict(rows: DataFrame, model: Model, key: str, text: str, config: Config = DEFAULT) -> DataFrame:
-    """``(key, predicted, score)``; of equal scores the class named first."""
-    best = F.struct(F.round("score", 9).alias("s"), (-F.col("place")).alias("p"))
-    return scores(rows, model, key, text, config).groupBy(key).agg(F.max_by("cls", best).alias("predicted"), F.max("score").alias("score"))
+    """``(key, predicted, score)`` for each row; of scores equal to nine places the class named first."""
+    out, each = _scored(rows, model, key, text, config)
+    best = F.array_max(F.array(*[F.struct(F.round(s, 9).alias("s"), (-p).alias("p"), c) for c, p, s in each]))
+    return out.select(F.col("key").alias(key), best.alias("b"), F.array_max("score").alias("score")).select(key, F.col("b.cls").alias("predicted"), "score")
 
 
-def confusion(rows: DataFrame, truth: str, predicted: str) -> DataFrame:
-    return rows.groupBy(F.col(truth).alias("truth"), F.col(predicted).alias("predicted")).agg(F.count("*").alias("n"))
+def confusion(rows: DataFrame, truth: str, predicted: str, *by: str) -> DataFrame:
+    return rows.groupBy(*by, F.col(truth).alias("truth"), F.col(predicted).alias("predicted")).agg(F.count("*").alias("n"))
 
 
 def save(model: Model, path: str) -> None:
@@ -105,3 +265,23 @@ def save(model: Model, path: str) -> None:
 
 def load(spark, path: str) -> Model:
     return Model(spark.read.parquet(f"{path}/classes"), spark.read.parquet(f"{path}/grams"))
+
+
+def save_json(model: Model, path: str, config: Config = DEFAULT) -> None:
+    """One JSON object ``alpha, log_prior, log_prob, log_unseen``: the model is of bounded size."""
+    prior = model.classes.agg(F.map_from_entries(F.collect_list(F.struct("cls", "log_prior"))).alias("log_prior"), F.map_from_entries(F.collect_list(F.struct("cls", "log_unseen"))).alias("log_unseen"))
+    each = model.grams.groupBy("cls").agg(F.map_from_entries(F.collect_list(F.struct("gram", "log_prob"))).alias("m"))
+    probs = each.agg(F.map_from_entries(F.collect_list(F.struct("cls", "m"))).alias("log_prob"))
+    one = prior.crossJoin(probs).select(F.to_json(F.struct(F.lit(config.lid_alpha).alias("alpha"), "log_prior", "log_prob", "log_unseen")).alias("value"))
+    one.coalesce(1).write.mode("overwrite").text(path)
+
+
+def load_json(spark, path: str, classes: list[str]) -> Model:
+    """A model of ``save_json``'s shape; ``classes`` gives their order."""
+    schema = "log_prior map<string,double>, log_prob map<string,map<string,double>>, log_unseen map<string,double>"
+    one = written(spark.read.text(path, wholetext=True).select(F.from_json("value", schema).alias("j")).select("j.*"))
+    place = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("cls")).cast("int") - 1
+    known = one.select(F.explode("log_prior").alias("cls", "log_prior"), "log_unseen")
+    stats = known.select("cls", place.alias("place"), "log_prior", F.try_element_at("log_unseen", F.col("cls")).alias("log_unseen"))
+    grams = one.select(F.explode("log_prob").alias("cls", "m")).select("cls", F.explode("m").alias("gram", "log_prob"))
+    return Model(stats, grams)
