@@ -111,3 +111,21 @@ def test_streaming_windows(spark, tmp_path):
             q.stop()
     assert {(r["reason"], r["n"]) for r in spark.table("win").collect()} == {("kept", 1), ("x", 2)}
     assert spark.table("uniq").count() == 2
+
+
+def test_hypotheses_and_scores_as_json(spark, tmp_path):
+    rows = spark.createDataFrame([("s", "1", 'a "q"'), ("s", "2", "b\nc"), ("t", "1", "d")], "section string, id string, hyp string")
+    sinks.write_hypotheses_json(rows, str(tmp_path / "h"))
+    text = "\n".join(r["value"] for r in spark.read.text(str(tmp_path / "h")).collect())
+    assert json.loads(text) == {"s": {"1": 'a "q"', "2": "b\nc"}, "t": {"1": "d"}}
+    assert {tuple(r) for r in readers.read_hypotheses(spark, str(tmp_path / "h")).collect()} == {tuple(r) for r in rows.collect()}
+    sinks.write_hypotheses_json(rows.where("false"), str(tmp_path / "none"))
+    assert readers.read_hypotheses(spark, str(tmp_path / "none")).count() == 0
+    scores = spark.createDataFrame([("overall", 0.1, 0.2, 0.3, 0.6, 4)], "slice string, bleu double, rouge_l double, chrf double, total double, n long")
+    one = json.loads(sinks.scores_json(scores, {"sacrebleu": "unavailable"}).first()["value"])
+    assert one == {"overall": {"bleu": 0.1, "rouge_l": 0.2, "chrf": 0.3, "total": 0.6, "n": 4}, "cross_check": {"sacrebleu": "unavailable"}}
+
+
+def test_indented_json_is_read_whole(spark, tmp_path):
+    (tmp_path / "tm.json").write_text(json.dumps({"hi\ta": "x", "bn\tb": "y"}, indent=2))
+    assert {tuple(r) for r in readers.read_memory_json(spark, str(tmp_path / "tm.json")).collect()} == {("hi", "a", "x"), ("bn", "b", "y")}

@@ -91,7 +91,7 @@ def test_leak_scope_and_dedup(spark):
     held = spark.createDataFrame([("bn", "a")], "pair string, src string")
     assert {r["o"] for r in corpus.without_leaks(train, held, ["pair", "src"]).collect()} == {1, 3}
     twice = train.union(train.withColumn("o", F.col("o") + 9))
-    assert {r["o"] for r in corpus.first_of_each(twice, ["pair", "src"], "o").collect()} == {1, 2, 3}
+    assert {r["o"] for r in corpus.first_of_each(twice, ["pair", "src"], "o", ["pair"]).collect()} == {1, 2, 3}
     assert corpus.reconcile(held, held, "src").count() == 0
 
 
@@ -233,3 +233,111 @@ def test_written_tables_can_be_cleared(spark):
     ordering.clear_written(spark)
     with pytest.raises(Exception):
         df.collect()
+
+
+def test_gram_counts_match_counters(spark):
+    texts = ["aab", None, "", " é\u3000", "x" * 5, "\U0001F600z", "ab ba"]
+    rows = [(t, l) for t in texts for l in ("en", None)]
+    got = {(r["cls"], r["gram"]): r["n"] for r in langid.gram_counts(spark.createDataFrame(rows, "t string, l string"), "t", "l").collect()}
+    want = Counter((l, g[i : i + n]) for t, l in rows if t is not None for g in [f" {t.strip()} "] for n in (1, 2, 3) for i in range(len(g) - n + 1))
+    assert got == want
+    assert langid.gram_counts(spark.createDataFrame([], "t string, l string"), "t", "l").count() == 0
+
+
+def test_commonest_grams_with_ties(spark):
+    counts = spark.createDataFrame([("a", g, n) for g, n in zip("hgfedcba", [5, 5, 4, 3, 3, 3, 3, 1], strict=True)] + [("b", "x", 1)], "cls string, gram string, n long")
+    got = sorted((r["cls"], r["gram"]) for r in langid._commonest(counts, 5).collect())
+    assert got == [("a", "b"), ("a", "c"), ("a", "f"), ("a", "g"), ("a", "h"), ("b", "x")]
+
+
+def test_bounded_samples_do_not_depend_on_the_cut(spark):
+    rows = spark.createDataFrame([(i, "a" if i % 10 else "b", "t" if i % 3 else "") for i in range(4000)], "k long, l string, t string")
+    draw = lambda k: __import__("hashlib").md5(f"5:{k}".encode()).hexdigest()
+    want = {k for c in ("a", "b") for k in sorted((i for i in range(4000) if (i % 10 > 0) == (c == "a")), key=draw)[:50] if k % 3}
+    assert {r["k"] for r in langid.bounded_samples(rows, "k", "l", "t", 50, 5).collect()} == want
+
+
+def test_language_model_as_json(spark, tmp_path):
+    data = [('a"b', "en"), ("abc \n abc", "en"), ("xyz", "hi")]
+    model = langid.fit(spark.createDataFrame(data, "t string, l string"), "t", "l", ["en", "hi"])
+    langid.save_json(model, str(tmp_path / "m"))
+    back = langid.load_json(spark, str(tmp_path / "m"), ["en", "hi"])
+    rows = lambda df: sorted(map(str, df.select(*sorted(df.columns)).collect()))
+    assert rows(back.grams) == rows(model.grams) and rows(back.classes) == rows(model.classes)
+
+
+def test_pairs_across_partitions(spark):
+    roles = ["user", "assistant", "user", "user", "assistant", "assistant", "user"]
+    data = [(c, t, r, f"{c}-{t}") for c in (1, 2) for t, r in enumerate(roles)] + [(None, 0, "user", "n"), (None, 1, "assistant", "m")]
+    got = {(r["conv_id"], r["turn"], r["src"], r["tgt"]) for r in corpus.pairs_of(spark.createDataFrame(data, "conv_id long, turn long, role string, text string").repartition(5)).collect()}
+    assert got == {(c, t, f"{c}-{t}", f"{c}-{t + 1}") for c in (1, 2) for t in (0, 3)} | {(None, 0, "n", "m")}
+
+
+def test_preparation_keeps_counters_conserved(spark):
+    from weftline.operators import preparation
+
+    long = "a sentence with some words"
+    data = [("train", 1, "x one", long), ("train", 2, "x one", long), ("train", 3, "seen", long), ("dev", 4, "seen", long), ("dev", 5, "seen", long), ("train", 6, None, long), ("train", 7, "same", "same")]
+    rows = preparation.prepared(spark.createDataFrame([("en", *x) for x in data], "lang string, split string, ordinal long, src string, tgt string"))
+    assert {r["ordinal"]: r["reason"] for r in rows.collect()} == {1: None, 2: "duplicate", 3: "leaked_into_eval", 4: None, 5: None, 6: "empty_field", 7: "src_equals_tgt"}
+    counters = filters.report(rows.withColumn("file", F.col("split")), "file")
+    n = {(r["file"], r["counter"]): r["n"] for r in counters.collect()}
+    assert n["train", "read"] == sum(v for (f, c), v in n.items() if f == "train" and (c == "kept" or c.startswith("dropped_")))
+    coverage = spark.createDataFrame([("s", 4, 1, 25.0)], "section string, records long, hits long, pct double")
+    import json
+
+    report = json.loads(preparation.report_json(counters, coverage).first()["value"])
+    assert report["per_file"]["train"]["dropped_duplicate"] == 1 and report["val_tm_coverage"] == {"s": {"records": 4, "tm_hits": 1, "pct": 25.0}}
+    assert report["config"]["min_script_ratio"] == 0.5
+    assert preparation.prepared(spark.createDataFrame([], "lang string, split string, ordinal long, src string, tgt string")).count() == 0
+
+
+def test_gates_can_fail(spark):
+    rows = spark.createDataFrame([("a", "a", [4, 9, 3]), ("b", "c", [4, 1, 5, 3])], "t string, b string, ids array<int>")
+    status = lambda df: df.first()["status"]
+    assert status(gates.roundtrip_gate(rows, "t", "b")) == "FAIL" and status(gates.roundtrip_gate(rows.limit(1), "t", "b")) == "PASS"
+    assert status(gates.ids_gate(rows, "ids", [4, 5], [0, 2], 3)) == "FAIL" and status(gates.ids_gate(rows.where("t = 'a'"), "ids", [4, 5], [0, 2], 3)) == "PASS"
+    assert status(gates.unknown_gate(rows, "ids", "u")) == "FAIL" and status(gates.unknown_gate(rows.where("t = 'a'"), "ids", "u")) == "PASS"
+    assert status(gates.vocabulary_gate(spark, 5, 6)) == "FAIL"
+    assert status(gates.text_gate(spark.createDataFrame([("a",), (" ",)], "t string"), "t")) == "FAIL"
+
+
+def test_submission_wants_every_id_once(spark):
+    items = spark.createDataFrame([("1", "a"), ("2", "b"), ("3", "c")], "id string, src string")
+    memory = spark.createDataFrame([("a", "from memory")], "src string, tgt string")
+    hyps = spark.createDataFrame([("2", " from  model ")], "id string, hyp string")
+    got = {r["id"]: (r["text"], r["origin"]) for r in corpus.submission(items, memory, hyps, ["src"], "id").collect()}
+    assert got == {"1": ("from memory", "memory"), "2": ("from model", "hypothesis"), "3": ("", "missing")}
+    with pytest.raises(ValueError, match="extra 2"):
+        corpus.submission(items, memory, hyps.union(hyps), ["src"], "id")
+
+
+def test_word_ids_round_trip(spark):
+    rows = spark.createDataFrame([("b a b",), ("c",), (None,)], "t string").withColumn("w", F.split("t", " "))
+    known = training.vocabulary(rows, F.col("w"), 2)
+    assert known == ["b", "a"]
+    ids = rows.select(training.word_encoder(known, 6)("w").alias("ids"))
+    assert [r["ids"] for r in ids.collect()] == [[6, 7, 6], [1], None]
+    assert [r[0] for r in ids.select(training.word_decoder(known, 6)(F.col("ids"))).collect()] == ["b a b", "<unk>", None]
+
+
+def test_epochs_differ_and_cover_all(spark):
+    rows = spark.range(100).select(F.col("id").alias("o"), (F.col("id") % 7).alias("n"))
+    got = [tuple(r) for r in packing.epochs(rows, F.col("n"), "o", 8, seed=3, n_epochs=2, noise=3).select("epoch", "place", "o").collect()]
+    by = [sorted((p, o) for e, p, o in got if e == k) for k in (0, 1)]
+    assert by[0] != by[1] and all(sorted(o for _, o in x) == list(range(100)) and {p for p, _ in x} == set(range(13)) for x in by)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        ordering.shared_dir(Session())

@@ -3,27 +3,41 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline.functions import textops as T
+from weftline.operators.ordering import global_rank, written
 
 
 def pairs_of(conversations: DataFrame) -> DataFrame:
-    """User turns with the assistant turn that follows: ``conv_id, turn, src, tgt``."""
-    w = W.partitionBy("conv_id").orderBy("turn")
-    nxt = conversations.withColumns({"__r": F.lead("role").over(w), "tgt": F.lead("text").over(w)})
-    return nxt.where((F.col("role") == "user") & (F.col("__r") == "assistant")).select("conv_id", "turn", F.col("text").alias("src"), "tgt")
+    """User turns with the assistant turn that follows: ``conv_id, turn, src, tgt``.
 
+    Turns are ranked over range partitions, so that one huge conversation is
+    not sorted in one task; each user turn is then joined with the assistant
+    turn of the next rank. Of equal turns any may come first.
+    """
+    turns = global_rank(conversations.select("conv_id", "turn", "role", "text"), [F.col("conv_id"), F.col("turn")], "__rank")
+    user = turns.where("role = 'user'").select("__rank", "conv_id", "turn", F.col("text").alias("src"))
+    answer = turns.where("role = 'assistant'").select((F.col("__rank") - 1).alias("__rank"), F.col("conv_id").alias("__c"), F.col("text").alias("tgt"))
+    return user.join(answer, "__rank").where(F.col("conv_id").eqNullSafe(F.col("__c"))).select("conv_id", "turn", "src", "tgt")
 
-def first_of_each(rows: DataFrame, keys: list[str], ordinal: str) -> DataFrame:
-    """The smallest ordinal of each key combination; minima are taken before the shuffle."""
-    return rows.groupBy(*keys).agg(F.min(ordinal).alias(ordinal))
+
+def hash_key(*columns: str) -> Column:
+    """128 bits that stand for the columns' values, so that texts are no shuffle keys; nulls are values."""
+    parts = [x for c in columns for x in (F.col(c).isNull(), F.col(c))]
+    return F.struct(F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit(1), *parts).alias("b"))
+
+
+def first_of_each(rows: DataFrame, keys: list[str], ordinal: str, keep: list[str]) -> DataFrame:
+    """The smallest ordinal of each key combination, with those of its keys to ``keep``; minima are taken before the shuffle."""
+    hashed = rows.select(hash_key(*keys).alias("__key"), ordinal, *keep)
+    return hashed.groupBy("__key").agg(*[F.min(c).alias(c) for c in (*keep, ordinal)]).drop("__key")
 
 
 def without_leaks(train: DataFrame, held: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of ``train`` whose keys are in no held-out row; which join is up to the optimiser."""
-    return train.join(held.select(*keys).distinct(), keys, "left_anti")
+    known = held.select(hash_key(*keys).alias("__held")).distinct()
+    return train.withColumn("__key", hash_key(*keys)).join(known, F.col("__key") == F.col("__held"), "left_anti").drop("__key")
 
 
 def translation_memory(rows: DataFrame, keys: list[str], target: str, ordinal: Column) -> DataFrame:
@@ -49,6 +63,15 @@ def apply_memory(items: DataFrame, memory: DataFrame, hypotheses: DataFrame, key
     return out.select(*items.columns, T.squeeze(text).alias("text"), origin.alias("origin"))
 
 
+def submission(items: DataFrame, memory: DataFrame, hypotheses: DataFrame, keys: list[str], id_col: str) -> DataFrame:
+    """``apply_memory``, with an error if an id of ``items`` is lost, doubled or new."""
+    rows = written(apply_memory(items, memory, hypotheses, keys, id_col))
+    wrong = reconcile(items, rows, id_col).first()
+    if wrong is not None:
+        raise ValueError(f"id mismatch: {wrong['side']} {wrong['id']}")
+    return rows
+
+
 def reconcile(want: DataFrame, got: DataFrame, key: str) -> DataFrame:
     """Ids that one side lacks, counted by multiplicity: ``(side, id)``."""
     a, b = want.select(F.col(key).alias("id")), got.select(F.col(key).alias("id"))

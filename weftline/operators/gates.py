@@ -35,9 +35,39 @@ def metric_gates(rows: DataFrame) -> DataFrame:
     ])
 
 
-def text_gate(rows: DataFrame, text: str) -> DataFrame:
+def text_gate(rows: DataFrame, text: str, most: float = 0.0) -> DataFrame:
+    """No more than the share ``most`` of all texts may be degenerate."""
     facts = rows.agg(F.count("*").alias("n"), F.count_if(T.degenerate(F.col(text))).alias("bad"))
-    return gate(facts, "non_degenerate", F.col("bad") < F.col("n"), F.concat_ws("/", F.col("bad").cast("string"), F.col("n").cast("string")))
+    return gate(facts, "non_degenerate", F.col("bad") <= F.lit(most) * F.col("n"), _ratio("bad", "n"))
+
+
+def _ratio(a: str, b: str) -> Column:
+    return F.concat_ws("/", F.col(a).cast("string"), F.col(b).cast("string"))
+
+
+def roundtrip_gate(rows: DataFrame, text: str, back: str, least: float = 0.99) -> DataFrame:
+    """More than the share ``least`` of all texts come back as they were."""
+    facts = rows.agg(F.count("*").alias("n"), F.count_if(F.col(text).eqNullSafe(F.col(back))).alias("same"))
+    return gate(facts, "roundtrip", F.col("same") > F.lit(least) * F.col("n"), _ratio("same", "n"))
+
+
+def ids_gate(rows: DataFrame, ids: str, tags: list[int], special: list[int], end: int) -> DataFrame:
+    """Every sequence begins with a tag and ends with the end mark, and neither they nor ``special`` stand inside."""
+    inner = F.slice(ids, F.lit(2), F.greatest(F.size(ids) - 2, F.lit(0)))
+    good = F.get(ids, F.lit(0)).isin(tags) & (F.element_at(ids, -1) == end) & ~F.arrays_overlap(inner, F.array(*[F.lit(x) for x in sorted({*tags, *special, end})]))
+    facts = rows.agg(F.count("*").alias("n"), F.count_if(good).alias("good"))
+    return gate(facts, "special_ids", F.col("good") == F.col("n"), _ratio("good", "n"))
+
+
+def vocabulary_gate(spark, size: int, expected: int) -> DataFrame:
+    return gate(spark.range(1).select(F.lit(size).alias("size")), "vocabulary_size", F.col("size") == expected, F.concat_ws("/", F.col("size").cast("string"), F.lit(str(expected))))
+
+
+def unknown_gate(rows: DataFrame, ids: str, name: str, unk: int = 1, most: float = 0.005) -> DataFrame:
+    """Fewer than the share ``most`` of all ids are unknown."""
+    hits = F.sum(F.size(F.filter(ids, lambda x: x == unk)))
+    facts = rows.agg(F.coalesce(hits, F.lit(0)).alias("unknown"), F.coalesce(F.sum(F.size(ids)), F.lit(0)).alias("ids"))
+    return gate(facts, name, F.col("unknown") < F.lit(most) * F.greatest("ids", F.lit(1)), _ratio("unknown", "ids"))
 
 
 def conservation_gate(counters: DataFrame) -> DataFrame:

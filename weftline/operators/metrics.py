@@ -102,3 +102,17 @@ def score_report(rows: DataFrame, slice_col: str | None = None) -> DataFrame:
     m = {c: F.coalesce(c, F.lit(0.0)) for c in ("bleu", "rouge_l", "chrf")}
     total = F.round(F.round(m["bleu"], 3) + F.round(m["rouge_l"], 3) + F.round(m["chrf"], 3), 4)
     return all_.select("slice", *[F.round(c, 4).alias(k) for k, c in m.items()], total.alias("total"), "n")
+
+
+def cross_check(rows: DataFrame) -> dict[str, float | str]:
+    """Scores of the well-known libraries where they are installed, for evaluation sets that fit the driver; else why not."""
+    out: dict[str, float | str] = {}
+    try:
+        import sacrebleu
+    except ImportError as e:
+        out["sacrebleu"] = f"unavailable ({type(e).__name__})"
+        return out
+    hyp, ref = zip(*((r["hyp"], r["ref"]) for r in rows.select("hyp", "ref").toLocalIterator()), strict=True)
+    out["sacrebleu_bleu_x100"] = round(sacrebleu.corpus_bleu(hyp, [ref]).score, 3)
+    out["sacrebleu_chrf++_x100"] = round(sacrebleu.corpus_chrf(hyp, [ref], word_order=2).score, 3)
+    return out

@@ -21,7 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def _folder(spark: SparkSession) -> str:
+def scratch(spark: SparkSession) -> str:
+    """This application's own place in the shared folder."""
     return f"{shared_dir(spark)}/weftline/{spark.sparkContext.applicationId}"
 
 
@@ -31,7 +32,7 @@ def written(df: DataFrame) -> DataFrame:
     The files outlive any executor, so later stages recover without running
     what came before.
     """
-    path = f"{_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    path = f"{scratch(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table.written_to = path
@@ -51,7 +52,7 @@ def forget(*tables: DataFrame) -> None:
 
 def clear_written(spark: SparkSession) -> None:
     """Deletes this application's tables; results that were not saved elsewhere need them no more."""
-    _delete(spark, _folder(spark))
+    _delete(spark, scratch(spark))
 
 
 def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:

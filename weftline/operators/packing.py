@@ -59,9 +59,29 @@ def short_items(rows: DataFrame, size: Column, most: int, lang: str | None = Non
     return fits if lang is None else fits.where(F.col("lang") == lang)
 
 
-def jittered(size: Column, key: Column, seed: int, epoch: int, noise: int) -> Column:
+def _draw(seed: int, epoch: Column, key: Column) -> Column:
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), key.cast("string")))
+
+
+def jittered(size: Column, key: Column, seed: int, epoch: Column, noise: int) -> Column:
     """Size plus seeded noise from 0 to ``noise``, another for every epoch."""
-    return size + F.pmod(F.xxhash64(key, F.lit(seed), F.lit(epoch)), F.lit(noise + 1))
+    return size + F.conv(F.substring(_draw(seed, epoch, key), 1, 8), 16, 10).cast("long") % (noise + 1)
+
+
+def epochs(rows: DataFrame, size: Column, ordinal: str, batch_size: int, *, seed: int, n_epochs: int = 1, noise: int = 0) -> DataFrame:
+    """What a loader reads: each epoch's rows with ``epoch``, ``batch`` (of like size) and ``place`` (its seeded turn)."""
+    each = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_epochs - 1).cast("long"))))
+    noisy = each.withColumn("__noisy", jittered(size.cast("long"), F.col(ordinal), seed, F.col("epoch"), noise))
+    ranked = global_rank(noisy, [F.col("epoch"), F.col("__noisy"), F.col(ordinal)], "__rank")
+    # A row for each epoch.
+    first = ranked.groupBy(F.col("epoch").alias("__e")).agg(F.min("__rank").alias("__first"))
+    batched = ranked.join(F.broadcast(first), F.col("epoch") == F.col("__e"))
+    batched = batched.withColumn("batch", F.floor((F.col("__rank") - F.col("__first")) / batch_size).cast("long")).drop("__e", "__first", "__rank", "__noisy")
+    turns = batched.select("epoch", "batch").distinct().withColumn("__draw", _draw(seed, F.col("epoch"), F.col("batch")))
+    turns = global_rank(turns, [F.col("epoch"), F.col("__draw"), F.col("batch")], "__turn")
+    start = turns.groupBy(F.col("epoch").alias("__e")).agg(F.min("__turn").alias("__start"))
+    places = turns.join(F.broadcast(start), F.col("epoch") == F.col("__e")).select("epoch", "batch", (F.col("__turn") - F.col("__start")).alias("place"))
+    return batched.join(places, ["epoch", "batch"])
 
 
 def collated(rows: DataFrame, batch: str, ids: str, ordinal: str) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -22,6 +25,31 @@ def exact_rate(rows: DataFrame, a: str, b: str) -> DataFrame:
     return rows.agg(F.count("*").alias("n"), F.count_if(F.col(a).eqNullSafe(F.col(b))).alias("matches"))
 
 
+def vocabulary(rows: DataFrame, words: Column, size: int) -> list[str]:
+    """The ``size`` commonest words, commonest first (of equals the smaller word): a list of bounded length."""
+    counts = rows.select(F.explode(words).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    return [r["w"] for r in counts.orderBy(F.desc("n"), "w").limit(size).collect()]
+
+
+def word_encoder(known: list[str], first: int, unk: int = 1):
+    """A column function from words to ids: ``first`` and up in the order of ``known``, else ``unk``; in Arrow batches, no shuffle."""
+
+    @F.pandas_udf("array<int>")
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        ids = {w: first + k for k, w in enumerate(known)}
+        for b in batches:
+            yield pd.Series([None if x is None else [ids.get(w, unk) for w in x] for x in b], index=b.index)
+
+    return encode
+
+
+def word_decoder(known: list[str], first: int, unk_piece: str = "<unk>"):
+    """A column function from ids to text; ids that ``known`` lacks become ``unk_piece``."""
+    names = F.array(*[F.lit(w) for w in known])
+    word = lambda i: F.coalesce(F.get(names, i - F.lit(first)), F.lit(unk_piece))
+    return lambda ids: F.array_join(F.transform(ids, word), " ")
+
+
 def schedule(spark: SparkSession, steps: int, d_model: int, warmup: int, scale: float = 1.0) -> DataFrame:
     return spark.range(1, steps + 1).select(F.col("id").alias("step"), T.noam_rate(F.col("id"), d_model, warmup, scale).alias("rate"))
 

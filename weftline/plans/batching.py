@@ -11,11 +11,19 @@ from weftline.operators import training as R
 from weftline.plans import tables as P
 
 
-def _encoded(spark, sf_dir):
-    """Code points of first letters stand for token ids."""
-    ids = F.transform(A.words(F.col("text")), lambda w: F.ascii(w) + 4)
+#: Words that have an id; ids 0 to 3 are special, 4 and 5 the tags.
+VOCABULARY, FIRST = 4000, 6
+
+
+def _vocabulary(spark, sf_dir):
+    return R.vocabulary(P.table(spark, sf_dir, "conversations"), A.words(F.col("text")), VOCABULARY)
+
+
+def _encoded(spark, sf_dir, max_len=1 << 30):
+    """Turns as ids of their words between tag and end mark, whole unless ``max_len`` is given."""
+    ids = R.word_encoder(_vocabulary(spark, sf_dir), FIRST)(A.words(F.col("text")))
     rows = P.table(spark, sf_dir, "conversations").withColumn("ordinal", F.col("conv_id") * 1000 + F.col("turn"))
-    return rows.select("ordinal", A.frame(ids, F.when(F.col("role") == "user", 4).otherwise(5), 128).alias("ids"))
+    return rows.select("ordinal", A.frame(ids, F.when(F.col("role") == "user", 4).otherwise(5), max_len).alias("ids"))
 
 
 def _text(c):
@@ -23,12 +31,12 @@ def _text(c):
 
 
 def encode_frame(spark, sf_dir):
-    return _encoded(spark, sf_dir).select("ordinal", _text("ids").alias("ids"), A.item_size(F.col("ids")).cast("long").alias("size"))
+    return _encoded(spark, sf_dir, 128).select("ordinal", _text("ids").alias("ids"), A.item_size(F.col("ids")).cast("long").alias("size"))
 
 
 def decoder_shift(spark, sf_dir):
     ids = F.col("ids")
-    return _encoded(spark, sf_dir).select(
+    return _encoded(spark, sf_dir, 128).select(
         "ordinal", _text(A.decoder_input(ids)).alias("fed"), _text(A.decoder_target(ids)).alias("wanted"), _text(A.strip_special(ids)).alias("bare")
     )
 
@@ -50,16 +58,31 @@ def pad_batch(spark, sf_dir):
 
 
 def short_items(spark, sf_dir):
-    return packing.short_items(_encoded(spark, sf_dir), F.size("ids"), 24).select("ordinal", F.size("ids").cast("long").alias("size"))
+    return packing.short_items(_encoded(spark, sf_dir, 128), F.size("ids"), 24).select("ordinal", F.size("ids").cast("long").alias("size"))
 
 
 def unknown_rate(spark, sf_dir):
-    return R.unknown_rate(_encoded(spark, sf_dir), "ids", unk=36).select("unknown", "tokens", F.round("rate", 6).alias("rate"))
+    return R.unknown_rate(_encoded(spark, sf_dir), "ids").select("unknown", "tokens", F.round("rate", 6).alias("rate"))
 
 
 def roundtrip_rate(spark, sf_dir):
-    rows = P.table(spark, sf_dir, "conversations").withColumn("back", F.array_join(A.words(F.col("text")), " "))
-    return R.exact_rate(rows, "text", "back")
+    known = _vocabulary(spark, sf_dir)
+    ids = R.word_encoder(known, FIRST)(A.words(F.col("text")))
+    rows = P.table(spark, sf_dir, "conversations").select("text", ids.alias("ids"))
+    back = R.word_decoder(known, FIRST)(F.col("ids"))
+    return R.exact_rate(rows.select(T.squeeze(F.col("text")).alias("text"), back.alias("back")), "text", "back")
+
+
+def epoch_order(spark, sf_dir):
+    """Batches of two epochs: seeded noise on sizes, and a seeded order of batches, both new in each epoch."""
+    rows = _encoded(spark, sf_dir, 128)
+    return packing.epochs(rows, F.size("ids"), "ordinal", 32, seed=7, n_epochs=2, noise=4).select("epoch", "place", "ordinal")
+
+
+def loader_batches(spark, sf_dir):
+    rows = packing.epochs(_encoded(spark, sf_dir, 128), F.size("ids"), "ordinal", 32, seed=7, n_epochs=1, noise=4)
+    done = packing.collated(rows, "place", "ids", "ordinal")
+    return done.select("place", "width", F.size("padded").cast("long").alias("n"), F.size(F.flatten("padded")).cast("long").alias("cells"))
 
 
 def lr_schedule(spark, sf_dir):
@@ -94,12 +117,7 @@ def best_hypothesis(spark, sf_dir):
 
 
 def repeat_blocks(spark, sf_dir):
-    short = _encoded(spark, sf_dir).withColumn("ids", F.slice("ids", 1, 48))
-    return short.select("ordinal", _text(F.array_sort(A.banned_next(F.col("ids"), 3))).alias("banned"))
-
-
-def repeat_blocks_whole(spark, sf_dir):
-    """``repeat_blocks`` over all a decoder is fed, so without the end mark, after which nothing follows; that query and its SQL stop at 48 ids."""
+    """Over all a decoder is fed, so without the end mark, after which nothing follows."""
     fed = _encoded(spark, sf_dir).select("ordinal", A.decoder_input(F.col("ids")).alias("ids"))
     return fed.select("ordinal", _text(F.array_sort(A.banned_next(F.col("ids"), 3))).alias("banned"))
 
@@ -108,19 +126,35 @@ QUERIES = {
     f.__name__: f
     for f in (
         encode_frame, decoder_shift, length_batches, token_batches, pad_batch, short_items, unknown_rate, roundtrip_rate, lr_schedule, token_loss,
-        early_stop, checkpoint_average, latest_checkpoints, best_hypothesis, repeat_blocks, repeat_blocks_whole,
+        early_stop, checkpoint_average, latest_checkpoints, best_hypothesis, repeat_blocks, epoch_order, loader_batches,
     )
 }
 
 WORDS = f"list_filter(string_split({P.sql_squeeze('text')}, ' '), lambda c: c <> '')"
-ENC = f"""e AS (SELECT conv_id * 1000 + turn AS ordinal, list_concat(list_concat([CASE WHEN role = 'user' THEN 4 ELSE 5 END],
-  list_transform(({WORDS})[1:126], lambda w: unicode(w) + 4)), [3]) AS ids FROM conversations)"""
+VOCAB = f"""vocab AS (SELECT w, row_number() OVER (ORDER BY n DESC, w) + 5 AS id FROM (
+    SELECT w, count(*) AS n FROM (SELECT unnest({WORDS}) AS w FROM conversations) GROUP BY w ORDER BY n DESC, w LIMIT 4000)),
+  tok AS (SELECT conv_id * 1000 + turn AS ordinal, unnest({WORDS}) AS w, generate_subscripts({WORDS}, 1) AS i FROM conversations),
+  coded AS (SELECT ordinal, list(coalesce(id, 1) ORDER BY i) AS ids, count(*) FILTER (id IS NULL) AS unknown FROM tok LEFT JOIN vocab ON tok.w = vocab.w GROUP BY ordinal)"""
+
+
+def _enc(part: str = "") -> str:
+    return f"""{VOCAB}, e AS (SELECT conv_id * 1000 + turn AS ordinal,
+      list_concat(list_concat([CASE WHEN role = 'user' THEN 4 ELSE 5 END], coalesce(coded.ids, []){part}), [3]) AS ids
+    FROM conversations LEFT JOIN coded ON coded.ordinal = conv_id * 1000 + turn)"""
+
+
+ENC, CUT = _enc(), _enc("[1:126]")
 SORTED = "s AS (SELECT ordinal, ids, len(ids) AS size, row_number() OVER (ORDER BY len(ids), ordinal) AS k FROM e)"
 J = "array_to_string({0}, ' ')"
+DRAW = "('0x' || substr(md5({0}), 1, 8))::BIGINT"
+EPOCHS = f"""n AS (SELECT epoch, ordinal, len(ids) AS size, len(ids) + {DRAW.format("'7:' || epoch || ':' || ordinal")} % 5 AS noisy FROM e, range(2) t(epoch)),
+  b AS (SELECT *, (row_number() OVER (PARTITION BY epoch ORDER BY noisy, ordinal) - 1) // 32 AS batch FROM n),
+  p AS (SELECT epoch, batch, row_number() OVER (PARTITION BY epoch ORDER BY md5('7:' || epoch || ':' || batch), batch) - 1 AS place FROM (SELECT DISTINCT epoch, batch FROM b)),
+  o AS (SELECT epoch, place, ordinal, size FROM b JOIN p USING (epoch, batch))"""
 
 ORACLES = {
-    "encode_frame": f"WITH {ENC} SELECT ordinal, {J.format('ids')} AS ids, len(ids)::BIGINT AS size FROM e",
-    "decoder_shift": f"""WITH {ENC} SELECT ordinal, {J.format('ids[1:len(ids) - 1]')} AS fed, {J.format('ids[2:]')} AS wanted,
+    "encode_frame": f"WITH {CUT} SELECT ordinal, {J.format('ids')} AS ids, len(ids)::BIGINT AS size FROM e",
+    "decoder_shift": f"""WITH {CUT} SELECT ordinal, {J.format('ids[1:len(ids) - 1]')} AS fed, {J.format('ids[2:]')} AS wanted,
         {J.format('list_filter(ids[1:list_position(ids, 3) - 1], lambda x: x NOT IN (0, 2))')} AS bare FROM e""",
     "length_batches": f"WITH {ENC}, {SORTED} SELECT ordinal, (k - 1) // 32 AS batch FROM s",
     "token_batches": f"""WITH RECURSIVE {ENC}, {SORTED}, p AS (SELECT k, size AS widest, 1 AS n, 0::BIGINT AS batch FROM s WHERE k = 1
@@ -129,10 +163,11 @@ ORACLES = {
         FROM p JOIN s ON s.k = p.k + 1) SELECT ordinal, batch FROM p JOIN s ON p.k = s.k""",
     "pad_batch": f"""WITH {ENC}, {SORTED}, b AS (SELECT (k - 1) // 32 AS batch, max(size)::BIGINT AS width, count(*) AS n, sum(list_sum(ids))::BIGINT AS total FROM s GROUP BY 1)
         SELECT batch, width, n, n * width AS cells, total FROM b""",
-    "short_items": f"WITH {ENC} SELECT ordinal, len(ids)::BIGINT AS size FROM e WHERE len(ids) <= 24",
-    "unknown_rate": f"""WITH {ENC}, u AS (SELECT sum(len(list_filter(ids, lambda x: x = 36)))::BIGINT AS unknown, sum(len(ids))::BIGINT AS tokens FROM e)
+    "short_items": f"WITH {CUT} SELECT ordinal, len(ids)::BIGINT AS size FROM e WHERE len(ids) <= 24",
+    "unknown_rate": f"""WITH {ENC}, u AS (SELECT sum(len(list_filter(ids, lambda x: x = 1)))::BIGINT AS unknown, sum(len(ids))::BIGINT AS tokens FROM e)
         SELECT unknown, tokens, round(unknown::DOUBLE / tokens, 6) AS rate FROM u""",
-    "roundtrip_rate": f"SELECT count(*) AS n, count(*) FILTER (text = {P.sql_squeeze('text')}) AS matches FROM conversations",
+    "roundtrip_rate": f"""WITH {VOCAB} SELECT count(*) AS n, count(*) FILTER (coalesce(unknown, 0) = 0) AS matches
+        FROM conversations LEFT JOIN coded ON coded.ordinal = conv_id * 1000 + turn""",
     "lr_schedule": """SELECT step, round(power(512.0::DOUBLE, -0.5) * least(power(step::DOUBLE, -0.5), step * power(400.0::DOUBLE, -1.5)), 9) AS rate,
         round(power((step + 5) / 6.0::DOUBLE, 0.6), 6) AS penalty, round(exp(least(step / 100.0::DOUBLE, 20.0)), 4) AS perplexity FROM range(1, 2001) t(step)""",
     "token_loss": "SELECT l_returnflag, round(sum(l_tax) / greatest(sum(l_quantity), 1), 9) AS loss FROM lineitem GROUP BY 1",
@@ -146,10 +181,9 @@ ORACLES = {
     "latest_checkpoints": "SELECT 'ckpt/step_' || s_suppkey * 500 || '.pt' AS path, s_suppkey * 500 AS step FROM supplier ORDER BY step DESC LIMIT 5",
     "best_hypothesis": """WITH c AS (SELECT user_id, event_id, -value / power((length(props) + 5) / 6.0::DOUBLE, 0.6) AS score FROM events)
         SELECT user_id, event_id, round(score, 6) AS score FROM c QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY score DESC, event_id) = 1""",
-    "repeat_blocks": f"""WITH {ENC}, h AS (SELECT ordinal, ids[1:48] AS ids FROM e)
-        SELECT ordinal, coalesce(array_to_string(list_sort(list_distinct(list_transform(list_filter(range(1, len(ids) - 1), lambda i: ids[i] = ids[len(ids) - 1] AND ids[i + 1] = ids[len(ids)]),
-          lambda i: ids[i + 2]))), ' '), '') AS banned FROM h""",
-    "repeat_blocks_whole": f"""WITH {ENC}, h AS (SELECT ordinal, ids[1:len(ids) - 1] AS ids FROM e)
+    "repeat_blocks": f"""WITH {ENC}, h AS (SELECT ordinal, ids[1:len(ids) - 1] AS ids FROM e)
         SELECT ordinal, coalesce(array_to_string(list_sort(list_distinct(list_transform(list_filter(range(1, len(ids) - 1), lambda i: ids[i] = ids[len(ids) - 1] AND ids[i + 1] = ids[len(ids)]),
           lambda i: ids[i + 2]))), ' '), '') AS banned FROM h""",
+    "epoch_order": f"""WITH {CUT}, {EPOCHS} SELECT epoch, place, ordinal FROM o""",
+    "loader_batches": f"""WITH {CUT}, {EPOCHS} SELECT place, max(size)::BIGINT AS width, count(*) AS n, count(*) * max(size)::BIGINT AS cells FROM o WHERE epoch = 0 GROUP BY place""",
 }

@@ -14,12 +14,7 @@ def _docs(spark, sf_dir, split):
 
 
 def dedup_exact(spark, sf_dir):
-    return corpus.first_of_each(_docs(spark, sf_dir, "train"), ["lang", "text"], "doc_id").select("lang", "doc_id")
-
-
-def dedup_exact_all(spark, sf_dir):
-    """``dedup_exact`` over every document, whatever its split."""
-    return corpus.first_of_each(P.table(spark, sf_dir, "documents"), ["lang", "text"], "doc_id").select("lang", "doc_id")
+    return corpus.first_of_each(P.table(spark, sf_dir, "documents"), ["lang", "text"], "doc_id", ["lang"])
 
 
 def deleak(spark, sf_dir):
@@ -36,25 +31,19 @@ def tm_build(spark, sf_dir):
     return corpus.translation_memory(rows, ["lang", "src"], "tgt", F.col("ordinal"))
 
 
-def _sources(spark, sf_dir):
-    """First words of user turns, which recur; targets are those of the answers."""
-    word = lambda c: F.regexp_extract(c, r"^(\w+)", 1)
-    return P.pairs(spark, sf_dir).select("conv_id", "turn", "split", word("src").alias("src"), word("tgt").alias("tgt"))
-
-
 def _memory(spark, sf_dir):
-    train = _sources(spark, sf_dir).where("split = 'train'")
+    train = P.pairs(spark, sf_dir).where("split = 'train'")
     return corpus.translation_memory(train, ["src"], "tgt", F.col("conv_id") * 1000 + F.col("turn"))
 
 
 def tm_coverage(spark, sf_dir):
-    held = _sources(spark, sf_dir).where("split <> 'train'")
+    held = P.pairs(spark, sf_dir).where("split <> 'train'")
     return corpus.coverage(held, _memory(spark, sf_dir), ["src"], "split")
 
 
 def tm_apply(spark, sf_dir):
-    held = _sources(spark, sf_dir).where("split <> 'train'").withColumn("id", F.concat_ws("-", "conv_id", "turn")).select("id", "src", "tgt")
-    hyps = held.where(F.length("tgt") % 2 == 0).select("id", F.upper("tgt").alias("hyp"))
+    held = P.pairs(spark, sf_dir).where("split <> 'train'").withColumn("id", F.concat_ws("-", "conv_id", "turn")).select("id", "src", "tgt")
+    hyps = held.where(F.length("tgt") % 2 == 0).select("id", F.concat(F.lit("> "), "tgt").alias("hyp"))
     return corpus.apply_memory(held.select("id", "src"), _memory(spark, sf_dir), hyps, ["src"], "id")
 
 
@@ -67,7 +56,7 @@ def id_reconcile(spark, sf_dir):
 
 
 def tag_combined(spark, sf_dir):
-    rows = corpus.combined(P.table(spark, sf_dir, "documents"), P.LANGS[:3], "lang", "text", "doc_id")
+    rows = corpus.combined(P.table(spark, sf_dir, "documents"), P.LANGS, "lang", "text", "doc_id")
     return rows.select("block", "doc_id", F.md5("tagged").alias("tagged_md5"))
 
 
@@ -132,36 +121,34 @@ def vocabulary_coverage(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        dedup_exact, dedup_exact_all, deleak, tm_build, tm_coverage, tm_apply, tm_diagnostics, id_reconcile, tag_combined, spm_lines, set_operations, languages_sorted,
+        dedup_exact, deleak, tm_build, tm_coverage, tm_apply, tm_diagnostics, id_reconcile, tag_combined, spm_lines, set_operations, languages_sorted,
         sample_seeded, holdout_split, head_and_stride, first_per_language, shifted_references, leaderboard, vocabulary_coverage,
     )
 }
 
 DOCS = f"d AS (SELECT *, {P.SPLIT.format('doc_id')} AS split FROM documents)"
-WORDS = f"""{P.PAIRS}, words AS (SELECT conv_id, turn, split, regexp_extract(src, '^(\\w+)', 1) AS src, regexp_extract(tgt, '^(\\w+)', 1) AS tgt FROM pairs)"""
-MEMORY = f"""{WORDS}, counted AS (SELECT src, tgt, count(*) AS n, min(conv_id * 1000 + turn) AS first FROM words WHERE split = 'train' GROUP BY ALL),
+MEMORY = f"""{P.PAIRS}, counted AS (SELECT src, tgt, count(*) AS n, min(conv_id * 1000 + turn) AS first FROM pairs WHERE split = 'train' GROUP BY ALL),
   memory AS (SELECT src, tgt, n FROM counted QUALIFY row_number() OVER (PARTITION BY src ORDER BY n DESC, first) = 1)"""
 
-APPLIED = """applied AS (SELECT conv_id || '-' || turn AS id, w.src, trim(coalesce(m.tgt, CASE WHEN length(w.tgt) % 2 = 0 THEN upper(w.tgt) END, '')) AS text,
+APPLIED = """applied AS (SELECT conv_id || '-' || turn AS id, w.src, """ + P.sql_squeeze("coalesce(m.tgt, CASE WHEN length(w.tgt) % 2 = 0 THEN '> ' || w.tgt END, '')") + """ AS text,
         CASE WHEN m.tgt IS NOT NULL THEN 'memory' WHEN length(w.tgt) % 2 = 0 THEN 'hypothesis' ELSE 'missing' END AS origin
-        FROM words w LEFT JOIN memory m ON w.src = m.src WHERE split <> 'train')"""
+        FROM pairs w LEFT JOIN memory m ON w.src = m.src WHERE split <> 'train')"""
 
 ORACLES = {
-    "dedup_exact": f"WITH {DOCS} SELECT lang, min(doc_id) AS doc_id FROM d WHERE split = 'train' GROUP BY lang, text",
-    "dedup_exact_all": "SELECT lang, min(doc_id) AS doc_id FROM documents GROUP BY lang, text",
+    "dedup_exact": "SELECT lang, min(doc_id) AS doc_id FROM documents GROUP BY lang, text",
     "deleak": f"""WITH {DOCS} SELECT doc_id, lang FROM d WHERE split = 'train' AND NOT EXISTS (
         SELECT 1 FROM d e WHERE e.split <> 'train' AND e.lang = d.lang AND e.text = d.text)""",
     "tm_build": """WITH c AS (SELECT l_linestatus AS lang, l_partkey AS src, l_returnflag AS tgt, count(*) AS n, min(l_orderkey * 10 + l_linenumber) AS f FROM lineitem GROUP BY ALL)
         SELECT lang, src, tgt, n FROM c QUALIFY row_number() OVER (PARTITION BY lang, src ORDER BY n DESC, f) = 1""",
     "tm_coverage": f"""WITH {MEMORY} SELECT split, count(*) AS records, count(m.src) AS hits, round(100.0::DOUBLE * count(m.src) / count(*), 2) AS pct
-        FROM words w LEFT JOIN memory m ON w.src = m.src WHERE split <> 'train' GROUP BY split""",
+        FROM pairs w LEFT JOIN memory m ON w.src = m.src WHERE split <> 'train' GROUP BY split""",
     "tm_apply": f"WITH {MEMORY}, {APPLIED} SELECT * FROM applied",
     "tm_diagnostics": f"""WITH {MEMORY}, {APPLIED} SELECT count(*) AS rows, count(*) FILTER (origin = 'memory') AS memory_hits,
         count(*) FILTER (origin = 'missing') AS missing, count(*) FILTER (text = '') AS empty FROM applied""",
     "id_reconcile": """SELECT 'missing' AS side, doc_id AS id FROM (SELECT doc_id FROM documents EXCEPT ALL SELECT doc_id FROM labels)
         UNION ALL SELECT 'extra', doc_id FROM (SELECT doc_id FROM labels EXCEPT ALL SELECT doc_id FROM documents)""",
-    "tag_combined": """SELECT list_position(['en', 'fr', 'de'], lang)::BIGINT - 1 AS block, doc_id, md5('<2' || lang || '> ' || text) AS tagged_md5
-        FROM documents WHERE lang IN ('en', 'fr', 'de')""",
+    "tag_combined": """SELECT list_position(['en', 'fr', 'de', 'es'], lang)::BIGINT - 1 AS block, doc_id, md5('<2' || lang || '> ' || text) AS tagged_md5
+        FROM documents""",
     "spm_lines": f"""WITH {P.PAIRS} SELECT conv_id, turn, 0::BIGINT AS pos, replace(src, chr(10), ' ') AS line FROM pairs WHERE split = 'train'
         UNION ALL SELECT conv_id, turn, 1, replace(tgt, chr(10), ' ') FROM pairs WHERE split = 'train'""",
     "set_operations": f"""WITH {DOCS}, bag AS (SELECT text FROM d WHERE split <> 'train'), tr AS (SELECT text FROM d WHERE split = 'train')

@@ -6,19 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import textops as T
+from weftline.operators.metrics import zipped
 from weftline.operators.ordering import global_rank
 
 VALIDATION = "map<string,struct<Validation:map<string,struct<source:string>>>>"
 HYPOTHESES = "map<string,map<string,string>>"
 MEMORY = "map<string,string>"
+REPORT = "per_file map<string,map<string,bigint>>"
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``(path, ordinal, value)``: lines in file order, counted from 0 in each file."""
-    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("__id"), "value")
-    ranked = global_rank(raw, [F.col("path"), F.col("__id")], "__all")
-    first = ranked.groupBy("path").agg(F.min("__all").alias("__first"))
-    return ranked.join(first, "path").select("path", (F.col("__all") - F.col("__first")).alias("ordinal"), "value")
+    """``(path, ordinal, value)``: lines in file order, counted from 0 in each file; a folder of part files counts as one file."""
+    file = F.col("_metadata.file_path")
+    raw = spark.read.text(path).select(F.regexp_replace(file, r"/part-[^/]*$", "").alias("path"), file.alias("__file"), F.monotonically_increasing_id().alias("__id"), "value")
+    ranked = global_rank(raw, [F.col("path"), F.col("__file"), F.col("__id")], "__all")
+    # A row for each file.
+    first = ranked.groupBy(F.col("path").alias("__p")).agg(F.min("__all").alias("__first"))
+    return ranked.join(F.broadcast(first), F.col("path") == F.col("__p")).select("path", (F.col("__all") - F.col("__first")).alias("ordinal"), "value")
 
 
 def read_tsv(spark: SparkSession, path: str) -> DataFrame:
@@ -36,6 +40,13 @@ def read_corpus(spark: SparkSession, root: str) -> DataFrame:
     return rows.select(part(1).alias("pair"), part(2).alias("split"), F.regexp_extract("path", r"_(\w+)/[^/]+\.tsv$", 1).alias("lang"), "ordinal", "src", "tgt")
 
 
+def read_pair(spark: SparkSession, hyp_path: str, ref_path: str, known: list[str]) -> DataFrame:
+    """Two files zipped by position: ``(ordinal, lang, hyp, ref)`` of hypothesis lines and a tagged TSV; different lengths are an error."""
+    hyp = read_lines(spark, hyp_path).select("ordinal", F.col("value").alias("hyp"))
+    ref = read_tagged(spark, ref_path, known).select("ordinal", "lang", F.col("tgt").alias("ref"))
+    return zipped(hyp, ref).join(ref.select("ordinal", "lang"), "ordinal").select("ordinal", "lang", "hyp", "ref")
+
+
 def read_tagged(spark: SparkSession, path: str, known: list[str]) -> DataFrame:
     """Tagged TSV as ``(ordinal, lang, src, tgt)``."""
     rows = read_tsv(spark, path).withColumn("__t", T.split_tag(F.col("src"), known))
@@ -43,7 +54,7 @@ def read_tagged(spark: SparkSession, path: str, known: list[str]) -> DataFrame:
 
 
 def _json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.option("wholetext", True).text(path).select(F.from_json("value", schema).alias("j"))
+    return spark.read.text(path, wholetext=True).select(F.from_json("value", schema).alias("j"))
 
 
 def read_validation(spark: SparkSession, path: str) -> DataFrame:
@@ -69,6 +80,18 @@ def read_history(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", True).schema("step long, dev_loss double").json(path)
 
 
+def read_report(spark: SparkSession, path: str) -> DataFrame:
+    """``(file, counter, n)`` of a report's ``per_file``."""
+    files = _json(spark, path, REPORT).select(F.explode("j.per_file").alias("file", "c"))
+    return files.select("file", F.explode("c").alias("counter", "n"))
+
+
+def read_scores(spark: SparkSession, path: str) -> DataFrame:
+    """``(slice, bleu, rouge_l, chrf, total, n)`` of a score file."""
+    each = _json(spark, path, "map<string,string>").select(F.explode("j").alias("slice", "v")).where("slice <> 'cross_check'")
+    return each.select("slice", F.from_json("v", "bleu double, rouge_l double, chrf double, total double, n long").alias("s")).select("slice", "s.*")
+
+
 def read_settings(path: str) -> dict:
     """A YAML file as nested dicts; needs the optional package."""
     try:

@@ -2,22 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions import textops as T
+from weftline.operators.ordering import global_rank
 
 
 def _single(df: DataFrame, *order) -> DataFrame:
     return df.orderBy(*order).coalesce(1)
 
 
-def write_tsv(rows: DataFrame, path: str, ordinal: str = "ordinal", one_file: bool = True) -> None:
-    """Fields joined by a tab, unquoted."""
-    picked = _single(rows, ordinal) if one_file else rows
+def write_tsv(rows: DataFrame, path: str, ordinal: str = "ordinal", one_file: bool = False) -> None:
+    """Fields joined by a tab, unquoted; a folder of files in order unless one is asked for."""
+    picked = _single(rows, ordinal) if one_file else rows.repartitionByRange(ordinal).sortWithinPartitions(ordinal)
     picked.select(F.concat_ws("\t", "src", "tgt")).write.mode("overwrite").text(path)
 
 
+def write_corpus(rows: DataFrame, root: str, pair: str = "pair", split: str = "split") -> None:
+    """``{pair}/{split}.tsv`` below ``root``, a folder each: one pass for every pair and split that occurs (few)."""
+    for r in rows.select(pair, split).distinct().collect():
+        write_tsv(rows.where((F.col(pair) == r[pair]) & (F.col(split) == r[split])), f"{root}/{r[pair]}/{r[split]}.tsv")
+
+
 def write_lines(rows: DataFrame, path: str, text: str, *order) -> None:
     """A line for each row, line feeds as blanks."""
     _single(rows, *order).select(T.one_line(F.col(text))).write.mode("overwrite").text(path)
@@ -29,20 +38,75 @@ def write_by_language(rows: DataFrame, path: str, langs: list[str], src: str = "
     rows.where(lang.isin(*langs)).withColumn("lang", lang).write.mode("overwrite").partitionBy("lang").parquet(path)
 
 
+def _member(key: Column, value: Column) -> Column:
+    """``"key": value`` of a JSON object."""
+    entry = F.to_json(F.create_map(key, value))
+    return F.substring(entry, F.lit(2), F.length(entry) - 2)
+
+
+def _object(ranked: DataFrame, line: Column, end: str) -> DataFrame:
+    """Lines of a JSON object in the order of ``rank``, streamed into one file: no row holds more than a member."""
+    opened = ranked.select("rank", F.concat(F.when(F.col("rank") == 0, F.lit("")).otherwise(F.lit(",")), line).alias("value"))
+    spark = ranked.sparkSession
+    marks = spark.createDataFrame([(-1, "{"), ((1 << 62), end)], "rank long, value string")
+    return opened.unionByName(marks).orderBy("rank").coalesce(1).select("value")
+
+
 def write_memory_json(memory: DataFrame, path: str) -> None:
-    """One flat JSON object; for memories that fit one row. Parquet is the form to keep."""
-    entry = F.struct(F.concat("lang", F.lit("\t"), "src"), "tgt")
-    memory.agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(entry)))).alias("value")).write.mode("overwrite").text(path)
+    """One flat JSON object, keys in order. Parquet is the form to keep for large memories."""
+    keyed = memory.select(F.concat("lang", F.lit("\t"), "src").alias("k"), "tgt")
+    ranked = global_rank(keyed, [F.col("k")])
+    _object(ranked, _member(F.col("k"), F.col("tgt")), "}").write.mode("overwrite").text(path)
 
 
 def write_report(counters: DataFrame, path: str) -> None:
     counters.coalesce(1).write.mode("overwrite").json(path)
 
 
+def write_json(one: DataFrame, path: str) -> None:
+    """The one row ``value`` of a report as a JSON file."""
+    one.select("value").coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_history(history: DataFrame, path: str) -> None:
+    """``step, dev_loss`` as a JSON array in order of steps."""
+    one = history.agg(F.to_json(F.sort_array(F.collect_list(F.struct("step", "dev_loss")))).alias("value"))
+    write_json(one, path)
+
+
 def write_hypotheses(rows: DataFrame, path: str) -> None:
+    """A folder for each section, as Parquet."""
     rows.write.mode("overwrite").partitionBy("section").parquet(path)
 
 
+def write_hypotheses_json(rows: DataFrame, path: str) -> None:
+    """``{section: {id: hyp}}``, streamed in the order of sections and ids."""
+    ranked = global_rank(rows.select("section", "id", "hyp"), [F.col("section"), F.col("id")])
+    starts = ranked.groupBy(F.col("section").alias("s")).agg(F.min("rank").alias("first"))
+    # A row for each section.
+    marked = ranked.join(F.broadcast(starts), F.col("section") == F.col("s"))
+    name = F.to_json(F.array("section"))
+    head = F.concat(F.when(F.col("rank") > 0, F.lit("},")).otherwise(F.lit("")), F.substring(name, F.lit(2), F.length(name) - 2), F.lit(":{"))
+    line = F.concat(F.when(F.col("rank") == F.col("first"), head).otherwise(F.lit(",")), _member(F.col("id"), F.col("hyp")))
+    marks = rows.sparkSession.createDataFrame([(-1, "{"), ((1 << 62), "}}")], "rank long, value string")
+    if ranked.isEmpty():
+        marks = rows.sparkSession.createDataFrame([(0, "{}")], "rank long, value string")
+    marked.select("rank", line.alias("value")).unionByName(marks).orderBy("rank").coalesce(1).select("value").write.mode("overwrite").text(path)
+
+
+def write_hypotheses_lines(rows: DataFrame, path: str, *order) -> None:
+    write_lines(rows, path, "hyp", *order)
+
+
+def scores_json(scores: DataFrame, checks: dict | None = None) -> DataFrame:
+    """One row ``value``: ``{slice: {bleu, rouge_l, chrf, total, n}}`` and ``cross_check`` if there is one."""
+    entry = F.struct("slice", F.to_json(F.struct("bleu", "rouge_l", "chrf", "total", "n")).alias("j"))
+    parts = F.transform("x", lambda x: F.concat(F.lit('"'), x["slice"], F.lit('":'), x["j"]))
+    tail = [] if checks is None else [F.lit('"cross_check":' + json.dumps(checks))]
+    rows = scores.agg(F.sort_array(F.collect_list(entry)).alias("x")).select(parts.alias("p"))
+    return rows.select(F.concat(F.lit("{"), F.array_join(F.concat("p", F.array(*tail).cast("array<string>")), ","), F.lit("}")).alias("value"))
+
+
 def write_submission(rows: DataFrame, path: str, *order) -> None:
     """Tab-separated, every field quoted, with a header and CRLF."""
     _single(rows, *order).select(F.col("id").alias("ID"), F.col("text").alias("Translation")).write.mode("overwrite").csv(
