@@ -63,8 +63,9 @@ def seeds(hashed: DataFrame, masks: list[str], keep: list[str]) -> DataFrame:
         F.when(F.col("pos") + F.lit(len(m)) <= F.size("h"), F.xxhash64(F.lit(n), *[at(k) for k, c in enumerate(m) if c == "1"]))
         for n, m in enumerate(masks)
     ]
-    each = hashed.select(*keep, "h", F.posexplode("h").alias("pos", "token"))
-    return each.select(*keep, "pos", F.posexplode(F.array(*found)).alias("mask", "seed")).where("seed IS NOT NULL")
+    # Outer, lest a filter on the size of ``h`` be derived that computes it twice.
+    each = hashed.select(*keep, "h", F.posexplode_outer("h").alias("pos", "token"))
+    return each.select(*keep, "pos", F.posexplode_outer(F.array(*found)).alias("mask", "seed")).where("seed IS NOT NULL")
 
 
 def _overlap(pairs: DataFrame, stretch: int) -> DataFrame:
