@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from weftline.llm import labelled
 from weftline.llm.common import col, table
@@ -177,7 +178,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_good(docs: DataFrame, model: dict[str, np.ndarray], *, threshold: float = 0.5, min_words: int = 50, max_repeat_percent: int = 50, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that the base rules and the classifier keep, with all their columns."""
-    place = docs.columns.index(text_col)
+    names = docs.columns
+    place = names.index(text_col)
+    # Numbered names on the way, since a name may hold points.
+    plain = [f"c{k}" for k in range(len(names))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -189,4 +193,6 @@ def keep_good(docs: DataFrame, model: dict[str, np.ndarray], *, threshold: float
                 keep.append(not failed and probability(model, x, words) >= threshold)
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    schema = StructType([StructField(p, f.dataType) for p, f in zip(plain, docs.schema, strict=True)])
+    kept = docs.select(*[col(c).alias(p) for c, p in zip(names, plain, strict=True)]).mapInArrow(run, schema)
+    return kept.select(*[F.col(p).alias(c) for c, p in zip(names, plain, strict=True)])

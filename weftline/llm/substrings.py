@@ -21,9 +21,10 @@ of parts follows the number of characters. A part's own index comes from other
 hash bits than those it stores, so certainty grows with the number of parts.
 
 Defined cases: null, empty and wordless texts have no words; texts shorter
-than the window keep all words; a null doc_id counts as larger than any other;
-rows that repeat a doc_id do not remove each other's words, being no smaller;
-an empty table gives an empty result.
+than the window keep all words; a very long text is hashed whole, at some 40
+bytes a word; a null doc_id counts as the greatest long; rows that repeat a
+doc_id do not remove each other's words, being no smaller; an empty table
+gives an empty result; further columns, whatever their names, are left behind.
 """
 
 from __future__ import annotations
@@ -182,7 +183,8 @@ def remove_repeats(
     width = window - PERIOD + 1
     if width < 1:
         raise ValueError(f"the window must have at least {PERIOD} words")
-    rows = docs.select(F.coalesce(col(id_col).cast("long"), F.lit(LAST)).alias("k"), col(text_col).cast("string").alias("text"))
+    id_ = col(id_col).cast("long")
+    rows = docs.select(F.coalesce(id_, F.lit(LAST)).alias("k"), col(text_col).cast("string").alias("text"), id_.isNull().alias("none"))
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // PART_CHARS))
 
@@ -209,7 +211,7 @@ def remove_repeats(
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n_words, n_removed, sha, kept_text = [], [], [], []
-            known = b.column(2).to_pylist() if b.num_columns > 2 else [None] * b.num_rows
+            known = b.column(3).to_pylist() if b.num_columns > 3 else [None] * b.num_rows
             for text, gone in zip(texts(b.column(1)), known, strict=True):
                 words = text.split()
                 n = len(words)
@@ -225,18 +227,18 @@ def remove_repeats(
                 sha.append(hashlib.sha256(kept).hexdigest())
                 if with_text:
                     kept_text.append(kept.decode())
-            ids = pa.array([None if k == LAST else k for k in b.column(0).to_pylist()], pa.int64())
+            ids = pa.array([None if none else k for k, none in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)], pa.int64())
             cols = [ids, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sha, pa.string())]
             yield pa.RecordBatch.from_arrays(cols + [pa.array(kept_text, pa.string())] * with_text, names)
 
     names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["text"] * with_text
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text
 
-    found = materialise(shared(rows, anchor_hashes, parts, False))
+    found = materialise(shared(rows.select("k", "text"), anchor_hashes, parts, False))
     some, _ = _named(rows, found)
     repeated = materialise(shared(some.join(found, "k").select("k", "text", "hashes"), window_hashes, parts, True))
     some, rest = _named(rows, repeated)
-    cut = some.join(repeated, "k", "left").select("k", "text", "hashes").mapInArrow(finish, schema)
+    cut = some.join(repeated, "k", "left").select("k", "text", "none", "hashes").mapInArrow(finish, schema)
     return cut if rest is None else cut.unionByName(rest.mapInArrow(finish, schema))
 
 
