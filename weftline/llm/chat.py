@@ -18,8 +18,10 @@ range partitions.
 
 Defined cases: turns come by turn, then role, then text, nulls first; a null
 text is empty; a null role is the speaker ``unknown``; rows with a null
-conv_id form one conversation; repeated turns are repeated; a conversation
-without participants, and an empty table, give no rows.
+conv_id form one conversation; repeated turns are repeated; a very long text
+is rendered whole in its turn; a conversation without participants, and an
+empty table, give no rows; further columns, whatever their names, are left
+behind.
 """
 
 from __future__ import annotations

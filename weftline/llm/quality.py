@@ -6,7 +6,10 @@ with a quality label. A held-back fifth of them calibrates its scores to
 probabilities (Platt scaling); a text is kept at ``threshold`` or more.
 
 Defined cases: a null text is an empty text with no words, and fails the base
-rules; without usable labels of both kinds every score is the base rate (1 if
+rules; a very long text is read whole, its n-grams taking some 20 bytes a
+character while it is scored; a probability of exactly ``threshold`` is kept
+(ties); null labels and null ids are not learnt from; ``keep_good`` passes all
+columns, whatever their names; without usable labels of both kinds every score is the base rate (1 if
 there are none at all); repeated rows come back as often; an empty table gives
 an empty result.
 """

@@ -6,8 +6,11 @@ whatever the corpus, small enough to go to every task.
 
 Defined cases: null and empty texts score the model's bias; labels that are
 null count for nothing; without labels every score is 0.5 and predicted is 1
-only by the fixed threshold; a null doc_id is scored, not held out, and never
-learnt from; repeated rows come back as often.
+only by the fixed threshold; a score of exactly ``threshold`` is predicted 1
+(ties); a very long text is read whole, its features taking some 100 bytes a
+word while it is scored; a null doc_id is scored, not held out, and never
+learnt from; repeated rows come back as often; an empty table gives an empty
+result; further columns, whatever their names, are left behind.
 """
 
 from __future__ import annotations

@@ -7,9 +7,12 @@ vote on good and on bad documents, and with it the probability that a pattern
 belongs to a good document. These posteriors label a bounded sample from which
 a hashed linear scorer learns; it scores every document.
 
-Defined cases: null and empty texts are documents without words; without any
-documents the result is empty; if all documents have one pattern, its
-posterior is the prior's; repeated rows come back as often; null ids stay null.
+Defined cases: null and empty texts are documents without words; a very long
+text is read whole, its word counts taking some 100 bytes a different word;
+without any documents the result is empty; if all documents have one pattern,
+its posterior is the prior's; a score of exactly ``threshold`` is kept (ties);
+repeated rows come back as often; null ids stay null and are not learnt from;
+further columns, whatever their names, are left behind.
 """
 
 from __future__ import annotations
