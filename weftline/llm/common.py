@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from weftline.operators.ordering import forget
 from weftline.operators.ordering import written as materialise
 
-__all__ = ["WORD", "col", "count_words", "draw_key", "forget", "least_draws", "materialise", "nested", "table", "unnested"]
+__all__ = ["HOT", "WORD", "col", "count_words", "draw_key", "forget", "least_draws", "materialise", "met", "nested", "table", "unnested"]
+
+#: Keys with more than one in this many of all rows are told to every task, so there are at most as many.
+HOT = 10_000
 
 #: A word is a run of anything but space, tab, line feed, vertical tab, form feed and return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -59,3 +62,17 @@ def least_draws(rows: DataFrame, limit: int, draw: str = "draw") -> DataFrame:
         forget(near)
         share *= 4
     return rows.orderBy(draw).limit(limit)
+
+
+def met(rows: DataFrame, known: DataFrame, on: list[str], few: int, hot: int = HOT) -> DataFrame:
+    """``rows`` joined with ``known``, which has one row for each key with its number ``m`` of rows; no task gathers a hot key.
+
+    Up to ``few`` keys are broadcast; beyond that only the hot ones are, and
+    the rows of the others are shuffled.
+    """
+    n, total = known.agg(F.count("*"), F.sum("m")).first()
+    if n <= few:
+        return rows.join(F.broadcast(known.drop("m")), on)
+    cut = (total or 0) // hot
+    top, rest = F.broadcast(known.where(F.col("m") > cut).drop("m")), known.where(F.col("m") <= cut).drop("m")
+    return rows.join(top, on).unionByName(rows.join(top.select(*on), on, "left_anti").join(rest, on))

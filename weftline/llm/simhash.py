@@ -48,7 +48,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import col, forget, materialise, nested, table, unnested
+from weftline.llm.common import col, forget, materialise, met, nested, table, unnested
 from weftline.llm.components import components
 from weftline.llm.textbytes import texts
 
@@ -58,7 +58,7 @@ TILE = 32768
 PART = 512
 #: Candidates held before only the lightest are kept.
 PENDING = 1_000_000
-#: Keys up to this number (24 bytes each) are broadcast, so that texts are not shuffled.
+#: Keys up to this number (24 to 32 bytes each) are broadcast, so that rows are not shuffled.
 FEW_KEYS = 400_000
 #: Shingles hashed before their bits are counted, whatever the text's length.
 CHUNK = 1 << 17
@@ -423,23 +423,23 @@ def near_duplicates(docs: DataFrame, rule: Rule = Radius(), *, id_col: str = "do
     With ``Radius`` the node is the fingerprint's bits as a signed long.
     """
     found = materialise(marked(docs, rule, id_col, text_col))
-    nodes = found.groupBy("node").agg(F.min("doc_id").alias("first_id"))
+    nodes = found.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("m"))
     if isinstance(rule, Radius):
         nodes = materialise(nodes.withColumns({"size": F.lit(0), "fp": F.lit(b"")}))
     else:
         nodes = materialise(nodes.join(found.select(F.col("node").alias("n"), "size", "fp").dropDuplicates(["n"]), F.col("node") == F.col("n")).drop("n"))
     roots = _roots_of(docs, found, materialise(links(nodes, rule)), rule, id_col, text_col)
     # Most fingerprints are alone; only those with links have a root to look up.
-    grouped = nodes.join(roots.withColumnRenamed("node", "n"), F.col("node") == F.col("n")).select("node", "first_id", "root")
+    grouped = nodes.join(roots.withColumnRenamed("node", "n"), F.col("node") == F.col("n")).select("node", "m", "first_id", "root")
     least = materialise(grouped.groupBy(F.col("root").alias("r")).agg(F.min("first_id").alias("component_id")))
     small = F.broadcast if least.count() <= FEW_KEYS else (lambda df: df)
-    linked = grouped.join(small(least), F.col("root") == F.col("r")).select(F.col("node").alias("n"), "component_id", "root")
+    linked = grouped.join(small(least), F.col("root") == F.col("r")).select("node", "m", "component_id", "root")
     alone = nodes.join(roots.select(F.col("node").alias("n")), F.col("node") == F.col("n"), "left_anti").select(
-        F.col("node").alias("n"), F.col("first_id").alias("component_id"), F.col("node").alias("root")
+        "node", "m", F.col("first_id").alias("component_id"), F.col("node").alias("root")
     )
     named = materialise(linked.unionByName(alone))
     forget(nodes, least)
-    return found.join(named, F.col("node") == F.col("n")).select("doc_id", "text_hash", "node", "component_id", "root")
+    return met(found.select("doc_id", "text_hash", "node"), named, ["node"], FEW_KEYS).select("doc_id", "text_hash", "node", "component_id", "root")
 
 
 def keep_one(docs: DataFrame, rule: Rule = Similar(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
