@@ -17,7 +17,7 @@ both places. Then:
 
 A passage in m documents costs m rows this way, never m squared pairs. A
 fingerprint or match that very many positions share is told to every task
-(``HOT`` such keys at most) instead of gathering its positions in one.
+(at most ``HOT`` of ``common`` such keys) instead of gathering its positions in one.
 
 Lines are what ``\\n`` parts. Lines without a word do not count, and stay
 unless they lie inside a deleted run. "Before" means a smaller doc_id, or an
@@ -36,15 +36,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import col, count_words, materialise, table
+from weftline.llm.common import HOT, col, count_words, materialise, met, table
 
 RUN = 3
 #: Words from which a repeated run of fewer lines goes too.
 PASSAGE = 50
 #: Keys up to this number (16 to 40 bytes each) are broadcast, so that texts and windows are not shuffled.
 FEW_KEYS = 200_000
-#: Keys with more than this part of all positions are broadcast, so at most as many.
-HOT = 10_000
 
 
 def _key(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
@@ -94,17 +92,6 @@ def _windows(run: int, passage: int) -> tuple[Column, Column]:
     return spots, F.flatten(F.transform(F.sequence(F.lit(0), size - 1), starting))
 
 
-def _met(rows: DataFrame, known: DataFrame, on: list[str]) -> DataFrame:
-    """``rows`` joined with ``known``, one row for each key with its number ``m`` of rows, and no task that gathers a hot key."""
-    n, total = known.agg(F.count("*"), F.sum("m")).first()
-    if n <= FEW_KEYS:
-        return rows.join(F.broadcast(known.drop("m")), on)
-    # Fewer than HOT keys can have more than this many rows each.
-    cut = (total or 0) // HOT
-    hot, rest = F.broadcast(known.where(F.col("m") > cut).drop("m")), known.where(F.col("m") <= cut).drop("m")
-    return rows.join(hot, on).unionByName(rows.join(hot, on, "left_anti").join(rest, on))
-
-
 def repeated_runs(docs: DataFrame, run: int = RUN, passage: int = PASSAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(k, t, cuts)``: of each text with deletions the stretches ``from, to`` of places to delete, in order, one for each line with a word."""
     lines = docs.select(*_key(docs, id_col, text_col), _hashed(col(text_col).cast("string")).alias("s")).dropDuplicates(["k", "t"])
@@ -112,21 +99,23 @@ def repeated_runs(docs: DataFrame, run: int = RUN, passage: int = PASSAGE, id_co
     spots, windows = _windows(run, passage)
     texts = materialise(split.withColumn("spots", spots).select("k", "t", "ats", windows.alias("windows")))
 
-    chosen = F.array_distinct(F.transform("windows", lambda w: F.struct(w["fp"].alias("fp"), w["at"].alias("at"))))
+    # Windows in order select in order, but for a few; a position told twice does no harm.
+    new = F.filter("windows", lambda w, j: F.coalesce(F.get("windows", j - 1)["at"] != w["at"], F.lit(True)))
+    chosen = F.transform(new, lambda w: F.struct(w["fp"].alias("fp"), w["at"].alias("at")))
     positions = texts.select("k", "t", F.explode(chosen).alias("x")).select("k", "t", "x.*")
     spot = F.struct("k", "t", "at")
     # Counted before the shuffle.
     twice = positions.groupBy("fp").agg(F.min(spot).alias("a"), F.max(spot).alias("b"), F.count("*").alias("m")).where("a <> b")
     twice = materialise(twice.select("fp", "m"))
     each = texts.select("k", "t", F.explode("windows").alias("w")).select("k", "t", "w.p", "w.n", "w.fp", "w.left", "w.right")
-    followed = materialise(_met(each, twice, ["fp"]))
+    followed = materialise(met(each, twice, ["fp"], FEW_KEYS, HOT))
 
     here = F.struct("k", "t", "p")
     match = ["fp", "left", "right"]
     firsts = materialise(
         followed.groupBy(*match).agg(F.min(here).alias("first"), F.max(here).alias("last"), F.count("*").alias("m")).where("first <> last").drop("last")
     )
-    later = _met(followed, firsts, match).where(here > F.col("first"))
+    later = met(followed, firsts, match, FEW_KEYS, HOT).where(here > F.col("first"))
     # A line of a match, and whether what stands between it and the next one goes as well.
     gone = F.explode(F.sequence(F.col("p"), F.col("p") + F.col("n") - 1)).alias("i")
     marks = later.select("k", "t", "p", "n", gone).select("k", "t", F.struct("i", (F.col("i") < F.col("p") + F.col("n") - 1).alias("on")).alias("x"))
