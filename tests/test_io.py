@@ -129,3 +129,30 @@ def test_hypotheses_and_scores_as_json(spark, tmp_path):
 def test_indented_json_is_read_whole(spark, tmp_path):
     (tmp_path / "tm.json").write_text(json.dumps({"hi\ta": "x", "bn\tb": "y"}, indent=2))
     assert {tuple(r) for r in readers.read_memory_json(spark, str(tmp_path / "tm.json")).collect()} == {("hi", "a", "x"), ("bn", "b", "y")}
+
+
+def test_command_lines_end_to_end(spark, tmp_path):
+    from weftline.__main__ import main
+
+    text = {"hi": "यह एक छोटा सा वाक्य है", "bn": "এটি একটি ছোট বাক্য এখানে"}
+    for lang in ("hi", "bn"):
+        for split, sources in (("train", ["this is a short sentence", "this is a short sentence", "one more of these lines"]), ("dev", ["one more of these lines"]), ("test", ["something else to read"])):
+            (tmp_path / "raw" / f"en_{lang}").mkdir(parents=True, exist_ok=True)
+            (tmp_path / "raw" / f"en_{lang}" / f"{split}.tsv").write_text("".join(f"{s}\t{text[lang]}\n" for s in sources))
+    val = {"English-Hindi": {"Validation": {"1": {"source": "one more of these lines"}, "2": {"source": "new"}}}}
+    (tmp_path / "val.json").write_text(json.dumps(val, indent=1))
+    (tmp_path / "hyps.json").write_text(json.dumps({"English-Hindi": {"1": "a", "2": " b  c "}}))
+    at = lambda name: str(tmp_path / name)
+    main(["lid", "--raw", at("raw"), "--out", at("lid.json"), "--langs", "en", "hi", "bn", "--limit", "50"])
+    main(["prepare", "--raw", at("raw"), "--out", at("clean"), "--lid", at("lid.json"), "--langs", "en", "hi", "bn", "--validation", at("val.json"), "--section", "English-Hindi=hi"])
+    report = json.loads(spark.read.text(at("clean/report.json"), wholetext=True).first()["value"])
+    assert report["per_file"]["en_hi/train"] == {"read": 3, "kept": 1, "dropped_duplicate": 1, "dropped_leaked_into_eval": 1}
+    assert report["val_tm_coverage"] == {"English-Hindi": {"records": 2, "tm_hits": 1, "pct": 50.0}} and report["config"]["lid_enabled"]
+    tagged = readers.read_tagged(spark, at("clean/combined/dev.tsv"), ["hi", "bn"]).orderBy("ordinal").collect()
+    assert [(r["lang"], r["src"]) for r in tagged] == [("hi", "one more of these lines"), ("bn", "one more of these lines")]
+    (tmp_path / "hyp.txt").write_text("".join(r["tgt"] + "\n" for r in tagged))
+    main(["score", "--hyp", at("hyp.txt"), "--ref", at("clean/combined/dev.tsv"), "--out", at("scores.json"), "--langs", "hi", "bn", "--cross-check"])
+    scores = {r["slice"]: r["bleu"] for r in readers.read_scores(spark, at("scores.json")).collect()}
+    assert scores == {"overall": 1.0, "hi": 1.0, "bn": 1.0}
+    main(["submit", "--validation", at("val.json"), "--section", "English-Hindi=hi", "--hyps", at("hyps.json"), "--tm", at("clean/tm_all.json"), "--out", at("answer")])
+    assert only_file(tmp_path / "answer").decode() == f'"ID"\t"Translation"\r\n"1"\t"{text["hi"]}"\r\n"2"\t"b c"\r\n'
