@@ -17,8 +17,8 @@ from weftline.config import DEFAULT, Config
 
 WS = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]"
 DIGIT_PREFIX = rf"^{WS}*\p{{Nd}}+{WS}*:{WS}*"
+#: Controls that become blanks, code points that are removed, and the sentence marks of each language.
 CONTROLS = r"[\x00-\x08\x0b-\x0c\x0e-\x1f\x7f]"
-#: Code points that are removed, and the sentence marks of each language.
 ZERO_WIDTH = "\ufeff\u200b\u2060\u00ad"
 DANDA, BENGALI_FOUR, PASEQ = "\u0964", "\u09f7", "\u05c0"
 ASSAMESE = r"[\x{09F0}\x{09F1}]"
