@@ -47,21 +47,23 @@ def draw_key(seed: int, key: Column) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("null"))))
 
 
-def least_draws(rows: DataFrame, limit: int, draw: str = "draw") -> DataFrame:
-    """The ``limit`` rows with the least draw keys (of equal ones any), without sorting all rows.
+def least_draws(rows: DataFrame, limit: int, keep: Column | None = None, total: int | None = None, draw: str = "draw") -> DataFrame:
+    """Of the rows that ``keep`` holds for, the ``limit`` ones with the least draw keys (of equal ones any), without sorting all rows.
 
     Keys are evenly spread, so a cut a little above the wanted share leaves few
-    rows to sort; a cut that leaves too few is raised.
+    rows to sort, and to ask ``keep`` of; a cut that leaves too few is raised.
+    ``total`` is about the number of rows; they are counted if it is not given.
     """
-    total = rows.count()
+    keep = F.lit(True) if keep is None else keep
+    total = rows.count() if total is None else total
     share = 4 * limit / total if total else 1.0
     while share < 1.0:
-        near = materialise(rows.where(F.col(draw) < f"{int(share * (1 << 64)):016x}"))
+        near = materialise(rows.where(F.col(draw) < f"{int(share * (1 << 64)):016x}").where(keep))
         if near.count() >= limit:
             return near.orderBy(draw).limit(limit)
         forget(near)
         share *= 4
-    return rows.orderBy(draw).limit(limit)
+    return rows.where(keep).orderBy(draw).limit(limit)
 
 
 def met(rows: DataFrame, known: DataFrame, on: list[str], few: int, hot: int = HOT) -> DataFrame:

@@ -165,9 +165,12 @@ def train(docs: DataFrame, *, limit: int = UNKNOWN_LINES, id_col: str = "doc_id"
     telling = [t for t in telling if len(t) > 1]
     has = _speaks([*telling, *NEGATIONS])
     names = F.lower("text").rlike(r"licen[cs]e|copyright|public domain|rights reserved")
-    lines = paragraphs(docs, id_col, text_col).where(~names).select("text").withColumn("draw", draw_key(SEED, F.xxhash64("text")))
-    near = lines.where(_speaks(telling)(words(F.col("text"))))
-    drawn = least_draws(lines, limit // 2).unionByName(least_draws(near, limit - limit // 2)).distinct()
+    lines = paragraphs(docs, id_col, text_col).select("text").withColumn("draw", draw_key(SEED, F.xxhash64("text")))
+    text = col(text_col).cast("string")
+    # Line ends tell about how many lines there are; no line is looked at for that.
+    total = docs.agg(F.sum(F.length(text) - F.length(F.translate(text, "\n", "")) + 1)).first()[0] or 0
+    near = _speaks(telling)(words(F.col("text")))
+    drawn = least_draws(lines, limit // 2, ~names, total).unionByName(least_draws(lines, limit - limit // 2, ~names & near, total)).distinct()
     unknown = drawn.select(F.lit(UNKNOWN).alias("family"), "text", F.pmod(F.xxhash64("text"), F.lit(9)).cast("int").alias("k"))
     made = spark.createDataFrame(others, "family string, text string, k int")
     every = unknown.unionByName(made).withColumn("w", words(F.col("text"))).unionByName(sentences)
