@@ -129,6 +129,12 @@ def gap(lo_a: np.ndarray, hi_a: np.ndarray, lo_b: np.ndarray, hi_b: np.ndarray)
     return np.maximum(apart, 0).sum(axis=2)
 
 
+def within(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of 64-bit words that differ in ``radius`` bits or fewer."""
+    near = np.bitwise_count(a[:, None] ^ b[None]) <= radius
+    return np.divmod(np.flatnonzero(near), len(b))
+
+
 @dataclass(frozen=True)
 class Radius:
     """Texts link if their 64-bit fingerprints differ in ``radius`` bits or fewer."""
@@ -148,7 +154,7 @@ class Radius:
         return gap(lo_a, hi_a, lo_b, hi_b) <= self.radius
 
     def pairs(self, a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return np.nonzero(np.bitwise_count(a[:, None, 0] ^ b[None, :, 0]) <= self.radius)
+        return within(a[:, 0], b[:, 0], self.radius)
 
     def apart(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distance of pairs, -1 for links that are sure, and which pairs count at all."""
@@ -181,7 +187,7 @@ class Similar:
 
     def pairs(self, a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs that the first 64 bits and the sizes leave."""
-        u, v = np.nonzero(np.bitwise_count(a[:, None, 0] ^ b[None, :, 0]) <= self.bits(64, 4.5))
+        u, v = within(a[:, 0], b[:, 0], self.bits(64, 4.5))
         x, y = size_a[u], size_b[v]
         fit = np.minimum(x, y) >= self.share * np.maximum(x, y) - 1e-9
         return u[fit], v[fit]
