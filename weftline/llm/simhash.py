@@ -385,7 +385,8 @@ def _confirmed(docs: DataFrame, found: DataFrame, edges: DataFrame, rule: Simila
     """Those of ``edges`` (``a, b``) whose sets reach the similarity."""
     wanted = edges.select(F.col("a").alias("n")).union(edges.select(F.col("b").alias("n"))).distinct()
     # Any row of a node will do: its set is the same.
-    one = found.join(wanted, F.col("node") == F.col("n"), "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("x"))
+    # Aggregated before the join, so that copies of one text do not meet in one task.
+    one = found.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("x")).join(wanted, F.col("node") == F.col("n"), "left_semi")
     one = materialise(one.select("node", F.col("x.doc_id").alias("id"), F.col("x.text_hash").alias("t")))
     small = F.broadcast if one.count() <= FEW_KEYS else (lambda df: df)
     text = col(text_col).cast("string")
