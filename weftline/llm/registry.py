@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftline.llm import chat, decontaminate, licenses, lines, mixing, quality, simhash, substrings, toxicity, weak
+from weftline.llm import chat, decontaminate, licenses, lines, mixing, quality, resampling, simhash, substrings, toxicity, weak, whitening
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_substring_dedup": substrings.op10_substring_dedup,
+    "op11_whitening": whitening.op11_whitening,
+    "op12_resampling": resampling.op12_resampling,
 }
 ORACLES = {
     "op2_mix_sources": mixing.OP2_SQL,
@@ -22,4 +24,5 @@ ORACLES = {
     "op6_perspectives": chat.OP6_SQL,
     "op8_decontaminate": decontaminate.OP8_SQL,
     "op10_substring_dedup": substrings.OP10_SQL,
+    "op12_resampling": resampling.OP12_SQL,
 }
