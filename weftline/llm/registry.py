@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftline.llm import chat, decontaminate, licenses, lines, mixing, quality, resampling, simhash, substrings, toxicity, weak, whitening
+from weftline.llm import chat, decontaminate, licenses, lines, minhash, mixing, quality, resampling, simhash, substrings, toxicity, weak, whitening
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_substring_dedup": substrings.op10_substring_dedup,
     "op11_whitening": whitening.op11_whitening,
     "op12_resampling": resampling.op12_resampling,
+    "op13_minhash": minhash.op13_minhash,
 }
 ORACLES = {
     "op2_mix_sources": mixing.OP2_SQL,
