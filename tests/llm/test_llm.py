@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from conftest import same_rows
-from weftline.llm import chat, components, decontaminate, licenses, lines, mixing, quality, registry, simhash, substrings, toxicity, weak
+from weftline.llm import chat, components, confirm, decontaminate, licenses, lines, mixing, quality, registry, simhash, substrings, toxicity, weak
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 GAP = re.compile(r"[\x20\x09-\x0D]+")
@@ -120,7 +120,8 @@ def test_forest_joins_what_links_join(seed, n, m):
     order = lambda x: x[np.lexsort((x, *simhash.quarters(x).T[::-1]))]
     a, b = order(make(n)), order(make(m))
     tile = lambda x: simhash.Tile(x.view(np.int64), np.zeros(len(x), np.int32), x.reshape(-1, 1))
-    u, v, d = simhash.forest(tile(a), tile(b), simhash.Radius(), False)
+    (u, v, d), (_, _, left) = simhash.forest(tile(a), tile(b), simhash.Radius(), False)
+    assert not len(left)
     assert (d == -1).all()
     brute = [(int(x), int(y)) for x in a for y in b[np.bitwise_count(b ^ x) <= 4] if x != y]
     got = [(int(x), int(y)) for x, y in zip(u.view(np.uint64), v.view(np.uint64), strict=True) if x != y]
@@ -193,6 +194,7 @@ def test_links_do_not_depend_on_tiles(spark, table, rows, monkeypatch, rule):
     monkeypatch.setattr(simhash, "TILE", 16)
     monkeypatch.setattr(simhash, "PART", 4)
     monkeypatch.setattr(simhash, "FEW_KEYS", -1)
+    monkeypatch.setattr(confirm, "FEW_KEYS", -1)
     assert before == {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(table, rule).collect()}
     kept = {r["doc_id"] for r in simhash.keep_one(table, rule).collect()}
     assert kept == set(before.values())

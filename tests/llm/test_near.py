@@ -6,7 +6,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from weftline.llm import confirm, minhash
+from weftline.llm import confirm, minhash, simhash
 
 SCHEMA = "doc_id long, text string"
 
@@ -115,3 +115,29 @@ def test_overlaps_are_exact():
 @pytest.mark.parametrize("both, x, y, share, yes", [(4, 4, 5, 0.8, True), (8, 9, 9, 0.8, True), (7, 8, 9, 0.8, False), (0, 1, 1, 0.8, False)])
 def test_reached_in_whole_numbers(both, x, y, share, yes):
     assert bool(confirm.reached(np.array(both), np.array(x), np.array(y), share)) is yes
+
+
+@pytest.mark.parametrize("tile, piece, seed", [(32768, 512, 3), (64, 16, 4)])
+def test_similar_keeps_every_link_of_families_astride_the_threshold(spark, monkeypatch, tile, piece, seed):
+    """Recall 1.0 of single linkage at 0.8, also where a family has more doubtful pairs than links, over several tiles."""
+    for k, v in (("TILE", tile), ("PART", min(512, tile // 4)), ("PENDING", 50)):
+        monkeypatch.setattr(simhash, k, v)
+    monkeypatch.setattr(confirm, "PIECE", piece)
+    rows = astride(seed)
+    expected, _, links = plain_components(rows, 5, empty_linked=True)
+    assert links > 500
+    assert components_of(simhash.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(4), simhash.Similar())) == expected
+
+
+def test_no_link_of_small_sets_is_out_of_reach():
+    """Pairs at exactly the threshold, of sizes 4 and 5 and up, by the limits of their own sizes."""
+    rule, rng = simhash.Similar(), np.random.default_rng(5)
+    for x, y in ((4, 5), (8, 9), (8, 10), (12, 15), (27, 30), (36, 45), (50, 60), (64, 80), (300, 375)):
+        both = next(c for c in range(x + 1) if 1000 * c >= 800 * (x + y - c))
+        missed = 0
+        for _ in range(200):
+            s = rng.integers(0, 1 << 63, x + y - both, dtype=np.uint64)
+            a, b = (simhash.wide_fingerprint(t, 16)[None] for t in (s[:x], s[x - both :]))
+            u, _ = rule.pairs(a, b, np.array([x]), np.array([y]))
+            missed += not (len(u) and rule.apart(a, b, np.array([x]), np.array([y]))[1][0])
+        assert missed == 0, (x, y, missed)

@@ -8,8 +8,11 @@ are two kinds of it, and both are compared the same way:
 - ``Similar``: 1,024 bits over the set of shingles; texts link at a Jaccard
   similarity of ``share`` or more. Pairs whose bits differ so little that they
   surely reach it (4.5 standard errors) are links. Pairs that may reach it
-  (within 3 standard errors, and the sets' sizes allow it) are candidates,
-  whose sets are then compared exactly.
+  (within 4 standard errors, and the sets' sizes allow it) are candidates,
+  whose sets are then compared exactly. Sets of fewer than ``SMALL`` shingles
+  have limits from the very chances of their bits, and no link of theirs is
+  taken for sure. A link at exactly ``share`` is missed about three times in
+  100,000, a closer one less often.
 
 Distinct fingerprints are sorted by a population count and cut into tiles. For
 ``Radius`` it is that of the four 16-bit quarters: two fingerprints within the
@@ -20,10 +23,16 @@ fingerprints are sent and compared that have a near one on the other side;
 these are compared in full with exclusive-or and bit counts.
 
 A pair of tiles returns a spanning forest of its links, never all of them, so
-a group of m near copies costs m edges for each pair of tiles. Between the
-groups that sure links make, candidates come as a minimum spanning forest:
-where two groups have candidates, the closest is compared exactly. Exact
-copies share a fingerprint and are one node.
+a group of m near copies costs m edges for each pair of tiles. Exact copies
+share a fingerprint and are one node. Candidates come back twice:
+
+- as a minimum spanning forest between the groups that sure links make, the
+  closest pair wherever two groups have candidates. These are confirmed first,
+  and unite most groups;
+- as blocks: pieces of up to 512 nodes of two tiles between which there are
+  candidates. Blocks that still hold nodes of several groups then get their
+  nodes' sets, and every pair in them is compared exactly. So no candidate is
+  thinned out before it is checked, and none is written out as a pair.
 
 The work grows with the square of the number of distinct fingerprints, less
 what is skipped; memory is that of two tiles a task.
@@ -39,8 +48,8 @@ gives an empty result; other columns pass ``keep_one``, whatever their names.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
-from math import acos, pi, sqrt
+from dataclasses import dataclass, field
+from math import acos, comb, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -48,23 +57,23 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import col, forget, materialise, met, nested, table, unnested
+from weftline.llm.common import col, forget, materialise, nested, table, unnested
 from weftline.llm.components import components
+from weftline.llm.confirm import FEW_KEYS, GOLDEN, blocks_of, confirmed, crossing, linked_blocks, mixed, pieces, roots, set_name, sets_of, shingle_set, unite, with_components
 from weftline.llm.textbytes import texts
 
 SEED = 42
 #: Fingerprints in a tile, and in the parts of a tile that are compared at once.
 TILE = 32768
 PART = 512
-#: Candidates held before only the lightest are kept.
+#: Candidates held before the forest keeps only the lightest.
 PENDING = 1_000_000
-#: Keys up to this number (24 to 32 bytes each) are broadcast, so that rows are not shuffled.
-FEW_KEYS = 400_000
+#: Sets of fewer shingles have limits of their own.
+SMALL = 64
 #: Shingles hashed before their bits are counted, whatever the text's length.
 CHUNK = 1 << 17
 BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 LANES = (np.arange(8) * 256).astype(np.int64)
-MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
 def fingerprint(text: bytes, words: int = 4) -> int:
@@ -87,32 +96,12 @@ def fingerprint(text: bytes, words: int = 4) -> int:
     return int(np.packbits(2 * ones > len(starts), bitorder="little").view(np.uint64)[0])
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * MIX[0]
-    x = (x ^ (x >> np.uint64(27))) * MIX[1]
-    return x ^ (x >> np.uint64(31))
-
-
-def shingle_set(text: bytes, words: int = 5) -> np.ndarray:
-    """Sorted 64-bit hashes of a text's distinct shingles (ASCII lower case)."""
-    parts = text.lower().split()
-    n = len(parts)
-    if not n:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, parts), np.uint64, n)
-    k = min(words, n)
-    x = h[: n - k + 1]
-    for j in range(1, k):
-        x = _mixed(x) * np.uint64(0x9E3779B97F4A7C15) + h[j : n - k + 1 + j]
-    return np.unique(_mixed(x))
-
-
 def wide_fingerprint(shingles: np.ndarray, lanes: int) -> np.ndarray:
     """SimHash of ``lanes`` times 64 bits of a set of hashes."""
-    steps = np.arange(1, lanes + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    steps = np.arange(1, lanes + 1, dtype=np.uint64) * GOLDEN
     ones = np.zeros(64 * lanes, np.int64)
     for at in range(0, len(shingles), 255):
-        hashes = _mixed(shingles[at : at + 255, None] + steps)
+        hashes = mixed(shingles[at : at + 255, None] + steps)
         bits = np.unpackbits(hashes.view(np.uint8), axis=1, bitorder="little")
         ones += np.add.reduce(bits, axis=0, dtype=np.uint8)
     return np.packbits(2 * ones > len(shingles), bitorder="little").view(np.uint64)
@@ -156,11 +145,26 @@ class Radius:
     def pairs(self, a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return within(a[:, 0], b[:, 0], self.radius)
 
-    def apart(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def apart(self, a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distance of pairs, -1 for links that are sure, and which pairs count at all."""
         return np.full(len(a), -1, np.int32), np.ones(len(a), bool)
 
 
+def bit_differs(x: int, y: int, both: int) -> float:
+    """Chance that a SimHash bit differs between sets of sizes ``x`` and ``y`` with ``both`` shingles in common."""
+
+    def over(n: int, common: int) -> np.ndarray:
+        """Chance of a majority of ``n`` given 0, 1, ... ones among the ``common``."""
+        own = np.array([comb(n - common, k) for k in range(n - common + 1)], float) / 2.0 ** (n - common)
+        tail = np.concatenate((np.cumsum(own[::-1])[::-1], np.zeros(common + 1)))
+        # More than half: at least n // 2 + 1, of which the common ones have some.
+        return np.array([tail[max(0, n // 2 + 1 - s)] if n // 2 + 1 - s < len(tail) else 0.0 for s in range(common + 1)])
+
+    shared = np.array([comb(both, k) for k in range(both + 1)], float) / 2.0**both
+    a, b = over(x, both), over(y, both)
+    return float((shared * (a * (1 - b) + b * (1 - a))).sum())
+
+
 @dataclass(frozen=True)
 class Similar:
     """Texts link if their sets of shingles have the Jaccard similarity ``share`` or more, as SimHash tells it."""
@@ -168,40 +172,53 @@ class Similar:
     share: float = 0.8
     words: int = 5
     lanes: int = 16
+    #: Greatest chance of a differing bit by the sizes of two small sets that reach the similarity.
+    chances: np.ndarray = field(init=False, repr=False, compare=False)
+
+    def __post_init__(self):
+        most = int(SMALL / self.share) + 1
+        p = np.zeros((most + 1, most + 1))
+        for x in range(1, SMALL):
+            for y in range(x, int(x / self.share) + 1):
+                both = next(c for c in range(x + 1) if 1000 * c >= round(1000 * self.share) * (x + y - c))
+                p[x, y] = p[y, x] = bit_differs(x, y, both)
+        object.__setattr__(self, "chances", p)
 
     def mark(self, text: bytes) -> tuple[int, int, bytes]:
         s = shingle_set(text, self.words)
-        return xxhash.xxh3_64_intdigest(s.tobytes()) if len(s) else 0, len(s), wide_fingerprint(s, self.lanes).tobytes()
+        return set_name(s), len(s), wide_fingerprint(s, self.lanes).tobytes()
 
-    def bits(self, n: int, errors: float) -> int:
+    def bits(self, n: int, errors: float, p: np.ndarray | float | None = None) -> np.ndarray:
         """Differing bits of ``n`` that two sets of the similarity have at most, that many standard errors allowed."""
-        p = acos(2 * self.share / (1 + self.share)) / pi
-        return int(n * p + errors * sqrt(n * p * (1 - p)))
+        p = self.plain if p is None else p
+        return np.floor(n * p + errors * np.sqrt(n * p * (1 - p)))
 
     def counts(self, fps: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         return sizes.reshape(-1, 1)
 
     def near(self, lo_a, hi_a, lo_b, hi_b) -> np.ndarray:
         lo_a, hi_a, lo_b, hi_b = (x[:, 0].astype(float) for x in (lo_a, hi_a, lo_b, hi_b))
-        return (hi_b[None] >= self.share * lo_a[:, None] - 1e-9) & (hi_a[:, None] >= self.share * lo_b[None] - 1e-9)
+        return (hi_b[None] >= self.share * lo_a[:, None] - 1e-6) & (hi_a[:, None] >= self.share * lo_b[None] - 1e-6)
 
     def pairs(self, a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs that the first 64 bits and the sizes leave."""
-        u, v = within(a[:, 0], b[:, 0], self.bits(64, 4.5))
+        small = min(size_a.min(initial=SMALL), size_b.min(initial=SMALL)) < SMALL
+        u, v = within(a[:, 0], b[:, 0], int(self.bits(64, 4.5, max(self.chances.max(), self.plain)) if small else self.bits(64, 4.5)))
         x, y = size_a[u], size_b[v]
-        fit = np.minimum(x, y) >= self.share * np.maximum(x, y) - 1e-9
+        fit = np.minimum(x, y) >= self.share * np.maximum(x, y) - 1e-6
         return u[fit], v[fit]
 
-    def apart(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    @property
+    def plain(self) -> float:
+        return acos(2 * self.share / (1 + self.share)) / pi
+
+    def apart(self, a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = 64 * self.lanes
         d = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int32)
-        return np.where(d <= self.bits(n, -4.5), np.int32(-1), d), d <= self.bits(n, 3.0)
-
-    def reaches(self, a: bytes, b: bytes) -> bool:
-        """Whether two sets, as sorted hashes, have the similarity."""
-        x, y = (np.frombuffer(v, np.uint64) for v in (a, b))
-        both = len(np.intersect1d(x, y, assume_unique=True))
-        return both >= self.share * (len(x) + len(y) - both) - 1e-9
+        small = np.minimum(size_a, size_b) < SMALL
+        at = (np.where(small, size_a, 0), np.where(small, size_b, 0))
+        limit = self.bits(n, 4.0, np.where(small, self.chances[at], self.plain))
+        return np.where((d <= self.bits(n, -4.5)) & ~small, np.int32(-1), d), d <= limit
 
 
 Rule = Radius | Similar
@@ -223,23 +240,6 @@ def marked(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str =
     return picked.mapInArrow(run, "doc_id long, text_hash long, node long, size int, fp binary")
 
 
-def _roots(parent: np.ndarray, at: np.ndarray) -> np.ndarray:
-    r = parent[at]
-    while True:
-        up = parent[r]
-        if np.array_equal(up, r):
-            return r
-        r = up
-
-
-def _join(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    while len(a):
-        x, y = _roots(parent, a), _roots(parent, b)
-        apart = x != y
-        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
-        np.minimum.at(parent, np.maximum(x, y), np.minimum(x, y))
-
-
 @dataclass
 class Tile:
     """Fingerprints in the order of their counts; parts begin at ``cuts``."""
@@ -276,7 +276,7 @@ def _lightest(parent: np.ndarray, u: np.ndarray, v: np.ndarray, d: np.ndarray) -
     taken = np.zeros(len(u), bool)
     at = np.arange(len(u))
     while True:
-        x, y = _roots(parent, u[at]), _roots(parent, v[at])
+        x, y = roots(parent, u[at]), roots(parent, v[at])
         at, x, y = at[x != y], x[x != y], y[x != y]
         if not len(at):
             return u[taken], v[taken], d[taken]
@@ -285,15 +285,21 @@ def _lightest(parent: np.ndarray, u: np.ndarray, v: np.ndarray, d: np.ndarray) -
         np.minimum.at(best, y, at)
         chosen = np.unique(best[best < len(u)])
         taken[chosen] = True
-        _join(parent, u[chosen], v[chosen])
+        unite(parent, u[chosen], v[chosen])
+
 
+def forest(a: Tile, b: Tile, rule: Rule, same: bool) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Links between two sorted tiles, or within one if ``same``.
 
-def forest(a: Tile, b: Tile, rule: Rule, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Spanning forest of the links between two sorted tiles, or within one if ``same``: nodes at both ends, and distance (-1: sure)."""
+    First a spanning forest: nodes at both ends, and distance (-1: sure). Then
+    all that candidates leave open: pieces at both ends, and nodes.
+    """
     nodes = a.nodes if same else np.concatenate((a.nodes, b.nodes))
     shift = 0 if same else len(a.nodes)
     parent = np.arange(len(nodes))
+    piece = pieces(a.sizes) if same else np.concatenate((pieces(a.sizes), pieces(b.sizes)))
     maybe = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)]
+    open_ = [np.empty((3, 0), np.int64)]
     near = rule.near(*a.ranges(rule), *b.ranges(rule)) if len(a.nodes) and len(b.nodes) else np.zeros((0, 0), bool)
     for i, j in zip(*np.nonzero(np.triu(near) if same else near), strict=True):
         x, y = (slice(t.cuts[k], t.cuts[k] + PART) for t, k in ((a, i), (b, j)))
@@ -302,21 +308,27 @@ def forest(a: Tile, b: Tile, rule: Rule, same: bool) -> tuple[np.ndarray, np.nda
         if same and i == j:
             u, v = u[u < v], v[u < v]
         # Of pairs that are linked already nothing more is asked.
-        new = _roots(parent, u) != _roots(parent, v + shift)
+        new = roots(parent, u) != roots(parent, v + shift)
         u, v = u[new], v[new]
         if not len(u):
             continue
-        d, counts = rule.apart(a.fps[u], b.fps[v])
+        d, counts = rule.apart(a.fps[u], b.fps[v], a.sizes[u], b.sizes[v])
         sure = d < 0
-        _join(parent, u[sure], v[sure] + shift)
+        unite(parent, u[sure], v[sure] + shift)
         counts &= ~sure
-        maybe = [np.concatenate(z) for z in zip(maybe, (u[counts], v[counts] + shift, d[counts]), strict=True)]
+        if not counts.any():
+            continue
+        u, v, d = u[counts], v[counts] + shift, d[counts]
+        open_.append(np.stack(blocks_of(u, v, piece, piece)))
+        maybe = [np.concatenate(z) for z in zip(maybe, (u, v, d), strict=True)]
         if len(maybe[0]) > PENDING:
             maybe = list(_lightest(parent, *maybe))
     u, v, d = _lightest(parent, *maybe)
-    root = _roots(parent, np.arange(len(nodes)))
+    root = roots(parent, np.arange(len(nodes)))
     linked = np.flatnonzero(root != np.arange(len(nodes)))
-    return nodes[np.concatenate((linked, u))], nodes[np.concatenate((root[linked], v))], np.concatenate((np.full(len(linked), -1, np.int32), d))
+    left = np.unique(np.concatenate(open_, axis=1), axis=1)
+    edges = nodes[np.concatenate((linked, u))], nodes[np.concatenate((root[linked], v))], np.concatenate((np.full(len(linked), -1, np.int32), d))
+    return edges, (left[0], left[1], nodes[left[2]])
 
 
 def tiles_of(nodes: DataFrame, rule: Rule) -> DataFrame:
@@ -350,7 +362,10 @@ def tiles_of(nodes: DataFrame, rule: Rule) -> DataFrame:
 
 
 def links(nodes: DataFrame, rule: Rule) -> DataFrame:
-    """Edges ``(a, b, d)`` that join the ``node, size, fp`` that ``rule`` links, transitively; where ``d`` is not -1 the link may be."""
+    """Edges ``(a, b, d, block)`` that join the ``node, size, fp`` that ``rule`` links, transitively; where ``d`` is not -1 the link may be.
+
+    Rows with a ``block`` say instead that node ``a`` has candidates in it.
+    """
     tiles = materialise(tiles_of(nodes, rule))
     # Names and count ranges of the tiles: one small row for each 32,768 fingerprints.
     known = tiles.select("tile", "lo", "hi").orderBy("tile").collect()
@@ -374,54 +389,44 @@ def links(nodes: DataFrame, rule: Rule) -> DataFrame:
     def compare(pair: pa.Table) -> pa.Table:
         got = {k: Tile.unpack(*x) for k, *x in zip(*(pair[c].to_pylist() for c in ("at", "nodes", "sizes", "fps")), strict=True)}
         i, j = min(got), max(got)
-        a, b, d = forest(got[i], got[j], rule, i == j)
-        return pa.table({"a": a, "b": b, "d": d})
+        (a, b, d), (x, y, node) = forest(got[i], got[j], rule, i == j)
+        names = [f"{i}:{j}:{s}:{t}" for s, t in zip(x.tolist(), y.tolist(), strict=True)]
+        none = [None] * len(names)
+        return pa.table({
+            "a": pa.array(np.concatenate((a, node)), pa.int64()), "b": pa.array(b.tolist() + none, pa.int64()),
+            "d": pa.array(d.tolist() + none, pa.int32()), "block": pa.array([None] * len(a) + names, pa.string()),
+        })
 
     dealt = tiles.select("tile", "nodes", "sizes", "fps").mapInArrow(deal, "i long, j long, at long, nodes binary, sizes binary, fps binary")
-    return dealt.groupBy("i", "j").applyInArrow(compare, "a long, b long, d int")
+    return dealt.groupBy("i", "j").applyInArrow(compare, "a long, b long, d int, block string")
 
 
-def _confirmed(docs: DataFrame, found: DataFrame, edges: DataFrame, rule: Similar, id_col: str, text_col: str) -> DataFrame:
-    """Those of ``edges`` (``a, b``) whose sets reach the similarity."""
-    wanted = edges.select(F.col("a").alias("n")).union(edges.select(F.col("b").alias("n"))).distinct()
-    # Any row of a node will do: its set is the same.
-    # Aggregated before the join, so that copies of one text do not meet in one task.
-    one = found.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("x")).join(wanted, F.col("node") == F.col("n"), "left_semi")
-    one = materialise(one.select("node", F.col("x.doc_id").alias("id"), F.col("x.text_hash").alias("t")))
-    small = F.broadcast if one.count() <= FEW_KEYS else (lambda df: df)
-    text = col(text_col).cast("string")
-    rows = docs.select(col(id_col).cast("long").alias("own_id"), text.alias("text"), F.xxhash64(text).alias("own_t"))
-    same = F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_t") == F.col("t"))
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = [shingle_set(x, rule.words).tobytes() for x in texts(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.binary())], ["node", "s"])
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = [rule.reaches(x, y) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    of_node = materialise(rows.join(small(one), same).select("node", "text").mapInArrow(sets, "node long, s binary").dropDuplicates(["node"]))
-    both = edges.select("a", "b").join(of_node.select(F.col("node").alias("a"), F.col("s").alias("x")), "a")
-    both = both.join(of_node.select(F.col("node").alias("b"), F.col("s").alias("y")), "b").select("a", "b", "x", "y")
-    return both.mapInArrow(check, "a long, b long")
+def _roots_of(docs: DataFrame, found: DataFrame, links: DataFrame, rule: Rule, id_col: str, text_col: str) -> DataFrame:
+    """``(node, root)``, written, of the nodes with links."""
+    edges, members = links.where("block IS NULL"), links.where("block IS NOT NULL").select("block", F.col("a").alias("node"))
 
+    def joined(known: DataFrame, more: DataFrame) -> DataFrame:
+        return materialise(components(known.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)))
 
-def _roots_of(docs: DataFrame, found: DataFrame, edges: DataFrame, rule: Rule, id_col: str, text_col: str) -> DataFrame:
-    """``(node, root)`` of the nodes with links."""
-    sure = components(edges.where("d < 0").select("a", "b"))
+    known = materialise(components(edges.where("d < 0").select("a", "b")))
     if isinstance(rule, Radius):
-        return sure
-    sure = materialise(sure)
-    a, b = (sure.select(F.col("node").alias(k), F.col("root").alias(f"r{k}")) for k in "ab")
+        return known
+    a, b = (known.select(F.col("node").alias(k), F.col("root").alias(f"r{k}")) for k in "ab")
     asked = edges.where("d >= 0").join(a, "a", "left").join(b, "b", "left")
     asked = materialise(asked.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b").distinct())
     if asked.isEmpty():
-        return sure
-    more = _confirmed(docs, found, asked, rule, id_col, text_col)
-    return components(sure.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+        return known
+    sets = sets_of(docs, found, asked.select(F.col("a").alias("node")).union(asked.select(F.col("b").alias("node"))), rule.words, id_col, text_col)
+    known = joined(known, confirmed(asked, sets, rule.share))
+    forget(sets)
+    # What is still open between groups is compared in full.
+    left = materialise(crossing(members, known))
+    if left.isEmpty():
+        return known
+    sets = sets_of(docs, found, left, rule.words, id_col, text_col)
+    known = joined(known, linked_blocks(left, sets, rule.share))
+    forget(left, sets)
+    return known
 
 
 def near_duplicates(docs: DataFrame, rule: Rule = Radius(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -435,18 +440,10 @@ def near_duplicates(docs: DataFrame, rule: Rule = Radius(), *, id_col: str = "do
         nodes = materialise(nodes.withColumns({"size": F.lit(0), "fp": F.lit(b"")}))
     else:
         nodes = materialise(nodes.join(found.select(F.col("node").alias("n"), "size", "fp").dropDuplicates(["n"]), F.col("node") == F.col("n")).drop("n"))
-    roots = _roots_of(docs, found, materialise(links(nodes, rule)), rule, id_col, text_col)
-    # Most fingerprints are alone; only those with links have a root to look up.
-    grouped = nodes.join(roots.withColumnRenamed("node", "n"), F.col("node") == F.col("n")).select("node", "m", "first_id", "root")
-    least = materialise(grouped.groupBy(F.col("root").alias("r")).agg(F.min("first_id").alias("component_id")))
-    small = F.broadcast if least.count() <= FEW_KEYS else (lambda df: df)
-    linked = grouped.join(small(least), F.col("root") == F.col("r")).select("node", "m", "component_id", "root")
-    alone = nodes.join(roots.select(F.col("node").alias("n")), F.col("node") == F.col("n"), "left_anti").select(
-        "node", "m", F.col("first_id").alias("component_id"), F.col("node").alias("root")
-    )
-    named = materialise(linked.unionByName(alone))
-    forget(nodes, least)
-    return met(found.select("doc_id", "text_hash", "node"), named, ["node"], FEW_KEYS).select("doc_id", "text_hash", "node", "component_id", "root")
+    pairs = materialise(links(nodes, rule))
+    named = with_components(found.select("doc_id", "text_hash", "node"), nodes, _roots_of(docs, found, pairs, rule, id_col, text_col))
+    forget(nodes, pairs)
+    return named.select("doc_id", "text_hash", "node", "component_id", "root")
 
 
 def keep_one(docs: DataFrame, rule: Rule = Similar(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
