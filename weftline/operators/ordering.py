@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -14,7 +15,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only where none is set and all run on this machine."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='weftline-')}")
         path = spark.sparkContext.getCheckpointDir()
@@ -36,10 +37,12 @@ def written(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table.written_to = path
+    if _open:
+        _open[-1].append(table)
     return table
 
 
-def _delete(spark: SparkSession, folder: str) -> None:
+def delete(spark: SparkSession, folder: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -47,12 +50,29 @@ def _delete(spark: SparkSession, folder: str) -> None:
 def forget(*tables: DataFrame) -> None:
     """Deletes what ``written`` wrote, once nothing is to be computed from these tables any more."""
     for t in tables:
-        _delete(t.sparkSession, t.written_to)
+        delete(t.sparkSession, t.written_to)
+
+
+#: Tables written since each ``only_result`` that has not returned yet.
+_open: list[list[DataFrame]] = []
+
+
+def only_result(make: Callable[[], DataFrame]) -> DataFrame:
+    """``make()`` as a written table; all others that were written on the way are deleted."""
+    _open.append([])
+    result = None
+    try:
+        result = written(make())
+        return result
+    finally:
+        forget(*[t for t in _open.pop() if t is not result])
+        if result is not None and _open:
+            _open[-1].append(result)
 
 
 def clear_written(spark: SparkSession) -> None:
     """Deletes this application's tables; results that were not saved elsewhere need them no more."""
-    _delete(spark, scratch(spark))
+    delete(spark, scratch(spark))
 
 
 def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:

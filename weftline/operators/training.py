@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline.functions import textops as T
+from weftline.operators.ordering import delete
 
 
 def token_loss(rows: DataFrame, by: list[str], loss: str, tokens: str) -> DataFrame:
@@ -50,8 +51,9 @@ def word_decoder(known: list[str], first: int, unk_piece: str = "<unk>"):
     return lambda ids: F.array_join(F.transform(ids, word), " ")
 
 
-def schedule(spark: SparkSession, steps: int, d_model: int, warmup: int, scale: float = 1.0) -> DataFrame:
-    return spark.range(1, steps + 1).select(F.col("id").alias("step"), T.noam_rate(F.col("id"), d_model, warmup, scale).alias("rate"))
+def schedule(steps: DataFrame, step: str, d_model: int, warmup: int, scale: float = 1.0) -> DataFrame:
+    """Adds the learning ``rate`` of each step."""
+    return steps.withColumn("rate", T.noam_rate(F.col(step), d_model, warmup, scale))
 
 
 def patience(history: DataFrame, run: str, step: str, loss: str, limit: int) -> DataFrame:
@@ -71,12 +73,57 @@ def average_checkpoints(parameters: DataFrame, name: str, values: str) -> DataFr
     return mean.groupBy(name).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "v"))), lambda x: x["v"]).alias(values))
 
 
+def checkpoint_name(step: int) -> str:
+    return f"step{step}.parquet"
+
+
+def save_checkpoint(state: DataFrame, folder: str, step: int) -> None:
+    state.write.mode("overwrite").parquet(f"{folder}/{checkpoint_name(step)}")
+
+
+def checkpoints(spark: SparkSession, folder: str) -> DataFrame:
+    """``(path, step)`` of the checkpoints in a folder that any file system of Spark's holds; those not written to the end are left out."""
+    base = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(base, "step*.parquet/_SUCCESS")) or []
+    rows = spark.createDataFrame([(str(f.getPath().getParent().toString()),) for f in found], "path string")
+    return rows.withColumn("step", F.regexp_extract("path", r"step(\d+)\.[^.]*$", 1).cast("long")).where("step IS NOT NULL")
+
+
+def prune_checkpoints(spark: SparkSession, folder: str, keep: int) -> list[str]:
+    """Deletes all checkpoints but the ``keep`` latest; returns what went, in order of steps."""
+    if keep < 1:
+        raise ValueError("at least one checkpoint must stay")
+    # Names in one folder: as many as checkpoints were saved.
+    old = [r["path"] for r in checkpoints(spark, folder).orderBy("step").collect()][:-keep]
+    for path in old:
+        delete(spark, path)
+    return old
+
+
+def resume_point(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The state of the latest whole checkpoint with its ``step``; None if there is none."""
+    last = checkpoints(spark, folder).orderBy(F.desc("step")).first()
+    return None if last is None else spark.read.parquet(last["path"]).withColumn("step", F.lit(last["step"]))
+
+
 def latest_checkpoints(listing: DataFrame, path: str, n: int) -> DataFrame:
     """The last ``n`` by the number at the end of their names."""
     step = F.regexp_extract(path, r"(\d+)\.[^.]*$", 1).cast("long")
     return listing.withColumn("step", step).where("step IS NOT NULL").orderBy(F.desc("step")).limit(n)
 
 
+def k_best(candidates: DataFrame, key: str, score: Column, length: Column, alpha: float, order: Column, k: int) -> DataFrame:
+    """The ``k`` candidates of each key with the best length-normalised scores, with ``score`` and ``place`` from 0.
+
+    Every task keeps the best ``k`` of its own before the shuffle, so a key
+    with very many candidates sends few of them.
+    """
+    value = candidates.withColumns({"score": score / T.length_penalty(length, alpha), "__o": order})
+    over = W.partitionBy(key).orderBy(F.desc("score"), "__o")
+    return value.withColumn("__k", F.row_number().over(over)).where(F.col("__k") <= k).withColumn("place", F.col("__k").cast("long") - 1).drop("__k", "__o")
+
+
 def best_candidate(candidates: DataFrame, key: str, score: Column, length: Column, alpha: float, order: Column, keep: str) -> DataFrame:
     """Of each key the candidate with the best length-normalised score; of equals the first."""
     value = score / T.length_penalty(length, alpha)

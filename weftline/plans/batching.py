@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from weftline.functions import arrays as A
 from weftline.functions import textops as T
 from weftline.operators import packing
 from weftline.operators import training as R
+from weftline.operators.ordering import scratch
 from weftline.plans import tables as P
 
 
@@ -85,9 +88,49 @@ def loader_batches(spark, sf_dir):
     return done.select("place", "width", F.size("padded").cast("long").alias("n"), F.size(F.flatten("padded")).cast("long").alias("cells"))
 
 
+def train_batches(spark, sf_dir):
+    """Two epochs of batches under a token budget, in noisy order of size, with their seeded turns."""
+    rows = packing.train_batches(_encoded(spark, sf_dir), F.size("ids"), "ordinal", 1000, seed=7, n_epochs=2, noise=8)
+    return rows.select("epoch", "batch", "place", "ordinal")
+
+
+def _folder(spark):
+    return f"{scratch(spark)}/{uuid.uuid4().hex}"
+
+
+def loader_shards(spark, sf_dir):
+    """The batches of ``loader_batches`` as three workers read them from files, the second of them resumed at its step 2."""
+    rows = packing.epochs(_encoded(spark, sf_dir, 128), F.size("ids"), "ordinal", 32, seed=7, n_epochs=1, noise=4)
+    path = _folder(spark)
+    packing.write_shards(packing.collated(rows, "place", "ids", "ordinal"), path, 3)
+    read = [packing.read_shard(spark, path, w, 2 if w == 1 else 0) for w in range(3)]
+    out = read[0].unionByName(read[1]).unionByName(read[2])
+    return out.select(F.col("worker").cast("long").alias("worker"), "step", "place", "width", F.size("padded").cast("long").alias("n"))
+
+
+def restored_order(spark, sf_dir):
+    """Sequences after length-sorted batches, put back into the order of their ordinals."""
+    batches = packing.length_batches(_encoded(spark, sf_dir, 128), F.size("ids"), "ordinal", 32)
+    done = packing.collated(batches, "batch", "ids", "ordinal")
+    return packing.restored(done, "ordinals", "padded").select("ordinal", F.col("rank").alias("place"), _text(A.strip_special(F.col("value"))).alias("bare"))
+
+
+def attention_masks(spark, sf_dir):
+    """How many positions each sequence of a padded batch has, and how many pairs of positions may see each other."""
+    batches = packing.length_batches(_encoded(spark, sf_dir, 128), F.size("ids"), "ordinal", 32)
+    each = packing.collated(batches, "batch", "ids", "ordinal").select("batch", F.explode(F.arrays_zip("ordinals", "padded")).alias("x"))
+    count = lambda mask: F.aggregate(mask, F.lit(0).cast("long"), lambda s, x: s + x.cast("long"))
+    ids = F.col("x.padded")
+    return each.select(F.col("x.ordinals").alias("ordinal"), count(A.padding_mask(ids)).alias("real"), F.size(ids).cast("long").alias("width"), count(F.flatten(A.causal_mask(ids))).alias("seen"))
+
+
 def lr_schedule(spark, sf_dir):
-    rates = R.schedule(spark, 2000, 512, 400)
-    return rates.select("step", F.round("rate", 9).alias("rate"), F.round(T.length_penalty(F.col("step"), 0.6), 6).alias("penalty"), F.round(T.perplexity(F.col("step") / 100.0), 4).alias("perplexity"))
+    """Learning rate, length penalty and capped perplexity at steps that order keys stand for."""
+    rates = R.schedule(P.table(spark, sf_dir, "orders"), "o_orderkey", 512, 400)
+    step = F.col("o_orderkey")
+    return rates.select(
+        step.alias("step"), F.round("rate", 9).alias("rate"), F.round(T.length_penalty(step, 0.6), 6).alias("penalty"), F.round(T.perplexity(step / 100.0), 4).alias("perplexity")
+    )
 
 
 def token_loss(spark, sf_dir):
@@ -110,6 +153,26 @@ def latest_checkpoints(spark, sf_dir):
     return R.latest_checkpoints(names, "path", 5)
 
 
+def checkpoint_files(spark, sf_dir):
+    """Parameters (means of embeddings by label) saved at five steps, pruned to the last three; what a restart then loads."""
+    folder = _folder(spark)
+    rows = P.table(spark, sf_dir, "embeddings")
+    for step in (500, 1000, 9500, 10000, 20000):
+        seen = rows.where(F.col("vec_id") % 20000 < step)
+        R.save_checkpoint(R.average_checkpoints(seen, "label", "embedding"), folder, step)
+    gone = len(R.prune_checkpoints(spark, folder, 3))
+    left = R.checkpoints(spark, folder).agg(F.array_join(F.transform(F.sort_array(F.collect_list("step")), lambda x: x.cast("string")), " ").alias("steps"))
+    state = R.resume_point(spark, folder).select("label", "step", F.posexplode("embedding").alias("pos", "v"))
+    return state.join(F.broadcast(left)).select("label", F.col("pos").cast("long").alias("pos"), F.round("v", 5).alias("v"), "step", "steps", F.lit(gone).cast("long").alias("pruned"))
+
+
+def beam_candidates(spark, sf_dir):
+    """The five best candidates of each sentence; events stand for candidates, users for sentences."""
+    rows = P.table(spark, sf_dir, "events")
+    best = R.k_best(rows, "user_id", -F.col("value"), F.length("props"), 0.6, F.col("event_id"), 5)
+    return best.select("user_id", "event_id", "place", F.round("score", 6).alias("score"))
+
+
 def best_hypothesis(spark, sf_dir):
     rows = P.table(spark, sf_dir, "events")
     best = R.best_candidate(rows, "user_id", -F.col("value"), F.length("props"), 0.6, F.col("event_id"), "event_id")
@@ -127,6 +190,7 @@ QUERIES = {
     for f in (
         encode_frame, decoder_shift, length_batches, token_batches, pad_batch, short_items, unknown_rate, roundtrip_rate, lr_schedule, token_loss,
         early_stop, checkpoint_average, latest_checkpoints, best_hypothesis, repeat_blocks, epoch_order, loader_batches,
+        train_batches, loader_shards, restored_order, attention_masks, checkpoint_files, beam_candidates,
     )
 }
 
@@ -168,8 +232,27 @@ ORACLES = {
         SELECT unknown, tokens, round(unknown::DOUBLE / tokens, 6) AS rate FROM u""",
     "roundtrip_rate": f"""WITH {VOCAB} SELECT count(*) AS n, count(*) FILTER (coalesce(unknown, 0) = 0) AS matches
         FROM conversations LEFT JOIN coded ON coded.ordinal = conv_id * 1000 + turn""",
-    "lr_schedule": """SELECT step, round(power(512.0::DOUBLE, -0.5) * least(power(step::DOUBLE, -0.5), step * power(400.0::DOUBLE, -1.5)), 9) AS rate,
-        round(power((step + 5) / 6.0::DOUBLE, 0.6), 6) AS penalty, round(exp(least(step / 100.0::DOUBLE, 20.0)), 4) AS perplexity FROM range(1, 2001) t(step)""",
+    "train_batches": f"""WITH RECURSIVE {ENC}, n AS (SELECT epoch, ordinal, len(ids) AS size, len(ids) + {DRAW.format("'7:' || epoch || ':' || ordinal")} % 9 AS noisy FROM e, range(2) t(epoch)),
+      s AS (SELECT epoch, ordinal, size, row_number() OVER (PARTITION BY epoch ORDER BY noisy, ordinal) AS k FROM n),
+      p AS (SELECT epoch, k, size AS widest, 1 AS n, 0::BIGINT AS batch FROM s WHERE k = 1
+        UNION ALL SELECT s.epoch, s.k, CASE WHEN greatest(widest, size) * (n + 1) > 1000 THEN size ELSE greatest(widest, size) END,
+          CASE WHEN greatest(widest, size) * (n + 1) > 1000 THEN 1 ELSE n + 1 END, CASE WHEN greatest(widest, size) * (n + 1) > 1000 THEN batch + 1 ELSE batch END
+        FROM p JOIN s ON s.k = p.k + 1 AND s.epoch = p.epoch),
+      b AS (SELECT epoch, batch, row_number() OVER (PARTITION BY epoch ORDER BY md5('7:' || epoch || ':' || batch), batch) - 1 AS place FROM (SELECT DISTINCT epoch, batch FROM p))
+      SELECT epoch, batch, place, ordinal FROM p JOIN s USING (epoch, k) JOIN b USING (epoch, batch)""",
+    "loader_shards": f"""WITH {CUT}, {EPOCHS} SELECT place % 3 AS worker, place // 3 AS step, place, max(size)::BIGINT AS width, count(*) AS n FROM o
+      WHERE epoch = 0 AND NOT (place % 3 = 1 AND place // 3 < 2) GROUP BY place""",
+    "restored_order": f"""WITH {CUT} SELECT ordinal, row_number() OVER (ORDER BY ordinal) - 1 AS place,
+        {J.format('list_filter(ids[1:list_position(ids, 3) - 1], lambda x: x NOT IN (0, 2))')} AS bare FROM e""",
+    "attention_masks": f"""WITH {CUT}, {SORTED}, b AS (SELECT (k - 1) // 32 AS batch, max(size)::BIGINT AS width FROM s GROUP BY 1)
+        SELECT ordinal, size::BIGINT AS real, width, width * (width + 1) // 2 AS seen FROM s JOIN b ON (k - 1) // 32 = batch""",
+    "checkpoint_files": """WITH u AS (SELECT label, unnest(range(0, len(embedding))) AS pos, unnest(embedding)::DOUBLE AS v FROM embeddings)
+        SELECT label, pos, round(avg(v), 5) AS v, 20000::BIGINT AS step, '9500 10000 20000' AS steps, 2::BIGINT AS pruned FROM u GROUP BY label, pos""",
+    "beam_candidates": """WITH c AS (SELECT user_id, event_id, -value / power((length(props) + 5) / 6.0::DOUBLE, 0.6) AS score FROM events)
+        SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, event_id) - 1 AS place, round(score, 6) AS score FROM c
+        QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY score DESC, event_id) <= 5""",
+    "lr_schedule": """SELECT o_orderkey AS step, round(power(512.0::DOUBLE, -0.5) * least(power(greatest(o_orderkey, 1)::DOUBLE, -0.5), greatest(o_orderkey, 1) * power(400.0::DOUBLE, -1.5)), 9) AS rate,
+        round(power((o_orderkey + 5) / 6.0::DOUBLE, 0.6), 6) AS penalty, round(exp(least(o_orderkey / 100.0::DOUBLE, 20.0)), 4) AS perplexity FROM orders""",
     "token_loss": "SELECT l_returnflag, round(sum(l_tax) / greatest(sum(l_quantity), 1), 9) AS loss FROM lineitem GROUP BY 1",
     "early_stop": """WITH m AS (SELECT year(o_orderdate) AS run, month(o_orderdate) AS step, round(avg(o_totalprice), 2) AS loss FROM orders GROUP BY 1, 2),
         b AS (SELECT *, min(loss) OVER (PARTITION BY run ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM m),
