@@ -143,7 +143,8 @@ def test_command_lines_end_to_end(spark, tmp_path):
     (tmp_path / "val.json").write_text(json.dumps(val, indent=1))
     (tmp_path / "hyps.json").write_text(json.dumps({"English-Hindi": {"1": "a", "2": " b  c "}}))
     at = lambda name: str(tmp_path / name)
-    main(["lid", "--raw", at("raw"), "--out", at("lid.json"), "--langs", "en", "hi", "bn", "--limit", "50"])
+    main(["lid", "--raw", at("raw"), "--out", at("lid.json"), "--langs", "en", "hi", "bn", "--limit", "50", "--holdout", "0"])
+    main(["lid", "--raw", at("raw"), "--out", at("lid2.json"), "--langs", "en", "hi", "bn", "--holdout", "1"])
     main(["prepare", "--raw", at("raw"), "--out", at("clean"), "--lid", at("lid.json"), "--langs", "en", "hi", "bn", "--validation", at("val.json"), "--section", "English-Hindi=hi"])
     report = json.loads(spark.read.text(at("clean/report.json"), wholetext=True).first()["value"])
     assert report["per_file"]["en_hi/train"] == {"read": 3, "kept": 1, "dropped_duplicate": 1, "dropped_leaked_into_eval": 1}
@@ -156,3 +157,19 @@ def test_command_lines_end_to_end(spark, tmp_path):
     assert scores == {"overall": 1.0, "hi": 1.0, "bn": 1.0}
     main(["submit", "--validation", at("val.json"), "--section", "English-Hindi=hi", "--hyps", at("hyps.json"), "--tm", at("clean/tm_all.json"), "--out", at("answer")])
     assert only_file(tmp_path / "answer").decode() == f'"ID"\t"Translation"\r\n"1"\t"{text["hi"]}"\r\n"2"\t"b c"\r\n'
+
+
+def test_gate_command_fails_on_leaks(spark, tmp_path):
+    from weftline.__main__ import main
+
+    raw = tmp_path / "raw" / "en_fr"
+    raw.mkdir(parents=True)
+    for split, at in (("train", 0), ("dev", 100), ("test", 200)):
+        lines = [f"this sentence says number w{k} x{k * 7}\tce texte dit u{k} v{k * 3} z{k * 5} q{k}\n" for k in range(at, at + 20)]
+        (raw / f"{split}.tsv").write_text("".join(lines))
+    main(["prepare", "--raw", str(tmp_path / "raw"), "--out", str(tmp_path / "clean"), "--langs", "fr"])
+    main(["gate", "--out", str(tmp_path / "clean")])
+    leak = next((tmp_path / "clean" / "pairs" / "en_fr" / "dev.tsv").glob("part-*")).read_text().splitlines()[0]
+    (tmp_path / "clean" / "pairs" / "en_fr" / "train.tsv" / "part-leak").write_text(leak + "\n")
+    with pytest.raises(SystemExit):
+        main(["gate", "--out", str(tmp_path / "clean")])

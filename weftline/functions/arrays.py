@@ -94,25 +94,23 @@ def item_size(src: Column, tgt: Column | None = None) -> Column:
     return F.size(src) if tgt is None else F.greatest(F.size(src), F.coalesce(F.size(tgt), F.lit(0)))
 
 
-@F.pandas_udf(LongType())
-def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Length of the longest common subsequence, a bit for each token of ``a``.
+def common_length(x: list[str], y: list[str]) -> int:
+    """Length of the longest common subsequence, a bit for each token of ``x``.
 
     A row of the dynamic program is one integer, so a pair costs as many big
-    integer steps as ``b`` has tokens.
+    integer steps as ``y`` has tokens.
     """
+    at: dict[str, int] = {}
+    for i, t in enumerate(x):
+        at[t] = at.get(t, 0) | 1 << i
+    full = (1 << len(x)) - 1
+    row = full
+    for t in y:
+        m = row & at.get(t, 0)
+        row = (row + m | row - m) & full
+    return len(x) - row.bit_count()
+
 
-    def one(x, y) -> int:
-        if x is None or y is None:
-            return 0
-        at: dict = {}
-        for i, t in enumerate(x):
-            at[t] = at.get(t, 0) | 1 << i
-        full = (1 << len(x)) - 1
-        row = full
-        for t in y:
-            m = row & at.get(t, 0)
-            row = (row + m | row - m) & full
-        return len(x) - row.bit_count()
-
-    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="int64")
+@F.pandas_udf(LongType())
+def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([0 if x is None or y is None else common_length(x, y) for x, y in zip(a, b, strict=True)], dtype="int64")

@@ -6,7 +6,9 @@ white space spelled out, since Java's ``\\s`` is ASCII only.
 
 from __future__ import annotations
 
+import sys
 import unicodedata
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -24,12 +26,39 @@ DANDA, BENGALI_FOUR, PASEQ = "\u0964", "\u09f7", "\u05c0"
 ASSAMESE = r"[\x{09F0}\x{09F1}]"
 
 
+@cache
+def uncomposed() -> str:
+    """A character class: any text without its members is composed.
+
+    Members are marks with a combining class, characters that composition
+    replaces, and those that it may join to the one before: the second parts of
+    canonical pairs, and the vowels and finals of Hangul syllables.
+    """
+    found = set(range(0x1161, 0x1176)) | set(range(0x11A8, 0x11C3))
+    for c in range(0xC0, sys.maxunicode + 1):
+        x = chr(c)
+        if unicodedata.combining(x) or not unicodedata.is_normalized("NFC", x):
+            found.add(c)
+        parts = unicodedata.decomposition(x).split()
+        if len(parts) == 2 and not parts[0].startswith("<"):
+            found.add(int(parts[1], 16))
+    starts = sorted(c for c in found if c - 1 not in found)
+    ends = sorted(c for c in found if c + 1 not in found)
+    return "[" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in zip(starts, ends, strict=True)) + "]"
+
+
 @F.pandas_udf(StringType())
-def nfc(text: pd.Series) -> pd.Series:
-    """Unicode canonical composition, which Spark has no function for."""
+def _composed(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
 
+def nfc(text: Column) -> Column:
+    """Unicode canonical composition, which Spark has no function for: only texts that may need it go to Python."""
+    # Most texts hold nothing above U+02FF, which one cheap look tells.
+    doubtful = text.rlike(r"[^\x00-\x{2FF}]") & text.rlike(uncomposed())
+    return F.coalesce(_composed(F.when(doubtful, text)), text)
+
+
 def strip_digit_prefix(text: Column) -> Column:
     """Without a leading number and colon, in any script's digits."""
     return F.regexp_replace(text, DIGIT_PREFIX, "")

@@ -6,8 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions import textops as T
+from weftline.operators.membership import may_hold
 from weftline.operators.ordering import global_rank, written
 
+#: Keys (32 bytes each) that are broadcast, and keys for which a filter (2 to 4 bytes each) is.
+FEW_KEYS, MOST_KEYS = 500_000, 50_000_000
+
 
 def pairs_of(conversations: DataFrame) -> DataFrame:
     """User turns with the assistant turn that follows: ``conv_id, turn, src, tgt``.
@@ -35,29 +39,53 @@ def first_of_each(rows: DataFrame, keys: list[str], ordinal: str, keep: list[str
 
 
 def without_leaks(train: DataFrame, held: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of ``train`` whose keys are in no held-out row; which join is up to the optimiser."""
-    known = held.select(hash_key(*keys).alias("__held")).distinct()
-    return train.withColumn("__key", hash_key(*keys)).join(known, F.col("__key") == F.col("__held"), "left_anti").drop("__key")
+    """Rows of ``train`` whose keys are in no held-out row.
+
+    Few held-out keys are broadcast. Of more a Bloom filter is, so that only
+    the rows that it suspects are shuffled, and what it clears passes where it
+    is. Beyond ``MOST_KEYS`` the optimiser joins both sides.
+    """
+    known = written(held.select(hash_key(*keys).alias("__held")).distinct())
+    n = known.count()
+    rows = train.withColumn("__key", hash_key(*keys))
+    same = F.col("__key") == F.col("__held")
+    if not FEW_KEYS < n <= MOST_KEYS:
+        return rows.join(F.broadcast(known) if n <= FEW_KEYS else known, same, "left_anti").drop("__key")
+    rows = rows.withColumn("__maybe", may_hold(known.select("__held.*"), n)(F.col("__key")))
+    clear, suspect = (rows.where(c).drop("__maybe") for c in (~F.col("__maybe"), F.col("__maybe")))
+    return clear.unionByName(suspect.join(known.hint("shuffle_hash"), same, "left_anti")).drop("__key")
 
 
 def translation_memory(rows: DataFrame, keys: list[str], target: str, ordinal: Column) -> DataFrame:
-    """The commonest target of each key; of equals the one seen first."""
-    counted = rows.groupBy(*keys, target).agg(F.count("*").alias("__n"), F.min(ordinal).alias("__first"))
+    """The commonest target of each key; of equals the one seen first. Keys travel as hashes, texts once for each key and target."""
+    hashed = rows.select(hash_key(*keys).alias("__key"), hash_key(target).alias("__target"), *keys, target, ordinal.alias("__o"))
+    counted = hashed.groupBy("__key", "__target").agg(F.count("*").alias("__n"), F.min("__o").alias("__first"), F.first(F.struct(*keys, target)).alias("__x"))
     best = F.struct(F.col("__n"), (-F.col("__first")).alias("__f"))
-    return counted.groupBy(*keys).agg(F.max_by(target, best).alias(target), F.max(best).getField("__n").alias("n"))
+    top = counted.groupBy("__key").agg(F.max_by("__x", best).alias("__x"), F.max("__n").alias("n"))
+    return top.select(*[F.col("__x").getField(c).alias(c) for c in (*keys, target)], "n")
 
 
 def coverage(items: DataFrame, memory: DataFrame, keys: list[str], by: str) -> DataFrame:
-    """``(by, records, hits, pct)``: how many items the memory has; one left join."""
-    known = memory.select(*keys).distinct().withColumn("__hit", F.lit(1))
-    joined = items.join(known, keys, "left").groupBy(by).agg(F.count("*").alias("records"), F.count("__hit").alias("hits"))
+    """``(by, records, hits, pct)``: how many items the memory has; one left join on hashes."""
+    known = memory.select(hash_key(*keys).alias("__m"), F.lit(1).alias("__hit")).distinct()
+    asked = items.select(by, F.when(_whole(keys), hash_key(*keys)).alias("__key"))
+    joined = asked.join(known, F.col("__key") == F.col("__m"), "left").groupBy(by).agg(F.count("*").alias("records"), F.count("__hit").alias("hits"))
     return joined.withColumn("pct", F.round(100.0 * F.col("hits") / F.col("records"), 2))
 
 
+def _whole(keys: list[str]) -> Column:
+    """Whether no key is null: a null key equals none."""
+    out = F.lit(True)
+    for k in keys:
+        out = out & F.col(k).isNotNull()
+    return out
+
+
 def apply_memory(items: DataFrame, memory: DataFrame, hypotheses: DataFrame, keys: list[str], id_col: str) -> DataFrame:
     """Each item's text: from the memory, else from its hypothesis, else empty; with ``origin``."""
-    tm = memory.select(*keys, F.col("tgt").alias("__tm"))
-    out = items.join(tm, keys, "left").join(hypotheses.select(id_col, F.col("hyp").alias("__hyp")), id_col, "left")
+    tm = memory.select(hash_key(*keys).alias("__m"), F.col("tgt").alias("__tm"))
+    asked = items.withColumn("__key", F.when(_whole(keys), hash_key(*keys)))
+    out = asked.join(tm, F.col("__key") == F.col("__m"), "left").join(hypotheses.select(id_col, F.col("hyp").alias("__hyp")), id_col, "left")
     text = F.coalesce("__tm", "__hyp", F.lit(""))
     origin = F.when(F.col("__tm").isNotNull(), "memory").when(F.col("__hyp").isNotNull(), "hypothesis").otherwise("missing")
     return out.select(*items.columns, T.squeeze(text).alias("text"), origin.alias("origin"))

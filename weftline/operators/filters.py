@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from weftline.config import DEFAULT, Config
@@ -44,20 +46,35 @@ def drop_reason(config: Config = DEFAULT, predicted: Column | None = None) -> Co
 
 
 def filtered(pairs: DataFrame, config: Config = DEFAULT, lid=None) -> DataFrame:
-    """Cleaned ``pairs`` with ``reason``. With a language model only rows that pass the cheap tests are scored."""
+    """Cleaned ``pairs`` with ``reason``. With a language model only rows that pass the cheap tests are scored, where they are."""
+    cheap = pairs.withColumn("reason", drop_reason(config))
     if lid is None:
-        return pairs.withColumn("reason", drop_reason(config))
+        return cheap
     from weftline.operators import langid
 
-    # 128 bits of what the language check reads: rows that agree in them get one answer.
-    key = F.concat(F.hex(F.xxhash64("tgt")), F.lit("."), F.hex(F.xxhash64(F.lit(1), "tgt")))
-    cheap = pairs.withColumn("reason", drop_reason(config)).withColumn("__row", key)
-    ask = cheap.where((F.col("reason").isNull() | (F.col("reason") == "length_ratio")) & (F.length("tgt") >= config.min_length_for_lid))
-    said = langid.predict(ask.select("__row", "tgt").dropDuplicates(["__row"]), lid, "__row", "tgt", config).select("__row", "predicted")
-    joined = cheap.join(said, "__row", "left")
-    asked = F.col("reason").isNull() | (F.col("reason") == "length_ratio")
-    mismatch = asked & (F.length("tgt") >= config.min_length_for_lid) & (F.col("predicted") != F.col("lang"))
-    return joined.withColumn("reason", F.when(F.coalesce(mismatch, F.lit(False)), F.lit("lid_language_mismatch")).otherwise(F.col("reason"))).drop("__row", "predicted")
+    asked = (F.col("reason").isNull() | (F.col("reason") == "length_ratio")) & (F.length("tgt") >= config.min_length_for_lid)
+    said = cheap.withColumn("__said", langid.predictor(lid, config)(F.when(asked, F.col("tgt"))))
+    return said.withColumn("reason", F.when(F.col("__said") != F.col("lang"), F.lit("lid_language_mismatch")).otherwise(F.col("reason"))).drop("__said")
+
+
+REASONS = ("empty_field", "src_equals_tgt", "wrong_script", "assamese_target", "lid_language_mismatch", "length_ratio", "duplicate", "leaked_into_eval")
+FLAGS = ("digit_prefix_stripped", "digit_prefix_stripped_src", "normalised")
+
+
+def observed(rows: DataFrame, by: str, values: list[str]) -> tuple[DataFrame, Callable[[], list[tuple[str, str, int]]]]:
+    """``rows`` as they are, and after an action on them the counters ``(value, counter, n)`` above zero of each of a few ``values``.
+
+    They are counted in the pass that writes the rows. Spark takes a task's
+    counts once, when it succeeds in the stage that writes, so tasks that are
+    run again don't add to them; no shuffle may come after.
+    """
+    seen = Observation()
+    reason = F.col("reason")
+    tests = {"read": F.lit(True), "kept": reason.isNull()}
+    tests |= {f"dropped_{r}": reason == r for r in REASONS} | {f: F.array_contains("flags", f) for f in FLAGS}
+    names = {f"c{i}": (v, c) for i, (v, c) in enumerate((v, c) for v in values for c in tests)}
+    out = rows.observe(seen, *[F.count_if((F.col(by) == v) & tests[c]).alias(k) for k, (v, c) in names.items()])
+    return out, lambda: [(*names[k], n) for k, n in seen.get.items() if n]
 
 
 def report(rows: DataFrame, by: str) -> DataFrame:

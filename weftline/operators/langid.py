@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -220,13 +221,41 @@ class Scorer:
         return out
 
 
-def _scored(rows: DataFrame, model: Model, key: str, text: str, config: Config) -> tuple[DataFrame, list[Column]]:
-    """``(key, score)`` with an array of scores, and a struct ``cls, place, score`` for each class; rows are scored where they are."""
+def _packed(model: Model, config: Config):
+    """Classes in their order, and the model as a broadcast: at most the feature limit of each class, a bounded table."""
     names = [tuple(r) for r in model.classes.select("cls", "place", "log_prior", "log_unseen").orderBy("place").collect()]
     at = {c: k for k, (c, *_) in enumerate(names)}
-    # At most the feature limit of each class: a bounded table.
     grams = [(at[c], g, p) for c, g, p in model.grams.select("cls", "gram", "log_prob").collect()]
-    packed = rows.sparkSession.sparkContext.broadcast((grams, [x[2] for x in names], [x[3] for x in names], tuple(config.lid_orders)))
+    return names, model.classes.sparkSession.sparkContext.broadcast((grams, [x[2] for x in names], [x[3] for x in names], tuple(config.lid_orders)))
+
+
+def predictor(model: Model, config: Config = DEFAULT):
+    """A column function from texts to the class with the best score, null for null; of scores equal to nine places the class named first.
+
+    Texts are scored in Arrow batches where the rows are. Give null for rows
+    that need no answer: they cost nothing.
+    """
+    names, packed = _packed(model, config)
+    order = np.argsort([p for _, p, *_ in names], kind="stable")
+
+    @F.pandas_udf("string")
+    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        scorer = None
+        for b in batches:
+            some = b.notna().to_numpy()
+            out = np.full(len(b), None, object)
+            if some.any():
+                scorer = scorer or Scorer(*packed.value)
+                got = np.round(scorer(b[some].tolist())[:, order], 9)
+                out[some] = [names[order[k]][0] for k in got.argmax(axis=1)]
+            yield pd.Series(out, index=b.index)
+
+    return predict
+
+
+def _scored(rows: DataFrame, model: Model, key: str, text: str, config: Config) -> tuple[DataFrame, list[Column]]:
+    """``(key, score)`` with an array of scores, and a struct ``cls, place, score`` for each class; rows are scored where they are."""
+    names, packed = _packed(model, config)
     kind = rows.select(key).schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,17 +1,23 @@
-"""Corpus BLEU, ROUGE-L and chrF++ over ``(id, hyp, ref)`` rows, overall and by slice.
+"""Corpus BLEU, ROUGE-L and chrF++ over ``(hyp, ref)`` rows, overall and by slice.
 
-Rows are partitioned by ``id`` once, while they are short; n-grams explode
-inside that partitioning, so no n-gram is shuffled. Counters add up, so all
-slices come from one pass over grouping sets.
+Tokens are made in the JVM; Arrow batches then count n-grams where the rows
+are, and send a row of sums for each slice and order. Sums add up, so all
+slices and all metrics come from one scan and no text or n-gram is shuffled.
+A null side counts as an empty text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions import arrays as A
 from weftline.functions import textops as T
+from weftline.operators.ordering import written
 
 #: The least positive normal double, which stands for a precision of zero.
 TINY = 2.2250738585072014e-308
@@ -26,33 +32,87 @@ def zipped(hyp: DataFrame, ref: DataFrame, ordinal: str = "ordinal") -> DataFram
     return hyp.select(ordinal, "hyp").join(ref.select(ordinal, "ref"), ordinal)
 
 
-def _overlap(rows: DataFrame, slice_col: str | None, grams: list[tuple[str, int, Column, Column]]) -> DataFrame:
-    """``(slice, kind, n, matches, hyp_n, ref_n)`` summed over rows; ``slice`` null is overall."""
-    tagged = rows.withColumn("__slice", F.col(slice_col) if slice_col else F.lit(None).cast("string")).repartition("id")
-
-    def side(kind: str, n: int, array: Column, h: int) -> Column:
-        return F.transform(array, lambda g: F.struct(F.lit(kind).alias("kind"), F.lit(n).alias("n"), g.alias("gram"), F.lit(h).alias("h"), F.lit(1 - h).alias("r")))
-
-    both = F.concat(*[side(k, n, x, h) for k, n, a, b in grams for h, x in ((1, a), (0, b))])
-    counted = (
-        tagged.select("id", "__slice", F.explode(both).alias("g")).select("id", "__slice", "g.*")
-        .groupBy("id", "__slice", "kind", "n", "gram").agg(F.sum("h").alias("h"), F.sum("r").alias("r"))
-    )
-    sums = [F.sum(F.least("h", "r")).alias("matches"), F.sum("h").alias("hyp_n"), F.sum("r").alias("ref_n")]
+def _clipped(tokens: np.ndarray, lengths: np.ndarray, hyp: np.ndarray, group: np.ndarray, orders: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each order sums of matches, hypothesis and reference n-grams by group: ``(n, 3 x groups)``.
+
+    Texts follow each other in ``tokens``, two for each row; ``hyp`` says which
+    are hypotheses, ``group`` is each row's. An n-gram of a row is numbered by
+    that of one token less and its last token, so numbers stay exact.
+    """
+    rows = np.repeat(np.arange(len(lengths)) // 2, lengths)
+    own = np.repeat(hyp, lengths)
+    left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(tokens))
+    base = int(tokens.max(initial=0)) + 1
+    at, ids = np.arange(len(tokens)), rows
+    for n in range(1, orders + 1):
+        keep = left[at] >= n
+        at, ids = at[keep], ids[keep]
+        _, first, ids = np.unique(ids * base + tokens[at + n - 1], return_index=True, return_inverse=True)
+        h, r = np.bincount(ids[own[at]], minlength=len(first)), np.bincount(ids[~own[at]], minlength=len(first))
+        g = group[rows[at[first]]] if len(at) else np.empty(0, np.int64)
+        yield n, np.stack([np.bincount(g, x, minlength=int(group.max(initial=0)) + 1) for x in (np.minimum(h, r), h, r)]).astype(np.int64)
+
+
+def _numbered(texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of all texts as numbers, and how many each has."""
+    flat = pa.array([t for x in texts for t in x], pa.string()).dictionary_encode()
+    return flat.indices.to_numpy().astype(np.int64), np.fromiter(map(len, texts), np.int64, len(texts))
+
+
+def _characters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    flat = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return flat.astype(np.int64), np.fromiter(map(len, texts), np.int64, len(texts))
+
+
+def _rouge(ref: list[str], hyp: list[str]) -> float:
+    l = A.common_length(ref, hyp)
+    if not l:
+        return 0.0
+    r, p = l / len(ref), l / len(hyp)
+    beta2 = (p / (r + 1e-12)) ** 2
+    return (1 + beta2) * r * p / (r + beta2 * p + 1e-12)
+
+
+def _sums(rows: DataFrame, slice_col: str | None, *, tokens: int = 0, rouge: bool = False, chars: int = 0, words: int = 0) -> DataFrame:
+    """``(slice, kind, n, matches, hyp_n, ref_n, value)``: n-grams of kind ``t``, ``c`` and ``w`` up to these orders; ROUGE-L and rows as ``rouge``."""
+    empty = F.array().cast("array<string>")
+    made = {"t": A.tokens, "c": T.drop_space, "w": A.words}
+    asked = [k for k, on in (("t", tokens or rouge), ("c", chars), ("w", words)) if on]
+    cols = [F.coalesce(made[k](F.col(c)), F.lit("") if k == "c" else empty).alias(f"{c}_{k}") for k in asked for c in ("hyp", "ref")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names = b.column(0).dictionary_encode(null_encoding="encode")
+            group, slices = names.indices.to_numpy().astype(np.int64), names.dictionary.to_pylist()
+            out = []
+            for k, n in (("t", tokens), ("c", chars), ("w", words)):
+                if not n or not b.num_rows:
+                    continue
+                at = 1 + 2 * asked.index(k)
+                texts = [x for pair in zip(b.column(at).to_pylist(), b.column(at + 1).to_pylist(), strict=True) for x in pair]
+                flat, lengths = _characters(texts) if k == "c" else _numbered(texts)
+                for order, sums in _clipped(flat, lengths, np.arange(len(texts)) % 2 == 0, group, n):
+                    out += [(slices[g], k, order, *sums[:, g].tolist(), 0.0) for g in range(len(slices))]
+            if rouge and b.num_rows:
+                value = np.array([_rouge(r, h) for h, r in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)])
+                sums, count = np.bincount(group, value, len(slices)), np.bincount(group, minlength=len(slices))
+                out += [(slices[g], "rouge", 0, int(count[g]), 0, 0, float(sums[g])) for g in range(len(slices))]
+            parts = list(zip(*out, strict=True)) or [()] * 7
+            kinds = (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(parts, kinds, strict=True)], ["slice", "kind", "n", "matches", "hyp_n", "ref_n", "value"])
+
+    picked = rows.select((F.col(slice_col).cast("string") if slice_col else F.lit(ALL)).alias("slice"), *cols)
+    sums = picked.mapInArrow(run, "slice string, kind string, n int, matches long, hyp_n long, ref_n long, value double")
+    aggs = [F.sum(c).alias(c) for c in ("matches", "hyp_n", "ref_n", "value")]
     if slice_col is None:
-        return counted.groupBy("kind", "n").agg(*sums).withColumn("slice", F.lit(ALL))
-    sets = [[F.col("kind"), F.col("n")], [F.col("kind"), F.col("n"), F.col("__slice")]]
-    out = counted.groupingSets(sets, "kind", "n", "__slice").agg(*sums, F.grouping_id().alias("__g"))
-    return out.withColumn("slice", F.when(F.col("__g") == 0, F.col("__slice")).otherwise(F.lit(ALL))).drop("__g", "__slice")
+        return sums.groupBy("slice", "kind", "n").agg(*aggs)
+    out = sums.groupingSets([[F.col("kind"), F.col("n")], [F.col("kind"), F.col("n"), F.col("slice")]], "kind", "n", "slice").agg(*aggs, F.grouping_id().alias("__g"))
+    return out.withColumn("slice", F.when(F.col("__g") == 0, F.col("slice")).otherwise(F.lit(ALL))).drop("__g")
 
 
-def bleu(rows: DataFrame, slice_col: str | None = None) -> DataFrame:
-    """``(slice, bleu)``: BLEU-4 with equal weights and no smoothing, 0 without a match or without n-grams of an order."""
-    split = rows.withColumns({"__h": A.tokens(F.col("hyp")), "__r": A.tokens(F.col("ref"))})
-    grams = [("w", n, A.shingles(F.col("__h"), n, " "), A.shingles(F.col("__r"), n, " ")) for n in range(1, 5)]
-    stats = _overlap(split, slice_col, grams)
+def _bleu(sums: DataFrame) -> DataFrame:
     pick = lambda c, n: F.coalesce(F.sum(F.when(F.col("n") == n, F.col(c))), F.lit(0)).alias(f"{c}{n}")
-    wide = stats.groupBy("slice").agg(*[pick(c, n) for c in ("matches", "hyp_n", "ref_n") for n in range(1, 5)])
+    wide = sums.where("kind = 't'").groupBy("slice").agg(*[pick(c, n) for c in ("matches", "hyp_n", "ref_n") for n in range(1, 5)])
     dead = (F.col("matches1") == 0) | F.least(*[F.col(f"hyp_n{n}") for n in range(1, 5)]).isin(0)
     logs = F.lit(0.0)
     for n in range(1, 5):
@@ -62,20 +122,35 @@ def bleu(rows: DataFrame, slice_col: str | None = None) -> DataFrame:
     return wide.select("slice", F.when(dead, 0.0).otherwise(brevity * F.exp(logs)).alias("bleu"))
 
 
-def chrf(rows: DataFrame, slice_col: str | None = None, char_order: int = 6, word_order: int = 2, beta: float = 2.0) -> DataFrame:
-    """``(slice, chrf)``: precision and recall averaged over all orders, those without n-grams as 0."""
-    chars = lambda c: F.filter(F.split(T.drop_space(F.col(c)), ""), lambda x: x != "")
-    split = rows.withColumns({"__hc": chars("hyp"), "__rc": chars("ref"), "__hw": A.words(F.col("hyp")), "__rw": A.words(F.col("ref"))})
-    grams = [("c", n, A.shingles(F.col("__hc"), n), A.shingles(F.col("__rc"), n)) for n in range(1, char_order + 1)]
-    grams += [("w", n, A.shingles(F.col("__hw"), n, " "), A.shingles(F.col("__rw"), n, " ")) for n in range(1, word_order + 1)]
+def _chrf(sums: DataFrame, orders: int, beta: float) -> DataFrame:
     share = lambda c: F.coalesce(F.try_divide(F.col("matches").cast("double"), F.col(c)), F.lit(0.0))
-    orders = float(char_order + word_order)
-    mean = _overlap(split, slice_col, grams).groupBy("slice").agg((F.sum(share("hyp_n")) / orders).alias("p"), (F.sum(share("ref_n")) / orders).alias("r"))
+    mean = sums.where("kind IN ('c', 'w')").groupBy("slice").agg((F.sum(share("hyp_n")) / float(orders)).alias("p"), (F.sum(share("ref_n")) / float(orders)).alias("r"))
     b2 = beta**2
     score = F.try_divide((1 + b2) * F.col("p") * F.col("r"), b2 * F.col("p") + F.col("r"))
     return mean.select("slice", F.coalesce(score, F.lit(0.0)).alias("chrf"))
 
 
+def _rouge_l(sums: DataFrame) -> DataFrame:
+    return sums.where("kind = 'rouge'").select("slice", F.coalesce(F.try_divide("value", "matches"), F.lit(0.0)).alias("rouge_l"), F.col("matches").alias("n"))
+
+
+def _with_overall(scores: DataFrame) -> DataFrame:
+    """``scores`` of ROUGE-L, with a row of zeros for all of no rows."""
+    one = scores.sparkSession.range(1).select(F.lit(ALL).alias("__s"))
+    both = scores.join(one, F.col("slice") == F.col("__s"), "full")
+    return both.select(F.coalesce("slice", "__s").alias("slice"), F.coalesce("rouge_l", F.lit(0.0)).alias("rouge_l"), F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+
+
+def bleu(rows: DataFrame, slice_col: str | None = None) -> DataFrame:
+    """``(slice, bleu)``: BLEU-4 with equal weights and no smoothing, 0 without a match or without n-grams of an order."""
+    return _bleu(_sums(rows, slice_col, tokens=4))
+
+
+def chrf(rows: DataFrame, slice_col: str | None = None, char_order: int = 6, word_order: int = 2, beta: float = 2.0) -> DataFrame:
+    """``(slice, chrf)``: precision and recall averaged over all orders, those without n-grams as 0."""
+    return _chrf(_sums(rows, slice_col, chars=char_order, words=word_order), char_order + word_order, beta)
+
+
 def rouge_rows(rows: DataFrame) -> DataFrame:
     """Adds ``rouge`` for each row, 0 if a side has no tokens or nothing in common."""
     split = rows.withColumns({"__h": A.tokens(F.col("hyp")), "__r": A.tokens(F.col("ref"))})
@@ -88,17 +163,14 @@ def rouge_rows(rows: DataFrame) -> DataFrame:
 
 def rouge_l(rows: DataFrame, slice_col: str | None = None) -> DataFrame:
     """``(slice, rouge_l, n)``: the mean over rows."""
-    scored = rouge_rows(rows)
-    aggs = [F.avg("rouge").alias("rouge_l"), F.count("*").alias("n")]
-    if slice_col is None:
-        return scored.agg(*aggs).select(F.lit(ALL).alias("slice"), F.coalesce("rouge_l", F.lit(0.0)).alias("rouge_l"), "n")
-    out = scored.groupingSets([[], [F.col(slice_col)]], slice_col).agg(*aggs, F.grouping_id().alias("__g"))
-    return out.select(F.when(F.col("__g") == 0, F.col(slice_col)).otherwise(F.lit(ALL)).alias("slice"), "rouge_l", "n")
+    return _with_overall(_rouge_l(_sums(rows, slice_col, rouge=True)))
 
 
 def score_report(rows: DataFrame, slice_col: str | None = None) -> DataFrame:
-    """``(slice, bleu, rouge_l, chrf, total, n)``: four places, and the total of three-place values."""
-    all_ = rouge_l(rows, slice_col).join(bleu(rows, slice_col), "slice", "left").join(chrf(rows, slice_col), "slice", "left")
+    """``(slice, bleu, rouge_l, chrf, total, n)``: four places, and the total of three-place values; one scan of ``rows``."""
+    # A few rows for each slice.
+    sums = written(_sums(rows, slice_col, tokens=4, rouge=True, chars=6, words=2))
+    all_ = _with_overall(_rouge_l(sums)).join(_bleu(sums), "slice", "left").join(_chrf(sums, 8, 2.0), "slice", "left")
     m = {c: F.coalesce(c, F.lit(0.0)) for c in ("bleu", "rouge_l", "chrf")}
     total = F.round(F.round(m["bleu"], 3) + F.round(m["rouge_l"], 3) + F.round(m["chrf"], 3), 4)
     return all_.select("slice", *[F.round(c, 4).alias(k) for k, c in m.items()], total.alias("total"), "n")

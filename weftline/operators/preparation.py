@@ -29,18 +29,18 @@ def prepared(pairs: DataFrame, config: Config = DEFAULT, lid=None, train: str =
         filters.filtered(filters.clean_pairs(pairs, config), config, lid)
         .withColumns({"__pair": hash_key("lang", "src", "tgt"), "__src": hash_key("lang", "src")})
     )
-    passed = F.col("reason").isNull()
-    own = passed & (F.col("split") == train)
-    first = rows.where(own).groupBy(F.col("__pair").alias("__p")).agg(F.min("ordinal").alias("__first"))
-    held = rows.where(passed & (F.col("split") != train)).select(F.col("__src").alias("__s"), F.lit(True).alias("__held")).distinct()
-    # Which joins are broadcast is up to the optimiser, which knows the written sizes.
-    joined = rows.join(first, F.col("__pair") == F.col("__p"), "left").join(held, F.col("__src") == F.col("__s"), "left")
-    reason = (
-        F.when(F.col("reason").isNotNull(), F.col("reason"))
-        .when(own & (F.col("ordinal") > F.col("__first")), DUPLICATE)
-        .when(own & F.coalesce("__held", F.lit(False)), LEAKED)
-    )
-    return joined.withColumn("reason", reason).drop("__pair", "__src", "__p", "__first", "__s", "__held")
+    # What follows needs hashes and positions only; texts are joined once, with the pairs that go.
+    slim = rows.where("reason IS NULL").select("split", "ordinal", "__pair", "__src")
+    own = slim.where(F.col("split") == train)
+    first = own.groupBy(F.col("__pair").alias("__p")).agg(F.min("ordinal").alias("__first"))
+    held = slim.where(F.col("split") != train).select(F.col("__src").alias("__s"), F.lit(True).alias("__held")).distinct()
+    judged = own.join(first, F.col("__pair") == F.col("__p")).join(held, F.col("__src") == F.col("__s"), "left")
+    late = F.when(F.col("ordinal") > F.col("__first"), DUPLICATE).when(F.coalesce("__held", F.lit(False)), LEAKED)
+    gone = written(judged.select(F.col("ordinal").alias("__o"), F.col("__pair").alias("__q"), late.alias("__late")).where("__late IS NOT NULL").distinct())
+    # Whether that is broadcast is up to the optimiser, which knows the written size.
+    here = (F.col("split") == train) & F.col("reason").isNull() & (F.col("ordinal") == F.col("__o")) & (F.col("__pair") == F.col("__q"))
+    joined = rows.join(gone, here, "left")
+    return joined.withColumn("reason", F.coalesce("reason", "__late")).drop("__pair", "__src", "__o", "__q", "__late")
 
 
 def kept(rows: DataFrame) -> DataFrame:

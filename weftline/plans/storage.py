@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import textops as T
 from weftline.operators import corpus, filters, langid, metrics, preparation
-from weftline.operators.ordering import scratch
+from weftline.operators.ordering import scratch, written
 from weftline.plans import cleaning, corpora, language, scoring
 from weftline.plans import tables as P
 from weftline.sources import readers, sinks
@@ -51,7 +51,7 @@ def zipped_files(spark, sf_dir):
     """Hypothesis lines and a tagged TSV, zipped by position and scored by ROUGE-L's parts."""
     hyps, refs = _place(spark, "hyps.txt"), _place(spark, "refs.tsv")
     rows = _flat_pairs(spark, sf_dir)
-    sinks.write_hypotheses_lines(rows.select("ordinal", F.substring("tgt", 1, 40).alias("hyp")), hyps, "ordinal")
+    sinks.write_hypotheses_lines(P.scored(rows, "tgt").select("ordinal", "hyp"), hyps, "ordinal")
     sinks.write_tsv(rows.withColumn("src", T.tag_source(F.col("src"), F.col("lang"))), refs)
     return readers.read_pair(spark, hyps, refs, P.LANGS).select("ordinal", "lang", *_digest("hyp", "ref"))
 
@@ -103,9 +103,11 @@ def prepare_reasons(spark, sf_dir):
 def prepare_report(spark, sf_dir):
     """The report file of a corpus preparation, read back as counters."""
     path = _place(spark, "report.json")
-    rows = _prepared(spark, sf_dir)
-    counters = filters.report(rows.withColumn("file", F.concat(F.lit("en_en/"), "split")), "file")
-    kept = preparation.kept(rows)
+    rows = _prepared(spark, sf_dir).withColumn("file", F.concat(F.lit("en_en/"), "split"))
+    # One job writes the kept pairs and counts them all.
+    counted, counters = filters.observed(rows, "file", [f"en_en/{s}" for s in ("train", "dev", "test")])
+    kept = written(preparation.kept(counted))
+    counters = spark.createDataFrame(counters(), "file string, counter string, n long")
     memory = corpus.translation_memory(kept, ["lang", "src"], "tgt", F.col("ordinal"))
     items = P.table(spark, sf_dir, "benchmark").select(F.lit("English").alias("section"), F.lit("en").alias("lang"), T.normalise(F.col("text"), None).alias("src"))
     sinks.write_json(preparation.report_json(counters, corpus.coverage(items, memory, ["lang", "src"], "section"), lid_enabled=True), path)
@@ -206,7 +208,7 @@ ORACLES = {
     "tsv_roundtrip": f"WITH {FLAT} SELECT ordinal, md5(src) AS src_md5, md5(tgt) AS tgt_md5 FROM placed",
     "corpus_layout": f"WITH {FLAT} SELECT 'en_en' AS pair, split, 'en' AS lang, own AS ordinal, md5(src) AS src_md5, md5(tgt) AS tgt_md5 FROM placed",
     "tagged_roundtrip": f"WITH {FLAT} SELECT ordinal, 'en' AS lang, md5(src) AS src_md5, md5(tgt) AS tgt_md5 FROM placed",
-    "zipped_files": f"WITH {FLAT} SELECT ordinal, 'en' AS lang, md5(substr(tgt, 1, 40)) AS hyp_md5, md5(tgt) AS ref_md5 FROM placed",
+    "zipped_files": f"WITH {FLAT} SELECT ordinal, 'en' AS lang, md5({P.sql_hyp('tgt')}) AS hyp_md5, md5(tgt) AS ref_md5 FROM placed",
     "validation_json": "SELECT 'English' AS section, row_number() OVER (ORDER BY item_id) - 1 AS ordinal, item_id::VARCHAR AS id, md5(text) AS source_md5 FROM benchmark",
     "hypotheses_json": "SELECT role AS section, conv_id || '-' || turn AS id, md5(text) AS hyp_md5 FROM conversations",
     "hypotheses_table": "SELECT role AS section, conv_id || '-' || turn AS id, md5(text) AS hyp_md5 FROM conversations",

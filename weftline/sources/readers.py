@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline.functions import textops as T
 from weftline.operators.metrics import zipped
-from weftline.operators.ordering import global_rank
+from weftline.operators.ordering import written
 
+#: Blocks of files up to this number (some 150 bytes each) are broadcast.
+FEW_BLOCKS = 500_000
 VALIDATION = "map<string,struct<Validation:map<string,struct<source:string>>>>"
 HYPOTHESES = "map<string,map<string,string>>"
 MEMORY = "map<string,string>"
@@ -16,13 +19,26 @@ REPORT = "per_file map<string,map<string,bigint>>"
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``(path, ordinal, value)``: lines in file order, counted from 0 in each file; a folder of part files counts as one file."""
-    file = F.col("_metadata.file_path")
-    raw = spark.read.text(path).select(F.regexp_replace(file, r"/part-[^/]*$", "").alias("path"), file.alias("__file"), F.monotonically_increasing_id().alias("__id"), "value")
-    ranked = global_rank(raw, [F.col("path"), F.col("__file"), F.col("__id")], "__all")
-    # A row for each file.
-    first = ranked.groupBy(F.col("path").alias("__p")).agg(F.min("__all").alias("__first"))
-    return ranked.join(F.broadcast(first), F.col("path") == F.col("__p")).select("path", (F.col("__all") - F.col("__first")).alias("ordinal"), "value")
+    """``(path, ordinal, value)``: lines in file order, counted from 0 in each file; a folder of part files counts as one file.
+
+    Nothing is sorted or copied: lines are counted by the blocks that tasks
+    read, sums over blocks say where each begins, and a line's place in its
+    block follows from the order in which the task reads it. Blocks that are
+    cut otherwise when the lines are read, or files that changed, are an error.
+    """
+    file, block, at = F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()
+    raw = spark.read.text(path).select("value", file.alias("__file"), block.alias("__block"), at.alias("__id"))
+    # A row for each block of a file.
+    blocks = raw.groupBy(F.col("__file").alias("__f"), F.col("__block").alias("__b")).agg(F.count("*").alias("__n"), F.min("__id").alias("__first"), F.max("__id").alias("__last"))
+    whole = F.regexp_replace("__f", r"/part-[^/]*$", "")
+    before = W.partitionBy(whole).orderBy("__f", "__b").rowsBetween(W.unboundedPreceding, -1)
+    blocks = written(blocks.withColumns({"path": whole, "__offset": F.coalesce(F.sum("__n").over(before), F.lit(0))}))
+    small = F.broadcast if blocks.count() <= FEW_BLOCKS else (lambda df: df)
+    joined = raw.join(small(blocks), (F.col("__file") == F.col("__f")) & (F.col("__block") == F.col("__b")), "left")
+    known = F.col("__id").between(F.col("__first"), F.col("__last")) & (F.col("__last") - F.col("__first") + 1 == F.col("__n"))
+    changed = F.raise_error(F.concat(F.lit("files or their blocks changed while they were read: "), F.col("__file"))).cast("long")
+    ordinal = F.when(known, F.col("__id") - F.col("__first") + F.col("__offset")).otherwise(changed)
+    return joined.select("path", ordinal.alias("ordinal"), "value")
 
 
 def read_tsv(spark: SparkSession, path: str) -> DataFrame:

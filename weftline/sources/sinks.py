@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
+import uuid
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions import textops as T
-from weftline.operators.ordering import global_rank
+from weftline.operators.ordering import delete, global_rank, scratch
 
 
 def _single(df: DataFrame, *order) -> DataFrame:
@@ -21,10 +23,27 @@ def write_tsv(rows: DataFrame, path: str, ordinal: str = "ordinal", one_file: bo
     picked.select(F.concat_ws("\t", "src", "tgt")).write.mode("overwrite").text(path)
 
 
-def write_corpus(rows: DataFrame, root: str, pair: str = "pair", split: str = "split") -> None:
-    """``{pair}/{split}.tsv`` below ``root``, a folder each: one pass for every pair and split that occurs (few)."""
-    for r in rows.select(pair, split).distinct().collect():
-        write_tsv(rows.where((F.col(pair) == r[pair]) & (F.col(split) == r[split])), f"{root}/{r[pair]}/{r[split]}.tsv")
+def write_corpus(rows: DataFrame, root: str, pair: str = "pair", split: str = "split", ordinal: str = "ordinal") -> None:
+    """``{pair}/{split}.tsv`` below ``root``, a folder each, for every pair and split that occurs: one job, then their folders get their names."""
+    spark = rows.sparkSession
+    # Never null and no constant: a constant is no sort key, and the writer would sort anew and lose the order in a file.
+    never = F.when(F.monotonically_increasing_id() < 0, F.lit(""))
+    picked = rows.select(F.coalesce(never, F.col(pair)).alias("pair"), F.coalesce(never, F.col(split)).alias("split"), F.col(ordinal).alias("o"), F.concat_ws("\t", "src", "tgt").alias("value"))
+    made = f"{scratch(spark)}/{uuid.uuid4().hex}"
+    picked.repartitionByRange("pair", "split", "o").sortWithinPartitions("pair", "split", "o").drop("o").write.partitionBy("pair", "split").text(made)
+    path, conf = spark._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
+    here, there = path(made).getFileSystem(conf), path(root).getFileSystem(conf)
+    for f in here.globStatus(path(f"{made}/pair=*/split=*")) or []:
+        names = [unquote(part.split("=", 1)[1]) for part in str(f.getPath().toString()).rsplit("/", 2)[1:]]
+        to = path(f"{root}/{names[0]}/{names[1]}.tsv")
+        there.delete(to, True)
+        there.mkdirs(to.getParent())
+        # Another file system than that of the shared folder is copied to, the same one renames.
+        if here.getUri().equals(there.getUri()):
+            here.rename(f.getPath(), to)
+        else:
+            spark._jvm.org.apache.hadoop.fs.FileUtil.copy(here, f.getPath(), there, to, False, conf)
+    delete(spark, made)
 
 
 def write_lines(rows: DataFrame, path: str, text: str, *order) -> None:
@@ -38,6 +57,12 @@ def write_by_language(rows: DataFrame, path: str, langs: list[str], src: str = "
     rows.where(lang.isin(*langs)).withColumn("lang", lang).write.mode("overwrite").partitionBy("lang").parquet(path)
 
 
+def _name(text: Column) -> Column:
+    """A text as a JSON string."""
+    listed = F.to_json(F.array(text))
+    return F.substring(listed, F.lit(2), F.length(listed) - 2)
+
+
 def _member(key: Column, value: Column) -> Column:
     """``"key": value`` of a JSON object."""
     entry = F.to_json(F.create_map(key, value))
@@ -85,8 +110,7 @@ def write_hypotheses_json(rows: DataFrame, path: str) -> None:
     starts = ranked.groupBy(F.col("section").alias("s")).agg(F.min("rank").alias("first"))
     # A row for each section.
     marked = ranked.join(F.broadcast(starts), F.col("section") == F.col("s"))
-    name = F.to_json(F.array("section"))
-    head = F.concat(F.when(F.col("rank") > 0, F.lit("},")).otherwise(F.lit("")), F.substring(name, F.lit(2), F.length(name) - 2), F.lit(":{"))
+    head = F.concat(F.when(F.col("rank") > 0, F.lit("},")).otherwise(F.lit("")), _name(F.col("section")), F.lit(":{"))
     line = F.concat(F.when(F.col("rank") == F.col("first"), head).otherwise(F.lit(",")), _member(F.col("id"), F.col("hyp")))
     marks = rows.sparkSession.createDataFrame([(-1, "{"), ((1 << 62), "}}")], "rank long, value string")
     if ranked.isEmpty():
@@ -101,7 +125,7 @@ def write_hypotheses_lines(rows: DataFrame, path: str, *order) -> None:
 def scores_json(scores: DataFrame, checks: dict | None = None) -> DataFrame:
     """One row ``value``: ``{slice: {bleu, rouge_l, chrf, total, n}}`` and ``cross_check`` if there is one."""
     entry = F.struct("slice", F.to_json(F.struct("bleu", "rouge_l", "chrf", "total", "n")).alias("j"))
-    parts = F.transform("x", lambda x: F.concat(F.lit('"'), x["slice"], F.lit('":'), x["j"]))
+    parts = F.transform("x", lambda x: F.concat(_name(x["slice"]), F.lit(":"), x["j"]))
     tail = [] if checks is None else [F.lit('"cross_check":' + json.dumps(checks))]
     rows = scores.agg(F.sort_array(F.collect_list(entry)).alias("x")).select(parts.alias("p"))
     return rows.select(F.concat(F.lit("{"), F.array_join(F.concat("p", F.array(*tail).cast("array<string>")), ","), F.lit("}")).alias("value"))
