@@ -133,7 +133,7 @@ def test_lightest_is_a_minimum_spanning_forest():
     for _ in range(50):
         n, m = rng.integers(1, 30), rng.integers(0, 80)
         u, v, d = rng.integers(0, n, m), rng.integers(0, n, m), rng.integers(0, 9, m).astype(np.int32)
-        got = simhash._lightest(np.arange(n), u, v, d)
+        got = confirm.lightest(np.arange(n), u, v, d)
         root, cost = list(range(n)), 0
         find = lambda x: x if root[x] == x else find(root[x])  # noqa: B023, E731
         for w, x, y in sorted(zip(d.tolist(), u.tolist(), v.tolist(), strict=True)):

@@ -78,6 +78,26 @@ def unite(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
         np.minimum.at(parent, np.maximum(x, y), np.minimum(x, y))
 
 
+def lightest(parent: np.ndarray, u: np.ndarray, v: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A minimum spanning forest of the pairs between what ``parent`` joins, by Boruvka's rounds."""
+    order = np.lexsort((v, u, d))
+    u, v, d = u[order], v[order], d[order]
+    parent = parent.copy()
+    taken = np.zeros(len(u), bool)
+    at = np.arange(len(u))
+    while True:
+        x, y = roots(parent, u[at]), roots(parent, v[at])
+        at, x, y = at[x != y], x[x != y], y[x != y]
+        if not len(at):
+            return u[taken], v[taken], d[taken]
+        best = np.full(len(parent), len(u))
+        np.minimum.at(best, x, at)
+        np.minimum.at(best, y, at)
+        chosen = np.unique(best[best < len(u)])
+        taken[chosen] = True
+        unite(parent, u[chosen], v[chosen])
+
+
 def pieces(sizes: np.ndarray) -> np.ndarray:
     """Piece of each text, in order; pieces are bounded in texts and in shingles."""
     return np.cumsum(np.maximum(sizes / PIECE_SHINGLES, 1 / PIECE)).astype(np.int64)

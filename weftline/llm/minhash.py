@@ -12,9 +12,10 @@ all 40 bands differ once in 10 million, and too low an estimate three times.
 Texts with one set are one node. Links are looked for in two steps:
 
 - nodes are sorted by band key, and by the next band's, so that neighbours
-  under one key are likely alike. Neighbours are the first candidates: in
-  rounds, each group's best is confirmed, groups unite, what failed is dropped,
-  until none joins two groups;
+  under one key are likely alike. Neighbours are the first candidates. They
+  are thinned to the best ones that still join what all of them join, and
+  those are confirmed, which unites most groups at a cost that grows with
+  their size, not its square;
 - keys that still hold nodes of several groups are compared in full, every
   node outside a key's greatest group with all of it, by blocks of bounded
   size. Of a pair that shares several bands only the first compares it. Blocks
@@ -44,13 +45,13 @@ from pyspark.sql import functions as F
 
 from weftline.llm.common import col, forget, materialise, table
 from weftline.llm.components import components
-from weftline.llm.confirm import GOLDEN, PIECE, blocks_of, confirmed, crossing, linked_blocks, mixed, pieces, rooted, set_name, sets_of, shingle_set, with_components
+from weftline.llm.confirm import GOLDEN, PIECE, blocks_of, confirmed, crossing, lightest, linked_blocks, mixed, pieces, rooted, set_name, sets_of, shingle_set, with_components
 from weftline.llm.textbytes import texts
 
 #: Shingles whose hashes are made at once.
-CHUNK = 1024
-#: Rounds of best neighbours before all that are left are confirmed.
-ROUNDS = 6
+CHUNK = 256
+#: Edges thinned at once, and pairs compared at once.
+EDGES, PAIRS = 1 << 20, 1 << 16
 
 
 @dataclass(frozen=True)
@@ -70,8 +71,9 @@ class Rule:
         times = mixed(salt) | np.uint64(1)
         least = np.full(self.hashes, ~np.uint64(0))
         for at in range(0, len(shingles), CHUNK):
-            part = ((shingles[None, at : at + CHUNK] ^ salt[:, None]) * times[:, None]).min(axis=1)
-            least = np.minimum(least, part)
+            part = shingles[None, at : at + CHUNK] ^ salt[:, None]
+            part *= times[:, None]
+            np.minimum(least, part.min(axis=1), out=least)
         return mixed(least)
 
     def band_keys(self, minima: np.ndarray) -> np.ndarray:
@@ -182,27 +184,38 @@ def estimated(edges: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
     return both.select("a", "b", "x", "y", "nx", "ny").mapInArrow(run, "a long, b long, e double")
 
 
+def thinned(edges: DataFrame) -> DataFrame:
+    """``(a, b)`` of the closest of ``edges`` (``a, b, e``) that, a million at a time, join what all of these join."""
+    near = components(edges.select("a", "b")).select(F.col("node").alias("a"), "root")
+    # Edges of one group lie together; a range may begin inside a group.
+    ranged = edges.join(near, "a").select("a", "b", "e", "root").repartitionByRange("root", "a", "b").sortWithinPartitions("root")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in batches:
+            held.append(b)
+            n += b.num_rows
+            if n >= EDGES:
+                yield best(held)
+                held, n = [], 0
+        if n:
+            yield best(held)
+
+    def best(some: list[pa.RecordBatch]) -> pa.RecordBatch:
+        a, b, e = (np.concatenate([x.column(k).to_numpy() for x in some]) for k in range(3))
+        names, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+        u, v, _ = lightest(np.arange(len(names)), at[: len(a)], at[len(a) :], -e)
+        return pa.RecordBatch.from_arrays([pa.array(names[u]), pa.array(names[v])], ["a", "b"])
+
+    return ranged.mapInArrow(run, "a long, b long")
+
+
 def united(docs: DataFrame, found: DataFrame, edges: DataFrame, rule: Rule, id_col: str, text_col: str) -> DataFrame:
-    """``(node, root)``, written: what the candidates ``edges`` (``a, b, e``) that are links join."""
-    spark = docs.sparkSession
-    known = materialise(spark.createDataFrame([], "node long, root long"))
-    sets = sets_of(docs, found, edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))), rule.words, id_col, text_col)
-    left = edges
-    for k in range(ROUNDS + 1):
-        a = rooted(left.withColumnRenamed("a", "node"), known).withColumnsRenamed({"node": "a", "root": "ra"})
-        both = rooted(a.withColumnRenamed("b", "node"), known).withColumnsRenamed({"node": "b", "root": "rb"}).where("ra <> rb")
-        both = materialise(both.select("a", "b", "e", "ra", "rb"))
-        if both.isEmpty():
-            break
-        order = F.struct(F.col("e"), F.col("a"), F.col("b"))
-        ends = both.select(F.col("ra").alias("r"), order.alias("x")).unionByName(both.select(F.col("rb").alias("r"), order.alias("x")))
-        asked = both.select("a", "b") if k == ROUNDS else ends.groupBy("r").agg(F.max("x").alias("x")).select("x.a", "x.b").distinct()
-        asked = materialise(asked)
-        passed = confirmed(asked, sets, rule.share)
-        known = materialise(components(known.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(passed)))
-        # What was asked and still joins two groups has failed.
-        left = both.join(asked, ["a", "b"], "left_anti").select("a", "b", "e")
-    forget(sets)
+    """``(node, root)``, written: what the closest of the candidates ``edges`` (``a, b, e``) join, so far as they are links."""
+    asked = materialise(thinned(edges))
+    sets = sets_of(docs, found, asked.select(F.col("a").alias("node")).union(asked.select(F.col("b").alias("node"))), rule.words, id_col, text_col)
+    known = materialise(components(confirmed(asked, sets, rule.share)))
+    forget(asked, sets)
     return known
 
 
@@ -217,27 +230,55 @@ def compared(members: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
     few = rows.where("root <> top").withColumns({"i": F.pmod(part, "few_parts"), "side": F.lit(0)}).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("all_parts") - 1)))
     every = rows.withColumns({"j": F.pmod(part, "all_parts"), "side": F.lit(1)}).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("few_parts") - 1)))
     names = ["key", "i", "j", "side", "node", "root", "size", "sig", "bands"]
+    order = ["key", "i", "j", "side"]
 
-    def compare(group: pa.Table) -> pa.Table:
-        key, side, node, root, size = (group[c].to_numpy() for c in ("key", "side", "node", "root", "size"))
-        sig, bands = rule.unpack(group["sig"].to_pylist()), group["bands"].combine_chunks().flatten().to_numpy().reshape(len(key), -1)
-        x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for b in batches:
+            # The last group may go on in the next batch; groups are bounded.
+            both = pa.Table.from_batches([*held, b]).combine_chunks()
+            place = [both[c].to_numpy() for c in order[:3]]
+            last = len(both) - int(np.argmin(np.append(np.logical_and.reduce([p[::-1] == p[-1] for p in place]), False))) if len(both) else 0
+            yield from compare(both.slice(0, last))
+            held = both.slice(last).to_batches()
+        if held:
+            yield from compare(pa.Table.from_batches(held).combine_chunks())
+
+    def compare(groups: pa.Table) -> Iterator[pa.RecordBatch]:
+        if not len(groups):
+            return
+        key, i, j, side, node, root, size = (groups[c].to_numpy() for c in names[:7])
+        sig, bands = rule.unpack(groups["sig"].to_pylist()), groups["bands"].combine_chunks().flatten().to_numpy().reshape(len(key), -1)
+        new = np.append(True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))
+        group = np.cumsum(new) - 1
+        starts = np.append(np.flatnonzero(new), len(key))
+        one = np.bincount(group, side).astype(np.int64)
+        few_at = np.flatnonzero(side == 0)
+        # All pairs of a row of side 0 with those of side 1 in its group, some rows at a time.
+        many = one[group[few_at]]
+        cuts = np.searchsorted(np.cumsum(many), np.arange(0, many.sum() + PAIRS, PAIRS), side="left")
         u, v = [], []
-        for at in range(0, len(x), 32):
-            some = x[at : at + 32]
-            near = (root[some, None] != root[y]) & rule.fits(size[some, None], size[y]) & (rule.estimate(sig[some, None], sig[y]) >= rule.least)
-            p, q = np.nonzero(near)
-            u.append(some[p])
-            v.append(y[q])
-        u, v = np.concatenate(u), np.concatenate(v)
-        same = bands[u] == bands[v]
-        own = bands[u, same.argmax(axis=1)] == key[0]
-        u, v = u[own], v[own]
+        for s, e in zip(cuts, np.append(cuts[1:], len(few_at)), strict=True):
+            n = many[s:e]
+            if not n.sum():
+                continue
+            x = np.repeat(few_at[s:e], n)
+            y = starts[group[x] + 1] - np.repeat(n, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            fit = (root[x] != root[y]) & rule.fits(size[x], size[y])
+            x, y = x[fit], y[fit]
+            near = rule.estimate(sig[x], sig[y]) >= rule.least
+            x, y = x[near], y[near]
+            # Only the first band that both share compares them.
+            own = bands[x, (bands[x] == bands[y]).argmax(axis=1)] == key[x]
+            u.append(x[own])
+            v.append(y[own])
+        u, v = (np.concatenate(k) if k else np.empty(0, np.int64) for k in (u, v))
         p, q, at = blocks_of(u, v, pieces(size), pieces(size))
-        name = [f"{key[0]}:{group['i'][0]}:{group['j'][0]}:{s}:{t}" for s, t in zip(p.tolist(), q.tolist(), strict=True)]
-        return pa.table({"block": pa.array(name, pa.string()), "node": pa.array(node[at], pa.int64())})
+        name = [f"{key[k]}:{i[k]}:{j[k]}:{s}:{t}" for k, s, t in zip(at.tolist(), p.tolist(), q.tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(name, pa.string()), pa.array(node[at], pa.int64())], ["block", "node"])
 
-    return few.select(*names).unionByName(every.select(*names)).groupBy("key", "i", "j").applyInArrow(compare, "block string, node long")
+    both = few.select(*names).unionByName(every.select(*names))
+    return both.repartition(*order[:3]).sortWithinPartitions(*order).mapInArrow(run, "block string, node long")
 
 
 def near_duplicates(docs: DataFrame, rule: Rule = Rule(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -59,7 +59,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm.common import col, forget, materialise, nested, table, unnested
 from weftline.llm.components import components
-from weftline.llm.confirm import FEW_KEYS, GOLDEN, blocks_of, confirmed, crossing, linked_blocks, mixed, pieces, roots, set_name, sets_of, shingle_set, unite, with_components
+from weftline.llm.confirm import FEW_KEYS, GOLDEN, blocks_of, confirmed, crossing, lightest, linked_blocks, mixed, pieces, roots, set_name, sets_of, shingle_set, unite, with_components
 from weftline.llm.textbytes import texts
 
 SEED = 42
@@ -268,26 +268,6 @@ class Tile:
         return cls(np.frombuffer(nodes, np.int64), np.frombuffer(sizes, np.int32), np.frombuffer(fps, np.uint64).reshape(n, -1))
 
 
-def _lightest(parent: np.ndarray, u: np.ndarray, v: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A minimum spanning forest of the pairs between what ``parent`` joins, by Boruvka's rounds."""
-    order = np.lexsort((v, u, d))
-    u, v, d = u[order], v[order], d[order]
-    parent = parent.copy()
-    taken = np.zeros(len(u), bool)
-    at = np.arange(len(u))
-    while True:
-        x, y = roots(parent, u[at]), roots(parent, v[at])
-        at, x, y = at[x != y], x[x != y], y[x != y]
-        if not len(at):
-            return u[taken], v[taken], d[taken]
-        best = np.full(len(parent), len(u))
-        np.minimum.at(best, x, at)
-        np.minimum.at(best, y, at)
-        chosen = np.unique(best[best < len(u)])
-        taken[chosen] = True
-        unite(parent, u[chosen], v[chosen])
-
-
 def forest(a: Tile, b: Tile, rule: Rule, same: bool) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Links between two sorted tiles, or within one if ``same``.
 
@@ -322,8 +302,8 @@ def forest(a: Tile, b: Tile, rule: Rule, same: bool) -> tuple[tuple[np.ndarray,
         open_.append(np.stack(blocks_of(u, v, piece, piece)))
         maybe = [np.concatenate(z) for z in zip(maybe, (u, v, d), strict=True)]
         if len(maybe[0]) > PENDING:
-            maybe = list(_lightest(parent, *maybe))
-    u, v, d = _lightest(parent, *maybe)
+            maybe = list(lightest(parent, *maybe))
+    u, v, d = lightest(parent, *maybe)
     root = roots(parent, np.arange(len(nodes)))
     linked = np.flatnonzero(root != np.arange(len(nodes)))
     left = np.unique(np.concatenate(open_, axis=1), axis=1)
