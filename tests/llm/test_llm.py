@@ -446,14 +446,14 @@ TOKEN = re.compile(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 def brute_overlap(doc, item, stretch=16):
     """By definition, whatever the seeds."""
     a, b = ([w for w in TOKEN.split((t or "").lower()) if w] for t in (item, doc))
-    win = min(stretch, len(a))
+    win = min(stretch, len(a), len(b))
     need = math.ceil(win * decontaminate.SHARE - 1e-9)
     for diag in range(-len(a), len(b)) if win else ():
         eq = [0 <= diag + i < len(b) and a[i] == b[diag + i] for i in range(len(a))]
         for s in range(len(a) - win + 1):
             if 0 <= diag + s and diag + s + win <= len(b) and sum(eq[s : s + win]) >= need:
-                return True
-    return False
+                return win
+    return 0
 
 
 @pytest.mark.parametrize("few", [decontaminate.FEW_SEEDS, -1])
@@ -472,13 +472,23 @@ def test_decontamination_matches_brute_force(spark, monkeypatch, few):
             part[rng.randrange(len(part))] = "sub"
         at = rng.randint(0, len(w))
         texts.append(rng.choice([" ", ", "]).join(w[:at] + part + w[at:]))
+    for n in (1, 2, 3, 4, 5, 6, 7, 8, 9, 11, 13, 14, 15, 16, 17):
+        # Short documents that lie inside an item, whole or with a word or two replaced, or hang over its end.
+        for wrong in (0, 1, n // 5):
+            part = items[rng.choice([10, 11, 12])][1].split()
+            at = rng.randint(0, len(part) - 1)
+            short = (part[at : at + n] + ["over"] * n)[:n]
+            for _ in range(wrong):
+                short[rng.randrange(n)] = "sub"
+            texts.append(" ".join(short))
     bench = spark.createDataFrame(items * 2, "item_id long, text string")
     df = docs_of(spark, texts).withColumns({"h": F.lit(1), "item": F.lit("x"), "pos": F.lit(2), "bad": F.lit(3), "a.b": F.lit(4)})
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.overlaps(df, bench).collect()}
     want = {(i, k) for i, t in enumerate(texts) for k, x in items if brute_overlap(t, x)}
     assert got == want and len(want) > 60 and (2, None) in want and (3, 0) in want
     clean = decontaminate.clean_documents(df, bench)
-    assert clean.columns == df.columns and {r["doc_id"] for r in clean.collect()} == set(range(len(texts))) - {i for i, _ in want}
+    assert clean.columns == df.columns and {r["doc_id"] for r in clean.collect()} == {i for i, t in enumerate(texts) if all(brute_overlap(t, x) < decontaminate.LEAST_TOKENS for _, x in items)}
+    assert {(r["item_id"], r["tokens"]) for r in decontaminate.too_short(bench).collect()} == {(0, 1), (1, 2), (2, 4), (3, 5), (4, 7), (19, 0)}
     assert decontaminate.overlaps(df.where("false"), bench).count() == 0 == decontaminate.overlaps(df, bench.where("false")).count()
 
 

@@ -4,13 +4,15 @@ A mask names the token positions of a short span that count; the others are
 ignored, so a substituted word there does not spoil the seed. Seeds of all
 benchmark items are joined with those at every position of every document. A
 hit aligns an item with a document, and the aligned tokens are compared: there
-is an overlap if a stretch of ``STRETCH`` tokens (the whole item if it is
-shorter) has at least four fifths of its tokens equal.
+is an overlap if a stretch of ``STRETCH`` tokens (the whole item or the whole
+document if it is shorter) has at least four fifths of its tokens equal.
 
-Masks come by the size of the item. Those of a size together hit every way to
-place the substitutions that the rule allows in such a stretch, so no overlap
-is missed (a test enumerates the ways). An item of up to four tokens may have
-no substitution and is its own seed.
+Masks come by the size of the stretch. Those of a size together hit every way
+to place the substitutions that the rule allows in such a stretch, so no
+overlap is missed (a test enumerates the ways). A stretch of up to four tokens
+may have no substitution and is its own seed. Documents shorter than an item
+have seeds of their own, which bear the document's size, so that long texts
+never meet the seeds of short ones.
 
 Only hits are joined further, as document, item and alignment: a seed carries
 no tokens, and the tokens of a document are fetched once for all its hits. The
@@ -19,12 +21,14 @@ documents are not shuffled; beyond that both sides are joined by seed.
 
 Tokens are lower-cased runs of anything but ASCII controls, blanks and
 punctuation. Defined cases: null and empty texts have no tokens and match
-nothing; a document shorter than the stretch cannot hold it and matches
-nothing; a very long text costs a row for each mask and position, of 30 bytes;
+nothing; a document shorter than an item matches it if it lies wholly inside; a
+very long text costs a row for each mask and position, of 30 bytes;
 null ids are kept as null; repeated rows of either side give one result row; no
 overlap, and an empty table on either side, give an empty result; several
 items in one document give a row each. ``clean_documents`` keeps all columns,
-whatever their names.
+whatever their names, and documents whose overlaps are all of fewer than
+``LEAST_TOKENS`` tokens, which any text may hold by chance; ``too_short`` tells
+the items of which that is true everywhere.
 """
 
 from __future__ import annotations
@@ -36,6 +40,8 @@ from weftline.llm.common import col, materialise, nested, table, unnested
 
 STRETCH = 16
 SHARE = 0.8
+#: Tokens of a stretch for which a document is dropped.
+LEAST_TOKENS = 8
 #: Masks for items from as many tokens on.
 MASKS: dict[int, tuple[str, ...]] = {
     16: ("1111011", "1110111", "111000001011"), 10: ("111011", "11111", "11001011"), 7: ("11011",), 5: ("111", "1101"),
@@ -56,33 +62,50 @@ def masks_of(size: int) -> tuple[str, ...]:
     return MASKS[max(k for k in MASKS if k <= size)]
 
 
-def seeds(hashed: DataFrame, masks: list[str], keep: list[str]) -> DataFrame:
-    """``pos, mask, seed`` for every position of the array ``h`` and mask, with the columns ``keep``; the array is left behind."""
+def seeds(hashed: DataFrame, kinds: list[tuple[int, str]], keep: list[str]) -> DataFrame:
+    """``pos, kind, seed`` for every position of the array ``h`` and kind, a document size (0: any) and mask, with the columns ``keep``.
+
+    The array is left behind. Rows with ``m`` make of the kinds with a size only those of theirs.
+    """
     at = lambda k: F.get("h", F.col("pos") + F.lit(k))
-    found = [
-        F.when(F.col("pos") + F.lit(len(m)) <= F.size("h"), F.xxhash64(F.lit(n), *[at(k) for k, c in enumerate(m) if c == "1"]))
-        for n, m in enumerate(masks)
-    ]
+
+    def seed(n: int) -> Column:
+        size, mask = kinds[n]
+        fits = F.col("pos") + F.lit(len(mask)) <= F.size("h")
+        if size and "m" in hashed.columns:
+            fits = fits & (F.col("m") == size)
+        return F.when(fits, F.xxhash64(F.lit(size), F.lit(mask), *[at(k) for k, c in enumerate(mask) if c == "1"]))
+
+    plain, sized = ([n for n, k in enumerate(kinds) if bool(k[0]) == own] for own in (False, True))
+    entry = lambda ns: F.array(*[F.struct(F.lit(n).alias("kind"), seed(n).alias("seed")) for n in ns])
+    found = entry(plain) if plain else None
+    if sized:
+        # Most documents are long, and look at none of these.
+        few = F.when(F.col("m") < STRETCH, entry(sized)) if "m" in hashed.columns else entry(sized)
+        found = few if found is None else F.concat(found, F.coalesce(few, F.array().cast("array<struct<kind:int,seed:bigint>>")))
     # Outer, lest a filter on the size of ``h`` be derived that computes it twice.
-    each = hashed.select(*keep, "h", F.posexplode_outer("h").alias("pos", "token"))
-    return each.select(*keep, "pos", F.posexplode_outer(F.array(*found)).alias("mask", "seed")).where("seed IS NOT NULL")
+    each = hashed.select(*keep, *(["m"] if "m" in hashed.columns else []), "h", F.posexplode_outer("h").alias("pos", "token"))
+    return each.select(*keep, "pos", F.inline_outer(found)).where("seed IS NOT NULL")
 
 
 def _overlap(pairs: DataFrame, stretch: int) -> DataFrame:
-    """Those of ``pairs`` whose aligned tokens ``here`` and ``there`` hold a stretch with enough equal ones; ``size`` is the item's."""
-    win = F.least(F.lit(stretch), F.col("size"))
+    """Those of ``pairs`` whose aligned tokens ``here`` and ``there`` hold a stretch with enough equal ones, with its length ``tokens``.
+
+    ``size`` is the item's, ``m`` the document's.
+    """
+    win = F.least(F.lit(stretch), F.col("size"), F.col("m"))
     equal = F.zip_with("here", "there", lambda a, b: (a == b).cast("int"))
     starts = F.sequence(F.lit(0), F.size("equal") - win)
     enough = F.exists(starts, lambda s: F.aggregate(F.slice("equal", s + 1, win), F.lit(0), lambda t, x: t + x) >= F.ceil(win * F.lit(SHARE)))
-    held = pairs.withColumn("equal", equal).where((F.size("equal") >= win))
+    held = pairs.withColumns({"equal": equal, "tokens": win}).where((F.size("equal") >= win))
     return held.where((F.aggregate("equal", F.lit(0), lambda t, x: t + x) >= F.ceil(win * F.lit(SHARE))) & enough)
 
 
-def overlaps(
+def measured(
     docs: DataFrame, benchmark: DataFrame, *, stretch: int = STRETCH,
     id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
 ) -> DataFrame:
-    """``(doc_id, item_id)``: every document and item that overlap, once."""
+    """``(doc_id, item_id, tokens)``: every document and item that overlap, once for each length of the stretch that counts."""
     if not 1 <= stretch <= max(MASKS):
         raise ValueError(f"the masks are made for stretches of up to {max(MASKS)} tokens")
     told = F.col("h").isNotNull() & (F.size("h") > 0)
@@ -93,19 +116,21 @@ def overlaps(
     # At most as many sizes as a stretch has tokens.
     size = F.least(F.size("h"), F.lit(stretch))
     sizes = [r[0] for r in items.select(size).distinct().collect()]
-    masks = sorted({m for n in sizes for m in masks_of(n)})
-    if not masks:
-        return docs.select(col(id_col).alias("doc_id")).join(items.select("item_id"), F.lit(False))
-    wanted = F.create_map(*[x for n in sizes for x in (F.lit(n), F.array(*[F.lit(masks.index(m)) for m in masks_of(n)]))])
+    kinds = sorted({(0, m) for n in sizes for m in masks_of(n)}) + [(w, m) for w in range(1, max(sizes, default=0)) for m in masks_of(w)]
+    if not kinds:
+        return docs.select(col(id_col).alias("doc_id")).join(items.select("item_id", F.lit(0).alias("tokens")), F.lit(False))
+    # What an item is found by: the masks of its size, and for each smaller size those of documents that have it.
+    own = {n: [k for k, (w, m) in enumerate(kinds) if (m in masks_of(n) if w == 0 else w < n)] for n in sizes}
+    wanted = F.create_map(*[x for n in sizes for x in (F.lit(n), F.array(*[F.lit(k) for k in own[n]]))])
     known = materialise(
-        seeds(items.withColumns({"n": F.size("h"), "own": wanted[size]}), masks, ["item", "n", "own"]).where(F.array_contains("own", F.col("mask")))
+        seeds(items.withColumns({"n": F.size("h"), "own": wanted[size]}), kinds, ["item", "n", "own"]).where(F.array_contains("own", F.col("kind")))
         .select("item", "n", F.col("pos").alias("ipos"), F.col("seed").alias("iseed"))
     )
     small = F.broadcast if known.count() <= FEW_SEEDS else (lambda df: df)
     text = col(text_col).cast("string")
     key = [col(id_col).alias("doc_id"), F.xxhash64(text).alias("t")]
-    hashed = docs.select(*key, token_hashes(text).alias("h"))
-    hits = seeds(hashed, masks, ["doc_id", "t"]).join(small(known), F.col("seed") == F.col("iseed"))
+    hashed = docs.select(*key, token_hashes(text).alias("h")).withColumn("m", F.size("h"))
+    hits = seeds(hashed, kinds, ["doc_id", "t"]).join(small(known), F.col("seed") == F.col("iseed"))
     # An alignment begins at the same place of the document whichever seed found it.
     aligned = materialise(hits.select("doc_id", "t", "item", "n", (F.col("pos") - F.col("ipos")).alias("at")).distinct())
     of_doc = aligned.groupBy("doc_id", "t").agg(F.collect_list(F.struct("item", "n", "at")).alias("hits")).select(F.col("doc_id").alias("d"), F.col("t").alias("dt"), "hits")
@@ -119,16 +144,27 @@ def overlaps(
     beside = F.transform("hits", lambda x: F.struct(
         x["item"].alias("item"), x["n"].alias("size"), skip(x).alias("skip"), F.slice("h", first(x) + 1, x["n"] - skip(x)).alias("here")
     ))
-    each = found.select("doc_id", F.explode(beside).alias("x")).select("doc_id", "x.*")
+    each = found.select("doc_id", F.size("h").alias("m"), F.explode(beside).alias("x")).select("doc_id", "m", "x.*")
     pairs = each.join(small(items.select(F.col("item").alias("it"), "item_id", F.col("h").alias("ih"))), F.col("item") == F.col("it"))
     pairs = pairs.withColumn("there", F.slice("ih", F.col("skip") + 1, F.size("here")))
-    return _overlap(pairs, stretch).select("doc_id", "item_id").distinct()
+    return _overlap(pairs, stretch).select("doc_id", "item_id", "tokens").distinct()
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """``(doc_id, item_id)``: every document and item that overlap, once; options are those of ``measured``."""
+    return measured(docs, benchmark, **options).select("doc_id", "item_id").distinct()
+
+
+def too_short(benchmark: DataFrame, *, least_tokens: int = LEAST_TOKENS, item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """``(item_id, tokens)`` of the items for which no document is dropped, being of fewer tokens."""
+    sized = benchmark.select(col(item_col).alias("item_id"), F.greatest(F.size(token_hashes(col(item_text_col).cast("string"))), F.lit(0)).alias("tokens"))
+    return sized.where(F.col("tokens") < least_tokens)
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """``docs`` without those that overlap a benchmark item; rows with a null id are judged together."""
+def clean_documents(docs: DataFrame, benchmark: DataFrame, *, least_tokens: int = LEAST_TOKENS, **options) -> DataFrame:
+    """``docs`` without those that overlap a benchmark item in a stretch of ``least_tokens`` or more; rows with a null id are judged together."""
     id_col = options.get("id_col", "doc_id")
-    bad = materialise(overlaps(docs, benchmark, **options).select(F.col("doc_id").alias("bad")).distinct())
+    bad = materialise(measured(docs, benchmark, **options).where(F.col("tokens") >= least_tokens).select(F.col("doc_id").alias("bad")).distinct())
     if bad.count() <= FEW_SEEDS:
         bad = F.broadcast(bad)
     rows = docs.select(nested(docs), col(id_col).alias("own_id"))
@@ -144,9 +180,9 @@ OP8_SQL = rf"""
 WITH d AS (SELECT DISTINCT doc_id, list_filter(regexp_split_to_array(lower(text), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS t FROM documents),
 b AS (SELECT DISTINCT item_id, list_filter(regexp_split_to_array(lower(text), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS t FROM benchmark),
 du AS (SELECT doc_id, generate_subscripts(t, 1) AS p, unnest(t) AS w FROM d), bu AS (SELECT item_id, generate_subscripts(t, 1) AS q, unnest(t) AS w FROM b),
-e AS (SELECT item_id, least({STRETCH}, len(t)) AS win, ceil(least({STRETCH}, len(t)) * {SHARE}) AS need FROM b),
 h AS (SELECT doc_id, item_id, p - q AS diag, list(q ORDER BY q) AS qs FROM du JOIN bu ON du.w = bu.w GROUP BY ALL),
-x AS (SELECT h.*, win, need, len(b.t) AS n, len(d.t) AS m FROM h JOIN e ON h.item_id = e.item_id JOIN b ON h.item_id = b.item_id JOIN d ON h.doc_id = d.doc_id WHERE len(qs) >= need)
+y AS (SELECT h.*, len(b.t) AS n, len(d.t) AS m, least({STRETCH}, len(b.t), len(d.t)) AS win FROM h JOIN b ON h.item_id = b.item_id JOIN d ON h.doc_id = d.doc_id),
+x AS (SELECT *, ceil(win * {SHARE}) AS need FROM y WHERE len(qs) >= ceil(win * {SHARE}))
 SELECT DISTINCT doc_id, item_id FROM x WHERE len(list_filter(range(greatest(1, 1 - diag), least(n, m - diag) - win + 2),
   lambda s: len(list_filter(qs, lambda q: q BETWEEN s AND s + win - 1)) >= need)) > 0
 """
