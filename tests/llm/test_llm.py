@@ -520,7 +520,8 @@ def brute_license(model, weights, text):
     if not set(lic_words(text)) & set(model.telling):
         return None
     z = np.array(model.intercepts)
-    for g in lic_grams(text):
+    other = 0 if licenses._grants(" ".join(lic_words(text))) else sum(w not in model.known for w in lic_words(text))
+    for g in lic_grams(text) | {m for n, m in licenses.OTHERS.items() if other >= n}:
         z = z + weights.get(g, 0)
     z = z / model.temperature
     p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
@@ -555,6 +556,27 @@ def test_licenses(spark, table):
     assert set(found) == {(r["doc_id"], k) for r in table.collect() for k, x in enumerate(r["text"].split("\n")) if told.search(x)}
 
 
+def test_license_recall_and_precision(spark, table):
+    """Phrases in notices, and names in sentences about them, that training has not seen."""
+    model = licenses.train(table)
+    notices, mentions = [], []
+    for f, phrases in licenses.PHRASES.items():
+        for p in phrases:
+            before = ("please see that all of it is ", "copyright 2019 some company; ", "every file of the second edition, as told, is ") if licenses._grants(p) else ("", "license - ", "copyright 2020 acme. ")
+            notices += [(f, b + p) for b in before]
+            if not licenses._grants(p):
+                mentions += [(f, m.format(p)) for m in (
+                    "our seminar covered the {} for two hours", "the novel makes fun of the {} on every page", "a podcast explained the {} to its listeners",
+                    "the committee rejected the {} as too complex", "the book compares the {} with the newer one",
+                )]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(notices + mentions)], "doc_id long, text string")
+    got = {r["doc_id"]: r["family"] for r in licenses.scan(df, model).collect()}
+    for f in licenses.PHRASES:
+        own = [i for i, (g, _) in enumerate(notices) if g == f]
+        right, said = sum(got.get(i) == f for i in own), sum(g == f for i, g in got.items())
+        assert right >= 0.95 * len(own) and right >= 0.95 * said, f
+
+
 def test_perspectives_round_trip(spark):
     data = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi <|end|>"), (1, 2, "bob", "a\nb"), (1, 3, "cy", None), (1, 3, "cy", None), (2, None, None, "x"), (None, 0, "ann", "<\\|y|>"), (3, 0, "system", "alone"), (4, 1, 'e"<|', "z")]
     df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string")

@@ -2,16 +2,23 @@
 
 A multinomial logistic regression over sparse word 1- and 2-grams learns the
 families from sentences about each of them, and an unknown class from lines of
-the corpus (half of them with licence words), denials ("not released under ...")
-and fragments of the sentences. Its probabilities are calibrated by a
+the corpus (half of them with licence words), denials ("not released under
+..."), mentions ("we discussed the ... in class") and fragments of the
+sentences. All families weigh the same in training, and the unknown class as
+much as half of them together. Its probabilities are calibrated by a
 temperature fitted on sentences held back, and a family is reported only if it
 is likelier than ``threshold`` and a template comparison confirms it: the line
 must hold at least ``share`` of the word pairs of some key phrase of the family.
 
-Only n-grams with a telling word (one that is in the sentences and not among
-the commonest words) or a negation are features. A line without a telling word
-is unknown, as a test confirms of the model, and is left out before its
-n-grams are made.
+Features are n-grams with a telling word (one that is in the sentences and not
+among the commonest words), a negation or a word that speaks about licences,
+and marks for how many other words a line without a granting one has: a bare
+name is a notice, the same name in a sentence on something else is not. A line without a
+telling word is unknown, as a test confirms of the model, and is left out
+before its n-grams are made.
+
+Of names and notices in contexts that training has not seen, a test finds all
+by family, and no name in a sentence about it passes.
 
 A paragraph is a line; a phrase wrapped over two lines is judged by halves.
 Defined cases: null and empty texts have none; a very long line is one
@@ -24,7 +31,10 @@ further columns of the input, whatever their names, are left behind.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable
+from dataclasses import dataclass
+from itertools import pairwise
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +46,15 @@ UNKNOWN_LINES = 2000
 SEED = 5
 UNKNOWN = "unknown"
 NEGATIONS = ("not", "never", "no", "longer")
+#: What a line that does not grant is marked with by the number of its words that no key phrase has.
+OTHERS = {1: "<1 other>", 3: "<3 others>", 6: "<6 others>"}
+#: A phrase with one of these grants; the others are names.
+GRANTS = (
+    r"copyright|licensed|released|distributed|available|permission|permitted|may not|subject to|dedicated|waives|spdx|reserved|prohibited|redistribut|"
+    r"required by|retain|neither|confidential|unencumbered|in the public domain|terms|share alike|use only|if a copy|shall be"
+)
+#: Share of all families' weight in training that the unknown class has.
+UNKNOWN_WEIGHT = 0.5
 
 #: Key phrases of licence families. The first of each are also its templates.
 PHRASES: dict[str, tuple[str, ...]] = {
@@ -112,11 +131,24 @@ def grams(array: str) -> Column:
     return F.array_distinct(F.concat(w, pairs))
 
 
+@dataclass(frozen=True)
 class Model:
-    """``weights`` (gram and a weight for each class), ``telling`` words, intercepts and temperature: all of fixed size."""
+    """``weights`` (gram and a weight for each class), words, intercepts and temperature: all of fixed size."""
+
+    classes: list[str]
+    weights: DataFrame
+    #: Words without which a line is unknown, and those that no mark counts.
+    telling: list[str]
+    known: list[str]
+    intercepts: list[float]
+    temperature: float
 
-    def __init__(self, classes: list[str], weights: DataFrame, telling: list[str], intercepts: list[float], temperature: float):
-        self.classes, self.weights, self.telling, self.intercepts, self.temperature = classes, weights, telling, intercepts, temperature
+
+def features(array: str, known: list[str]) -> Column:
+    """N-grams and marks of a line's words."""
+    other = F.when(F.array_join(array, " ").rlike(GRANTS), 0).otherwise(F.size(F.filter(array, lambda x: ~x.isin(known))))
+    marks = F.array_compact(F.array(*[F.when(other >= n, F.lit(m)) for n, m in OTHERS.items()]))
+    return F.concat(grams(array), marks)
 
 
 def paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -125,8 +157,19 @@ def paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return each.where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
 
 
+def _grants(text: str) -> bool:
+    return re.search(GRANTS, text.lower()) is not None
+
+
 def _openings(text: str) -> list[str]:
-    return [f"{o}{text}" for o in ("", "this project is ", "the code and documentation are ", "unless noted, it is ", "note: ")]
+    """Lines that give notice of a licence."""
+    if not _grants(text):
+        return [f"{o}{text}" for o in ("", "license: ", "note: ", "license of this file: ", "copyright by our firm, 1999. ")]
+    before = (
+        "", "this project is ", "the code and documentation are ", "unless noted, it is ", "note: ", "a fine text of some words that says nothing twice; it was ",
+        "as of today every part of what you see here is ", "our group of nine friends wrote that in two weeks and it is ", "thank you for visiting our page; its content was ",
+    )
+    return [f"{o}{text}" for o in before] + [f"{text}, as the file of that name says", f"{text}. we hope you enjoy the many stories that wait on our other pages"]
 
 
 def _denials(text: str) -> list[str]:
@@ -134,6 +177,16 @@ def _denials(text: str) -> list[str]:
     return [f"not {text}, ask us first", f"this is not {text}", f"it was never {text}", f"no longer {text}"]
 
 
+def _mentions(text: str) -> list[str]:
+    """Sentences that speak about a licence by its name."""
+    about = (
+        "we discussed the {} in class and its history", "the book compares the {} with others", "an article about the {} appeared last week", "he asked what the {} means",
+        "the history of the {} is long", "she wrote a paper on the {} and its rivals", "students read the {} before the exam", "the {} was the subject of a talk",
+        "critics of the {} say it is too strict", "lawyers debate whether the {} applies", "many people confuse the {} with another one", "compared with the {} it is simple",
+    )
+    return [] if _grants(text) else [a.format(text) for a in about]
+
+
 def _fragments(text: str) -> list[str]:
     """Sentences on something else that hold two neighbouring words of a longer phrase."""
     parts = [w for w in text.lower().replace(",", " ").replace(":", " ").replace(";", " ").split() if w]
@@ -157,13 +210,20 @@ def train(docs: DataFrame, *, limit: int = UNKNOWN_LINES, id_col: str = "doc_id"
 
     spark = docs.sparkSession
     families = list(PHRASES)
-    own = [(f, t, k) for f in families for k, p in enumerate(PHRASES[f]) for t in _openings(p)]
-    others = [(UNKNOWN, t, k) for f in families for p in PHRASES[f] for k, t in enumerate(_denials(p) + _fragments(p))]
+    own = [(f, t, k) for f in families for p in PHRASES[f] for k, t in enumerate(_openings(p))]
+    others = [(UNKNOWN, t, k) for f in families for p in PHRASES[f] for k, t in enumerate(_denials(p) + _mentions(p) + _fragments(p))]
     sentences = spark.createDataFrame(own, "family string, text string, k int").withColumn("w", words(F.col("text")))
-    plain = {w for o in _openings("") for w in o.replace(",", " ").replace(":", " ").split()}
-    telling = sorted({r[0] for r in sentences.select(F.explode("w")).distinct().collect()} - COMMON - plain)
+    split = lambda t: t.lower().replace(",", " ").replace(":", " ").replace(";", " ").split()
+    plain = {w for o in (*_openings(""), *_openings("licensed")) for w in split(o)} - {"license", "licensed"}
+    spoken_of = sorted({w for m in _mentions("") for w in split(m.replace("{}", ""))} - COMMON)
+    said = {r[0] for r in sentences.select(F.explode("w")).distinct().collect()}
+    known = sorted({w for f in families for p in PHRASES[f] for w in split(p)} | COMMON | {"licence"})
+    telling = sorted(said - COMMON - plain)
     telling = [t for t in telling if len(t) > 1]
-    has = _speaks([*telling, *NEGATIONS])
+    has = _speaks([*telling, *NEGATIONS, *spoken_of])
+    marks = list(OTHERS.values())
+    # Word pairs of the names.
+    named = sorted({f"{a} {b}" for f in families for p in PHRASES[f] if not _grants(p) for a, b in pairwise(split(p))})
     names = F.lower("text").rlike(r"licen[cs]e|copyright|public domain|rights reserved")
     lines = paragraphs(docs, id_col, text_col).select("text").withColumn("draw", draw_key(SEED, F.xxhash64("text")))
     text = col(text_col).cast("string")
@@ -174,14 +234,20 @@ def train(docs: DataFrame, *, limit: int = UNKNOWN_LINES, id_col: str = "doc_id"
     unknown = drawn.select(F.lit(UNKNOWN).alias("family"), "text", F.pmod(F.xxhash64("text"), F.lit(9)).cast("int").alias("k"))
     made = spark.createDataFrame(others, "family string, text string, k int")
     every = unknown.unionByName(made).withColumn("w", words(F.col("text"))).unionByName(sentences)
-    spoken = F.filter(grams("w"), lambda g: has(F.split(g, " ")))
+    spoken = F.filter(features("w", known), lambda g: g.isin(marks) | has(F.split(g, " ")))
     featured = materialise(every.select("family", "k", spoken.alias("g")))
     vectors = CountVectorizer(inputCol="g", outputCol="x", binary=True, minDF=1).fit(featured.where(F.col("family") != UNKNOWN).unionByName(made.withColumn("w", words(F.col("text"))).select("family", "k", spoken.alias("g"))))
     classes = [*families, UNKNOWN]
     place = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("family")).cast("double") - 1
-    rows = vectors.transform(featured).select("x", "k", place.alias("y")).cache()
+    sizes = {r["family"]: r["count"] for r in featured.groupBy("family").count().collect()}
+    share = {f: len(families) * UNKNOWN_WEIGHT if f == UNKNOWN else 1.0 for f in sizes}
+    weight = F.create_map(*[x for f, n in sizes.items() for x in (F.lit(f), F.lit(100 * share[f] / n))])[F.col("family")]
+    # A name in a sentence is the hardest to tell from a notice.
+    weight = weight * F.when((F.col("family") == UNKNOWN) & F.arrays_overlap("g", F.array(*map(F.lit, marks))) & F.arrays_overlap("g", F.array(*map(F.lit, named))), 8).otherwise(1)
+    # A bounded number of rows: one task goes over them in each iteration.
+    rows = vectors.transform(featured).select("x", "k", place.alias("y"), weight.alias("weight")).coalesce(1).cache()
     held = F.col("k") % 4 == 3
-    fitted = LogisticRegression(featuresCol="x", labelCol="y", family="multinomial", regParam=0.001, elasticNetParam=0.5, maxIter=200).fit(rows.where(~held))
+    fitted = LogisticRegression(featuresCol="x", labelCol="y", weightCol="weight", family="multinomial", regParam=0.0001, elasticNetParam=0.5, maxIter=100).fit(rows.where(~held))
     # A bounded number of held-back rows, for one number.
     scored = [(list(r["rawPrediction"]), int(r["y"])) for r in fitted.transform(rows.where(held)).select("rawPrediction", "y").collect()]
     rows.unpersist()
@@ -198,7 +264,7 @@ def train(docs: DataFrame, *, limit: int = UNKNOWN_LINES, id_col: str = "doc_id"
     matrix = fitted.coefficientMatrix.toArray()
     some = [(g, [float(x) for x in matrix[:, i]]) for i, g in enumerate(vectors.vocabulary) if any(matrix[:, i])]
     weights = spark.createDataFrame(some, "gram string, weights array<double>")
-    return Model(classes, weights, telling, [float(x) for x in fitted.interceptVector], temperature)
+    return Model(classes, weights, telling, known, [float(x) for x in fitted.interceptVector], temperature)
 
 
 def scan(docs: DataFrame, model: Model, *, threshold: float = 0.5, share: float = 0.6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -208,7 +274,7 @@ def scan(docs: DataFrame, model: Model, *, threshold: float = 0.5, share: float
         paragraphs(docs, id_col, text_col).withColumn("w", words(F.col("text"))).where(_speaks(model.telling)(F.col("w")))
         .select(F.monotonically_increasing_id().alias("row"), "doc_id", "line", "text", "w")
     )
-    each = told.select("row", F.explode(grams("w")).alias("gram"))
+    each = told.select("row", F.explode(features("w", model.known)).alias("gram"))
     n = len(model.classes)
     sums = each.join(F.broadcast(model.weights), "gram").groupBy("row").agg(*[F.sum(F.col("weights")[k]).alias(f"s{k}") for k in range(n)])
     z = F.array(*[(F.col(f"s{k}") + b) / model.temperature for k, b in enumerate(model.intercepts)])
