@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import decontaminate, lines, mixing, quality, simhash
-from weftline.llm.common import materialise, table
+from weftline.llm.common import table
+from weftline.operators.ordering import forget, only_result
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +55,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix as a written table; what the stages wrote on the way is deleted, each one's input when the next is done."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    for _, stage in STAGES:
+        before, docs = docs, only_result(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir))
+        if before is not docs and hasattr(before, "written_to"):
+            forget(before)
+    return docs
