@@ -633,7 +633,7 @@ def test_pipeline_stages_match_brute_force(spark, small, table):
         elif name == "benchmark_decontamination":
             items = [r["text"] for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
             tokens = [set(TOKEN.split(x.lower())) for x in items]
-            near = {i for i, t, _ in before for x, s in zip(items, tokens, strict=True) if len(s & set(TOKEN.split(t.lower()))) >= 0.6 * min(16, len(s)) and brute_overlap(t, x)}
+            near = {i for i, t, _ in before for x, s in zip(items, tokens, strict=True) if len(s & set(TOKEN.split(t.lower()))) >= 0.6 * min(16, len(s), len(TOKEN.split(t))) and brute_overlap(t, x) >= decontaminate.LEAST_TOKENS}
             assert set(after) == {i for i, *_ in before} - near
         else:
             size = sum(len(words(t)) for _, t, _ in before)
@@ -642,3 +642,15 @@ def test_pipeline_stages_match_brute_force(spark, small, table):
             assert all(abs(r["t"] - r["g"]) <= longest for r in by) and sum(r["g"] for r in by) <= 1.5 * size + 1e-6
         docs = out
     assert corpus_pipeline.run(spark, small).count() == len(after)
+
+
+def test_pipeline_leaves_its_result_only(spark, small):
+    import glob
+
+    import corpus_pipeline
+    from weftline.operators.ordering import scratch
+
+    place = scratch(spark).removeprefix("file:").replace("//", "/")
+    before = set(glob.glob(f"{place}/*"))
+    mix = corpus_pipeline.run(spark, small)
+    assert mix.count() > 0 and len(set(glob.glob(f"{place}/*")) - before) == 1
