@@ -42,5 +42,6 @@ def same_rows(df, c, sql):
     a, b = df.toPandas(), c.sql(sql).df()
     cols = sorted(a.columns)
     assert cols == sorted(b.columns)
-    x, y = (t[cols].astype(str).sort_values(cols).reset_index(drop=True) for t in (a, b))
+    # Nullable whole numbers look alike on both sides.
+    x, y = (t[cols].convert_dtypes().astype(str).sort_values(cols).reset_index(drop=True) for t in (a, b))
     assert x.equals(y), (x[(x != y).any(axis=1)].head() if len(x) == len(y) else (len(x), len(y)))
