@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.llm import decontaminate, licenses, lines, mixing, quality, simhash, substrings, toxicity, weak
+from weftline.llm import decontaminate, licenses, lines, minhash, mixing, quality, resampling, simhash, substrings, toxicity, weak
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 CLASHING = ["a.b", "__id", "__bad", "bad", "row", "mix_note", "k", "t", "h", "n", "x", "at", "node", "root", "own_id", "own_t", "s", "draw", "cuts", "pos", "seed", "ids", "`q`"]
@@ -48,6 +48,9 @@ CASES = {
     "toxicity": lambda s, d: (toxicity.toxicity(d, toxicity.toxicity_model(d, labels(s))), len),
     "quality": lambda s, d: (quality.quality_rules(d, quality.quality_model(d, labels(s))), len),
     "substrings": lambda s, d: (substrings.remove_repeats(d), len),
+    "minhash": lambda s, d: (minhash.near_duplicates(d), len),
+    "resampling": lambda s, d: (resampling.resample(d, benchmark(s)), len),
+    "resampling_pairs": lambda s, d: (resampling.resample(d, benchmark(s), resampling.Rule(1, 2)), len),
 }
 
 
