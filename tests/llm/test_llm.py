@@ -195,6 +195,7 @@ def test_links_do_not_depend_on_tiles(spark, table, rows, monkeypatch, rule):
     monkeypatch.setattr(simhash, "PART", 4)
     monkeypatch.setattr(simhash, "FEW_KEYS", -1)
     monkeypatch.setattr(confirm, "FEW_KEYS", -1)
+    monkeypatch.setattr(components, "FEW_KEYS", -1)
     assert before == {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(table, rule).collect()}
     kept = {r["doc_id"] for r in simhash.keep_one(table, rule).collect()}
     assert kept == set(before.values())

@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 from weftline.operators.ordering import forget
 from weftline.operators.ordering import written as materialise
 
-__all__ = ["HOT", "WORD", "col", "count_words", "draw_key", "forget", "least_draws", "materialise", "met", "nested", "table", "unnested"]
+__all__ = ["FEW_KEYS", "HOT", "WORD", "col", "count_words", "draw_key", "few", "forget", "least_draws", "materialise", "met", "nested", "table", "unnested"]
 
 #: Keys with more than one in this many of all rows are told to every task, so there are at most as many.
 HOT = 10_000
 
+#: Keys up to this number (16 to 32 bytes each) are broadcast, so that rows are not shuffled.
+FEW_KEYS = 400_000
+
 #: A word is a run of anything but space, tab, line feed, vertical tab, form feed and return.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -37,6 +40,11 @@ def unnested(docs: DataFrame, row: str = "row") -> list[Column]:
     return [F.col(row).getField(c).alias(c) for c in docs.columns]
 
 
+def few(table: DataFrame, most: int) -> DataFrame:
+    """A written table of keys, to be broadcast if it has no more than ``most`` rows, which are counted."""
+    return F.broadcast(table) if table.count() <= most else table
+
+
 def count_words(text: Column) -> Column:
     """Number of words of a text as a long; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

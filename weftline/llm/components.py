@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import forget, materialise
+from weftline.llm.common import FEW_KEYS, few, forget, materialise
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
     """Links each node's larger (``large``) or smaller neighbours to the least one; written.
 
-    The minimum is aggregated before the shuffle and written, so the join is a
-    plain equi-join of two tables that adaptive execution may split, and one
-    node with very many neighbours does not fill a task.
+    The minimum is aggregated before the shuffle and written, so the join needs
+    no shuffle while there are few nodes, and else is a plain equi-join of two
+    tables that adaptive execution may split: one node with very many
+    neighbours does not fill a task.
     """
     if large:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -21,7 +22,7 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
         both = edges
     least = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
     least = materialise(least.select("node", F.least("node", "m").alias("m")))
-    linked = both.join(least, F.col("a") == F.col("node"))
+    linked = both.join(few(least, FEW_KEYS), F.col("a") == F.col("node"))
     if large:
         out = linked.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:

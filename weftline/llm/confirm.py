@@ -17,13 +17,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import col, forget, materialise, met
+from weftline.llm.common import FEW_KEYS, col, few, forget, materialise, met
+from weftline.llm.components import components
 from weftline.llm.textbytes import texts
 
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-#: Keys up to this number (24 to 32 bytes each) are broadcast, so that rows are not shuffled.
-FEW_KEYS = 400_000
 #: Texts of a piece, two of which make a block, and shingles in it unless one text alone has more.
 PIECE = 512
 PIECE_SHINGLES = 1 << 21
@@ -161,16 +160,32 @@ def confirmed(edges: DataFrame, sets: DataFrame, share: float) -> DataFrame:
 
 
 def rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    """``rows`` with the ``root`` of their ``node``, itself if ``roots`` has none."""
-    named = roots.select(F.col("node").alias("__n"), F.col("root").alias("__r"))
+    """``rows`` with the ``root`` of their ``node``, itself if the written ``roots`` has none."""
+    named = few(roots.select(F.col("node").alias("__n"), F.col("root").alias("__r")), FEW_KEYS)
     return rows.join(named, F.col("node") == F.col("__n"), "left").withColumn("root", F.coalesce("__r", "node")).drop("__n", "__r")
 
 
-def crossing(members: DataFrame, roots: DataFrame, key: str = "block") -> DataFrame:
-    """``(key, node, root)`` of the blocks that hold more than one root."""
-    named = materialise(rooted(members.select(key, "node"), roots))
-    mixed_ones = named.groupBy(F.col(key).alias("__k")).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-    return named.join(mixed_ones, F.col(key) == F.col("__k"), "left_semi")
+def crossing(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """``(block, node, root)`` of the blocks that hold more than one root."""
+    named = materialise(rooted(members.select("block", "node"), roots))
+    mixed_ones = named.groupBy(F.col("block").alias("__k")).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    return named.join(mixed_ones, F.col("block") == F.col("__k"), "left_semi")
+
+
+def joined(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(node, root)``, written: the components of ``roots`` with ``edges`` (``a, b``) between their groups."""
+    edges = materialise(edges)
+    if edges.isEmpty():
+        return roots
+    # Only the groups that the new edges join need be looked at.
+    a = rooted(edges.select(F.col("a").alias("node"), "b"), roots).select(F.col("b").alias("node"), F.col("root").alias("a"))
+    over = materialise(components(rooted(a, roots).select("a", F.col("root").alias("b"))))
+    moved = few(over.select(F.col("node").alias("__t"), F.col("root").alias("__to")), FEW_KEYS)
+    old = roots.join(moved, F.col("root") == F.col("__t"), "left").select("node", F.coalesce("__to", "root").alias("root"))
+    new = over.join(roots.select(F.col("node").alias("__n")), F.col("node") == F.col("__n"), "left_anti")
+    done = materialise(old.unionByName(new))
+    forget(edges, over)
+    return done
 
 
 def linked_blocks(members: DataFrame, sets: DataFrame, share: float) -> DataFrame:

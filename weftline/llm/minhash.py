@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm.common import col, forget, materialise, table
 from weftline.llm.components import components
-from weftline.llm.confirm import GOLDEN, PIECE, blocks_of, confirmed, crossing, lightest, linked_blocks, mixed, pieces, rooted, set_name, sets_of, shingle_set, with_components
+from weftline.llm.confirm import GOLDEN, PIECE, blocks_of, confirmed, joined, lightest, linked_blocks, mixed, pieces, rooted, set_name, sets_of, shingle_set, with_components
 from weftline.llm.textbytes import texts
 
 #: Shingles whose hashes are made at once.
@@ -169,26 +169,25 @@ def neighbours(nodes: DataFrame, rule: Rule) -> DataFrame:
 
 
 def estimated(edges: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
-    """``(a, b, e)``: the pairs of ``edges`` whose sizes and estimate ``e`` make them candidates."""
+    """``(a, b, e, lead)``: the pairs of ``edges`` whose sizes and estimate ``e`` make them candidates, with the first band key of ``a``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x, y = (rule.unpack(b.column(k).to_pylist()) for k in (2, 3))
             e = rule.estimate(x, y)
             fit = rule.fits(b.column(4).to_numpy(), b.column(5).to_numpy()) & (e >= rule.least)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(e)], ["a", "b", "e"]).filter(pa.array(fit))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(e), b.column(6)], ["a", "b", "e", "lead"]).filter(pa.array(fit))
 
     both = edges
     for k, s in (("a", "x"), ("b", "y")):
-        both = both.join(nodes.select(F.col("node").alias(k), F.col("sig").alias(s), F.col("size").alias(f"n{s}")), k)
-    return both.select("a", "b", "x", "y", "nx", "ny").mapInArrow(run, "a long, b long, e double")
+        both = both.join(nodes.select(F.col("node").alias(k), F.col("sig").alias(s), F.col("size").alias(f"n{s}"), F.get("bands", F.lit(0)).alias(f"l{s}")), k)
+    return both.select("a", "b", "x", "y", "nx", "ny", "lx").mapInArrow(run, "a long, b long, e double, lead long")
 
 
 def thinned(edges: DataFrame) -> DataFrame:
-    """``(a, b)`` of the closest of ``edges`` (``a, b, e``) that, a million at a time, join what all of these join."""
-    near = components(edges.select("a", "b")).select(F.col("node").alias("a"), "root")
-    # Edges of one group lie together; a range may begin inside a group.
-    ranged = edges.join(near, "a").select("a", "b", "e", "root").repartitionByRange("root", "a", "b").sortWithinPartitions("root")
+    """``(a, b)`` of the closest of ``edges`` (``a, b, e, lead``) that, a million at a time, join what all of these join."""
+    # Most edges of a group lie together.
+    ranged = edges.select("a", "b", "e", "lead").repartitionByRange("lead", "a", "b").sortWithinPartitions("lead")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -220,14 +219,14 @@ def united(docs: DataFrame, found: DataFrame, edges: DataFrame, rule: Rule, id_c
 
 
 def compared(members: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
-    """``(block, node)`` of candidates between different roots under each key of ``members`` (``key, node, root``)."""
+    """``(block, node)`` of candidates between different roots under each key of ``members`` (``key, node, root``, written)."""
     sizes = members.groupBy("key", "root").agg(F.count("*").alias("m"))
     keys = sizes.groupBy("key").agg(F.sum("m").alias("m"), F.max(F.struct("m", "root")).alias("top"))
-    keys = keys.select("key", F.col("top.root").alias("top"), F.ceil(F.col("m") / PIECE).alias("all_parts"), F.ceil((F.col("m") - F.col("top.m")) / PIECE).alias("few_parts"))
+    keys = keys.select("key", F.col("top.root").alias("top"), F.ceil(F.col("m") / PIECE).alias("all_parts"), F.ceil((F.col("m") - F.col("top.m")) / PIECE).alias("few_parts")).where("few_parts > 0")
     rows = members.join(keys, "key").join(nodes.select("node", "size", "sig", "bands"), "node")
     part = F.xxhash64("key", "node")
     # Each node outside the greatest group (side 0) meets all nodes (side 1).
-    few = rows.where("root <> top").withColumns({"i": F.pmod(part, "few_parts"), "side": F.lit(0)}).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("all_parts") - 1)))
+    some = rows.where("root <> top").withColumns({"i": F.pmod(part, "few_parts"), "side": F.lit(0)}).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("all_parts") - 1)))
     every = rows.withColumns({"j": F.pmod(part, "all_parts"), "side": F.lit(1)}).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("few_parts") - 1)))
     names = ["key", "i", "j", "side", "node", "root", "size", "sig", "bands"]
     order = ["key", "i", "j", "side"]
@@ -277,7 +276,7 @@ def compared(members: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
         name = [f"{key[k]}:{i[k]}:{j[k]}:{s}:{t}" for k, s, t in zip(at.tolist(), p.tolist(), q.tolist(), strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array(name, pa.string()), pa.array(node[at], pa.int64())], ["block", "node"])
 
-    both = few.select(*names).unionByName(every.select(*names))
+    both = some.select(*names).unionByName(every.select(*names))
     return both.repartition(*order[:3]).sortWithinPartitions(*order).mapInArrow(run, "block string, node long")
 
 
@@ -291,13 +290,14 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), *, id_col: str = "doc_
     edges = beside.where("before IS NOT NULL").select(F.least("node", "before").alias("a"), F.greatest("node", "before").alias("b")).distinct()
     edges = materialise(estimated(edges, nodes, rule))
     known = united(docs, found, edges, rule, id_col, text_col)
-    blocks = materialise(compared(crossing(beside, known, "key"), nodes, rule))
+    members = materialise(rooted(beside.select("key", "node"), known))
+    blocks = materialise(compared(members, nodes, rule))
+    forget(members)
     if not blocks.isEmpty():
-        members = materialise(rooted(blocks, known))
-        sets = sets_of(docs, found, members, rule.words, id_col, text_col)
-        more = linked_blocks(members, sets, rule.share)
-        known = materialise(components(known.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)))
-        forget(members, sets)
+        left = materialise(rooted(blocks, known))
+        sets = sets_of(docs, found, left, rule.words, id_col, text_col)
+        known = joined(known, linked_blocks(left, sets, rule.share))
+        forget(left, sets)
     named = with_components(full.select("doc_id", "text_hash", "node", "size"), nodes.select("node", "first_id", "m"), known)
     alone = found.where("size = 0").withColumn("component_id", F.col("doc_id"))
     forget(beside, edges, blocks, nodes)

@@ -57,9 +57,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import col, forget, materialise, nested, table, unnested
+from weftline.llm.common import FEW_KEYS, col, forget, materialise, nested, table, unnested
 from weftline.llm.components import components
-from weftline.llm.confirm import FEW_KEYS, GOLDEN, blocks_of, confirmed, crossing, lightest, linked_blocks, mixed, pieces, roots, set_name, sets_of, shingle_set, unite, with_components
+from weftline.llm.confirm import GOLDEN, blocks_of, confirmed, crossing, joined, lightest, linked_blocks, mixed, pieces, roots, set_name, sets_of, shingle_set, unite, with_components
 from weftline.llm.textbytes import texts
 
 SEED = 42
@@ -384,10 +384,6 @@ def links(nodes: DataFrame, rule: Rule) -> DataFrame:
 def _roots_of(docs: DataFrame, found: DataFrame, links: DataFrame, rule: Rule, id_col: str, text_col: str) -> DataFrame:
     """``(node, root)``, written, of the nodes with links."""
     edges, members = links.where("block IS NULL"), links.where("block IS NOT NULL").select("block", F.col("a").alias("node"))
-
-    def joined(known: DataFrame, more: DataFrame) -> DataFrame:
-        return materialise(components(known.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)))
-
     known = materialise(components(edges.where("d < 0").select("a", "b")))
     if isinstance(rule, Radius):
         return known
