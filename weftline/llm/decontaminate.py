@@ -62,30 +62,24 @@ def masks_of(size: int) -> tuple[str, ...]:
     return MASKS[max(k for k in MASKS if k <= size)]
 
 
-def seeds(hashed: DataFrame, kinds: list[tuple[int, str]], keep: list[str]) -> DataFrame:
-    """``pos, kind, seed`` for every position of the array ``h`` and kind, a document size (0: any) and mask, with the columns ``keep``.
+def seeds(hashed: DataFrame, kinds: list[tuple[int, int, str]], keep: list[str]) -> DataFrame:
+    """``pos, kind, seed`` for every position of the array ``h`` and kind, with the columns ``keep``; the array is left behind.
 
-    The array is left behind. Rows with ``m`` make of the kinds with a size only those of theirs.
+    A kind is a number, a document size (0: any) and a mask. Where ``hashed``
+    has ``m``, kinds with a size are those of rows of that size only.
     """
     at = lambda k: F.get("h", F.col("pos") + F.lit(k))
-
-    def seed(n: int) -> Column:
-        size, mask = kinds[n]
+    sized = ["m"] if "m" in hashed.columns else []
+    found = []
+    for n, size, mask in kinds:
         fits = F.col("pos") + F.lit(len(mask)) <= F.size("h")
-        if size and "m" in hashed.columns:
-            fits = fits & (F.col("m") == size)
-        return F.when(fits, F.xxhash64(F.lit(size), F.lit(mask), *[at(k) for k, c in enumerate(mask) if c == "1"]))
-
-    plain, sized = ([n for n, k in enumerate(kinds) if bool(k[0]) == own] for own in (False, True))
-    entry = lambda ns: F.array(*[F.struct(F.lit(n).alias("kind"), seed(n).alias("seed")) for n in ns])
-    found = entry(plain) if plain else None
-    if sized:
-        # Most documents are long, and look at none of these.
-        few = F.when(F.col("m") < STRETCH, entry(sized)) if "m" in hashed.columns else entry(sized)
-        found = few if found is None else F.concat(found, F.coalesce(few, F.array().cast("array<struct<kind:int,seed:bigint>>")))
+        fits = fits & (F.col("m") == size) if sized and size else fits
+        found.append(F.when(fits, F.xxhash64(F.lit(n), *[at(k) for k, c in enumerate(mask) if c == "1"])))
     # Outer, lest a filter on the size of ``h`` be derived that computes it twice.
-    each = hashed.select(*keep, *(["m"] if "m" in hashed.columns else []), "h", F.posexplode_outer("h").alias("pos", "token"))
-    return each.select(*keep, "pos", F.inline_outer(found)).where("seed IS NOT NULL")
+    each = hashed.select(*keep, *sized, "h", F.posexplode_outer("h").alias("pos", "token"))
+    numbers = F.array(*[F.lit(n) for n, *_ in kinds])
+    seeded = each.select(*keep, "pos", F.posexplode_outer(F.array(*found)).alias("place", "seed")).where("seed IS NOT NULL")
+    return seeded.select(*keep, "pos", F.get(numbers, F.col("place")).alias("kind"), "seed")
 
 
 def _overlap(pairs: DataFrame, stretch: int) -> DataFrame:
@@ -116,21 +110,32 @@ def measured(
     # At most as many sizes as a stretch has tokens.
     size = F.least(F.size("h"), F.lit(stretch))
     sizes = [r[0] for r in items.select(size).distinct().collect()]
-    kinds = sorted({(0, m) for n in sizes for m in masks_of(n)}) + [(w, m) for w in range(1, max(sizes, default=0)) for m in masks_of(w)]
+    kinds = [(0, m) for m in sorted({m for n in sizes for m in masks_of(n)})] + [(w, m) for w in range(1, max(sizes, default=0)) for m in masks_of(w)]
+    kinds = [(n, *k) for n, k in enumerate(kinds)]
     if not kinds:
         return docs.select(col(id_col).alias("doc_id")).join(items.select("item_id", F.lit(0).alias("tokens")), F.lit(False))
     # What an item is found by: the masks of its size, and for each smaller size those of documents that have it.
-    own = {n: [k for k, (w, m) in enumerate(kinds) if (m in masks_of(n) if w == 0 else w < n)] for n in sizes}
+    own = {n: [k for k, w, m in kinds if (m in masks_of(n) if w == 0 else w < n)] for n in sizes}
     wanted = F.create_map(*[x for n in sizes for x in (F.lit(n), F.array(*[F.lit(k) for k in own[n]]))])
     known = materialise(
         seeds(items.withColumns({"n": F.size("h"), "own": wanted[size]}), kinds, ["item", "n", "own"]).where(F.array_contains("own", F.col("kind")))
-        .select("item", "n", F.col("pos").alias("ipos"), F.col("seed").alias("iseed"))
+        .select("item", "n", F.col("pos").alias("ipos"), F.col("seed").alias("iseed"), F.col("kind").alias("ikind"))
     )
     small = F.broadcast if known.count() <= FEW_SEEDS else (lambda df: df)
     text = col(text_col).cast("string")
     key = [col(id_col).alias("doc_id"), F.xxhash64(text).alias("t")]
-    hashed = docs.select(*key, token_hashes(text).alias("h")).withColumn("m", F.size("h"))
-    hits = seeds(hashed, kinds, ["doc_id", "t"]).join(small(known), F.col("seed") == F.col("iseed"))
+
+    def hits_of(rows: DataFrame, sized: bool) -> DataFrame:
+        """Documents' seeds joined with those of the same kinds only: the seeds for short documents are many, and would slow long ones down."""
+        some = [k for k in kinds if bool(k[1]) == sized]
+        theirs = known.where(F.col("ikind").isin([k[0] for k in some])).drop("ikind")
+        return seeds(rows, some, ["doc_id", "t"]).join(small(theirs), F.col("seed") == F.col("iseed"))
+
+    hits = hits_of(docs.select(*key, token_hashes(text).alias("h")), False)
+    if any(k[1] for k in kinds):
+        # Of a long text only the beginning is looked at to see that it is no short one, which has a blank end at most on either side.
+        short = docs.where(F.size(F.split(text, BETWEEN, stretch + 2)) <= stretch + 1)
+        hits = hits.unionByName(hits_of(short.select(*key, token_hashes(text).alias("h")).withColumn("m", F.size("h")), True))
     # An alignment begins at the same place of the document whichever seed found it.
     aligned = materialise(hits.select("doc_id", "t", "item", "n", (F.col("pos") - F.col("ipos")).alias("at")).distinct())
     of_doc = aligned.groupBy("doc_id", "t").agg(F.collect_list(F.struct("item", "n", "at")).alias("hits")).select(F.col("doc_id").alias("d"), F.col("t").alias("dt"), "hits")
