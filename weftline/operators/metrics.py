@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from weftline.functions import arrays as A
 from weftline.functions import textops as T
+# By itself: what runs in workers must not drag a module along that may hold a session's objects.
+from weftline.functions.arrays import common_length
 from weftline.operators.ordering import written
 
 #: The least positive normal double, which stands for a precision of zero.
@@ -65,10 +67,10 @@ def _characters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _rouge(ref: list[str], hyp: list[str]) -> float:
-    l = A.common_length(ref, hyp)
-    if not l:
+    common = common_length(ref, hyp)
+    if not common:
         return 0.0
-    r, p = l / len(ref), l / len(hyp)
+    r, p = common / len(ref), common / len(hyp)
     beta2 = (p / (r + 1e-12)) ** 2
     return (1 + beta2) * r * p / (r + beta2 * p + 1e-12)
 
