@@ -176,3 +176,33 @@ def test_sums_of_clipped_matches(spark):
             for n in range(1, orders + 1):
                 assert found[s, kind, n] == (want[n, "m"], want[n, "h"], want[n, "r"]), (s, kind, n)
         assert found[s, "rouge", 0][0] == len(own)
+
+
+def test_metrics_count_bounded_runs(spark, monkeypatch):
+    """A worker counts a run of bounded size at a time, however many rows a batch holds."""
+    count = metrics._clipped
+
+    def bounded(tokens, *rest):
+        assert len(tokens) <= 1 << 18, "a whole batch is counted at once"
+        return count(tokens, *rest)
+
+    monkeypatch.setattr(metrics, "_clipped", bounded)
+    text = "some words, and more of them " * 20
+    df = spark.range(1500).coalesce(1).select(F.when(F.col("id") % 3 == 0, "x").otherwise("y").alias("s"), F.lit(text).alias("hyp"), F.lit(text + "end").alias("ref"))
+    ask = dict(tokens=4, chars=6, words=2, rouge=True)
+    one = {(r["kind"], r["n"]): r for r in metrics._sums(df.limit(1), None, **ask).collect()}
+    for r in metrics._sums(df, "s", **ask).collect():
+        k, want = {"x": 500, "y": 1000, "overall": 1500}[r["slice"]], one[r["kind"], r["n"]]
+        assert (r["matches"], r["hyp_n"], r["ref_n"]) == tuple(k * want[c] for c in ("matches", "hyp_n", "ref_n"))
+        assert abs(r["value"] - k * want["value"]) < 1e-6
+
+
+def test_long_rows_are_counted_whole(spark, monkeypatch):
+    monkeypatch.setattr(metrics, "RUN", 10)
+    rows = [("x", "a b c d e f g h", "a b c x e f g h"), ("y", "", None), ("x", "q " * 50, "q " * 40), ("y", "z", "z")]
+    df = spark.createDataFrame(rows, "s string, hyp string, ref string").coalesce(1)
+    got = {(r["kind"], r["n"]): (r["matches"], r["hyp_n"], r["ref_n"]) for r in metrics._sums(df, None, tokens=4, chars=6, words=2, rouge=True).collect()}
+    for kind, orders, cut in (("w", 2, str.split), ("t", 4, str.split), ("c", 6, lambda t: t.replace(" ", ""))):
+        want = brute_sums([r[1:] for r in rows], orders, cut)
+        assert all(got[kind, n] == (want[n, "m"], want[n, "h"], want[n, "r"]) for n in range(1, orders + 1))
+    assert got["rouge", 0][0] == 4

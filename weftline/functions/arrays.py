@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -111,6 +114,16 @@ def common_length(x: list[str], y: list[str]) -> int:
     return len(x) - row.bit_count()
 
 
+def runs(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of rows whose sizes add up to ``most`` at the highest; a larger row is a run by itself."""
+    ends = np.cumsum(sizes)
+    at = 0
+    while at < len(ends):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield at, to
+        at = to
+
+
 @F.pandas_udf(LongType())
 def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([0 if x is None or y is None else common_length(x, y) for x, y in zip(a, b, strict=True)], dtype="int64")

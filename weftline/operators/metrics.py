@@ -1,9 +1,10 @@
 """Corpus BLEU, ROUGE-L and chrF++ over ``(hyp, ref)`` rows, overall and by slice.
 
 Tokens are made in the JVM; Arrow batches then count n-grams where the rows
-are, and send a row of sums for each slice and order. Sums add up, so all
-slices and all metrics come from one scan and no text or n-gram is shuffled.
-A null side counts as an empty text.
+are, a bounded run of rows at a time, and send a row of sums for each slice and
+order. Sums add up, so all slices and all metrics come from one scan and no
+text or n-gram is shuffled. A null side counts as an empty text. A worker holds
+an Arrow batch and some 100 bytes for each item of a run, or of a longer row.
 """
 
 from __future__ import annotations
@@ -12,18 +13,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions import arrays as A
 from weftline.functions import textops as T
 # By itself: what runs in workers must not drag a module along that may hold a session's objects.
-from weftline.functions.arrays import common_length
+from weftline.functions.arrays import common_length, runs
 from weftline.operators.ordering import written
 
 #: The least positive normal double, which stands for a precision of zero.
 TINY = 2.2250738585072014e-308
 ALL = "overall"
+#: Tokens, and bytes of characters, that are counted at a time.
+RUN = 1 << 17
 
 
 def zipped(hyp: DataFrame, ref: DataFrame, ordinal: str = "ordinal") -> DataFrame:
@@ -82,26 +86,33 @@ def _sums(rows: DataFrame, slice_col: str | None, *, tokens: int = 0, rouge: boo
     asked = [k for k, on in (("t", tokens or rouge), ("c", chars), ("w", words)) if on]
     cols = [F.coalesce(made[k](F.col(c)), F.lit("") if k == "c" else empty).alias(f"{c}_{k}") for k in asked for c in ("hyp", "ref")]
 
+    def summed(b: pa.RecordBatch) -> pa.RecordBatch:
+        names = b.column(0).dictionary_encode(null_encoding="encode")
+        group, slices = names.indices.to_numpy().astype(np.int64), names.dictionary.to_pylist()
+        out = []
+        for k, n in (("t", tokens), ("c", chars), ("w", words)):
+            if not n:
+                continue
+            at = 1 + 2 * asked.index(k)
+            texts = [x for pair in zip(b.column(at).to_pylist(), b.column(at + 1).to_pylist(), strict=True) for x in pair]
+            flat, lengths = _characters(texts) if k == "c" else _numbered(texts)
+            for order, sums in _clipped(flat, lengths, np.arange(len(texts)) % 2 == 0, group, n):
+                out += [(slices[g], k, order, *sums[:, g].tolist(), 0.0) for g in range(len(slices))]
+        if rouge:
+            value = np.array([_rouge(r, h) for h, r in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)])
+            sums, count = np.bincount(group, value, len(slices)), np.bincount(group, minlength=len(slices))
+            out += [(slices[g], "rouge", 0, int(count[g]), 0, 0, float(sums[g])) for g in range(len(slices))]
+        parts = list(zip(*out, strict=True)) or [()] * 7
+        kinds = (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(parts, kinds, strict=True)], ["slice", "kind", "n", "matches", "hyp_n", "ref_n", "value"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            names = b.column(0).dictionary_encode(null_encoding="encode")
-            group, slices = names.indices.to_numpy().astype(np.int64), names.dictionary.to_pylist()
-            out = []
-            for k, n in (("t", tokens), ("c", chars), ("w", words)):
-                if not n or not b.num_rows:
-                    continue
-                at = 1 + 2 * asked.index(k)
-                texts = [x for pair in zip(b.column(at).to_pylist(), b.column(at + 1).to_pylist(), strict=True) for x in pair]
-                flat, lengths = _characters(texts) if k == "c" else _numbered(texts)
-                for order, sums in _clipped(flat, lengths, np.arange(len(texts)) % 2 == 0, group, n):
-                    out += [(slices[g], k, order, *sums[:, g].tolist(), 0.0) for g in range(len(slices))]
-            if rouge and b.num_rows:
-                value = np.array([_rouge(r, h) for h, r in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)])
-                sums, count = np.bincount(group, value, len(slices)), np.bincount(group, minlength=len(slices))
-                out += [(slices[g], "rouge", 0, int(count[g]), 0, 0, float(sums[g])) for g in range(len(slices))]
-            parts = list(zip(*out, strict=True)) or [()] * 7
-            kinds = (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(parts, kinds, strict=True)], ["slice", "kind", "n", "matches", "hyp_n", "ref_n", "value"])
+            sizes = np.zeros(b.num_rows, np.int64)
+            for c in b.columns[1:]:
+                sizes += (pc.binary_length(c) if pa.types.is_string(c.type) else pc.list_value_length(c)).to_numpy()
+            for at, to in runs(sizes, RUN):
+                yield summed(b.slice(at, to - at))
 
     picked = rows.select((F.col(slice_col).cast("string") if slice_col else F.lit(ALL)).alias("slice"), *cols)
     sums = picked.mapInArrow(run, "slice string, kind string, n int, matches long, hyp_n long, ref_n long, value double")
