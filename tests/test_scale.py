@@ -206,3 +206,44 @@ def test_long_rows_are_counted_whole(spark, monkeypatch):
         want = brute_sums([r[1:] for r in rows], orders, cut)
         assert all(got[kind, n] == (want[n, "m"], want[n, "h"], want[n, "r"]) for n in range(1, orders + 1))
     assert got["rouge", 0][0] == 4
+
+
+def texts_of_languages(n):
+    rng = random.Random(7)
+    letters = {"en": "abcdefgh ", "fr": "éèàçuvwx ", "hi": "नमसतकखगघ "}
+    rows = [(i, lang, "".join(rng.choice(letters[lang]) for _ in range(rng.randrange(40)))) for i in range(n) for lang in letters]
+    return [*rows, (n, "en", None), (n + 1, "fr", ""), (n + 2, "hi", "न" * 3000 + "\U0001f600")]
+
+
+def test_languages_in_bounded_runs(spark, monkeypatch):
+    """Grams are numbered for a run of bounded size at a time, however many rows a batch holds."""
+    numbers = langid._keys
+
+    def bounded(flat, *rest):
+        assert len(flat) <= 1 << 20, "a whole batch is numbered at once"
+        return numbers(flat, *rest)
+
+    monkeypatch.setattr(langid, "_keys", bounded)
+    text = "the cat sat on the mat " * 50
+    df = spark.range(1500).coalesce(1).select("id", F.lit(text).alias("text"), F.lit("en").alias("lang"))
+    got = {r["gram"]: r["n"] for r in langid.gram_counts(df, "text", "lang").collect()}
+    padded = f" {text.strip()} "
+    assert got == {g: 1500 * n for g, n in Counter(padded[i : i + k] for k in (1, 2, 3) for i in range(len(padded) - k + 1)).items()}
+    model = langid.fit(df.limit(10), "text", "lang", ["en", "hi"])
+    assert {r["predicted"] for r in langid.predict(df, model, "id", "text").collect()} == {"en"}
+    assert {r["p"] for r in df.select(langid.predictor(model)(F.col("text")).alias("p")).collect()} == {"en"}
+
+
+@pytest.mark.parametrize("run, held", [(1, 1), (7, 20), (500, 1 << 17)])
+def test_runs_leave_languages_as_they_are(spark, monkeypatch, run, held):
+    rows = texts_of_languages(60)
+    df = spark.createDataFrame(rows, "id int, lang string, text string").repartition(2)
+    model = langid.fit(df, "text", "lang", ["en", "fr", "hi"])
+    want = {r["id"]: (r["predicted"], round(r["score"], 6)) for r in langid.predict(df.where("text IS NOT NULL"), model, "id", "text").collect()}
+    monkeypatch.setattr(langid, "RUN", run)
+    monkeypatch.setattr(langid, "HELD", held)
+    counts = Counter((lang, p[i : i + k]) for _, lang, t in rows if t is not None for p in [f" {t.strip()} "] for k in (1, 2, 3) for i in range(len(p) - k + 1))
+    assert {(r["cls"], r["gram"]): r["n"] for r in langid.gram_counts(df, "text", "lang").collect()} == counts
+    assert {r["id"]: (r["predicted"], round(r["score"], 6)) for r in langid.predict(df.where("text IS NOT NULL"), model, "id", "text").collect()} == want
+    said = {r["id"]: r["p"] for r in df.where("id >= 60").select("id", langid.predictor(model)(F.col("text")).alias("p")).collect()}
+    assert said == {60: None, 61: want[61][0], 62: "hi"}

@@ -1,9 +1,11 @@
 """Language identification: multinomial naive Bayes over character n-grams.
 
-N-grams are counted, and texts scored, in Arrow batches where the texts are: a
-batch sends one row for each class and gram that it holds, and texts are never
-shuffled. Grams are those of code points, order by order, of the trimmed text
-between blanks. A null text has no grams; an empty one has those of two blanks.
+N-grams are counted, and texts scored, in Arrow batches where the texts are, a
+bounded run of texts at a time: a task sends the grams that it holds with their
+counts, a bounded number at a time, and texts are never shuffled. A worker
+holds an Arrow batch, the model, and some 100 bytes for each character of a run
+(some 50 for each of a longer text). Grams are those of code points, order by
+order, of the trimmed text between blanks. A null text has no grams; an empty one has those of two blanks.
 """
 
 from __future__ import annotations
@@ -12,18 +14,24 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline.config import DEFAULT, Config
+# By itself, as it runs in workers.
+from weftline.functions.arrays import runs
 from weftline.operators.ordering import seeded_key, written
 
 #: Code points, and cells of a table that stands for a search.
 POINTS = 0x110000
 CELLS = 1 << 22
+#: Bytes of text, and positions, that are worked on at a time.
+RUN = 1 << 19
+#: Grams that a task counts before it sends them.
+HELD = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -41,15 +49,6 @@ def _points(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return flat, np.fromiter(map(len, padded), np.int64, len(padded))
 
 
-def _starts(n_points: int, lengths: np.ndarray, n: int) -> np.ndarray:
-    """Which positions begin an ``n``-gram that stays inside its text."""
-    ok = np.ones(n_points, bool)
-    ends = np.cumsum(lengths)[lengths > 0]
-    for k in range(1, n):
-        ok[ends - k] = False
-    return ok
-
-
 def _keys(flat: np.ndarray, n: int, base: int) -> np.ndarray:
     """A number for the ``n``-gram at each position but the last ``n - 1``."""
     key = flat[: max(0, len(flat) - n + 1)].astype(np.int64)
@@ -58,40 +57,72 @@ def _keys(flat: np.ndarray, n: int, base: int) -> np.ndarray:
     return key
 
 
+def _blocks(flat: np.ndarray, lengths: np.ndarray, n: int, base: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For runs of positions the first one, the number of the ``n``-gram at each, and whether that stays inside its text."""
+    ends = np.cumsum(lengths)[lengths > 0]
+    for at in range(0, len(flat) - n + 1, RUN):
+        key = _keys(flat[at : at + RUN + n - 1], n, base)
+        inside = np.ones(len(key), bool)
+        for k in range(1, n):
+            late = ends - k - at
+            inside[late[(late >= 0) & (late < len(key))]] = False
+        yield at, key, inside
+
+
+def _some(texts: pa.Array) -> Iterator[list[str | None]]:
+    """``texts`` by runs of bounded size; a longer text is a run by itself."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    for at, to in runs(sizes.astype(np.int64) + 2, RUN):
+        yield texts.slice(at, to - at).to_pylist()
+
+
 def _counted(texts: list[str | None], orders: tuple[int, ...]) -> Iterator[tuple[str, int]]:
+    """Grams and their counts, those of longer texts in several parts."""
     flat, lengths = _points(texts)
-    known, flat = np.unique(flat, return_inverse=True) if len(flat) else (flat, flat)
-    base = max(1, len(known))
+    known = np.unique(flat)
+    number = np.zeros(POINTS, np.int32)
+    number[known] = np.arange(len(known))
+    flat, base = number[flat], max(1, len(known))
     for n in orders:
         if base**n >= 1 << 62:
             raise ValueError(f"{n}-grams over {base} different characters are too many to number")
-        key = _keys(flat, n, base)
-        key = key[_starts(len(flat), lengths, n)[: len(key)]]
-        if base**n <= CELLS:
-            counts = np.bincount(key, minlength=1)
-            ids = np.flatnonzero(counts)
-            counts = counts[ids]
-        else:
-            ids, counts = np.unique(key, return_counts=True)
-        parts = np.stack([known[ids // base**k % base] for k in reversed(range(n))], axis=1) if len(ids) else np.empty((0, n), np.uint32)
-        grams = parts.astype(np.uint32).tobytes().decode("utf-32-le", "surrogatepass")
-        yield from ((grams[i * n : i * n + n], int(c)) for i, c in enumerate(counts))
+        for _, key, inside in _blocks(flat, lengths, n, base):
+            key = key[inside]
+            if base**n <= min(CELLS, 4 * len(key)):
+                counts = np.bincount(key)
+                ids = np.flatnonzero(counts)
+                counts = counts[ids]
+            else:
+                ids, counts = np.unique(key, return_counts=True)
+            parts = np.stack([known[ids // base**k % base] for k in reversed(range(n))], axis=1) if len(ids) else np.empty((0, n), np.uint32)
+            grams = parts.astype(np.uint32).tobytes().decode("utf-32-le", "surrogatepass")
+            yield from ((grams[i * n : i * n + n], c) for i, c in enumerate(counts.tolist()))
 
 
 def gram_counts(samples: DataFrame, text: str, label: str, config: Config = DEFAULT) -> DataFrame:
-    """``(cls, gram, n)``; each batch sends its own counts, which add up."""
+    """``(cls, gram, n)``; each task sends its own counts, which add up."""
     kind = samples.select(label).schema[0].dataType.simpleString()
 
+    def sent(held: dict, of: pa.DataType) -> pa.RecordBatch:
+        labels = pa.array([c for c, own in held.items() for _ in own], of)
+        grams = pa.array([g for own in held.values() for g in own], pa.string())
+        counts = pa.array([m for own in held.values() for m in own.values()], pa.int64())
+        return pa.RecordBatch.from_arrays([labels, grams, counts], ["cls", "gram", "m"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, of = {}, None
         for b in batches:
-            of: dict = {}
-            for c, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                of.setdefault(c, []).append(t)
-            for c, texts in of.items():
-                rows = list(_counted(texts, config.lid_orders))
-                if rows:
-                    grams, counts = zip(*rows, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([c] * len(rows), b.column(0).type), pa.array(grams), pa.array(counts, pa.int64())], ["cls", "gram", "m"])
+            names, of = b.column(0).dictionary_encode(null_encoding="encode"), b.column(0).type
+            for k, c in enumerate(names.dictionary.to_pylist()):
+                own = held.setdefault(c, {})
+                for texts in _some(b.column(1).filter(pc.equal(names.indices, k))):
+                    for gram, m in _counted(texts, config.lid_orders):
+                        own[gram] = own.get(gram, 0) + m
+                    if sum(map(len, held.values())) >= HELD:
+                        yield sent(held, of)
+                        held = {c: (own := {})}
+        if any(held.values()):
+            yield sent(held, of)
 
     picked = samples.select(F.col(label).alias("cls"), F.col(text).alias("text"))
     return picked.mapInArrow(run, f"cls {kind}, gram string, m long").groupBy("cls", "gram").agg(F.sum("m").alias("n"))
@@ -168,32 +199,31 @@ def fit(samples: DataFrame, text: str, label: str, classes: list[str], config: C
     return Model(stats.drop("denom"), grams)
 
 
+def _rows(grams: pa.Table, letters: np.ndarray, unseen: list[float], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted numbers of the ``n``-grams of ``(place, gram, log_prob)``, and a row of log probabilities for each after one for any other gram."""
+    own = grams.filter(pc.equal(pc.utf8_length(grams["gram"]), n))
+    flat = np.frombuffer("".join(own["gram"].to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32)
+    keys, at = np.unique(_keys(np.searchsorted(letters, flat) + 1, n, len(letters) + 1)[::n], return_inverse=True)
+    rows = np.tile(np.array(unseen, np.float64), (len(keys) + 1, 1))
+    rows[at + 1, own["place"].to_numpy()] = own["log_prob"].to_numpy()
+    return keys, rows
+
+
 class Scorer:
     """A model as arrays: for each order the numbers of its grams, sorted, and a row of log probabilities for each."""
 
-    def __init__(self, grams: list[tuple[int, str, float]], priors: list[float], unseen: list[float], orders: tuple[int, ...]):
-        self.priors, self.orders = np.array(priors), orders
-        letters = sorted({ord(x) for _, g, _ in grams for x in g})
+    def __init__(self, letters: np.ndarray, tables: dict[int, tuple[np.ndarray, np.ndarray]], priors: list[float]):
+        self.priors, self.orders = np.array(priors), tuple(tables)
         # Number 0 is any character that no gram has.
         self.number = np.zeros(POINTS, np.int32)
         self.number[letters] = np.arange(1, len(letters) + 1)
         self.base = len(letters) + 1
         self.keys, self.rows, self.cells = {}, {}, {}
-        for n in orders:
-            if self.base**n >= 1 << 62:
-                raise ValueError(f"{n}-grams over {self.base} different characters are too many to number")
-            of: dict[str, np.ndarray] = {}
-            for c, g, p in grams:
-                if len(g) == n:
-                    of.setdefault(g, np.array(unseen))[c] = p
-            flat = self.number[np.frombuffer("".join(of).encode("utf-32-le", "surrogatepass"), np.uint32)]
-            key = _keys(flat, n, self.base)[::n] if of else np.empty(0, np.int64)
-            order = np.argsort(key)
-            self.keys[n] = key[order]
-            self.rows[n] = np.vstack([np.array(unseen)[None], *([np.array(list(of.values()))[order]] if of else [])])
+        for n, (keys, rows) in tables.items():
+            self.keys[n], self.rows[n] = keys, rows
             if self.base**n <= CELLS:
                 self.cells[n] = np.zeros(self.base**n, np.int32)
-                self.cells[n][self.keys[n]] = np.arange(1, len(self.keys[n]) + 1)
+                self.cells[n][keys] = np.arange(1, len(keys) + 1)
 
     def _found(self, n: int, key: np.ndarray) -> np.ndarray:
         """The row of each key, 0 for grams that no class has."""
@@ -211,22 +241,27 @@ class Scorer:
         bounds = np.concatenate(([0], np.cumsum(lengths)))
         out = np.tile(self.priors, (len(texts), 1))
         for n in self.orders:
-            key = _keys(flat, n, self.base)
-            found = self._found(n, key)
-            ok = _starts(len(flat), lengths, n)[: len(key)]
-            for c in range(len(self.priors)):
-                value = np.concatenate((np.where(ok, self.rows[n][found, c], 0.0), np.zeros(len(flat) - len(key) + 1)))
-                sums = np.add.reduceat(value, bounds[:-1])
-                out[:, c] += np.where(lengths > 0, sums, 0.0)
+            value = np.zeros((len(self.priors), len(flat) + 1))
+            for at, key, inside in _blocks(flat, lengths, n, self.base):
+                found = self._found(n, key)
+                for c in range(len(value)):
+                    value[c, at : at + len(key)] = np.where(inside, self.rows[n][found, c], 0.0)
+            for c in range(len(value)):
+                out[:, c] += np.where(lengths > 0, np.add.reduceat(value[c], bounds[:-1]), 0.0)
         return out
 
 
 def _packed(model: Model, config: Config):
     """Classes in their order, and the model as a broadcast: at most the feature limit of each class, a bounded table."""
     names = [tuple(r) for r in model.classes.select("cls", "place", "log_prior", "log_unseen").orderBy("place").collect()]
-    at = {c: k for k, (c, *_) in enumerate(names)}
-    grams = [(at[c], g, p) for c, g, p in model.grams.select("cls", "gram", "log_prob").collect()]
-    return names, model.classes.sparkSession.sparkContext.broadcast((grams, [x[2] for x in names], [x[3] for x in names], tuple(config.lid_orders)))
+    at = F.create_map(*[F.lit(x) for k, (c, *_) in enumerate(names) for x in (c, k)]) if names else F.lit(None).cast("map<string,int>")
+    grams = model.grams.select(F.try_element_at(at, F.col("cls")).alias("place"), "gram", "log_prob").toArrow()
+    letters = np.unique(np.frombuffer("".join(grams["gram"].to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32))
+    for n in config.lid_orders:
+        if (len(letters) + 1) ** n >= 1 << 62:
+            raise ValueError(f"{n}-grams over {len(letters) + 1} different characters are too many to number")
+    tables = {n: _rows(grams, letters, [x[3] for x in names], n) for n in config.lid_orders}
+    return names, model.classes.sparkSession.sparkContext.broadcast((letters, tables, [x[2] for x in names]))
 
 
 def predictor(model: Model, config: Config = DEFAULT):
@@ -238,17 +273,20 @@ def predictor(model: Model, config: Config = DEFAULT):
     names, packed = _packed(model, config)
     order = np.argsort([p for _, p, *_ in names], kind="stable")
 
-    @F.pandas_udf("string")
-    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("string")
+    def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = None
+        classes = pa.array([names[k][0] for k in order], pa.string())
         for b in batches:
-            some = b.notna().to_numpy()
-            out = np.full(len(b), None, object)
-            if some.any():
+            best = []
+            for texts in _some(b.drop_null()):
                 scorer = scorer or Scorer(*packed.value)
-                got = np.round(scorer(b[some].tolist())[:, order], 9)
-                out[some] = [names[order[k]][0] for k in got.argmax(axis=1)]
-            yield pd.Series(out, index=b.index)
+                best.append(np.round(scorer(texts)[:, order], 9).argmax(axis=1))
+            # Answers go back to the places of the texts that are not null.
+            place = np.full(len(b), -1)
+            if best:
+                place[b.is_valid().to_numpy(zero_copy_only=False)] = np.concatenate(best)
+            yield classes.take(pa.array(place, mask=place < 0))
 
     return predict
 
@@ -261,9 +299,13 @@ def _scored(rows: DataFrame, model: Model, key: str, text: str, config: Config)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = None
         for b in batches:
-            scorer = scorer or Scorer(*packed.value)
-            got = scorer(b.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(got), pa.list_(pa.float64()))], ["key", "score"])
+            at = 0
+            for texts in _some(b.column(1)):
+                scorer = scorer or Scorer(*packed.value)
+                got = scorer(texts)
+                ends = pa.array(np.arange(len(got) + 1) * got.shape[1], pa.int32())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(got)), pa.ListArray.from_arrays(ends, got.ravel())], ["key", "score"])
+                at += len(got)
 
     out = rows.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, score array<double>")
     each = [(F.lit(c).alias("cls"), F.lit(p).alias("place"), F.get("score", F.lit(k)).alias("score")) for k, (c, p, *_) in enumerate(names)]
