@@ -247,3 +247,18 @@ def test_runs_leave_languages_as_they_are(spark, monkeypatch, run, held):
     assert {r["id"]: (r["predicted"], round(r["score"], 6)) for r in langid.predict(df.where("text IS NOT NULL"), model, "id", "text").collect()} == want
     said = {r["id"]: r["p"] for r in df.where("id >= 60").select("id", langid.predictor(model)(F.col("text")).alias("p")).collect()}
     assert said == {60: None, 61: want[61][0], 62: "hi"}
+
+
+def test_words_are_encoded_without_python_objects(spark):
+    from pyspark.util import PythonEvalType
+
+    from weftline.operators import training
+
+    encode = training.word_encoder(["b", "a", "é"], 6)
+    assert encode.evalType == PythonEvalType.SQL_SCALAR_ARROW_ITER_UDF
+    rows = [(0, ["a", "x", "b"]), (1, None), (2, []), (3, ["é", None]), (4, ["b"])]
+    df = spark.createDataFrame(rows, "i int, w array<string>").coalesce(1)
+    got = {r["i"]: r["ids"] for r in df.select("i", encode("w").alias("ids")).collect()}
+    assert got == {0: [7, 1, 6], 1: None, 2: [], 3: [8, 1], 4: [6]}
+    # Slices of an array: what a filter or limit leaves.
+    assert [r["ids"] for r in df.where("i >= 2").orderBy("i").select(encode("w").alias("ids")).collect()] == [[], [8, 1], [6]]

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -35,11 +37,16 @@ def vocabulary(rows: DataFrame, words: Column, size: int) -> list[str]:
 def word_encoder(known: list[str], first: int, unk: int = 1):
     """A column function from words to ids: ``first`` and up in the order of ``known``, else ``unk``; in Arrow batches, no shuffle."""
 
-    @F.pandas_udf("array<int>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        ids = {w: first + k for k, w in enumerate(known)}
+    ids = {w: first + k for k, w in enumerate(known)}
+
+    @F.arrow_udf("array<int>")
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        words, numbers = pa.array(ids, pa.string()), pa.array(ids.values(), pa.int32())
         for b in batches:
-            yield pd.Series([None if x is None else [ids.get(w, unk) for w in x] for x in b], index=b.index)
+            # Values and sizes alone, since null rows may have values of their own.
+            found = pc.fill_null(numbers.take(pc.index_in(b.flatten(), value_set=words)), unk)
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(b), 0).to_numpy(zero_copy_only=False))
+            yield pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), found, mask=b.is_null())
 
     return encode
 
