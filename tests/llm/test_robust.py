@@ -246,3 +246,25 @@ def test_wide_fingerprint_in_plain_bits():
     for lane in range(3):
         hashes = [int(simhash._mixed(np.array([int(x) + (lane + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1], np.uint64))[0]) for x in s]
         assert int(got[lane]) == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in hashes) > len(s))
+
+
+def test_training_and_filter_work_on_few_rows_at_a_time(spark, monkeypatch):
+    """Neither features nor kept rows of a whole batch are held at once; the model and the rows stay what they are."""
+    from weftline.llm import labelled, quality
+
+    text = F.concat(F.repeat(F.concat(F.lit("word"), F.col("id").cast("string"), F.lit(" and some ")), 30), F.when(F.col("id") % 2 == 0, "good prose").otherwise("spam spam"))
+    docs = spark.range(600).coalesce(1).select(F.col("id").alias("doc_id"), text.alias("text"))
+    labels = spark.range(600).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
+    want = quality.quality_model(docs, labels)
+    kept = sorted(r["doc_id"] for r in quality.keep_good(docs, want, max_repeat_percent=100).collect())
+    read = labelled.texts
+
+    def few(column):
+        assert len(column) <= 200, "a whole batch at once"
+        return read(column)
+
+    monkeypatch.setattr(labelled, "texts", few)
+    monkeypatch.setattr(quality, "texts", few)
+    model = quality.quality_model(docs, labels)
+    assert all(np.array_equal(model[k], want[k]) for k in want)
+    assert sorted(r["doc_id"] for r in quality.keep_good(docs, model, max_repeat_percent=100).collect()) == kept

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.common import col, draw_key, least_draws
-from weftline.llm.textbytes import texts
+from weftline.llm.textbytes import parts, texts
 
 Example = tuple[np.ndarray, np.ndarray, float]
 
@@ -38,7 +38,7 @@ def train(sample: DataFrame, features: Callable[[bytes], tuple[np.ndarray, np.nd
     rows that repeat an id count once, so a rerun gives the same model.
     """
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             got = [features(x) for x in texts(b.column(3))]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), b.column(2), pa.array([x[0].astype(np.uint32).tobytes() for x in got], pa.binary()), pa.array([x[1].astype(np.float32).tobytes() for x in got], pa.binary())],
@@ -47,11 +47,12 @@ def train(sample: DataFrame, features: Callable[[bytes], tuple[np.ndarray, np.nd
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, Example] = {}
-        for b in batches:
+        for b in parts(batches):
             for draw, y, at, x in zip(*(b.column(k).to_pylist() for k in (1, 2, 3, 4)), strict=True):
-                one = (np.frombuffer(at, np.uint32), np.frombuffer(x, np.float32), y)
-                if draw not in seen or (at, x) < (seen[draw][0].tobytes(), seen[draw][1].tobytes()):
-                    seen[draw] = one
+                if draw not in seen or (at, x) < (seen[draw][0].astype(np.uint32).tobytes(), seen[draw][1].tobytes()):
+                    ids = np.frombuffer(at, np.uint32)
+                    # Half the room where buckets are few.
+                    seen[draw] = (ids.astype(np.uint16) if ids.max(initial=0) < 1 << 16 else ids, np.frombuffer(x, np.float32), y)
         model = fit([seen[k] for k in sorted(seen)])
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(model)), pa.array([str(v.dtype) for v in model.values()]), pa.array([v.tobytes() for v in model.values()], pa.binary())],

@@ -27,7 +27,7 @@ from pyspark.sql.types import StructField, StructType
 
 from weftline.llm import labelled
 from weftline.llm.common import col, table
-from weftline.llm.textbytes import texts
+from weftline.llm.textbytes import parts, texts
 
 #: Labelled rows that are learnt from at most, by least draw key.
 SAMPLE = 8000
@@ -187,7 +187,7 @@ def keep_good(docs: DataFrame, model: dict[str, np.ndarray], *, threshold: float
     plain = [f"c{k}" for k in range(len(names))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             keep = []
             for x in texts(b.column(place)):
                 words = x.split()
