@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from weftline.config import Config
 from weftline.functions import textops as T
 from weftline.operators import corpus, filters, langid, membership, metrics, preparation
+from weftline.plans import storage
 from weftline.sources import readers, sinks
 
 
@@ -249,6 +250,32 @@ def test_runs_leave_languages_as_they_are(spark, monkeypatch, run, held):
     assert said == {60: None, 61: want[61][0], 62: "hi"}
 
 
+@pytest.fixture(scope="module")
+def turns(tmp_path_factory, spark):
+    """Conversations that make one large batch."""
+    path = tmp_path_factory.mktemp("turns")
+    text = F.concat_ws(" ", F.col("conv_id"), F.lit("some words, and more of them " * 20))
+    df = spark.range(1500).coalesce(1).select(F.col("id").alias("conv_id"), F.lit(0).cast("long").alias("turn"), F.when(F.col("id") % 3 == 0, "x").otherwise("y").alias("role"), text.alias("text"))
+    df.write.parquet(f"{path}/conversations.parquet")
+    return str(path)
+
+
+def counted_in_runs(monkeypatch):
+    count = metrics._clipped
+
+    def bounded(tokens, *rest):
+        assert len(tokens) <= 1 << 18, "a whole batch is counted at once"
+        return count(tokens, *rest)
+
+    monkeypatch.setattr(metrics, "_clipped", bounded)
+
+
+def test_scores_json_counts_bounded_runs(spark, turns, monkeypatch):
+    counted_in_runs(monkeypatch)
+    got = {r["slice"]: r["n"] for r in storage.scores_json(spark, turns).collect()}
+    assert got == {"overall": 1500, "x": 500, "y": 1000}
+
+
 def test_words_are_encoded_without_python_objects(spark):
     from pyspark.util import PythonEvalType
 
