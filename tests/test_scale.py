@@ -276,6 +276,12 @@ def test_scores_json_counts_bounded_runs(spark, turns, monkeypatch):
     assert got == {"overall": 1500, "x": 500, "y": 1000}
 
 
+def test_scores_lines_counts_bounded_runs(spark, turns, monkeypatch):
+    counted_in_runs(monkeypatch)
+    got = [r["value"].split(": ") for r in storage.scores_lines(spark, turns).orderBy("ordinal").collect()]
+    assert [k for k, _ in got] == ["bleu", "rouge_l", "chrf", "total"] and all(0 < float(v) < 3 for _, v in got)
+
+
 def test_words_are_encoded_without_python_objects(spark):
     from pyspark.util import PythonEvalType
 
