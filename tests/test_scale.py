@@ -250,6 +250,25 @@ def test_runs_leave_languages_as_they_are(spark, monkeypatch, run, held):
     assert said == {60: None, 61: want[61][0], 62: "hi"}
 
 
+def test_texts_are_composed_in_bounded_runs(spark, monkeypatch):
+    """As Arrow, some texts at a time, and without a module that each worker would load for it."""
+    from pyspark.util import PythonEvalType
+
+    assert T._composed.evalType == PythonEvalType.SQL_SCALAR_ARROW_UDF
+    compose = T.composed_run
+
+    def bounded(texts):
+        assert len(texts) <= 128, "a whole batch is composed at once"
+        return compose(texts)
+
+    monkeypatch.setattr(T, "composed_run", bounded)
+    texts = [[None, "plain", f"e\u0301 {i}", "", "\u1100\u1161\u11a8"][i % 5] for i in range(1500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1)
+    for rows, want in ((df, texts), (df.where("i < 2"), texts[:2]), (df.where("i < 0"), [])):
+        got = {r["i"]: r["n"] for r in rows.select("i", T.nfc(F.col("t")).alias("n")).collect()}
+        assert got == {i: None if t is None else unicodedata.normalize("NFC", t) for i, t in enumerate(want)}
+
+
 @pytest.fixture(scope="module")
 def turns(tmp_path_factory, spark):
     """Conversations that make one large batch."""

@@ -10,7 +10,7 @@ import sys
 import unicodedata
 from functools import cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -24,6 +24,8 @@ CONTROLS = r"[\x00-\x08\x0b-\x0c\x0e-\x1f\x7f]"
 ZERO_WIDTH = "\ufeff\u200b\u2060\u00ad"
 DANDA, BENGALI_FOUR, PASEQ = "\u0964", "\u09f7", "\u05c0"
 ASSAMESE = r"[\x{09F0}\x{09F1}]"
+#: Texts that are composed at a time.
+RUN = 128
 
 
 @cache
@@ -47,9 +49,16 @@ def uncomposed() -> str:
     return "[" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in zip(starts, ends, strict=True)) + "]"
 
 
-@F.pandas_udf(StringType())
-def _composed(text: pd.Series) -> pd.Series:
-    return text.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
+def composed_run(texts: list[str | None]) -> list[str | None]:
+    return [None if x is None else unicodedata.normalize("NFC", x) for x in texts]
+
+
+@F.arrow_udf(StringType())
+def _composed(text: pa.Array) -> pa.Array:
+    # A batch without doubtful texts, the usual one, goes back as it is.
+    if text.null_count == len(text):
+        return text
+    return pa.concat_arrays([pa.array(composed_run(text.slice(at, RUN).to_pylist()), text.type) for at in range(0, len(text), RUN)])
 
 
 def nfc(text: Column) -> Column:
