@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from weftline.config import Config
@@ -269,6 +270,31 @@ def test_texts_are_composed_in_bounded_runs(spark, monkeypatch):
         assert got == {i: None if t is None else unicodedata.normalize("NFC", t) for i, t in enumerate(want)}
 
 
+def made_of(monkeypatch):
+    """How each table that is made in the driver from now on comes about."""
+    made, make = [], SparkSession.createDataFrame
+
+    def seen(self, *args, **kwargs):
+        df = make(self, *args, **kwargs)
+        made.append(df._jdf.queryExecution().toRdd().toDebugString())
+        return df
+
+    monkeypatch.setattr(SparkSession, "createDataFrame", seen)
+    return made
+
+
+def test_class_names_start_no_workers(spark, monkeypatch):
+    samples = spark.createDataFrame(texts_of_languages(5), "id int, lang string, text string")
+    made = made_of(monkeypatch)
+    model = langid.fit(samples, "text", "lang", ["en", "zz", "hi"])
+    assert len(made) == 1 and "PythonRDD" not in made[0]
+    assert [(r["place"], r["cls"]) for r in model.classes.orderBy("place").collect()] == [(0, "en"), (1, "zz"), (2, "hi")]
+    assert dict(model.classes.dtypes)["place"] == "int"
+    # What was done before, to show that the test sees it.
+    spark.createDataFrame([(0, "en")], "place int, cls string")
+    assert "PythonRDD" in made[1]
+
+
 @pytest.fixture(scope="module")
 def turns(tmp_path_factory, spark):
     """Conversations that make one large batch."""

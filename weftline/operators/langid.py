@@ -182,7 +182,8 @@ def fit(samples: DataFrame, text: str, label: str, classes: list[str], config: C
     kept = written(_commonest(written(gram_counts(own, text, label, config)), config.lid_max_features))
     v = kept.agg(F.count_distinct("gram").alias("v"))
     total = docs.agg(F.sum("docs").alias("total"))
-    names = samples.sparkSession.createDataFrame(list(enumerate(classes)), "place int, cls string")
+    # From Arrow: rows of Python objects would start workers of their own for these.
+    names = samples.sparkSession.createDataFrame(pa.table({"place": pa.array(range(len(classes)), pa.int32()), "cls": pa.array(classes, pa.string())}))
     sums = kept.groupBy("cls").agg(F.sum("n").alias("s"))
     # Each of these has a row for a class, or one row.
     stats = (
