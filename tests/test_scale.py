@@ -295,6 +295,14 @@ def test_class_names_start_no_workers(spark, monkeypatch):
     assert "PythonRDD" in made[1]
 
 
+def test_counters_of_a_report_start_no_workers(spark, small, monkeypatch):
+    made = made_of(monkeypatch)
+    got = {(r["file"], r["counter"]): r["n"] for r in storage.prepare_report(spark, small).collect()}
+    assert made and not any("PythonRDD" in x for x in made)
+    read = {f: n for (f, c), n in got.items() if c == "read"}
+    assert read and read == {f: sum(n for (g, c), n in got.items() if g == f and (c == "kept" or c.startswith("dropped_"))) for f in read}
+
+
 @pytest.fixture(scope="module")
 def turns(tmp_path_factory, spark):
     """Conversations that make one large batch."""

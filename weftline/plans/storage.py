@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from weftline.functions import textops as T
@@ -107,7 +108,9 @@ def prepare_report(spark, sf_dir):
     # One job writes the kept pairs and counts them all.
     counted, counters = filters.observed(rows, "file", [f"en_en/{s}" for s in ("train", "dev", "test")])
     kept = written(preparation.kept(counted))
-    counters = spark.createDataFrame(counters(), "file string, counter string, n long")
+    # From Arrow: rows of Python objects would start workers of their own for these.
+    kinds = pa.schema([("file", pa.string()), ("counter", pa.string()), ("n", pa.int64())])
+    counters = spark.createDataFrame(pa.Table.from_pylist([dict(zip(kinds.names, c, strict=True)) for c in counters()], kinds))
     memory = corpus.translation_memory(kept, ["lang", "src"], "tgt", F.col("ordinal"))
     items = P.table(spark, sf_dir, "benchmark").select(F.lit("English").alias("section"), F.lit("en").alias("lang"), T.normalise(F.col("text"), None).alias("src"))
     sinks.write_json(preparation.report_json(counters, corpus.coverage(items, memory, ["lang", "src"], "section"), lid_enabled=True), path)
